@@ -7,15 +7,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_OWN: dict[str, str] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; a folder of our own only where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
-    named = "file://" + tempfile.mkdtemp(prefix="catalogspark-")
-    spark.conf.set("spark.checkpoint.dir", named)
-    return named
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + tempfile.mkdtemp(prefix="catalogspark-")
+    return _OWN[app]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
