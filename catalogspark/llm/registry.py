@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import queries_chat
+from catalogspark.llm import queries_chat, queries_gif
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (queries_chat,):
+for _m in (queries_chat, queries_gif):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
