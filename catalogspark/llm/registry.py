@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import queries_chat, queries_gif
+from catalogspark.llm import queries_chat, queries_gif, queries_pii
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (queries_chat, queries_gif):
+for _m in (queries_chat, queries_gif, queries_pii):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
