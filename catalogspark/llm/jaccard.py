@@ -29,10 +29,10 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.llm.packed import pack, unpack
 from catalogspark.operators.graph import connected_components
 from catalogspark.sources.shared import written
 
@@ -67,26 +67,6 @@ def ngram_sets(texts: list[str | None], size: int = 5) -> list[np.ndarray]:
     return out
 
 
-# ---- packed arrays
-
-
-def _pack(*columns: np.ndarray) -> bytes:
-    """Columns of equal length, byte planes apart, compressed."""
-    planes = [c.view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([len(columns[0]).to_bytes(8, "little"), *planes]))
-
-
-def _unpack(data: bytes, *types: type) -> list[np.ndarray]:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n, at, out = int.from_bytes(raw[:8], "little"), 8, []
-    for t in map(np.dtype, types):
-        size = n * t.itemsize
-        planes = np.frombuffer(raw, np.uint8, size, at).reshape(t.itemsize, n)
-        out.append(np.ascontiguousarray(planes.T).view(t).reshape(n))
-        at += size
-    return out
-
-
 _ROUTED = "part int, block bigint, kind int, payload binary"
 
 
@@ -106,10 +86,10 @@ def _block_rows(block: int, ids: list[int | None], sets: list[np.ndarray], parts
             members.append(s)
         of_doc[i] = slots[key]
     known = np.array([i is not None for i in ids], np.uint8)
-    head = _pack(np.array([i or 0 for i in ids], np.int64), known, of_doc)
+    head = pack(np.array([i or 0 for i in ids], np.int64), known, of_doc)
     keys = np.frombuffer(b"".join(slots), "<u8").reshape(-1, 2)
     lens = np.array([len(s) for s in members], np.int64)
-    head = len(head).to_bytes(8, "little") + head + _pack(np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]), lens)
+    head = len(head).to_bytes(8, "little") + head + pack(np.ascontiguousarray(keys[:, 0]), np.ascontiguousarray(keys[:, 1]), lens)
     rows = [(block % parts, block, 0, head)]
     grams = np.concatenate(members)
     slot = np.repeat(np.arange(len(members), dtype=np.uint32), lens)
@@ -119,7 +99,7 @@ def _block_rows(block: int, ids: list[int | None], sets: list[np.ndarray], parts
     for p, (a, b) in enumerate(zip([0, *edges], [*edges, len(grams)], strict=True)):
         if b > a:
             part = grams[a:b]
-            rows.append((p, block, 1, _pack(np.diff(part, prepend=np.uint64(0)), slot[a:b])))
+            rows.append((p, block, 1, pack(np.diff(part, prepend=np.uint64(0)), slot[a:b])))
     return rows
 
 
@@ -151,7 +131,7 @@ def _counted(table: pa.Table) -> pa.Table:
     out = [(0, r["block"], 0, r["payload"]) for r in rows if r["kind"] == 0]
     data = [r for r in rows if r["kind"] == 1]
     if data:
-        pieces = [_unpack(r["payload"], np.uint64, np.uint32) for r in data]
+        pieces = [unpack(r["payload"], np.uint64, np.uint32) for r in data]
         grams = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in pieces])
         slot = np.concatenate([p[1] for p in pieces])
         where = np.repeat(np.arange(len(data)), [len(p[0]) for p in pieces])
@@ -168,7 +148,7 @@ def _counted(table: pa.Table) -> pa.Table:
         for i, r in enumerate(data):
             a, b = cuts[i], cuts[i + 1]
             if b > a:
-                out.append((0, r["block"], 1, _pack(np.diff(grams[a:b], prepend=np.uint64(0)), slot[a:b], count[a:b])))
+                out.append((0, r["block"], 1, pack(np.diff(grams[a:b], prepend=np.uint64(0)), slot[a:b], count[a:b])))
     return pa.Table.from_batches([_routed(out)]) if out else table.slice(0, 0).select(["part", "block", "kind", "payload"])
 
 
@@ -180,10 +160,10 @@ def _sets_of_block(threshold: int):
         rows = table.to_pylist()
         head = next(r["payload"] for r in rows if r["kind"] == 0)
         cut = 8 + int.from_bytes(head[:8], "little")
-        ids, known, of_doc = _unpack(head[8:cut], np.int64, np.uint8, np.int32)
-        hi, lo, lens = _unpack(head[cut:], np.uint64, np.uint64, np.int64)
+        ids, known, of_doc = unpack(head[8:cut], np.int64, np.uint8, np.int32)
+        hi, lo, lens = unpack(head[cut:], np.uint64, np.uint64, np.int64)
         keys = [k.tobytes() for k in np.stack([hi, lo], axis=1)]
-        pieces = [_unpack(r["payload"], np.uint64, np.uint32, np.uint32) for r in rows if r["kind"] == 1]
+        pieces = [unpack(r["payload"], np.uint64, np.uint32, np.uint32) for r in rows if r["kind"] == 1]
         kept: list[bytes | None] = [None] * len(keys)
         if pieces:
             grams = np.concatenate([np.cumsum(p[0], dtype=np.uint64) for p in pieces])
