@@ -9,8 +9,8 @@ union. The work moves in packed arrays, not in a row for each n-gram:
    An n-gram of one class can't be shared, so each block now has all that can overlap, rarest first, and drops
    the classes with too few shared n-grams to link at all.
 3. Prefix n-grams of what is left (exact rare-first order; the unshared ones head the prefix) are joined under length
-   and positional filters: first each against the list's first class (a star, so a group of near copies costs its
-   size and not its square), then only pairs in one list that the first links left in different components.
+   and positional filters: first each list's classes against a few pivots (stars, so a group of near copies costs its
+   size and not its square), then only pairs in one list that all links so far leave in different components.
 4. Each candidate pair is verified once, behind the suffix filter's bound from partition sizes.
 
 A set's 128-bit digest is its class; classes link, documents inherit. Components are found by star contraction.
@@ -255,30 +255,45 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(_verified(threshold), "x binary, y binary")
 
 
-def class_links(sets: DataFrame, threshold: int = 80) -> tuple[DataFrame, DataFrame]:
+def _placed(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
+    """rows with the component c of their class; a class without a link is its own."""
+    rows = rows.select("gram", "key", "n", "pos")
+    if parts is None:
+        return rows.withColumn("c", F.col("key"))
+    return rows.join(parts.withColumnRenamed("vertex", "key"), "key", "left").select(*rows.columns, F.coalesce("component", "key").alias("c"))
+
+
+def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: int = 4) -> tuple[DataFrame, DataFrame | None]:
     """(links, components) of the classes in sets(key, n, grams): enough verified links to join every linked pair of
-    classes into one component, and the component of each class that has a link."""
-    pre = written(sets.select("key", "n", "grams").mapInArrow(_prefixes(threshold), "gram bigint, key binary, n bigint, pos bigint"), "prefixes")
-    lists = pre.groupBy("gram").agg(F.min(F.struct("key", "n", "pos")).alias("top"), F.count("*").alias("m")).where("m > 1")
-    met = pre.join(lists, "gram").where(F.col("key") != F.col("top.key"))
-    met = met.select(F.col("top.key").alias("x"), F.col("top.n").alias("xn"), F.col("top.pos").alias("xpos"), F.col("key").alias("y"), F.col("n").alias("yn"), F.col("pos").alias("ypos"))
-    star = written(_links(met.where(_passing(threshold)).select("x", "y").distinct(), sets, threshold), "links")
-    parts = written(connected_components(star, "x", "y"), "components")
-
-    placed = pre.join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn("c", F.coalesce("component", "key")).drop("component")
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("gram")
-    open_ = placed.join(mixed, "gram", "left_semi")
-    side = lambda s: open_.select("gram", *[F.col(c).alias(s + c) for c in ("key", "n", "pos", "c")])
-    across = side("x").join(side("y"), "gram").where((F.col("xc") < F.col("yc")) & _passing(threshold))
-    # x and y are in different components, so none of these pairs was found to link before
-    tried = met.where(_passing(threshold)).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"))
-    rest = across.select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct()
-    more = written(_links(rest.join(tried, ["x", "y"], "left_anti"), sets, threshold), "links")
-    if more.isEmpty():
-        return star, parts
-    links = star.unionByName(more)
-    return links, written(connected_components(links, "x", "y"), "components")
+    classes into one component, and the component of each class that has a link.
+
+    In each star round every list that holds more than one component tries its members against a few pivots, the same
+    ones in all lists of a group. What is still apart after that is tried pair by pair, so no link is lost.
+    """
+    rows = written(sets.select("key", "n", "grams").mapInArrow(_prefixes(threshold), "gram bigint, key binary, n bigint, pos bigint"), "prefixes")
+    links = parts = tried = None
+    for turn in range(stars + 1):
+        rows = _placed(rows, parts)
+        tops = [F.min(F.struct(F.xxhash64("key", F.lit(17 * turn + i)).alias("h"), "key", "n", "pos", "c")) for i in range(pivots if turn else 1)]
+        lists = rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.array(*tops).alias("tops")).where("lo <> hi").select("gram", "tops")
+        rows = written(rows.join(lists, "gram"), "open")
+        if rows.isEmpty():
+            break
+        side = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c")]
+        if turn < stars:
+            met = rows.select(*side("x"), F.explode("tops").alias("t")).select("*", *[F.col(f"t.{c}").alias(f"y{c}") for c in ("key", "n", "pos", "c")])
+        else:
+            met = rows.select("gram", *side("x")).join(rows.select("gram", *side("y")), "gram").where("xc < yc")
+        met = met.where((F.col("xc") != F.col("yc")) & _passing(threshold)).select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct()
+        # a pair in two components that was tried before does not link
+        met = written(met if tried is None else met.join(tried, ["x", "y"], "left_anti"), "pairs")
+        tried = met if tried is None else tried.unionByName(met)
+        more = written(_links(met, sets, threshold), "links")
+        if turn and more.isEmpty():
+            continue
+        links = more if links is None else links.unionByName(more)
+        parts = written(connected_components(links, "x", "y"), "components")
+    return links, parts
 
 
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
@@ -287,7 +302,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> D
     sets = every.where("grams is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
     _, parts = class_links(written(sets, "classes"), threshold)
     least = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("d"))
-    named = least.join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
+    named = least.withColumn("c", F.col("key"))
+    if parts is not None:
+        named = least.join(parts.withColumnRenamed("vertex", "key"), "key", "left").withColumn("c", F.coalesce("component", "key"))
     ids = named.groupBy("c").agg(F.min("d").alias("component_id"))
     of_class = named.select("key", "c").join(ids, "c").select("key", "component_id")
     out = every.select("doc_id", "n", "key").join(of_class, "key", "left")
