@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from catalogspark.llm import queries_chat, queries_gif, queries_jaccard, queries_lm, queries_pii, queries_toxicity
+from catalogspark.llm import queries_chat, queries_gif, queries_jaccard, queries_lm, queries_pii, queries_topk, queries_toxicity
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (queries_chat, queries_gif, queries_jaccard, queries_lm, queries_pii, queries_toxicity):
+for _m in (queries_chat, queries_gif, queries_jaccard, queries_lm, queries_pii, queries_topk, queries_toxicity):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
