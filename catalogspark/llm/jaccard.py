@@ -227,7 +227,7 @@ def _verified(threshold: int):
     def run(batches):
         cells = np.uint64(60)
         for batch in batches:
-            x, y, nx, ny, gx, gy = (c.to_pylist() for c in batch.columns)
+            nx, ny, gx, gy = (c.to_pylist() for c in batch.columns[4:])
             keep = []
             for a, b, g, h in zip(nx, ny, gx, gy, strict=True):
                 p, q = np.frombuffer(g, np.uint64), np.frombuffer(h, np.uint64)
@@ -236,7 +236,7 @@ def _verified(threshold: int):
                 bound = np.minimum(np.bincount((p >> cells).astype(np.int64), minlength=16), np.bincount((q >> cells).astype(np.int64), minlength=16)).sum()
                 keep.append(bool(bound >= least and len(np.intersect1d(p, q, assume_unique=True)) >= least))
             mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()).filter(mask), pa.array(y, pa.binary()).filter(mask)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in batch.columns[:4]], names=["x", "y", "xc", "yc"])
 
     return run
 
@@ -251,8 +251,8 @@ def _passing(threshold: int):
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("grams").alias(f"g{c}"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "nx", "ny", "gx", "gy")
-    return both.mapInArrow(_verified(threshold), "x binary, y binary")
+    both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xc", "yc", "nx", "ny", "gx", "gy")
+    return both.mapInArrow(_verified(threshold), "x binary, y binary, xc binary, yc binary")
 
 
 def _placed(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -263,36 +263,56 @@ def _placed(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
     return rows.join(parts.withColumnRenamed("vertex", "key"), "key", "left").select(*rows.columns, F.coalesce("component", "key").alias("c"))
 
 
+def _merged(parts: DataFrame | None, links: DataFrame) -> DataFrame:
+    """parts(vertex, component) after links(x, y, xc, yc) between components: only these are searched anew."""
+    moved = connected_components(links.select("xc", "yc"), "xc", "yc")
+    if parts is None:
+        return written(moved, "components")
+    moved = moved.select(F.col("vertex").alias("component"), F.col("component").alias("to"))
+    old = parts.join(moved, "component", "left").select("vertex", F.coalesce("to", "component").alias("component"))
+    # components of one class are not in parts yet
+    new = moved.select(F.col("component").alias("vertex"), F.col("to").alias("component")).join(parts, "vertex", "left_anti")
+    return written(old.unionByName(new), "components")
+
+
 def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: int = 4) -> tuple[DataFrame, DataFrame | None]:
     """(links, components) of the classes in sets(key, n, grams): enough verified links to join every linked pair of
     classes into one component, and the component of each class that has a link.
 
     In each star round every list that holds more than one component tries its members against a few pivots, the same
-    ones in all lists of a group. What is still apart after that is tried pair by pair, so no link is lost.
+    ones in all lists of a group. What is still apart after that is tried pair by pair, so no link is lost; this last
+    round comes at once where the lists have hardly more pairs than members.
     """
     rows = written(sets.select("key", "n", "grams").mapInArrow(_prefixes(threshold), "gram bigint, key binary, n bigint, pos bigint"), "prefixes")
     links = parts = tried = None
     for turn in range(stars + 1):
         rows = _placed(rows, parts)
         tops = [F.min(F.struct(F.xxhash64("key", F.lit(17 * turn + i)).alias("h"), "key", "n", "pos", "c")) for i in range(pivots if turn else 1)]
-        lists = rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.array(*tops).alias("tops")).where("lo <> hi").select("gram", "tops")
+        lists = rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.array(*tops).alias("tops")).where("lo <> hi").select("gram", "m", "tops")
         rows = written(rows.join(lists, "gram"), "open")
-        if rows.isEmpty():
+        work = rows.agg(F.count("*").alias("rows"), F.sum(F.col("m") - 1).alias("pairs")).head()
+        if not work["rows"]:
             break
+        last = turn == stars or (turn and work["pairs"] <= 4 * work["rows"] + 100_000)
         side = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c")]
-        if turn < stars:
-            met = rows.select(*side("x"), F.explode("tops").alias("t")).select("*", *[F.col(f"t.{c}").alias(f"y{c}") for c in ("key", "n", "pos", "c")])
-        else:
+        if last:
             met = rows.select("gram", *side("x")).join(rows.select("gram", *side("y")), "gram").where("xc < yc")
-        met = met.where((F.col("xc") != F.col("yc")) & _passing(threshold)).select(F.least("xkey", "ykey").alias("x"), F.greatest("xkey", "ykey").alias("y")).distinct()
+        else:
+            met = rows.select(*side("x"), F.explode("tops").alias("t")).select("*", *[F.col(f"t.{c}").alias(f"y{c}") for c in ("key", "n", "pos", "c")])
+        met = met.where((F.col("xc") != F.col("yc")) & _passing(threshold))
+        swap = F.col("xkey") > F.col("ykey")
+        either = lambda a, b: F.when(swap, F.col(b)).otherwise(F.col(a))
+        met = met.select(either("xkey", "ykey").alias("x"), either("ykey", "xkey").alias("y"), either("xc", "yc").alias("xc"), either("yc", "xc").alias("yc")).distinct()
         # a pair in two components that was tried before does not link
         met = written(met if tried is None else met.join(tried, ["x", "y"], "left_anti"), "pairs")
-        tried = met if tried is None else tried.unionByName(met)
+        ids = met.select("x", "y")
+        tried = ids if tried is None else tried.unionByName(ids)
         more = written(_links(met, sets, threshold), "links")
-        if turn and more.isEmpty():
-            continue
-        links = more if links is None else links.unionByName(more)
-        parts = written(connected_components(links, "x", "y"), "components")
+        if not more.isEmpty():
+            links = more if links is None else links.unionByName(more)
+            parts = _merged(parts, more)
+        if last:
+            break
     return links, parts
 
 
