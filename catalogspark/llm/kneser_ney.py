@@ -23,13 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.packed import pack, unpack
+from catalogspark.llm.packed import Mapped, by_range, make_folder, pack, range_of, store, unpack
 from catalogspark.sources.shared import new_path
 
 #: Tokens of a block: the bound of what a counting task holds.
@@ -44,10 +43,6 @@ def _pair(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def _range_of(h: np.ndarray, parts: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-
-
 def _words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").lower().split()
 
@@ -92,20 +87,13 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(kind, pa.int32()), pa.array(payload, pa.binary())], names=["part", "kind", "payload"])
 
 
-def _by_range(h: np.ndarray, parts: int):
-    """(part, from, to) over a sorted array of hashes."""
-    of = _range_of(h, parts).astype(np.int64)
-    cuts = np.searchsorted(of, np.arange(parts + 1))
-    return [(p, cuts[p], cuts[p + 1]) for p in range(parts) if cuts[p + 1] > cuts[p]]
-
-
 def _block_rows(seqs: list[np.ndarray], hashes: np.ndarray, parts: int) -> list[tuple]:
     n = len(hashes)
     keys, counts = np.unique(_pairs_of(seqs, n), return_counts=True)
     context, word = hashes[keys // n], hashes[keys % n]
     order = np.lexsort((word, context))
     context, word, counts = context[order], word[order], counts[order].astype(np.uint32)
-    return [(p, 0, pack(np.diff(context[a:b], prepend=np.uint64(0)), word[a:b], counts[a:b])) for p, a, b in _by_range(context, parts)]
+    return [(p, 0, pack(np.diff(context[a:b], prepend=np.uint64(0)), word[a:b], counts[a:b])) for p, a, b in by_range(context, parts)]
 
 
 def _counted_blocks(parts: int):
@@ -126,15 +114,6 @@ def _counted_blocks(parts: int):
     return run
 
 
-def _store(uri: str, *arrays: np.ndarray) -> None:
-    """Write arrays one after the other; a repeated task replaces the same bytes."""
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_output_stream(part := f"{path}.{xxhash.xxh3_64_hexdigest(repr(id(arrays)).encode() + np.random.bytes(8))}") as f:
-        for a in arrays:
-            f.write(np.ascontiguousarray(a).tobytes())
-    fs.move(part, path)
-
-
 def _of_counts(c: np.ndarray) -> np.ndarray:
     return np.bincount(np.minimum(c, 5), minlength=6)[1:5].astype(np.int64)
 
@@ -153,7 +132,7 @@ def _contexts(base: str, parts: int):
         context, word, count = context[first], word[first], np.add.reduceat(count, first)
         pair = _pair(context, word)
         by = np.argsort(pair, kind="stable")
-        _store(f"{base}/pairs-{part}", pair[by], np.minimum(count[by], 2**32 - 1).astype(np.uint32))
+        store(f"{base}/pairs-{part}", pair[by], np.minimum(count[by], 2**32 - 1).astype(np.uint32))
         start = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
         kinds = [np.add.reduceat((count == i).astype(np.int64) if i < 3 else (count >= 3).astype(np.int64), start) for i in (1, 2, 3)]
         out = [(part, 1, pack(context[start], np.add.reduceat(count, start), *kinds)), (part, 3, pack(_of_counts(count)))]
@@ -162,7 +141,7 @@ def _contexts(base: str, parts: int):
         start = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         used = np.diff(np.append(start, len(word)))
         word, count = word[start], np.add.reduceat(count, start)
-        out += [(p, 2, pack(np.diff(word[a:b], prepend=np.uint64(0)), used[a:b], count[a:b])) for p, a, b in _by_range(word, parts)]
+        out += [(p, 2, pack(np.diff(word[a:b], prepend=np.uint64(0)), used[a:b], count[a:b])) for p, a, b in by_range(word, parts)]
         return pa.Table.from_batches([_batch(out)])
 
     return run
@@ -194,7 +173,7 @@ def _word_range(base: str):
             at = np.searchsorted(known, c[0])
             for name, column in zip(("total", "n1", "n2", "n3"), c[1:], strict=True):
                 out[name][at] = column
-        _store(f"{base}/words-{part}", out)
+        store(f"{base}/words-{part}", out)
         used = out["used"]
         pair_coc = np.sum(coc, axis=0) if coc else np.zeros(4, np.int64)
         return pa.table(
@@ -237,9 +216,7 @@ class Model:
 def train(docs: DataFrame, text: str = "text", parts: int | None = None) -> Model:
     spark = docs.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = new_path(spark, "ngrams")
-    fs, path = pafs.FileSystem.from_uri(base)
-    fs.create_dir(path)
+    base = make_folder(new_path(spark, "ngrams"))
     blocks = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted_blocks(parts), _ROUTED)
     counted = blocks.groupBy("part").applyInArrow(_contexts(base, parts), _ROUTED)
     totals = counted.groupBy("part").applyInArrow(_word_range(base), _TOTALS)
@@ -255,31 +232,13 @@ class Arrays:
     """The memory-mapped arrays of a model, opened range by range when a lookup needs them."""
 
     def __init__(self, model: Model):
-        self.model, self.open = model, {}
-        self.fs, self.path = pafs.FileSystem.from_uri(model.base)
-
-    def _mapped(self, name: str) -> np.ndarray | None:
-        if name not in self.open:
-            path = f"{self.path}/{name}"
-            if self.fs.get_file_info(path).type != pafs.FileType.File:
-                self.open[name] = None
-            elif isinstance(self.fs, pafs.LocalFileSystem):
-                self.open[name] = np.memmap(path, np.uint8, "r")
-            else:  # a store that can't be mapped: a local copy, whose name goes at once
-                import tempfile
-
-                with tempfile.TemporaryFile() as f, self.fs.open_input_stream(path) as source:
-                    while chunk := source.read(1 << 24):
-                        f.write(chunk)
-                    f.flush()
-                    self.open[name] = np.memmap(f, np.uint8, "r")
-        return self.open[name]
+        self.model, self.files = model, Mapped(model.base)
 
     def words(self, hashes: np.ndarray) -> np.ndarray:
         """The entries of sorted hashes; zeros where training has none."""
         out = np.zeros(len(hashes), _WORD)
-        for p, a, b in _by_range(hashes, self.model.parts):
-            raw = self._mapped(f"words-{p}")
+        for p, a, b in by_range(hashes, self.model.parts):
+            raw = self.files(f"words-{p}")
             if raw is not None:
                 table = raw.view(_WORD)
                 at = np.minimum(np.searchsorted(table["hash"], hashes[a:b]), len(table) - 1)
@@ -291,12 +250,12 @@ class Arrays:
     def pairs(self, context: np.ndarray, pair: np.ndarray) -> np.ndarray:
         """The counts of pairs."""
         out = np.zeros(len(pair), np.int64)
-        of = _range_of(context, self.model.parts).astype(np.int64)
+        of = range_of(context, self.model.parts).astype(np.int64)
         order = np.lexsort((pair, of))
         cuts = np.searchsorted(of[order], np.arange(self.model.parts + 1))
         for p in range(self.model.parts):
             mine = order[cuts[p] : cuts[p + 1]]
-            raw = self._mapped(f"pairs-{p}") if len(mine) else None
+            raw = self.files(f"pairs-{p}") if len(mine) else None
             if raw is not None:
                 n = len(raw) // 12
                 keys, counts = raw[: 8 * n].view(np.uint64), raw[8 * n :].view(np.uint32)

@@ -1,8 +1,12 @@
-"""Columns of numbers as one compressed binary value, for shuffles of many small items."""
+"""Arrays of numbers: packed into compressed binary values for shuffles, and stored in the shared folder for memory-mapped reading."""
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 import numpy as np
+import pyarrow.fs as pafs
 import zstandard
 
 
@@ -21,3 +25,52 @@ def unpack(data: bytes, *types: type) -> list[np.ndarray]:
         out.append(np.ascontiguousarray(planes.T).view(t).reshape(n))
         at += size
     return out
+
+
+def range_of(h: np.ndarray, parts: int) -> np.ndarray:
+    """The range of the hash space, of ``parts`` equal ones, that each hash is in."""
+    return (((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+
+
+def by_range(h: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(range, from, to) over a sorted array of hashes, for ranges that have any."""
+    cuts = np.searchsorted(range_of(h, parts), np.arange(parts + 1))
+    return [(p, cuts[p], cuts[p + 1]) for p in range(parts) if cuts[p + 1] > cuts[p]]
+
+
+def make_folder(uri: str) -> str:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    fs.create_dir(path)
+    return uri
+
+
+def store(uri: str, *arrays: np.ndarray) -> None:
+    """Write arrays one after the other; a task that is run again replaces the same bytes."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_output_stream(part := f"{path}.{uuid.uuid4().hex}") as f:
+        for a in arrays:
+            f.write(np.ascontiguousarray(a).tobytes())
+    fs.move(part, path)
+
+
+class Mapped:
+    """Stored files of a folder by name, memory-mapped when first needed; None for a file that isn't there."""
+
+    def __init__(self, base: str):
+        self.fs, self.path = pafs.FileSystem.from_uri(base)
+        self.open: dict[str, np.ndarray | None] = {}
+
+    def __call__(self, name: str) -> np.ndarray | None:
+        if name not in self.open:
+            path = f"{self.path}/{name}"
+            if self.fs.get_file_info(path).type != pafs.FileType.File:
+                self.open[name] = None
+            elif isinstance(self.fs, pafs.LocalFileSystem):
+                self.open[name] = np.memmap(path, np.uint8, "r")
+            else:  # a store that can't be mapped: a local copy without a name
+                with tempfile.TemporaryFile() as f, self.fs.open_input_stream(path) as source:
+                    while chunk := source.read(1 << 24):
+                        f.write(chunk)
+                    f.flush()
+                    self.open[name] = np.memmap(f, np.uint8, "r")
+        return self.open[name]
