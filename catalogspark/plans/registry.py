@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from catalogspark.plans import queries_quality
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _m in (queries_quality,):
+    QUERIES |= _m.QUERIES
+    ORACLES |= _m.ORACLES
