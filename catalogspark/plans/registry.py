@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from catalogspark.plans import queries_quality
+from catalogspark.plans import queries_change, queries_quality
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _m in (queries_quality,):
+for _m in (queries_quality, queries_change):
     QUERIES |= _m.QUERIES
     ORACLES |= _m.ORACLES
