@@ -11,7 +11,8 @@ union. The work moves in packed arrays, not in a row for each n-gram:
 3. Prefix n-grams of what is left (exact rare-first order; the unshared ones head the prefix) are joined under length
    and positional filters: first each list's classes against a few pivots (stars, so a group of near copies costs its
    size and not its square), then only pairs in one list that all links so far leave in different components.
-4. Each candidate pair is verified once, behind the suffix filter's bound from partition sizes.
+   These last pairs pass a suffix filter in the join: parity maps bound how many n-grams only one of the two has.
+4. Each candidate pair is verified once, behind a bound from partition sizes.
 
 A set's 128-bit digest is its class; classes link, documents inherit. Components are found by star contraction.
 
@@ -249,6 +250,28 @@ def _passing(threshold: int):
     return (100 * least >= threshold * most) & ((100 + threshold) * rest >= threshold * (F.col("xn") + F.col("yn")))
 
 
+def _parity(batches):
+    """The number of shared n-grams of each class, and the parity of how many fall on each of 256 bits."""
+    for batch in batches:
+        shared, maps = [], []
+        for raw in batch.column(1).to_pylist():
+            g = np.frombuffer(raw, np.uint64)
+            odd = np.bincount((g & np.uint64(255)).astype(np.int64), minlength=256) & 1
+            shared.append(len(g))
+            maps.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+        m = np.stack(maps) if maps else np.zeros((0, 4), np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared, pa.int64()), *[pa.array(np.ascontiguousarray(m[:, i])) for i in range(4)]], names=["key", "s", "p0", "p1", "p2", "p3"])
+
+
+_MAPS = [f"p{i}" for i in range(4)]
+
+
+def _near_enough(threshold: int):
+    """Suffix filter: bits in which two parity maps differ are as many n-grams at least that only one side has."""
+    differ = sum((F.bit_count(F.col(f"x{p}").bitwiseXOR(F.col(f"y{p}"))) for p in _MAPS), F.lit(0))
+    return (100 + threshold) * (F.col("xs") + F.col("ys") - differ) >= 2 * threshold * (F.col("xn") + F.col("yn"))
+
+
 def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("grams").alias(f"g{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xc", "yc", "nx", "ny", "gx", "gy")
@@ -296,7 +319,10 @@ def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: in
         last = turn == stars or (turn and work["pairs"] <= 4 * work["rows"] + 100_000)
         side = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c")]
         if last:
-            met = rows.select("gram", *side("x")).join(rows.select("gram", *side("y")), "gram").where("xc < yc")
+            maps = sets.select("key", "grams").mapInArrow(_parity, "key binary, s bigint, " + ", ".join(f"{p} bigint" for p in _MAPS))
+            full = written(rows.select("gram", "key", "n", "pos", "c").join(maps, "key"), "mapped")
+            with_map = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c", "s", *_MAPS)]
+            met = full.select("gram", *with_map("x")).join(full.select("gram", *with_map("y")), "gram").where("xc < yc").where(_near_enough(threshold))
         else:
             met = rows.select(*side("x"), F.explode("tops").alias("t")).select("*", *[F.col(f"t.{c}").alias(f"y{c}") for c in ("key", "n", "pos", "c")])
         met = met.where((F.col("xc") != F.col("yc")) & _passing(threshold))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalogspark.llm.packed import Mapped, by_range, make_folder, store
-from catalogspark.sources.shared import new_path
+from catalogspark.sources.shared import new_path, written
 
 SPACE = "▁"
 LONG = 48
@@ -109,35 +109,42 @@ def _bit(at: Column) -> Column:
     return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value evaluated once: a bound variable, where a column inlined into a lambda would be evaluated anew in each turn."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def fold_lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
     """seg -> seg, ids: explode substrings, join pieces, group edges, fold merges. Segments of at most LONG characters."""
     spark = segs.sparkSession
     longest = max(map(len, pieces.ids))
     table = spark.createDataFrame([(p, i, -pieces.scores[p]) for p, i in pieces.ids.items()], "piece string, id int, cost double")
     n = F.length("seg")
-    spans = segs.select("seg", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("seg", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("l"))
+    # dealt by segment once, so that neither the join (broadcast) nor the grouping moves the edges
+    spans = segs.repartition("seg").select("seg", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("seg", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("l"))
     edges = spans.withColumn("piece", F.substring("seg", F.col("s") + 1, F.col("l"))).join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")
-    edge = F.struct("cost", "s", (F.col("s") + F.col("l")).alias("e"), "id", (_bit(F.col("s") + F.col("l")) - _bit(F.col("s") + 1)).alias("inner"), (_bit(F.col("s") + F.col("l")) + _bit(F.col("s"))).alias("ends"))
+    edge = F.struct("cost", "s", (F.col("s") + F.col("l")).alias("e"), "id", (64 * F.col("s") + F.col("s") + F.col("l")).alias("at"), (_bit(F.col("s") + F.col("l")) - _bit(F.col("s") + 1)).alias("inner"), (_bit(F.col("s") + F.col("l")) + _bit(F.col("s"))).alias("ends"))
     words = edges.groupBy("seg").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
     words = words.withColumn("merges", F.filter("edges", lambda x: x["e"] - x["s"] > 1))
 
     def step(acc: Column, _: Column) -> Column:
         fits = F.filter("merges", lambda x: (acc["b"].bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(acc["b"].bitwiseAND(x["inner"])) == 1))
-        best = F.get(fits, F.lit(0))
-        go_on = F.struct((acc["b"] - F.coalesce(acc["b"].bitwiseAND(best["inner"]), F.lit(0).cast("bigint"))).alias("b"), best.isNotNull().alias("live"))
-        return F.when(acc["live"], go_on).otherwise(acc)
+        after = _once(F.get(fits, F.lit(0)), lambda best: F.struct((acc["b"] - F.coalesce(acc["b"].bitwiseAND(best["inner"]), F.lit(0).cast("bigint"))).alias("b"), best.isNotNull().alias("live")))
+        return F.when(acc["live"], after).otherwise(acc)
 
     all_bits = F.struct((_bit(n + 1) - 1).alias("b"), F.lit(True).alias("live"))
     turns = F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1))
-    words = words.withColumn("b", F.aggregate(turns, all_bits, step)["b"])
-    words = words.withColumn("starts", F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.col("b").bitwiseAND(_bit(i)) > 0))
+    starts = _once(F.aggregate(turns, all_bits, step)["b"], lambda b: F.filter(F.sequence(F.lit(0), n - 1), lambda i: b.bitwiseAND(_bit(i)) > 0))
+
+    def ids_from(found: Column) -> Column:
+        def ids_of(s: Column, k: Column) -> Column:
+            e = F.coalesce(F.get(found, k + 1), n)
+            fit = F.get("edges.id", F.array_position("edges.at", 64 * s + e).cast("int") - 1)
+            return _once(fit, lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_byte_ids(F.substring("seg", s + 1, F.lit(1)), pieces.byte0)))
 
-    def ids_of(s: Column, k: Column) -> Column:
-        e = F.coalesce(F.get("starts", k + 1), n)
-        found = F.get(F.filter("edges", lambda x: (x["s"] == s) & (x["e"] == e)), F.lit(0))["id"]
-        return F.when(found.isNotNull(), F.array(found)).otherwise(_byte_ids(F.substring("seg", s + 1, F.lit(1)), pieces.byte0))
+        return F.flatten(F.transform(found, ids_of))
 
-    return words.select("seg", F.flatten(F.transform("starts", ids_of)).alias("ids"))
+    return words.select("seg", _once(starts, ids_from).alias("ids"))
 
 
 def merged(seg: str, pieces: Pieces) -> list[int]:
@@ -203,7 +210,7 @@ def store_dictionary(encoded: DataFrame, parts: int | None = None) -> tuple[str,
             part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), batch.column(1)], names=["part", "h", "ids"])
 
-    def written(table: pa.Table) -> pa.Table:
+    def stored(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
         ids = table.column("ids").combine_chunks()
         order = np.argsort(h, kind="stable")
@@ -216,7 +223,7 @@ def store_dictionary(encoded: DataFrame, parts: int | None = None) -> tuple[str,
         return pa.table({"n": pa.array([len(h)], pa.int64())})
 
     rows = encoded.select("seg", "ids").mapInArrow(ranged, "part int, h bigint, ids array<int>")
-    rows.groupBy("part").applyInArrow(written, "n bigint").agg(F.sum("n")).collect()
+    rows.groupBy("part").applyInArrow(stored, "n bigint").agg(F.sum("n")).collect()
     return base, parts
 
 
@@ -241,7 +248,8 @@ class Dictionary:
 
 def encode(df: DataFrame, pieces: Pieces, text: str = "text", into: str = "ids") -> DataFrame:
     """Add column ``into``: array<int>, the model's ids of each whole text."""
-    base, parts = store_dictionary(encoded_segments(distinct_segments(df, pieces, text), pieces))
+    segs = written(distinct_segments(df, pieces, text), "segs")
+    base, parts = store_dictionary(encoded_segments(segs, pieces))
     touching = df.sparkSession.sparkContext.broadcast(pieces.touching())
 
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
