@@ -246,58 +246,73 @@ class Dictionary:
         return out
 
 
+def _encoded(texts: list[str | None], known: Dictionary, touching: frozenset) -> pa.Array:
+    docs = [_words(t) for t in texts]
+    number: dict[str, int] = {}
+    seqs = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int64, len(d)) for d in docs]
+    if not number:
+        return pa.array([[] for _ in docs], pa.list_(pa.int32()))
+    cut = [_segments(w, touching) for w in number]
+    segs = {s: i for i, s in enumerate(dict.fromkeys(s for c in cut for s in c))}
+    ids = known.ids(list(segs))
+    of_word = [np.concatenate([ids[segs[s]] for s in c]) if len(c) > 1 else ids[segs[c[0]]] for c in cut]
+    size = np.fromiter(map(len, of_word), np.int64, len(of_word))
+    words = np.concatenate(of_word)
+    start = np.concatenate([[0], np.cumsum(size)])[:-1]
+    seq = np.concatenate(seqs)
+    n = size[seq]
+    upto = np.cumsum(n)
+    flat = words[np.repeat(start[seq] - (upto - n), n) + np.arange(upto[-1])].astype(np.int32)
+    ends = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum([len(s) for s in seqs])])]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+
+
+#: Documents that a worker works on at a time; what it gives back comes in as small batches.
+SLICE = 250
+
+
+def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, begin) -> DataFrame:
+    """df with column ``into``: begin() in each task gives the function from a slice of ``source`` to the new column's values."""
+    df = df.drop(into)
+    names = df.columns
+
+    def run(batches):
+        make = begin()
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(names.index(source)))], names=[*names, into])
+
+    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, kind)]))
+
+
 def encode(df: DataFrame, pieces: Pieces, text: str = "text", into: str = "ids") -> DataFrame:
     """Add column ``into``: array<int>, the model's ids of each whole text."""
     segs = written(distinct_segments(df, pieces, text), "segs")
     base, parts = store_dictionary(encoded_segments(segs, pieces))
     touching = df.sparkSession.sparkContext.broadcast(pieces.touching())
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def _encode(texts: pa.Array) -> pa.Array:
+    def begin():
         known = Dictionary(base, parts)
-        flat, ends = [], [np.zeros(1, np.int64)]
-        total = 0
-        for at in range(0, len(texts), 1000):
-            docs = [_words(t) for t in texts.slice(at, 1000).to_pylist()]
-            number: dict[str, int] = {}
-            seqs = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int64, len(d)) for d in docs]
-            cut = [_segments(w, touching.value) for w in number]
-            segs = {s: i for i, s in enumerate(dict.fromkeys(s for c in cut for s in c))}
-            ids = known.ids(list(segs))
-            of_word = [np.concatenate([ids[segs[s]] for s in c]) if len(c) > 1 else ids[segs[c[0]]] for c in cut]
-            if not of_word:
-                ends.append(np.full(len(docs), total, np.int64))
-                continue
-            size = np.fromiter(map(len, of_word), np.int64, len(of_word))
-            words = np.concatenate(of_word)
-            start = np.concatenate([[0], np.cumsum(size)])[:-1]
-            seq = np.concatenate(seqs)
-            n = size[seq]
-            upto = np.cumsum(n)
-            flat.append(words[np.repeat(start[seq] - (upto - n), n) + np.arange(upto[-1])])
-            of_doc = np.concatenate([[0], upto])[np.cumsum([len(s) for s in seqs])]
-            ends.append(total + of_doc)
-            total += int(upto[-1])
-        values = np.concatenate(flat) if flat else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(values.astype(np.int32)))
-
-    return df.withColumn(into, _encode(F.col(text)))
+        return lambda texts: _encoded(texts.to_pylist(), known, touching.value)
+
+    return _with_column(df, text, into, T.ArrayType(T.IntegerType()), begin)
 
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add column ``into``: the text of the ids."""
     table = df.sparkSession.sparkContext.broadcast(pieces.bytes_of())
 
-    @F.arrow_udf(T.StringType())
-    def _decode(col: pa.Array) -> pa.Array:
+    def begin():
         of = table.value
-        out = []
-        for x in col:
+
+        def one(x) -> str:
             raw = b"".join(of[i] for i in (x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) if 0 <= i < len(of))
-            out.append(raw[raw[:1] == b" " :].decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+            return raw[raw[:1] == b" " :].decode("utf-8", "replace")
+
+        return lambda col: pa.array([one(x) for x in col], pa.string())
 
-    return df.withColumn(into, _decode(F.col(ids)))
+    return _with_column(df, ids, into, T.StringType(), begin)
 
 
 def load_pieces(spark: SparkSession, path: str | None = None) -> Pieces:
