@@ -15,6 +15,7 @@ from catalogspark.functions.text import short_id, ttrim
 from catalogspark.sources.shared import written
 
 MAX_EXAMPLES = 10
+INTEGER, NUMBER, DATE_LIKE = r"(?U)^-?\d+$", r"(?U)^-?\d+([.,]\d+)?$", r"(?U)^\d{4}([-./]\d{1,2}){2}$|^\d{8}$"
 
 
 def observe_type(examples: Column) -> Column:
@@ -24,14 +25,30 @@ def observe_type(examples: Column) -> Column:
     return (
         F.when(examples.isNull() | (F.size(examples) == 0), F.lit(None).cast("string"))
         .when(F.size(v) == 0, "EMPTY")
-        .when(every(r"(?U)^-?\d+$"), "INTEGER")
-        .when(every(r"(?U)^-?\d+([.,]\d+)?$"), "NUMBER")
-        .when(every(r"(?U)^\d{4}([-./]\d{1,2}){2}$|^\d{8}$"), "DATE_LIKE")
+        .when(every(INTEGER), "INTEGER")
+        .when(every(NUMBER), "NUMBER")
+        .when(every(DATE_LIKE), "DATE_LIKE")
         .when(F.forall(v, lambda x: F.lower(x).isin(*V.BOOL_WORDS)), "BOOL_LIKE")
         .otherwise("STRING")
     )
 
 
+def observe_types(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, observed_type over all rows of a group: the same tests as observe_type, as aggregates that gather no values."""
+    v = F.nullif(ttrim(F.col(value)), F.lit(""))
+    every = lambda c: F.bool_and(F.coalesce(c, F.lit(True)))
+    kind = (
+        F.when(F.count(value) == 0, F.lit(None).cast("string"))
+        .when(F.count(v) == 0, "EMPTY")
+        .when(every(v.rlike(INTEGER)), "INTEGER")
+        .when(every(v.rlike(NUMBER)), "NUMBER")
+        .when(every(v.rlike(DATE_LIKE)), "DATE_LIKE")
+        .when(every(F.lower(v).isin(*V.BOOL_WORDS)), "BOOL_LIKE")
+        .otherwise("STRING")
+    )
+    return df.groupBy(*by).agg(kind.alias("observed_type"))
+
+
 def screen(name: Column, examples: Column, patterns: dict[str, str] = V.VALUE_PATTERNS) -> Column:
     """struct<status, reason>: names, then values one by one, then words to review, then free text."""
     n = F.lower(ttrim(F.coalesce(name, F.lit(""))))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from catalogspark.functions.text import short_id
 from catalogspark.operators import observe, plan, search
+from catalogspark.plans.queries_search import _FOUR, _bm25_sql
 from catalogspark.sources.export import stamped, uri, with_nulls
 from catalogspark.sources.shared import table
 from catalogspark.streaming import usage
@@ -35,9 +36,7 @@ def type_observation(spark, d):
     cust = table(spark, d, "customer").select(F.lit("customer").alias("t"), F.col("c_custkey").alias("k"), F.round("c_acctbal").cast("bigint").cast("string").alias("a"), F.col("c_name").alias("b"))
     ev = table(spark, d, "events").select(F.lit("event").alias("t"), F.col("event_id").alias("k"), F.date_format("ts", "yyyy-MM-dd").alias("a"), F.col("event_type").alias("b"))
     rows = part.unionByName(cust).unionByName(ev).select("t", (F.col("k") % 50).alias("grp"), F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).alias("v")) for c in "ab"])))
-    # distinct samples decide, so what is gathered is the column's values once each
-    g = rows.groupBy("t", "grp", "c").agg(F.collect_set("v").alias("x"))
-    return g.select(F.col("t").alias("table_name"), "grp", F.col("c").alias("column_name"), observe.observe_type(F.col("x")).alias("observed_type"))
+    return observe.observe_types(rows, ["t", "grp", "c"], "v").withColumnsRenamed({"t": "table_name", "c": "column_name"})
 
 
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", "ip": r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "token": 'token = "'}
@@ -101,7 +100,10 @@ def structure_document(spark, d):
     return observe.documents(_ingested(spark, d))
 
 
-@query()
+@query("""
+SELECT 'k' || conv_id % 40 AS list_key, sha256(sha256('k' || conv_id % 40 || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, role AS name, 'STRING' AS observed_type, 'CLEAR' AS safety_status,
+       CASE WHEN conv_id % 2 = 0 THEN 'AVAILABLE' ELSE 'WITHHELD_BY_LICENSE' END AS example_status, CASE WHEN conv_id % 2 = 0 THEN role || ',5' END AS examples
+FROM conversations WHERE conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) = 0)""")
 def structure_columns(spark, d):
     return _ingested(spark, d)["columns"].select("list_key", "table_id", "ordinal", "name", "observed_type", "safety_status", "example_status", F.array_join("examples", ",").alias("examples"))
 
@@ -120,6 +122,8 @@ def column_examples(spark, d):
     return observe.bottom_k(table(spark, d, "part"), ["p_name", "p_type"], 10, "part").select("column", "rank", "value")
 
 
+_CAND = f"WITH r AS ({_bm25_sql(_FOUR, 8)}), c AS (SELECT query_id, doc, rank, lang, source, n_chars, substring(text, 1, 60) AS title FROM r JOIN documents ON doc = doc_id)"
+
 ROLES = {"DEMAND": "(?i)der|und", "SUPPLY": "(?i)the|of", "REFERENCE": "(?i)que"}
 
 
@@ -131,14 +135,22 @@ def _candidates(spark, d):
     return q, rows.withColumn("roles", plan.assign_roles(F.col("title"), F.col("columns"), F.col("rank"), ROLES, {"SPATIAL": "src1", "TEMPORAL": "^de|^fr"}))
 
 
-@query()
+@query(_CAND + """,
+g AS (SELECT b.item_id AS plan_id, count(*) FILTER (rank <= 2) AS p, count(*) FILTER (contains(source, 'src1')) AS s, count(*) FILTER (lang IN ('de', 'fr')) AS t, count(*) FILTER (n_chars > 1000) AS sl, count(doc) AS tl,
+             count(*) FILTER (contains(lower(title), 'que')) AS rf FROM benchmark b LEFT JOIN c ON c.query_id = b.item_id GROUP BY 1)
+SELECT plan_id, 'PRIMARY' AS role, CASE WHEN p > 0 THEN 'SATISFIED' ELSE 'UNSATISFIED' END AS status, p AS n_matched FROM g
+UNION ALL SELECT plan_id, 'SPATIAL', CASE WHEN s > 0 THEN 'SATISFIED' WHEN sl > 0 THEN 'PARTIAL' ELSE 'UNSATISFIED' END, CASE WHEN s > 0 THEN s ELSE sl END FROM g
+UNION ALL SELECT plan_id, 'TEMPORAL', CASE WHEN t > 0 THEN 'SATISFIED' WHEN tl > 0 THEN 'PARTIAL' ELSE 'UNSATISFIED' END, CASE WHEN t > 0 THEN t ELSE tl END FROM g
+UNION ALL SELECT plan_id, 'REFERENCE', 'SATISFIED', rf FROM g WHERE rf > 0""")
 def plan_batch(spark, d):
     q, rows = _candidates(spark, d)
     need = plan.needs(rows, q.select(F.col("query_id").alias("plan_id"), F.col("text").alias("purpose")))
     return need.select("plan_id", "role", "status", F.size("matched").cast("bigint").alias("n_matched"))
 
 
-@query()
+@query(_CAND + """
+SELECT query_id AS plan_id, 'language' AS key, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) AS observed_in, 'CANDIDATE_ONLY' AS status FROM c WHERE lang IN ('en', 'fr') GROUP BY 1 HAVING count(*) > 1
+UNION ALL SELECT query_id, 'both', string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc), 'CANDIDATE_ONLY' FROM c WHERE lang = 'de' AND source LIKE 'src1%' GROUP BY 1 HAVING count(*) > 1""")
 def plan_join_keys(spark, d):
     _, rows = _candidates(spark, d)
     return plan.join_keys(rows, {"language": ["^(en|fr)$"], "both": ["^de$", "^src1"]}).select("plan_id", "key", F.array_join("observed_in", ",").alias("observed_in"), "status")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.operators import search, service, stats
+from catalogspark.plans.queries_search import _FOUR, _bm25_sql
 from catalogspark.sources.shared import table
 
 QUERIES, ORACLES = {}, {}
@@ -39,7 +40,7 @@ def safety_review(spark, d):
     return service.safety_review_sample(cols)
 
 
-@query()
+@query(f"WITH r AS ({_bm25_sql(_FOUR, 20)}) SELECT query_id, rank, doc, coalesce(quality = 1, false) AS auto FROM r LEFT JOIN labels ON doc = doc_id")
 def golden_export(spark, d):
     q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
     ranked = search.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 20)
