@@ -103,7 +103,7 @@ def structure_document(spark, d):
 @query("""
 SELECT 'k' || conv_id % 40 AS list_key, sha256(sha256('k' || conv_id % 40 || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, role AS name, 'STRING' AS observed_type, 'CLEAR' AS safety_status,
        CASE WHEN conv_id % 2 = 0 THEN 'AVAILABLE' ELSE 'WITHHELD_BY_LICENSE' END AS example_status, CASE WHEN conv_id % 2 = 0 THEN role || ',5' END AS examples
-FROM conversations WHERE conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) = 0)""")
+FROM conversations WHERE NOT (turn = 1 AND conv_id % 5 = 0) AND (conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) <= 1))""")
 def structure_columns(spark, d):
     return _ingested(spark, d)["columns"].select("list_key", "table_id", "ordinal", "name", "observed_type", "safety_status", "example_status", F.array_join("examples", ",").alias("examples"))
 
