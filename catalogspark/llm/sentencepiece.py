@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import heapq
 import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -238,37 +239,58 @@ class Dictionary:
         for p, a, b in by_range(h[order], self.parts):
             raw = self.files(f"ids-{p}")
             n = int(raw[:8].view(np.int64)[0])
-            keys, to = raw[8 : 8 + 8 * n].view(np.uint64), raw[8 + 8 * n : 16 + 16 * n].view(np.int64)
-            ids = raw[16 + 16 * n :].view(np.int32)
+            keys, to = np.asarray(raw[8 : 8 + 8 * n].view(np.uint64)), np.asarray(raw[8 + 8 * n : 16 + 16 * n].view(np.int64))
+            ids = np.asarray(raw[16 + 16 * n :].view(np.int32))
             at = np.searchsorted(keys, h[order[a:b]])
-            for i, s, e in zip(order[a:b], to[at], to[at + 1], strict=True):
+            for i, s, e in zip(order[a:b].tolist(), to[at].tolist(), to[at + 1].tolist(), strict=True):
                 out[i] = ids[s:e]
         return out
 
 
-def _encoded(texts: list[str | None], known: Dictionary, touching: frozenset) -> pa.Array:
-    docs = [_words(t) for t in texts]
-    number: dict[str, int] = {}
-    seqs = [np.fromiter((number.setdefault(w, len(number)) for w in d), np.int64, len(d)) for d in docs]
-    if not number:
-        return pa.array([[] for _ in docs], pa.list_(pa.int32()))
-    cut = [_segments(w, touching) for w in number]
-    segs = {s: i for i, s in enumerate(dict.fromkeys(s for c in cut for s in c))}
-    ids = known.ids(list(segs))
-    of_word = [np.concatenate([ids[segs[s]] for s in c]) if len(c) > 1 else ids[segs[c[0]]] for c in cut]
-    size = np.fromiter(map(len, of_word), np.int64, len(of_word))
-    words = np.concatenate(of_word)
-    start = np.concatenate([[0], np.cumsum(size)])[:-1]
-    seq = np.concatenate(seqs)
-    n = size[seq]
-    upto = np.cumsum(n)
-    flat = words[np.repeat(start[seq] - (upto - n), n) + np.arange(upto[-1])].astype(np.int32)
-    ends = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum([len(s) for s in seqs])])]
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+class _Encoder:
+    """Ids of slices of texts. Words seen lately keep their ids, up to ``KEPT`` of them."""
+
+    KEPT = 200_000
+
+    def __init__(self, known: Dictionary, touching: frozenset):
+        self.known, self.touching, self.of = known, touching, {}
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.of) > self.KEPT:
+            self.of = {}
+        new = [w for w in words if w not in self.of]
+        cut = [_segments(w, self.touching) for w in new]
+        segs = {s: i for i, s in enumerate(dict.fromkeys(s for c in cut for s in c))}
+        ids = self.known.ids(list(segs)) if segs else []
+        for w, c in zip(new, cut, strict=True):
+            self.of[w] = ids[segs[c[0]]] if len(c) == 1 else np.concatenate([ids[segs[s]] for s in c])
+
+    def __call__(self, texts: pa.Array) -> pa.Array:
+        number: dict[str, int] = defaultdict()
+        number.default_factory = number.__len__
+        seqs = []
+        for t in texts:
+            d = _words(t.as_py())
+            seqs.append(np.fromiter(map(number.__getitem__, d), np.int32, len(d)))
+        if not number:
+            return pa.array([[] for _ in seqs], pa.list_(pa.int32()))
+        self._learn(list(number))
+        of_word = [self.of[w] for w in number]
+        size = np.fromiter(map(len, of_word), np.int32, len(of_word))
+        words = np.concatenate(of_word).astype(np.int32)
+        start = np.concatenate([[0], np.cumsum(size)])[:-1]
+        flat, ends = [], [0]
+        for seq in seqs:
+            n = size[seq]
+            upto = np.cumsum(n)
+            total = int(upto[-1]) if len(upto) else 0
+            flat.append(words[np.repeat(start[seq] - (upto - n), n) + np.arange(total)])
+            ends.append(ends[-1] + total)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
 
 
 #: Documents that a worker works on at a time; what it gives back comes in as small batches.
-SLICE = 250
+SLICE = 500
 
 
 def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, begin) -> DataFrame:
@@ -293,8 +315,7 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", into: str = "ids")
     touching = df.sparkSession.sparkContext.broadcast(pieces.touching())
 
     def begin():
-        known = Dictionary(base, parts)
-        return lambda texts: _encoded(texts.to_pylist(), known, touching.value)
+        return _Encoder(Dictionary(base, parts), touching.value)
 
     return _with_column(df, text, into, T.ArrayType(T.IntegerType()), begin)
 
@@ -304,10 +325,13 @@ def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "decoded
     table = df.sparkSession.sparkContext.broadcast(pieces.bytes_of())
 
     def begin():
-        of = table.value
+        of = [*table.value, b""]
 
         def one(x) -> str:
-            raw = b"".join(of[i] for i in (x.values.to_numpy(zero_copy_only=False).tolist() if x.is_valid else ()) if 0 <= i < len(of))
+            if not x.is_valid or not len(x):
+                return ""
+            i = x.values.to_numpy(zero_copy_only=False)
+            raw = b"".join(map(of.__getitem__, np.where((i >= 0) & (i < len(of)), i, len(of) - 1).tolist()))
             return raw[raw[:1] == b" " :].decode("utf-8", "replace")
 
         return lambda col: pa.array([one(x) for x in col], pa.string())
