@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from catalogspark.operators import quality
 from catalogspark.operators.diff import carried_forward, snapshot_diff
 from catalogspark.operators.families import detect_families
+from catalogspark.operators.service import build_report
 from catalogspark.operators.normalize import catalog_completeness, catalog_issues, duplicate_issues, identify, normalize
 from catalogspark.sources import catalog as src
 from catalogspark.sources import export
@@ -33,8 +34,14 @@ def shapes():
     ]
 
 
-def build(spark: SparkSession, csv: str, snapshot: str, out: str, previous: str | None = None, structures: DataFrame | None = None, reviews: DataFrame | None = None, withdrawn: DataFrame | None = None, min_rows: int = 1) -> dict[str, DataFrame]:
-    """Build and publish a snapshot under ``out``; nothing of it is visible unless every check passes."""
+def build(spark: SparkSession, csv: str, snapshot: str, out: str, previous: str | None = None, structures: DataFrame | None = None, reviews: DataFrame | None = None, withdrawn: DataFrame | None = None, min_rows: int = 1, stored_manifest: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Build and publish a snapshot under ``out``; nothing of it is visible unless every check passes.
+
+    With the stored manifest of an earlier run, a raw file of another hash stops the build.
+    """
+    raw_files = src.manifest(spark, csv)
+    if stored_manifest is not None and not src.changed_files(raw_files, stored_manifest).isEmpty():
+        raise src.SourceError("the raw file differs from the stored manifest")
     encoding = src.detect_encodings(spark, csv).head()["encoding"]
     if encoding is None:
         raise src.SourceError("neither UTF-8 nor CP949")
@@ -72,5 +79,11 @@ def build(spark: SparkSession, csv: str, snapshot: str, out: str, previous: str
     export.write_bulk(listings, "record_id", export.dataset_document(listings, BASE), bulk["datasets"])
     export.write_bulk(listings, "record_id", export.record_document(listings, BASE, snapshot), bulk["records"])
     export.write_bulk(keyed, "record_id", export.issue_document(BASE), bulk["issues"])
+    tables["raw_files"] = raw_files
     tables["manifest"] = export.bulk_manifest(spark, bulk)
+    parts = {"raw_files": raw_files, "checks": checks, "indices": indices, "exports": tables["manifest"]}
+    if changes is not None:
+        parts["changes"] = changes.groupBy("status").agg(F.count("*").alias("n"))
+    tables["report"] = build_report(parts)
+    tables["report"].write.mode("overwrite").json(f"{out}/report/{snapshot}")
     return tables

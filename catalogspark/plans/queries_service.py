@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogspark.operators import search, service, stats
+from catalogspark.operators import search, service, stats, views
 from catalogspark.plans.queries_search import _FOUR, _bm25_sql
 from catalogspark.sources.shared import table
 
@@ -58,3 +58,29 @@ def catalog_stats(spark, d):
         part = stats.by_axis(table(spark, d, name), F.col(col)).select(F.lit(axis).alias("axis"), "value", "n")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("""
+WITH l AS (SELECT o_orderkey AS record_id, o_custkey AS list_key FROM orders), a AS (SELECT DISTINCT CAST(c_custkey * 2 AS VARCHAR) AS id FROM customer),
+f AS (SELECT id, id IN (SELECT CAST(record_id AS VARCHAR) FROM l) AS found FROM a)
+SELECT id, found, CASE WHEN NOT found THEN (SELECT string_agg(CAST(record_id AS VARCHAR), ',' ORDER BY CAST(record_id AS VARCHAR)) FROM l WHERE CAST(list_key AS VARCHAR) = id) END AS alternatives FROM f""")
+def record_lookup(spark, d):
+    listings = table(spark, d, "orders").select(F.col("o_orderkey").alias("record_id"), F.col("o_custkey").alias("list_key"))
+    out = views.lookup(table(spark, d, "customer").select((F.col("c_custkey") * 2).alias("id")), listings)
+    return out.select("id", "found", F.array_join("alternatives", ",").alias("alternatives"))
+
+
+@query("""
+WITH r AS (SELECT p_partkey, p_brand AS profile, CAST(p_size % 7 AS BIGINT) AS filled FROM part), g AS (SELECT profile, filled, count(*) AS n FROM r GROUP BY ALL),
+w AS (SELECT profile, filled, CAST(sum(n) OVER (PARTITION BY profile) AS BIGINT) AS rows, CAST(coalesce(sum(n) OVER (PARTITION BY profile ORDER BY filled DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS higher,
+             filled = first_value(filled) OVER (PARTITION BY profile ORDER BY n DESC, filled) AS typical FROM g)
+SELECT p_partkey, rows, higher, typical FROM r JOIN w USING (profile, filled)""")
+def top_percent(spark, d):
+    rated = table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("profile"), (F.col("p_size") % 7).cast("bigint").alias("filled"), F.lit(7).cast("bigint").alias("total"))
+    return views.with_top_percent(rated).select("p_partkey", "rows", "higher", "typical")
+
+
+@query("SELECT doc_id, coalesce(l.ok, false) AS structure_available FROM documents LEFT JOIN (SELECT DISTINCT doc_id, true AS ok FROM labels WHERE quality = 1) l USING (doc_id)")
+def structure_flag(spark, d):
+    cov = table(spark, d, "labels").select("doc_id", F.when(F.col("quality") == 1, "PARTIAL").otherwise("COLLECTION_FAILED").alias("coverage"))
+    return views.with_structure_flag(table(spark, d, "documents").select("doc_id"), cov, "doc_id").select("doc_id", "structure_available")
