@@ -33,12 +33,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.packed import pack, unpack
+from catalogspark.llm.packed import lean, pack, release, unpack
 from catalogspark.operators.graph import connected_components
 from catalogspark.sources.shared import written
 
 #: n-grams of a block; the bound of what a task holds at a time.
-BLOCK = 3_000_000
+BLOCK = 1_500_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -178,6 +178,7 @@ def _sets_of_block(threshold: int):
             cuts = np.searchsorted(slot, np.arange(len(keys) + 1))
             for i in np.flatnonzero(able & (lens > 0)):
                 kept[i] = grams[cuts[i] : cuts[i + 1]].tobytes()
+        release()
         first = np.zeros(len(ids), bool)
         first[np.unique(of_doc, return_index=True)[1]] = True
         return pa.table(
@@ -196,7 +197,7 @@ def shared_sets(docs: DataFrame, size: int = 5, threshold: int = 80, parts: int
     """doc_id, key, n, grams: the class digest, the size of the set and, once a block and class that can link at all, its shared n-grams from rarest to most frequent (eight bytes each)."""
     spark = docs.sparkSession
     parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(_packed_blocks(size, parts), _ROUTED)
+    blocks = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(_packed_blocks(size, parts)), _ROUTED)
     back = blocks.groupBy("part").applyInArrow(_counted, _ROUTED)
     return back.groupBy("block").applyInArrow(_sets_of_block(threshold), _SETS)
 
@@ -275,7 +276,7 @@ def _near_enough(threshold: int):
 def _links(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     side = lambda c: sets.select(F.col("key").alias(c), F.col("n").alias(f"n{c}"), F.col("grams").alias(f"g{c}"))
     both = pairs.join(side("x"), "x").join(side("y"), "y").select("x", "y", "xc", "yc", "nx", "ny", "gx", "gy")
-    return both.mapInArrow(_verified(threshold), "x binary, y binary, xc binary, yc binary")
+    return both.mapInArrow(lean(_verified(threshold)), "x binary, y binary, xc binary, yc binary")
 
 
 def _placed(rows: DataFrame, parts: DataFrame | None) -> DataFrame:
@@ -306,7 +307,7 @@ def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: in
     ones in all lists of a group. What is still apart after that is tried pair by pair, so no link is lost; this last
     round comes at once where the lists have hardly more pairs than members.
     """
-    rows = written(sets.select("key", "n", "grams").mapInArrow(_prefixes(threshold), "gram bigint, key binary, n bigint, pos bigint"), "prefixes")
+    rows = written(sets.select("key", "n", "grams").mapInArrow(lean(_prefixes(threshold)), "gram bigint, key binary, n bigint, pos bigint"), "prefixes")
     links = parts = tried = None
     for turn in range(stars + 1):
         rows = _placed(rows, parts)
@@ -319,7 +320,7 @@ def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: in
         last = turn == stars or (turn and work["pairs"] <= 4 * work["rows"] + 100_000)
         side = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c")]
         if last:
-            maps = sets.select("key", "grams").mapInArrow(_parity, "key binary, s bigint, " + ", ".join(f"{p} bigint" for p in _MAPS))
+            maps = sets.select("key", "grams").mapInArrow(lean(_parity), "key binary, s bigint, " + ", ".join(f"{p} bigint" for p in _MAPS))
             full = written(rows.select("gram", "key", "n", "pos", "c").join(maps, "key"), "mapped")
             with_map = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c", "s", *_MAPS)]
             met = full.select("gram", *with_map("x")).join(full.select("gram", *with_map("y")), "gram").where("xc < yc").where(_near_enough(threshold))

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from catalogspark.llm.packed import release
+
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the anchors add: user info in an address, bank accounts, numbers behind a cue, street lines.
 KINDS = (*BASE, "userinfo", "iban", "account", "street")
@@ -155,6 +157,7 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
 def _spans(texts: pa.Array) -> pa.Array:
     automaton = anchors()
     out = [[{"kind": k, "start": a, "end": b} for k, a, b in find_spans(t.as_py() or "", automaton)] for t in texts]
+    release()
     return pa.array(out, to_arrow_type(SPANS))
 
 

@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.packed import Mapped, by_range, make_folder, store
+from catalogspark.llm.packed import Mapped, by_range, lean, make_folder, store
 from catalogspark.sources.shared import new_path, written
 
 SPACE = "▁"
 LONG = 48
+#: Documents that a worker works on at a time; what it gives back comes in as small batches.
+SLICE = 500
 _WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -89,12 +91,12 @@ def distinct_segments(docs: DataFrame, pieces: Pieces, text: str = "text") -> Da
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                words = {w for t in batch.column(0).slice(at, 1000).to_pylist() for w in _words(t)}
+            for at in range(0, batch.num_rows, SLICE):
+                words = {w for t in batch.column(0).slice(at, SLICE).to_pylist() for w in _words(t)}
                 segs = list({s for w in words for s in _segments(w, touching.value)})
                 yield pa.RecordBatch.from_arrays([pa.array(segs, pa.string())], names=["seg"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(run, "seg string").distinct()
+    return docs.select(F.col(text).cast("string")).mapInArrow(lean(run), "seg string").distinct()
 
 
 # ---- the lattice
@@ -223,7 +225,7 @@ def store_dictionary(encoded: DataFrame, parts: int | None = None) -> tuple[str,
         store(f"{base}/ids-{table.column('part')[0].as_py()}", np.array([len(h)], np.int64), h[order], to.astype(np.int64), picked.astype(np.int32))
         return pa.table({"n": pa.array([len(h)], pa.int64())})
 
-    rows = encoded.select("seg", "ids").mapInArrow(ranged, "part int, h bigint, ids array<int>")
+    rows = encoded.select("seg", "ids").mapInArrow(lean(ranged), "part int, h bigint, ids array<int>")
     rows.groupBy("part").applyInArrow(stored, "n bigint").agg(F.sum("n")).collect()
     return base, parts
 
@@ -250,7 +252,7 @@ class Dictionary:
 class _Encoder:
     """Ids of slices of texts. Words seen lately keep their ids, up to ``KEPT`` of them."""
 
-    KEPT = 200_000
+    KEPT = 60_000
 
     def __init__(self, known: Dictionary, touching: frozenset):
         self.known, self.touching, self.of = known, touching, {}
@@ -289,10 +291,6 @@ class _Encoder:
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
 
 
-#: Documents that a worker works on at a time; what it gives back comes in as small batches.
-SLICE = 500
-
-
 def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, begin) -> DataFrame:
     """df with column ``into``: begin() in each task gives the function from a slice of ``source`` to the new column's values."""
     df = df.drop(into)
@@ -305,7 +303,7 @@ def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, begin)
                 part = batch.slice(at, SLICE)
                 yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(names.index(source)))], names=[*names, into])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(into, kind)]))
+    return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(into, kind)]))
 
 
 def encode(df: DataFrame, pieces: Pieces, text: str = "text", into: str = "ids") -> DataFrame:
