@@ -38,6 +38,22 @@ def test_high_cosines_prune_by_coordinates(spark):
     assert got == brute(rows, rows[:10], 5)
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_repeated_rows_take_a_rank_each(spark, monkeypatch, block):
+    """Copies of candidates and queries, and ids with several vectors: one place for each pair of rows, as in the oracle SQL."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    rows = [(7, [9.0, 1.0])] * 3 + [(8, [8.0, 1.0])] * 6 + [(8, [1.0, 8.0])] + [(i, [float(i), 2.0]) for i in range(1, 6)]
+    rows += [(20, [1.0, 0.0]), (21, [0.0, 1.0]), (21, [0.0, 1.0]), (22, [1.0, 1.0]), (22, [-1.0, 3.0])]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    for k in (5, 12):
+        got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_products(df.where("id >= 20"), df, k).collect())
+        want = []
+        for q in (20, 21, 22):
+            scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), c) for i, v in rows if i == q for c, w in rows if c != q)
+            want += [(q, at + 1, c, -s) for at, (s, c) in enumerate(scores[:k])]
+        assert got == want
+
+
 def test_edges(spark):
     rows = [(1, [1.0, None]), (2, None), (3, [float("nan")]), (4, [float("inf"), 1.0]), (None, [1.0]), (5, []), (6, [2.0]), (7, [3.0])]
     df = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as v"), "vec_id", "embedding")
