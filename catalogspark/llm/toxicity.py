@@ -1,12 +1,13 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is its set of terms (ASCII lower case, punctuation cut off), hashed to ``2 ** BITS`` buckets. Counts of
-buckets by label over the training sample give each a z-score; the strongest buckets become features, and a
-factorization machine learns a weight for each and a vector whose products weigh pairs. Interactions such as
-an insult with a group mention thus get a weight of their own.
+A document is its set of terms (ASCII lower case, punctuation cut off), hashed to ``2 ** BITS`` buckets. Every bucket
+of the training sample is a feature, and a factorization machine learns a weight for each and a vector whose products
+weigh pairs. Interactions such as an insult with a group mention thus get a weight of their own, also where one of
+them is neutral alone. No term is left out for its count or z-score: these set how fast it learns, so that the many
+rare and unmarked terms don't drown the others.
 
 The sample is bounded by ``max_train_rows`` (hash order of doc_id, so any run takes the same rows); what is
-collected to the driver are the bounded features of that bounded sample. Scoring is one pass over all texts.
+collected to the driver are the buckets of that bounded sample. Scoring is one pass over all texts.
 
 Defined results: null and empty texts have no terms and score as the bias does; labels that are null or lack a document are not
 learnt from; with no label of one class every score is the (smoothed) share of label 1; other columns stay;
@@ -61,15 +62,16 @@ class Machine:
         out = np.full(len(rows), self.bias)
         for i, r in enumerate(rows):
             if len(r):
-                v = self.vectors[r]
-                out[i] += self.weights[r].sum() + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
+                v = self.vectors[r].astype(float)
+                out[i] += self.weights[r].sum(dtype=float) + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
         return out
 
 
-def _fit(rows: list[np.ndarray], labels: np.ndarray, n: int, rank: int, epochs: int, seed: int, decay: float) -> tuple:
-    """Logistic loss, AdaGrad, one document at a time in a seeded order."""
+def _fit(rows: list[np.ndarray], labels: np.ndarray, pace: np.ndarray, rank: int, epochs: int, seed: int, decay: float) -> tuple:
+    """Logistic loss, AdaGrad, one document at a time in a seeded order; pace: each feature's share of the learning rate."""
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(n), rng.normal(0, 0.05, (n, rank))
+    n = len(pace)
+    w, v = np.zeros(n), rng.normal(0, 0.05, (n, rank)) * pace[:, None]
     gw, gv = np.full(n, 1e-3), np.full((n, rank), 1e-3)
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias, gb = float(np.log(share / (1 - share))), 1e-3
@@ -87,44 +89,60 @@ def _fit(rows: list[np.ndarray], labels: np.ndarray, n: int, rank: int, epochs:
                 dw, dv = g + decay * w[r], g * (total - vr) + decay * vr
                 gw[r] += dw * dw
                 gv[r] += dv * dv
-                w[r] -= rate * dw / gw[r] ** 0.5
-                v[r] -= rate * dv / gv[r] ** 0.5
+                w[r] -= rate * pace[r] * dw / gw[r] ** 0.5
+                v[r] -= rate * pace[r, None] * dv / gv[r] ** 0.5
     return bias, w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, max_features: int = 4096, rank: int = 8, epochs: int = 6, seed: int = 7, decay: float = 1e-3, min_z: float = 6.0, max_share: float = 0.1) -> Machine:
-    """docs(doc_id, text), labels(doc_id, toxic): the rows to learn from."""
+def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, max_features: int = 1 << BITS, rank: int = 8, epochs: int = 6, seed: int = 7, decay: float = 1e-3, min_z: float = 6.0, max_share: float = 1.0) -> Machine:
+    """docs(doc_id, text), labels(doc_id, toxic): the rows to learn from.
+
+    A term learns at the full rate from ``|z| = min_z`` or where every row has it. max_features and max_share leave terms
+    out, which the defaults don't.
+    """
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     # the sample is bounded by max_train_rows, so it may be broadcast
     seen = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("toxic").alias("toxic"))
-    rows = written(seen.select("doc_id", _buckets("text").alias("b"), "toxic"), "toxicity")
-    total = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("pos")).head()
-    n, pos = total["n"], total["pos"] or 0
+    rows = written(seen.select("doc_id", _buckets("text").alias("b"), "toxic"), "toxicity").toArrow()
+    order = np.argsort(rows["doc_id"].to_numpy(), kind="stable")
+    labelled = rows["toxic"].to_numpy().astype(float)
+    n, pos = len(labelled), labelled.sum()
     if not pos or pos == n:
         share = (pos + 1) / (n + 2)
         return Machine(np.zeros(0, np.int64), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, rank)))
     share = pos / n
-    by_bucket = rows.select(F.explode("b").alias("b"), "toxic").groupBy("b").agg(F.count("*").alias("n"), F.sum("toxic").alias("pos"))
-    z = (F.col("pos") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share) + 0.5)
-    usual = F.greatest(F.lit(5.0), F.lit(max_share * n))  # in more of the sample a term says little but length
-    best = by_bucket.where(F.col("n") >= 5).where(F.col("n") <= usual).select("b", z.alias("z")).where(F.abs("z") > min_z).orderBy(F.abs("z").desc(), "b").limit(max_features)
-    features = np.array(sorted(r["b"] for r in best.collect()), np.int64)
-    keep = F.array(*[F.lit(int(b)) for b in features]) if len(features) else F.array().cast("array<int>")
-    small = rows.select("doc_id", F.array_intersect("b", keep).alias("b"), "toxic").orderBy("doc_id").collect()
-    at = [np.searchsorted(features, np.array(sorted(r["b"]), np.int64)) for r in small]
-    return Machine(features, *_fit(at, np.array([r["toxic"] for r in small], float), len(features), rank, epochs, seed, decay))
+    of_row = [b for chunk in rows["b"].chunks for b in np.split(chunk.flatten().to_numpy(), np.cumsum(chunk.value_lengths().to_numpy())[:-1]) if len(chunk)]
+    count, marked = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for b, toxic in zip(of_row, labelled, strict=True):  # a row's buckets are distinct
+        count[b] += 1
+        marked[b] += int(toxic)
+    z = np.abs(marked - count * share) / np.sqrt(count * share * (1 - share) + 0.5)
+    features = np.flatnonzero((count > 0) & (count <= max_share * n))
+    if len(features) > max_features:
+        features = np.sort(features[np.lexsort((features, -z[features]))][:max_features])
+    where = positions(features)
+    pace = np.minimum(1.0, np.maximum((z[features] / min_z) ** 4, count[features] / n))
+    at = [(p := where[of_row[i]])[p >= 0] for i in order]
+    bias, w, v = _fit(at, labelled[order], pace, rank, epochs, seed, decay)
+    return Machine(features, bias, w.astype(np.float32), v.astype(np.float32))
+
+
+def positions(features: np.ndarray) -> np.ndarray:
+    """Of each bucket, its position in features, or -1."""
+    where = np.full(1 << BITS, -1, np.int32)
+    where[features] = np.arange(len(features), dtype=np.int32)
+    return where
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
     """Add column ``into``: the likelihood of label 1, from the text alone."""
-    model = df.sparkSession.sparkContext.broadcast((machine, {int(b): i for i, b in enumerate(machine.features)}))
+    model = df.sparkSession.sparkContext.broadcast((machine, positions(machine.features)))
 
     @F.arrow_udf(T.DoubleType())
     def _score(texts: pa.Array) -> pa.Array:
         fm, where = model.value
-        mask = (1 << BITS) - 1
-        rows = [np.array(sorted({where[b] for b in (zlib.crc32(w) & mask for w in terms(t.as_py())) if b in where}), np.int64) for t in texts]
+        rows = [(p := where[np.array(buckets(t.as_py()), np.int64)])[p >= 0] for t in texts]
         return pa.array(1 / (1 + np.exp(-np.clip(fm.margins(rows), -30, 30))), pa.float64())
 
     return df.withColumn(into, _score(F.col(text)))

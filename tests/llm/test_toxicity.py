@@ -21,6 +21,34 @@ def test_pairs_beat_single_terms(spark):
     assert max(got["insult"], got["group"], got[""]) < 0.5 and got[None] == got[""]
 
 
+def _learnt(spark, label, shares, n):
+    """Scores of a machine with the production defaults, by text; label(words) of rows that hold each word of shares by chance."""
+    rng = random.Random(3)
+    rows, labels = [], []
+    for i in range(n):
+        has = {w for w, s in shares.items() if rng.random() < s}
+        rows.append((i, " ".join([f"w{rng.randrange(400)}" for _ in range(8)] + sorted(has))))
+        labels.append((i, int(label(has))))
+    m = train(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    return lambda *texts: [r.score for r in score(spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1), m).collect()]
+
+
+def test_pairs_and_frequent_terms_with_production_defaults(spark):
+    got = _learnt(spark, lambda w: {"insult", "group"} <= w, {"insult": 0.25, "group": 0.25}, 1500)
+    both, *single = got("insult group", "insult", "group", "")
+    assert both > 0.5 and max(single) < 0.5
+    # a word of a third of the rows, and of every toxic one
+    marked, plain = _learnt(spark, lambda w: "marker" in w, {"marker": 0.33}, 1500)("marker", "")
+    assert marked > 0.5 > plain
+
+
+def test_pair_of_a_word_that_is_neutral_alone(spark):
+    """Half of the rows hold the group word, and toxic ones are as frequent with it as without."""
+    got = _learnt(spark, lambda w: "insult" in w if "group" in w else "scum" in w, {"insult": 0.3, "group": 0.5, "scum": 0.3}, 3000)
+    a, b, *none = got("insult group", "scum", "insult", "scum group", "group", "")
+    assert min(a, b) > 0.5 and max(none) < 0.5
+
+
 def test_margin_against_all_pairs():
     rng = np.random.default_rng(0)
     m = Machine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
