@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from catalogspark.functions.text import short_id
 from catalogspark.operators import observe, plan, search
-from catalogspark.plans.queries_search import _FOUR, _bm25_sql
+from catalogspark.plans.queries_search import _FOUR, _bm25_sql, _four, _whole
 from catalogspark.sources.export import stamped, uri, with_nulls
 from catalogspark.sources.shared import table
 from catalogspark.streaming import usage
@@ -127,10 +127,11 @@ _CAND = f"WITH r AS ({_bm25_sql(_FOUR, 8)}), c AS (SELECT query_id, doc, rank, l
 ROLES = {"DEMAND": "(?i)der|und", "SUPPLY": "(?i)the|of", "REFERENCE": "(?i)que"}
 
 
-def _candidates(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
+def _candidates(spark, d, whole=False):
+    """whole: every word of the benchmark text asks, and roles are found in the whole text; else as the SQL cuts both."""
+    q = (_whole if whole else _four)(spark, d)
     top = search.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 8)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.substring("text", 1, 60).alias("title"), "lang", "source", "n_chars")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("title"), "lang", "source", "n_chars")
     rows = top.join(docs, "doc").select(F.col("query_id").alias("plan_id"), F.col("doc").alias("record_id"), "rank", "title", F.array("lang", "source").alias("columns"), (F.col("n_chars") > 1000).alias("spatial_listed"), F.lit(True).alias("temporal_listed"))
     return q, rows.withColumn("roles", plan.assign_roles(F.col("title"), F.col("columns"), F.col("rank"), ROLES, {"SPATIAL": "src1", "TEMPORAL": "^de|^fr"}))
 
@@ -143,7 +144,16 @@ UNION ALL SELECT plan_id, 'SPATIAL', CASE WHEN s > 0 THEN 'SATISFIED' WHEN sl >
 UNION ALL SELECT plan_id, 'TEMPORAL', CASE WHEN t > 0 THEN 'SATISFIED' WHEN tl > 0 THEN 'PARTIAL' ELSE 'UNSATISFIED' END, CASE WHEN t > 0 THEN t ELSE tl END FROM g
 UNION ALL SELECT plan_id, 'REFERENCE', 'SATISFIED', rf FROM g WHERE rf > 0""")
 def plan_batch(spark, d):
-    q, rows = _candidates(spark, d)
+    return _needs(*_candidates(spark, d))
+
+
+@query()
+def plan_batch_whole(spark, d):
+    """plan_batch with whole benchmark texts and whole documents."""
+    return _needs(*_candidates(spark, d, whole=True))
+
+
+def _needs(q, rows):
     need = plan.needs(rows, q.select(F.col("query_id").alias("plan_id"), F.col("text").alias("purpose")))
     return need.select("plan_id", "role", "status", F.size("matched").cast("bigint").alias("n_matched"))
 
@@ -152,7 +162,16 @@ def plan_batch(spark, d):
 SELECT query_id AS plan_id, 'language' AS key, string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc) AS observed_in, 'CANDIDATE_ONLY' AS status FROM c WHERE lang IN ('en', 'fr') GROUP BY 1 HAVING count(*) > 1
 UNION ALL SELECT query_id, 'both', string_agg(CAST(doc AS VARCHAR), ',' ORDER BY doc), 'CANDIDATE_ONLY' FROM c WHERE lang = 'de' AND source LIKE 'src1%' GROUP BY 1 HAVING count(*) > 1""")
 def plan_join_keys(spark, d):
-    _, rows = _candidates(spark, d)
+    return _join_keys(*_candidates(spark, d))
+
+
+@query()
+def plan_join_keys_whole(spark, d):
+    """plan_join_keys with whole benchmark texts."""
+    return _join_keys(*_candidates(spark, d, whole=True))
+
+
+def _join_keys(_, rows):
     return plan.join_keys(rows, {"language": ["^(en|fr)$"], "both": ["^de$", "^src1"]}).select("plan_id", "key", F.array_join("observed_in", ",").alias("observed_in"), "status")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.operators import search, service, stats, views
-from catalogspark.plans.queries_search import _FOUR, _bm25_sql
+from catalogspark.plans.queries_search import _FOUR, _bm25_sql, _four, _whole
 from catalogspark.sources.shared import table
 
 QUERIES, ORACLES = {}, {}
@@ -42,7 +42,16 @@ def safety_review(spark, d):
 
 @query(f"WITH r AS ({_bm25_sql(_FOUR, 20)}) SELECT query_id, rank, doc, coalesce(quality = 1, false) AS auto FROM r LEFT JOIN labels ON doc = doc_id")
 def golden_export(spark, d):
-    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
+    return _golden(spark, d, _four(spark, d))
+
+
+@query()
+def golden_export_whole(spark, d):
+    """golden_export with every word of the benchmark text."""
+    return _golden(spark, d, _whole(spark, d))
+
+
+def _golden(spark, d, q):
     ranked = search.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 20)
     good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc"))
     return service.golden_candidates(ranked, ranked.join(good, "doc"))
