@@ -5,6 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from catalogspark.operators.search import terms_of
+
+GRAM = 8
+
+
+def relevant_by_passage(passages: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """passages(query_id, text) -> query_id, doc: the documents that hold all words of the passage in its order, without gaps.
+
+    Both sides meet by a hash of the passage's first GRAM words (all of a shorter one); the whole passage is then compared.
+    Passages without words are in no document.
+    """
+    p = passages.select("query_id", terms_of(F.col("text")).alias("p")).where(F.size("p") > 0)
+    p = p.withColumn("m", F.least(F.size("p"), F.lit(GRAM))).withColumn("h", F.xxhash64(F.array_join(F.slice("p", 1, F.col("m")), " ")))
+    t = docs.select(F.col(key).alias("doc"), terms_of(F.col(text)).alias("t"))
+    out = None
+    for m in sorted(r["m"] for r in p.select("m").distinct().collect()) or [1]:  # at most GRAM lengths
+        keys = p.where(F.col("m") == m)
+        grams = F.transform(F.sequence(F.lit(1), F.size("t") - (m - 1)), lambda i: F.xxhash64(F.array_join(F.slice("t", i, F.lit(m)), " ")))  # noqa: B023
+        met = t.where(F.size("t") >= m).select("doc", F.explode(F.array_distinct(grams)).alias("h")).join(keys.select("query_id", "h"), "h").select("query_id", "doc")
+        out = met if out is None else out.unionByName(met)
+    line = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    return out.join(p.select("query_id", "p"), "query_id").join(t, "doc").where(F.contains(line("t"), line("p"))).select("query_id", "doc").distinct()
+
 
 def relevant_by_pattern(queries: DataFrame, docs: DataFrame, key: str, title: str, block: int = 1000) -> DataFrame:
     """queries(query_id, pattern), a stated set, met with every title by regular expression, a bounded block of queries at a time."""

@@ -122,6 +122,14 @@ def ranking_eval(spark, d):
     return m.where("relevant > 0").select("query_id", "relevant", "retrieved", "hits", F.round("ndcg", 6).cast("decimal(12,6)").alias("ndcg"))
 
 
+@query()
+def ranking_eval_passages(spark, d):
+    """Metrics of the search for whole benchmark texts; relevant is each document that holds the passage, labelled or not."""
+    relevant = evaluate.relevant_by_passage(_whole(spark, d), table(spark, d, "documents"), "doc_id", "text")
+    m = evaluate.rank_metrics(_ranked(spark, d, _whole), relevant)
+    return m.where("relevant > 0").select("query_id", "relevant", "retrieved", "hits", F.round("ndcg", 6).cast("decimal(12,6)").alias("ndcg"))
+
+
 @query("SELECT q AS query_id, doc_id AS doc FROM documents, (VALUES ('A', '^[A-D]'), ('B', '(?i)[ ,]de [a-z]+ la[ ,.]'), ('C', '[0-9]{3}-[0-9]{4}')) t(q, p) WHERE regexp_matches(text, p)")
 def regex_relevance(spark, d):
     q = spark.createDataFrame([("A", "^[A-D]"), ("B", "(?i)[ ,]de [a-z]+ la[ ,.]"), ("C", "[0-9]{3}-[0-9]{4}")], "query_id string, pattern string")

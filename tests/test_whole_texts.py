@@ -3,6 +3,7 @@ import re
 
 import pytest
 
+from catalogspark.operators.evaluate import relevant_by_passage
 from catalogspark.plans import registry
 
 DOCS = {
@@ -55,3 +56,20 @@ def test_plans_take_whole_texts(spark, tables):
     assert got[12, "PRIMARY"] == 1 and got[12, "REFERENCE"] == 1  # both by words behind the cuts
     keys = {(r.plan_id, r.key): r.observed_in for r in registry.QUERIES["plan_join_keys_whole"](spark, tables).collect()}
     assert sorted(keys[11, "language"].split(",")) == ["5", "7"]
+
+
+def test_relevance_by_whole_passages(spark, tables):
+    got = {r.query_id: (r.relevant, r.retrieved, r.hits, float(r.ndcg)) for r in registry.QUERIES["ranking_eval_passages"](spark, tables).collect()}
+    # documents 2 and 5 hold passage 10; 7 has all its words, but not in sequence
+    rank = {doc: at for q, _, at, doc in brute(10) if q == 10}
+    gain = sum(1 / math.log2(rank[x] + 1) for x in (2, 5)) / (1 + 1 / math.log2(3))
+    assert got == {10: (2, 3, 2, round(gain, 6))}
+
+
+def test_passages_of_all_lengths(spark):
+    text = [f"w{i % 11}" for i in range(40)]
+    docs = {i: " ".join(text[i : i + 14]) for i in range(20)} | {99: None, 98: ""}
+    asked = {m: " ".join(text[5 : 5 + m]) for m in range(1, 13)} | {50: None, 51: "...", 52: "w5 w6 w7 w8 w9 w10 w0 w1 w3"}
+    q = spark.createDataFrame(list(asked.items()), "query_id long, text string")
+    got = sorted(tuple(r) for r in relevant_by_passage(q, spark.createDataFrame(list(docs.items()), "id long, body string"), "id", "body").collect())
+    assert got == sorted((a, i) for a, x in asked.items() for i, y in docs.items() if words(x) and f" {x} " in f" {y} ")
