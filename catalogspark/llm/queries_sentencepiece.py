@@ -1,4 +1,4 @@
-"""Query op9: ids of all documents, decoded again."""
+"""Query op9: ids of all documents by the lattice, decoded again."""
 
 from __future__ import annotations
 

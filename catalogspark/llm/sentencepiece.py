@@ -1,53 +1,61 @@
 """SentencePiece encoding and decoding with a public model.
 
-Texts are cut where no piece can lie across: before a space mark that follows another character, and between two
-characters that no piece holds side by side. Distinct segments are encoded by a relational lattice: substrings of bounded
-length are exploded and equi-joined to the piece table (bounded by the model, so broadcast), the edges are grouped by segment,
-and a higher-order aggregate folds them.
-
-The models at hand are of the BPE kind. A Viterbi fold over piece scores doesn't give their ids, since scores are merge
-ranks; so the fold applies, step by step, the best-scored edge that covers exactly two current symbols (ties
-to the left), which is how such a model encodes. Boundaries of a segment are the bits of a long. Segments
-of more than LONG characters, which don't fit it, are merged by the same rule with a heap.
-
-Segments' ids go to sorted hash arrays in the shared folder; workers memory-map them and put texts together. Decoding maps ids
-to piece bytes.
-
-Defined results: null and empty texts have no ids; characters that no piece has become byte pieces; decoding takes the
-dummy space off the front, ignores ids outside the model and gives back every text, but that a literal space mark reads as a space;
-other columns stay; repeated rows encode equal.
+Texts are cut where no piece can lie across: between two characters that no piece holds side by side (so before each space mark that
+follows another character). Distinct segments are encoded by a relational lattice: substrings of bounded length are exploded and equi-joined
+to the piece table (bounded by the model, so broadcast), the edges are grouped by segment, and one higher-order aggregate folds Viterbi over
+them: it keeps the best costs of the last positions and each position's best edge, so it is linear in the edges. A second one walks back.
+
+Costs are negative log-probabilities in whole fractions of a nat (Pieces.scale), so sums are exact. A unigram model's scores are taken as they
+stand. A BPE model holds merge ranks instead; its pieces get the probabilities that Zipf's law gives to these ranks. The result then is
+the likeliest segmentation into the model's pieces, not the merge order's one; nothing is learnt from the texts, so ids don't depend on them.
+A character that no piece is becomes byte pieces, at the worst cost and 10 nats. Of equal costs the longer last piece wins.
+
+Segments' ids go to sorted hash arrays in the shared folder (a segment is known by its 64-bit hash); workers memory-map them and put texts
+together with arrays. Decoding maps ids to piece bytes.
+
+Defined results: null and empty texts have no ids; decoding takes the dummy space off the front, ignores ids outside the model and gives back
+every text, but that a literal space mark reads as a space; other columns stay, a column named as the new one is replaced; repeated rows
+encode equal; empty tables give none; texts of any length are encoded whole, in chunks, and a stretch of over MAX_SEGMENT characters without
+a cut is cut there.
 """
 
 from __future__ import annotations
 
-import heapq
-import re
-from collections import defaultdict
+import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.packed import Mapped, by_range, lean, make_folder, store
-from catalogspark.sources.shared import new_path, written
+from catalogspark.llm.packed import Mapped, by_range, lean, make_folder, range_of, store
+from catalogspark.sources.shared import drop_written, new_path, written
 
 SPACE = "▁"
-LONG = 48
-#: Documents that a worker works on at a time; what it gives back comes in as small batches.
-SLICE = 500
-_WORDS = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+#: Characters of a segment at most, and of what a worker looks at at a time.
+MAX_SEGMENT = 1 << 16
+CHUNK = 1 << 19
+#: Segments of a task of the lattice, and of a range of the dictionary.
+SEGMENTS_A_TASK = 40_000
+SEGMENTS_A_RANGE = 500_000
+#: Hashes that a worker remembers to have sent already.
+SEEN = 300_000
+#: Nats that an unknown character costs beyond the worst piece.
+UNKNOWN_NATS = 10
+# Bits of a packed edge, from the left: end, length, cost, id.
+_END, _LENGTH, _COST = 46, 40, 20
+_UNKNOWN = (1 << 20) - 1
 
 
 @dataclass(frozen=True)
 class Pieces:
-    """A model's normal pieces with scores and ids, and the id of byte piece 0."""
+    """A model's normal pieces with ids and costs (``scale`` to a nat), and the id of byte piece 0."""
 
     ids: dict
-    scores: dict
+    costs: dict
+    scale: int
     byte0: int
     size: int
 
@@ -61,7 +69,15 @@ class Pieces:
         if any(SPACE in p.lstrip(SPACE) for p in ids):
             raise ValueError("a piece goes over the start of a word")
         byte0 = next(i for i in range(len(sp)) if sp.is_byte(i))
-        return Pieces(ids, {sp.id_to_piece(i): sp.get_score(i) for i in normal}, byte0, len(sp))
+        nats, scale = log_costs({sp.id_to_piece(i): sp.get_score(i) for i in normal})
+        costs = {p: round(scale * c) for p, c in nats.items()}
+        if max(map(len, ids)) > 63 or len(sp) >= _UNKNOWN or max(costs.values()) + UNKNOWN_NATS * scale >= 1 << 20:
+            raise ValueError("pieces, ids or costs don't fit a packed edge")
+        return Pieces(ids, costs, scale, byte0, len(sp))
+
+    @property
+    def unknown_cost(self) -> int:
+        return max(self.costs.values()) + UNKNOWN_NATS * self.scale
 
     def touching(self) -> frozenset:
         """Pairs of characters that some piece holds side by side."""
@@ -76,27 +92,113 @@ class Pieces:
         return out
 
 
-def _words(text: str | None) -> list[str]:
-    return _WORDS.findall(SPACE + text.replace(" ", SPACE)) if text else []
-
-
-def _segments(word: str, touching: frozenset) -> list[str]:
-    cuts = [i for i in range(1, len(word)) if word[i - 1 : i + 1] not in touching]
-    return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)], strict=True)]
+def log_costs(scores: dict[str, float]) -> tuple[dict[str, float], int]:
+    """(nats of each piece, whole fractions of a nat to count in). Scores that are whole numbers, all different but the least one, are merge ranks."""
+    low = min(scores.values())
+    ranks = [s for s in scores.values() if s > low]
+    if any(s != int(s) for s in ranks) or len(set(ranks)) < len(ranks):
+        return {p: -s for p, s in scores.items()}, 4096
+    last = max((-s for s in ranks), default=0) + 1
+    rank = {p: min(-s, last) + 2 for p, s in scores.items()}
+    total = math.log(sum(1 / r for r in rank.values()))
+    return {p: math.log(r) + total for p, r in rank.items()}, 32
+
+
+# ---- cutting texts
+
+
+def _powers(base: int) -> np.ndarray:
+    out = np.full(CHUNK + 1, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Cutter:
+    """Segments of texts as arrays: where they start, and their hashes."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, touching: frozenset):
+        # each character is numbered apart as the left and as the right one of a pair; 0 is any other
+        sides = [{c: i + 1 for i, c in enumerate(sorted({p[k] for p in touching}))} for k in (0, 1)]
+        self.left, self.right = (np.zeros(0x110000, np.int32) for _ in sides)
+        for column, of in zip((self.left, self.right), sides, strict=True):
+            column[[ord(c) for c in of]] = list(of.values())
+        self.wide = len(sides[1]) + 1
+        self.holds = np.zeros((len(sides[0]) + 1) * self.wide, bool)
+        self.holds[[sides[0][p[0]] * self.wide + sides[1][p[1]] for p in touching]] = True
+        self.up, self.down = _powers(self.BASE), _powers(pow(self.BASE, -1, 1 << 64))
+
+    def starts(self, c: np.ndarray, texts_at: np.ndarray) -> np.ndarray:
+        """Where segments start in code points c, with a cut at the start of each text."""
+        cut = np.ones(len(c), bool)
+        cut[1:] = ~self.holds[self.left[c[:-1]] * self.wide + self.right[c[1:]]]
+        cut[texts_at] = True
+        at = np.flatnonzero(cut)
+        size = np.diff(at, append=len(c))
+        if (size > MAX_SEGMENT).any():
+            more = [np.arange(at[i] + MAX_SEGMENT, at[i] + size[i], MAX_SEGMENT) for i in np.flatnonzero(size > MAX_SEGMENT)]
+            at = np.sort(np.concatenate([at, *more]))
+        return at
+
+    def hashes(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
+        v = (c.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        v ^= v >> np.uint64(32)
+        v *= self.up[: len(c)]
+        upto = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum(v, out=upto[1:])
+        end = np.append(at[1:], len(c))
+        h = (upto[end] - upto[at]) * self.down[at] + (end - at).astype(np.uint64)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
+        return h ^ (h >> np.uint64(31))
+
+    def __call__(self, texts: list[str | None]):
+        """(marked, starts, hashes, number) of runs of segments; number: how many segments each of the texts has in the run. A text of over CHUNK characters comes in several runs."""
+        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        a = 0
+        while a < len(marked):
+            b, held = a + 1, len(marked[a])
+            while b < len(marked) and held + len(marked[b]) <= CHUNK:
+                held += len(marked[b])
+                b += 1
+            yield from self._runs("".join(marked[a:b]), [len(t) for t in marked[a:b]], a, len(marked))
+            a = b
+
+    def _runs(self, text: str, sizes: list[int], first: int, n: int):
+        at_text = np.concatenate([[0], np.cumsum(sizes)])
+        done = 0
+        while done < len(text):
+            part = text[done : done + CHUNK]
+            c = np.frombuffer(part.encode("utf-32-le"), np.uint32)
+            inside = at_text[:-1][np.array(sizes) > 0] - done
+            at = self.starts(c, inside[(inside >= 0) & (inside < len(c))])
+            if done + len(part) < len(text):  # the last segment may go on
+                part, c, at = part[: at[-1]], c[: at[-1]], at[:-1]
+            number = np.zeros(n, np.int64)
+            number[first : first + len(sizes)] = np.diff(np.searchsorted(at, at_text - done))
+            yield part, at, self.hashes(c, at), number
+            done += len(part)
 
 
 def distinct_segments(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
-    """seg: the distinct segments of all texts."""
+    """h, seg: the distinct segments of all texts."""
     touching = docs.sparkSession.sparkContext.broadcast(pieces.touching())
 
     def run(batches):
+        cutter, seen = Cutter(touching.value), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                words = {w for t in batch.column(0).slice(at, SLICE).to_pylist() for w in _words(t)}
-                segs = list({s for w in words for s in _segments(w, touching.value)})
-                yield pa.RecordBatch.from_arrays([pa.array(segs, pa.string())], names=["seg"])
+            for marked, at, h, _ in cutter(batch.column(0).to_pylist()):
+                end = np.append(at[1:], len(marked))
+                h, where = np.unique(h, return_index=True)
+                signed = h.view(np.int64).tolist()
+                new = [i for i, x in enumerate(signed) if x not in seen]
+                if len(seen) > SEEN:
+                    seen = set()
+                seen.update(signed[i] for i in new)
+                spans = zip(at[where[new]].tolist(), end[where[new]].tolist(), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array([marked[s:e] for s, e in spans], pa.string())], names=["h", "seg"])
 
-    return docs.select(F.col(text).cast("string")).mapInArrow(lean(run), "seg string").distinct()
+    return docs.select(F.col(text).cast("string")).mapInArrow(lean(run), "h bigint, seg string").distinct()
 
 
 # ---- the lattice
@@ -108,110 +210,77 @@ def _byte_ids(char: Column, byte0: int) -> Column:
     return F.transform(at, lambda i: (F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("int") + byte0))
 
 
-def _bit(at: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
-
-
 def _once(value: Column, use) -> Column:
     """use(value) with value evaluated once: a bound variable, where a column inlined into a lambda would be evaluated anew in each turn."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def fold_lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
-    """seg -> seg, ids: explode substrings, join pieces, group edges, fold merges. Segments of at most LONG characters."""
-    spark = segs.sparkSession
-    longest = max(map(len, pieces.ids))
-    table = spark.createDataFrame([(p, i, -pieces.scores[p]) for p, i in pieces.ids.items()], "piece string, id int, cost double")
-    n = F.length("seg")
-    # dealt by segment once, so that neither the join (broadcast) nor the grouping moves the edges
-    spans = segs.repartition("seg").select("seg", F.explode(F.sequence(F.lit(0), n - 1)).alias("s")).select("seg", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("l"))
-    edges = spans.withColumn("piece", F.substring("seg", F.col("s") + 1, F.col("l"))).join(F.broadcast(table), "piece", "left").where("id is not null or l = 1")
-    edge = F.struct("cost", "s", (F.col("s") + F.col("l")).alias("e"), "id", (64 * F.col("s") + F.col("s") + F.col("l")).alias("at"), (_bit(F.col("s") + F.col("l")) - _bit(F.col("s") + 1)).alias("inner"), (_bit(F.col("s") + F.col("l")) + _bit(F.col("s"))).alias("ends"))
-    words = edges.groupBy("seg").agg(F.array_sort(F.collect_list(edge)).alias("edges"))
-    words = words.withColumn("merges", F.filter("edges", lambda x: x["e"] - x["s"] > 1))
-
-    def step(acc: Column, _: Column) -> Column:
-        fits = F.filter("merges", lambda x: (acc["b"].bitwiseAND(x["ends"]) == x["ends"]) & (F.bit_count(acc["b"].bitwiseAND(x["inner"])) == 1))
-        after = _once(F.get(fits, F.lit(0)), lambda best: F.struct((acc["b"] - F.coalesce(acc["b"].bitwiseAND(best["inner"]), F.lit(0).cast("bigint"))).alias("b"), best.isNotNull().alias("live")))
-        return F.when(acc["live"], after).otherwise(acc)
-
-    all_bits = F.struct((_bit(n + 1) - 1).alias("b"), F.lit(True).alias("live"))
-    turns = F.sequence(F.lit(1), F.greatest(F.lit(1), n - 1))
-    starts = _once(F.aggregate(turns, all_bits, step)["b"], lambda b: F.filter(F.sequence(F.lit(0), n - 1), lambda i: b.bitwiseAND(_bit(i)) > 0))
-
-    def ids_from(found: Column) -> Column:
-        def ids_of(s: Column, k: Column) -> Column:
-            e = F.coalesce(F.get(found, k + 1), n)
-            fit = F.get("edges.id", F.array_position("edges.at", 64 * s + e).cast("int") - 1)
-            return _once(fit, lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(_byte_ids(F.substring("seg", s + 1, F.lit(1)), pieces.byte0)))
-
-        return F.flatten(F.transform(found, ids_of))
-
-    return words.select("seg", _once(starts, ids_from).alias("ids"))
-
-
-def merged(seg: str, pieces: Pieces) -> list[int]:
-    """The same merges with a heap: the best score first, ties to the left."""
-    right = list(range(1, len(seg) + 1))
-    left = list(range(-1, len(seg) - 1))
-    end = list(range(1, len(seg) + 1))
-    alive = [True] * len(seg)
-    heap: list[tuple] = []
-
-    def offer(i: int) -> None:
-        j = right[i]
-        if j < len(seg) and (p := seg[i : end[j]]) in pieces.scores:
-            heapq.heappush(heap, (-pieces.scores[p], i, j, end[j]))
-
-    for i in range(len(seg)):
-        offer(i)
-    while heap:
-        _, i, j, e = heapq.heappop(heap)
-        if alive[i] and j < len(seg) and alive[j] and right[i] == j and end[j] == e:
-            alive[j], end[i], right[i] = False, e, right[j]
-            if right[i] < len(seg):
-                left[right[i]] = i
-            offer(i)
-            if left[i] >= 0:
-                offer(left[i])
-    out, i = [], 0
-    while i < len(seg):
-        p = seg[i : end[i]]
-        out += [pieces.ids[p]] if p in pieces.ids else [pieces.byte0 + b for b in p.encode()]
-        i = right[i]
-    return out
+def _bits(x: Column, at: int, below: int) -> Column:
+    return F.shiftright(x, at).bitwiseAND(F.lit((1 << (below - at)) - 1).cast("bigint"))
 
 
-def encoded_segments(segs: DataFrame, pieces: Pieces) -> DataFrame:
-    """seg -> seg, ids, by the lattice, or the heap where a segment is long."""
-    whole = segs.sparkSession.sparkContext.broadcast(pieces)
+def lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
+    """h, seg -> h, seg, edges: packed longs in order of end and length; each position ends an edge of length 1."""
+    table = segs.sparkSession.createDataFrame([(p, (c << _COST) + pieces.ids[p]) for p, c in pieces.costs.items()], "piece string, scored bigint")
+    n, longest = F.length("seg"), max(map(len, pieces.ids))
+    spans = segs.select("h", "seg", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
+    spans = spans.select("h", "seg", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("l"))
+    spans = spans.withColumn("piece", F.substring("seg", F.col("s") + 1, F.col("l")))
+    met = spans.join(F.broadcast(table), "piece", "left").where("scored is not null or l = 1")
+    place = F.shiftleft((F.col("s") + F.col("l")).cast("bigint"), _END) + F.shiftleft(F.col("l").cast("bigint"), _LENGTH)
+    edge = place + F.coalesce("scored", F.lit((pieces.unknown_cost << _COST) + _UNKNOWN))
+    # the segment itself goes with one edge only
+    edges = met.select("h", edge.alias("edge"), F.when((F.col("s") == 0) & (F.col("l") == 1), F.col("seg")).alias("head"))
+    return edges.groupBy("h").agg(F.max("head").alias("seg"), F.sort_array(F.collect_list("edge")).alias("edges"))
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
-    def _heap(col: pa.Array) -> pa.Array:
-        return pa.array([merged(s.as_py(), whole.value) for s in col], pa.list_(pa.int32()))
 
-    short = fold_lattice(segs.where(F.length("seg") <= LONG), pieces)
-    return short.unionByName(segs.where(F.length("seg") > LONG).select("seg", _heap("seg").alias("ids")))
+def viterbi(edges: Column, longest: int) -> Column:
+    """The edges of the cheapest path, first to last."""
+    whole = lambda *fields: F.struct(*[c.alias(n) for c, n in zip(fields, ("before", "at", "cost", "edge", "best"), strict=True)])
+    none = F.array().cast("array<bigint>")
 
+    def relax(a: Column, x: Column) -> Column:
+        cost = F.get(a["before"], (_bits(x, _LENGTH, _END) - 1).cast("int")) + _bits(x, _COST, _LENGTH)
+        better = F.when(cost <= a["cost"], whole(a["before"], a["at"], cost, x, a["best"])).otherwise(a)
+        # the next end begins with its edge of length 1
+        before = F.concat(F.array(a["cost"]), F.slice(a["before"], 1, longest - 1))
+        following = whole(before, a["at"] + 1, a["cost"] + _bits(x, _COST, _LENGTH), x, F.concat(a["best"], F.array(a["edge"])))
+        return F.when(F.shiftright(x, _END) == a["at"], better).otherwise(following)
 
-# ---- the dictionary of segments
+    big = lambda v: F.lit(v).cast("bigint")
+    start = whole(F.array(big(0)), big(1), big(1 << 60), big(0), none)
+    best = F.aggregate(edges, start, relax, lambda a: F.concat(a["best"], F.array(a["edge"])))
+
+    def back(best: Column) -> Column:
+        def step(a: Column, _: Column) -> Column:
+            on = lambda x: F.struct((a["at"] - _bits(x, _LENGTH, _END).cast("int")).alias("at"), F.concat(a["path"], F.array(x)).alias("path"))
+            return F.when(a["at"] > 0, _once(F.get(best, a["at"] - 1), on)).otherwise(a)
 
+        return F.reverse(F.aggregate(best, F.struct(F.size(best).alias("at"), none.alias("path")), step)["path"])
 
-def _hash(segs: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass")) for s in segs), np.uint64, len(segs))
+    return _once(best, back)
 
 
-def store_dictionary(encoded: DataFrame, parts: int | None = None) -> tuple[str, int]:
-    """Write seg -> ids as sorted hash arrays, a file for each range of hashes; the folder and the number of ranges."""
-    spark = encoded.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = make_folder(new_path(spark, "segments"))
+def encoded_segments(segs: DataFrame, pieces: Pieces) -> DataFrame:
+    """h, seg -> h, ids by the lattice."""
+    path = lattice(segs, pieces).select("h", "seg", viterbi(F.col("edges"), max(map(len, pieces.ids))).alias("path"))
+    of_edge = lambda x: _bits(x, 0, _COST).cast("int")
+    char = lambda x: F.substring("seg", F.shiftright(x, _END).cast("int"), F.lit(1))
+    with_bytes = F.flatten(F.transform("path", lambda x: F.when(of_edge(x) == _UNKNOWN, _byte_ids(char(x), pieces.byte0)).otherwise(F.array(of_edge(x)))))
+    return path.select("h", F.when(F.exists("path", lambda x: of_edge(x) == _UNKNOWN), with_bytes).otherwise(F.transform("path", of_edge)).alias("ids"))
+
+
+# ---- the dictionary of segments
+
+
+def store_dictionary(encoded: DataFrame, parts: int) -> str:
+    """Write h -> ids as sorted hash arrays, a file for each of ``parts`` ranges of hashes; the folder."""
+    base = make_folder(new_path(encoded.sparkSession, "segments"))
 
     def ranged(batches):
         for batch in batches:
-            h = _hash(batch.column(0).to_pylist())
-            part = ((h >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(h.view(np.int64)), batch.column(1)], names=["part", "h", "ids"])
+            part = range_of(batch.column(0).to_numpy().view(np.uint64), parts)
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), *batch.columns], names=["part", "h", "ids"])
 
     def stored(table: pa.Table) -> pa.Table:
         h = table.column("h").to_numpy().view(np.uint64)
@@ -225,70 +294,37 @@ def store_dictionary(encoded: DataFrame, parts: int | None = None) -> tuple[str,
         store(f"{base}/ids-{table.column('part')[0].as_py()}", np.array([len(h)], np.int64), h[order], to.astype(np.int64), picked.astype(np.int32))
         return pa.table({"n": pa.array([len(h)], pa.int64())})
 
-    rows = encoded.select("seg", "ids").mapInArrow(lean(ranged), "part int, h bigint, ids array<int>")
+    rows = encoded.select("h", "ids").mapInArrow(lean(ranged), "part int, h bigint, ids array<int>")
     rows.groupBy("part").applyInArrow(stored, "n bigint").agg(F.sum("n")).collect()
-    return base, parts
+    return base
 
 
 class Dictionary:
     def __init__(self, base: str, parts: int):
         self.files, self.parts = Mapped(base), parts
 
-    def ids(self, segs: list[str]) -> list[np.ndarray]:
-        h = _hash(segs)
-        order = np.argsort(h, kind="stable")
-        out: list = [None] * len(segs)
-        for p, a, b in by_range(h[order], self.parts):
+    def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(sizes, flat ids) of sorted hashes."""
+        sizes, flat = [], []
+        for p, a, b in by_range(h, self.parts):
             raw = self.files(f"ids-{p}")
-            n = int(raw[:8].view(np.int64)[0])
-            keys, to = np.asarray(raw[8 : 8 + 8 * n].view(np.uint64)), np.asarray(raw[8 + 8 * n : 16 + 16 * n].view(np.int64))
-            ids = np.asarray(raw[16 + 16 * n :].view(np.int32))
-            at = np.searchsorted(keys, h[order[a:b]])
-            for i, s, e in zip(order[a:b].tolist(), to[at].tolist(), to[at + 1].tolist(), strict=True):
-                out[i] = ids[s:e]
-        return out
+            n = int(raw[:8].view(np.int64)[0]) if raw is not None else 0
+            if not n:
+                raise ValueError("a text has changed since its segments were found")
+            keys, to, ids = raw[8 : 8 + 8 * n].view(np.uint64), raw[8 + 8 * n : 16 + 16 * n].view(np.int64), raw[16 + 16 * n :].view(np.int32)
+            at = np.minimum(np.searchsorted(keys, h[a:b]), n - 1)
+            if (keys[at] != h[a:b]).any():
+                raise ValueError("a text has changed since its segments were found")
+            start, size = to[at], to[at + 1] - to[at]
+            sizes.append(size)
+            flat.append(ids[_ranges(start, size)])
+        return np.concatenate(sizes), np.concatenate(flat)
 
 
-class _Encoder:
-    """Ids of slices of texts. Words seen lately keep their ids, up to ``KEPT`` of them."""
-
-    KEPT = 60_000
-
-    def __init__(self, known: Dictionary, touching: frozenset):
-        self.known, self.touching, self.of = known, touching, {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.of) > self.KEPT:
-            self.of = {}
-        new = [w for w in words if w not in self.of]
-        cut = [_segments(w, self.touching) for w in new]
-        segs = {s: i for i, s in enumerate(dict.fromkeys(s for c in cut for s in c))}
-        ids = self.known.ids(list(segs)) if segs else []
-        for w, c in zip(new, cut, strict=True):
-            self.of[w] = ids[segs[c[0]]] if len(c) == 1 else np.concatenate([ids[segs[s]] for s in c])
-
-    def __call__(self, texts: pa.Array) -> pa.Array:
-        number: dict[str, int] = defaultdict()
-        number.default_factory = number.__len__
-        seqs = []
-        for t in texts:
-            d = _words(t.as_py())
-            seqs.append(np.fromiter(map(number.__getitem__, d), np.int32, len(d)))
-        if not number:
-            return pa.array([[] for _ in seqs], pa.list_(pa.int32()))
-        self._learn(list(number))
-        of_word = [self.of[w] for w in number]
-        size = np.fromiter(map(len, of_word), np.int32, len(of_word))
-        words = np.concatenate(of_word).astype(np.int32)
-        start = np.concatenate([[0], np.cumsum(size)])[:-1]
-        flat, ends = [], [0]
-        for seq in seqs:
-            n = size[seq]
-            upto = np.cumsum(n)
-            total = int(upto[-1]) if len(upto) else 0
-            flat.append(words[np.repeat(start[seq] - (upto - n), n) + np.arange(total)])
-            ends.append(ends[-1] + total)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)))
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... (size[0] of them), start[1], ..."""
+    upto = np.cumsum(size)
+    return np.repeat(start - (upto - size), size) + np.arange(int(upto[-1]) if len(upto) else 0)
 
 
 def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, begin) -> DataFrame:
@@ -299,21 +335,40 @@ def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, begin)
     def run(batches):
         make = begin()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(names.index(source)))], names=[*names, into])
 
     return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(into, kind)]))
 
 
 def encode(df: DataFrame, pieces: Pieces, text: str = "text", into: str = "ids") -> DataFrame:
-    """Add column ``into``: array<int>, the model's ids of each whole text."""
+    """Add column ``into``: array<int>, the ids of each whole text. df is read twice and must give the same texts."""
+    spark = df.sparkSession
     segs = written(distinct_segments(df, pieces, text), "segs")
-    base, parts = store_dictionary(encoded_segments(segs, pieces))
-    touching = df.sparkSession.sparkContext.broadcast(pieces.touching())
+    n = segs.count()
+    tasks, parts = n // SEGMENTS_A_TASK + 1, n // SEGMENTS_A_RANGE + 1
+    base = store_dictionary(encoded_segments(segs.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), "h"), pieces), parts)
+    drop_written(segs)
+    touching = spark.sparkContext.broadcast(pieces.touching())
 
     def begin():
-        return _Encoder(Dictionary(base, parts), touching.value)
+        known, cutter = Dictionary(base, parts), Cutter(touching.value)
+
+        def ids(texts: pa.Array) -> pa.Array:
+            flat, ends = [], np.zeros(len(texts), np.int64)
+            for _, _, h, number in cutter(texts.to_pylist()):
+                uniq, which = np.unique(h, return_inverse=True)
+                size, ids = known(uniq)
+                start = np.cumsum(size) - size
+                flat.append(ids[_ranges(start[which], size[which])])
+                upto = np.concatenate([[0], np.cumsum(size[which])])
+                to = np.cumsum(number)
+                ends += upto[to] - upto[to - number]
+            to = np.concatenate([[0], np.cumsum(ends)]).astype(np.int32)
+            return pa.ListArray.from_arrays(pa.array(to), pa.array(np.concatenate([np.zeros(0, np.int32), *flat])))
+
+        return ids
 
     return _with_column(df, text, into, T.ArrayType(T.IntegerType()), begin)
 

@@ -1,31 +1,103 @@
 import random
 
+import numpy as np
+import pytest
 import sentencepiece
+from sentencepiece import sentencepiece_model_pb2 as proto
 
-from catalogspark.llm.sentencepiece import decode, encode, load_pieces, merged
-from catalogspark.llm.sentencepiece import _segments, _words
+from catalogspark.llm.queries_sentencepiece import op9_sentencepiece
+from catalogspark.llm.sentencepiece import CHUNK, MAX_SEGMENT, SPACE, Cutter, Pieces, decode, encode, encoded_segments, load_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
-def test_equals_the_library(spark):
-    sp = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    pieces = load_pieces(spark, MODEL)
+@pytest.fixture(scope="module")
+def pieces(spark):
+    return load_pieces(spark, MODEL)
+
+
+@pytest.fixture(scope="module")
+def unigram(pieces, tmp_path_factory):
+    """The public pieces with the same costs as a unigram model, which the library encodes by Viterbi."""
+    m = proto.ModelProto()
+    m.ParseFromString(open(MODEL, "rb").read())
+    m.trainer_spec.model_type = proto.TrainerSpec.UNIGRAM
+    for p in m.pieces:
+        if p.piece in pieces.costs:
+            p.score = -pieces.costs[p.piece] / pieces.scale
+    path = tmp_path_factory.mktemp("model") / "unigram.model"
+    path.write_bytes(m.SerializeToString())
+    return str(path)
+
+
+def cheapest(seg: str, pieces: Pieces, unknown: int) -> int:
+    """The least cost of all segmentations, one by one."""
+    if not seg:
+        return 0
+    costs = [(n, pieces.costs.get(seg[:n], unknown if n == 1 else None)) for n in range(1, len(seg) + 1)]
+    return min(c + cheapest(seg[n:], pieces, unknown) for n, c in costs if c is not None)
+
+
+def test_every_segmentation_of_short_words(spark, pieces):
+    rng = random.Random(5)
+    segs = sorted({"".join(rng.choice("the▁inaor漢✿") for _ in range(rng.randrange(1, 10))) for _ in range(150)})
+    of = {i: p for p, i in pieces.ids.items()}
+    got = encoded_segments(spark.createDataFrame(list(enumerate(segs)), "h bigint, seg string"), pieces).collect()
+    assert len(got) == len(segs)
+    for r in got:
+        seg = segs[r.h]
+        raw = b"".join(of[i].encode() if i in of else bytes([i - pieces.byte0]) for i in r.ids)
+        assert raw.decode() == seg
+        chars = [c for c in seg if c not in pieces.ids]
+        assert sum(pieces.costs[of[i]] for i in r.ids if i in of) + pieces.unknown_cost * len(chars) == cheapest(seg, pieces, pieces.unknown_cost), seg
+
+
+def test_equals_the_library(spark, pieces, unigram):
+    sp = sentencepiece.SentencePieceProcessor(model_file=unigram)
+    as_scored = Pieces.load(unigram)
+    assert as_scored.scale == 4096 and {p: c * pieces.scale / as_scored.scale for p, c in as_scored.costs.items()} == pieces.costs
     rng = random.Random(2)
-    texts = [None, "", " ", "  a  b\n\tc ", "ﬁ é é ▁x <s> 中文字 🙂‍", "aaaaaaaaaaaaaaaaaaaaaaaa", "x" * 300, "".join(rng.choice("abcdefgh") for _ in range(500))]
+    texts = [None, "", " ", "  a  b\n\tc ", "ﬁ é é ▁x <s> 中文字 🙂‍", "aaaaaaaaaaaaaaaaaaaaaaaa", "x" * 300, "".join(rng.choice("abcdefgh") for _ in range(500))]
     texts += ["".join(rng.choice("etaoin shr.,\n") for _ in range(rng.randrange(120))) for _ in range(60)]
     texts += [r.text for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).collect()]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as seg", "'x' as decoded").repartition(2)
-    for r in decode(encode(df, pieces), pieces).collect():
-        assert r.ids == sp.encode(r.text or "") and r.decoded == (r.text or "").replace("▁", " "), r.text
-    touching = pieces.touching()
-    for t in texts:
-        assert [i for w in _words(t) for s in _segments(w, touching) for i in merged(s, pieces)] == sp.encode(t or "")
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").selectExpr("*", "1 as seg", "2 as h", "'x' as decoded", "'y' as ids").repartition(2)
+    for model in (pieces, as_scored):
+        for r in decode(encode(df, model), model).collect():
+            assert r.ids == sp.encode(r.text or "") and r.decoded == (r.text or "").replace("▁", " ") and (r.seg, r.h) == (1, 2), r.text
+
 
+def test_query_gives_every_document_back(spark, unigram):
+    sp = sentencepiece.SentencePieceProcessor(model_file=unigram)
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = op9_sentencepiece(spark, "/root/testdata/sf0.01").collect()
+    assert sorted(r.doc_id for r in got) == sorted(docs)
+    for r in got:
+        assert r.round_trip and r.n_pieces == len(r.ids)
+        # the library sums in 32 bits, which bends ties of very long texts
+        assert r.ids == sp.encode(docs[r.doc_id] or "") or len(docs[r.doc_id]) > 20_000
 
-def test_edges(spark):
-    pieces = load_pieces(spark, MODEL)
+
+def test_edges(spark, pieces):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert encode(empty, pieces).count() == 0
     odd = spark.createDataFrame([([5, -1, 10**6],), (None,), ([],)], "ids array<int>")
     assert [r.decoded for r in decode(odd, pieces).collect()] == ["\x02", "", ""]
+    same = spark.createDataFrame([(None, "a b"), (None, "a b"), (1, None), (1, None)], "doc_id long, text string")
+    got = sorted((r.ids for r in encode(same, pieces).collect()), key=len)
+    assert got[0] == got[1] == [] and got[2] == got[3] == [pieces.ids["▁a"], pieces.ids["▁b"]]
+
+
+def test_very_long_texts_are_cut_alike(spark, pieces):
+    cutter = Cutter(pieces.touching())
+    long = "word and other " * (CHUNK // 10)
+    texts = ["a b", None, long, "", "a" * (3 * MAX_SEGMENT + 5), "z"]
+    segs = {i: [] for i in range(len(texts))}
+    for marked, at, _, number in cutter(texts):
+        cut = [marked[a:b] for a, b in zip(at, [*at[1:], len(marked)], strict=True)]
+        of = np.repeat(np.arange(len(texts)), number)
+        for i, s in zip(of, cut, strict=True):
+            segs[int(i)].append(s)
+    for i, t in enumerate(texts):
+        assert "".join(segs[i]) == (SPACE + t.replace(" ", SPACE) if t else "")
+        assert max(map(len, segs[i]), default=0) <= MAX_SEGMENT
+    assert len(set(segs[2])) <= len(segs[0]) + 8
