@@ -1,20 +1,20 @@
 """GIF media columns: store bytes losslessly as 8-bit samples, decode frames, keep colour histograms.
 
 Writing: each payload becomes one GIF89a file, 64 samples wide; payloads of more than ``MAX_ROWS`` lines go on
-in further frames. The grey palette makes a sample its own index. Codes are written as 9-bit literals with
-a clear code before the table would outgrow nine bits, which any GIF reader accepts.
+in further frames. The palette gives each sample a colour of its own (three bits of red and green, two of blue). Samples are LZW-coded
+with a growing table, which is cleared when it is full.
 
 Reading takes any GIF: global and local palettes, interlace, transparency, disposal 0-3, deferred clear
-codes. Between two clear codes the width of the n-th code is known, and a table entry is the output of an
-earlier code plus one sample, so a whole segment is expanded by pointer jumping over arrays.
+codes. A histogram has two bits a channel and counts the rectangle of a frame as it is shown, so samples count once.
 
-Defined results: a null payload is empty; an empty payload has one frame of padding; a null or broken GIF
-reads as no frames; repeated rows give equal bytes; other columns stay as they are, and a column of the same
+Defined results: a null payload is empty; an empty payload has one frame of padding; a null or broken GIF (cut
+short, without a palette, of more than ``MOST_PIXELS``) reads as no frames; texts of any length are stored whole, in frames; repeated rows give equal bytes; other columns stay as they are, and a column of the same
 name as a new one is replaced.
 """
 
 from __future__ import annotations
 
+import functools
 import struct
 
 import numpy as np
@@ -27,6 +27,13 @@ from pyspark.sql.pandas.types import to_arrow_type
 WIDTH = 64
 MAX_ROWS = 1024
 DELAY_CS = 10
+#: Entries of a code table, which the format fixes.
+TABLE = 4096
+#: A pixel that nothing has been drawn on.
+BLANK = 255
+#: Of a canvas or frame that is read.
+MOST_PIXELS = 1 << 24
+PALETTE = bytes(x for i in range(256) for x in ((i >> 5) * 36, (i >> 2 & 7) * 36, (i & 3) * 85))
 FRAME = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("at_ms", "delay_ms")]
     + [T.StructField(n, T.IntegerType()) for n in ("left", "top", "width", "height", "disposal")]
@@ -49,39 +56,62 @@ def _blocks(data: bytes) -> bytes:
     return out + (bytes([len(rest)]) + rest if rest else b"") + b"\0"
 
 
-def _literal_codes(samples: np.ndarray) -> np.ndarray:
-    """Clear, up to 254 literals, clear, ... , end of information."""
-    n = len(samples)
-    groups = -(-n // 254)
-    codes = np.full(groups * 255, 256, np.uint16)
-    where = np.arange(n)
-    codes[where + where // 254 + 1] = samples
-    return np.append(codes[: n + groups], np.uint16(257))
+@functools.cache
+def _widths(min_size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits, running sum of bits) of the n codes after a clear code: a reader's table has grown by one entry less than codes have come."""
+    size = np.minimum((1 << min_size) + 2 + np.maximum(0, np.arange(n) - 1), TABLE - 1)
+    width = np.floor(np.log2(size)).astype(np.int64) + 1
+    return width, np.cumsum(width)
+
+
+def _codes(samples: bytes) -> list[int]:
+    """LZW codes of 8-bit samples: the longest known run each time, a clear code when the table is full, end of information."""
+    table: dict[int, int] = {}
+    get, out, free = table.get, [], 258
+    emit = out.append
+    run = samples[0]
+    for b in samples[1:]:
+        key = run << 8 | b
+        longer = get(key)
+        if longer is None:
+            emit(run)
+            table[key] = free
+            free += 1
+            run = b
+            if free == TABLE:
+                emit(256)
+                table.clear()
+                free = 258
+        else:
+            run = longer
+    return [*out, run, 257]
 
 
-def _pack9(codes: np.ndarray) -> bytes:
-    """Nine bits a code, least significant first: eight codes fill nine bytes."""
-    c = np.zeros((-(-len(codes) // 8), 10), np.uint16)  # column k + 1 holds code k; the outer columns stay 0
-    flat = np.zeros(len(c) * 8, np.uint16)
-    flat[: len(codes)] = codes
-    c[:, 1:9] = flat.reshape(-1, 8)
-    out = np.empty((len(c), 9), np.uint8)
-    for j in range(9):
-        out[:, j] = ((c[:, j + 1] << j) | (c[:, j] >> (9 - j))) & 255
-    return out.tobytes()[: -(-9 * len(codes) // 8)]
+def lzw_encoded(samples: bytes) -> bytes:
+    """A GIF code stream for samples of 8 bits, least significant bit first."""
+    codes = np.array([256, *_codes(samples)], np.int64)
+    # a full table has had TABLE - 258 codes, and the clear code ends its run
+    width = np.concatenate([[9], np.resize(_widths(8, TABLE - 257)[0], len(codes) - 1)])
+    upto = np.cumsum(width)
+    at = upto - width
+    value = codes << (at & 7)
+    n = int(upto[-1] + 7) // 8
+    out = np.zeros(n + 2)
+    for k in range(3):  # bits of different codes never meet, so adding bytes is setting bits
+        out += np.bincount((at >> 3) + k, (value >> 8 * k) & 255, n + 2)[: n + 2]
+    return out[:n].astype(np.uint8).tobytes()
 
 
 def write_gif(payload: bytes, note: str = "") -> bytes:
     """payload: a positive multiple of WIDTH bytes."""
     rows = len(payload) // WIDTH
-    grey = bytes(x for i in range(256) for x in (i, i, i))
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MAX_ROWS), 0xF7, 0, 0), grey]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MAX_ROWS), 0xF7, 0, 0), PALETTE]
     if note:
         out += [b"\x21\xfe", _blocks(note.encode())]
     for top in range(0, rows, MAX_ROWS):
         part = payload[top * WIDTH : (top + MAX_ROWS) * WIDTH]
         out += [b"\x21\xf9\x04", struct.pack("<BHB", 1 << 2, DELAY_CS, 0), b"\0", b"\x2c", struct.pack("<HHHHB", 0, 0, WIDTH, len(part) // WIDTH, 0), b"\x08"]
-        out.append(_blocks(_pack9(_literal_codes(np.frombuffer(part, np.uint8)))))
+        out.append(_blocks(lzw_encoded(part)))
     return b"".join([*out, b"\x3b"])
 
 
@@ -96,97 +126,84 @@ def _joined_blocks(data: bytes, at: int) -> tuple[bytes, int]:
     return b"".join(parts), at + 1
 
 
-def _nine_bit_literals(data: bytes) -> np.ndarray | None:
-    """The samples of a stream of literals whose segments all stay at nine bits; None for any other stream."""
-    n = len(data) * 8 // 9
-    b = np.zeros(-(-len(data) // 9) * 9 + 9, np.uint16)
-    b[: len(data)] = np.frombuffer(data, np.uint8)
-    b = b.reshape(-1, 9)
-    codes = np.empty((len(b), 8), np.uint16)
-    for k in range(8):
-        codes[:, k] = ((b[:, k] >> k) | (b[:, k + 1] << (8 - k))) & 511
-    codes = codes.ravel()[:n]
-    special = np.flatnonzero(codes >= 256)
-    ends = special[codes[special] == 257]
-    if not len(ends):
-        return None
-    end = ends[0]
-    special = special[special < end]
-    if (codes[special] != 256).any() or np.diff(np.concatenate([[-1], special, [end]])).max() > 256:
-        return None
-    codes = codes[:end]
-    return codes[codes < 256].astype(np.uint8)
-
-
-def _expanded(codes: np.ndarray, clear: int, budget: int) -> np.ndarray:
-    """The samples of the codes of one segment (after a clear code), by pointer jumping."""
-    n = len(codes)
-    refers = codes >= clear + 2
-    to = np.where(refers, codes.astype(np.int64) - (clear + 2), -1)
-    if (to >= np.arange(n)).any():
-        raise ValueError("code before its entry")
-    length = np.ones(n, np.int64)
-    hop = to.copy()
-    # an entry is one sample longer than the code it refers to: its length is the depth of the chain
-    depth = refers.astype(np.int64)
-    while (hop >= 0).any():
-        live = hop >= 0
-        depth[live] += depth[hop[live]]
-        hop[live] = hop[hop[live]]
-    length += depth
-    start = np.concatenate([[0], np.cumsum(length)])
-    total = int(start[-1])
-    owner = np.repeat(np.arange(n), length)
-    inside = np.arange(total) - start[owner]
-    src = np.where(to[owner] >= 0, start[np.maximum(to[owner], 0)] + inside, np.arange(total))
-    while True:
-        further = src[src]
-        if (further == src).all():
-            break
-        src = further
-    first = np.where(refers, 0, codes).astype(np.uint8)
-    return first[owner[src]][:budget]
-
-
-def lzw_decoded(data: bytes, min_size: int, n_pixels: int) -> np.ndarray:
-    """The samples of a GIF code stream of any kind."""
-    if min_size == 8 and (out := _nine_bit_literals(data)) is not None:
-        return out[:n_pixels]
-    clear = 1 << min_size
-    index = np.arange(1 << 16)
-    width = np.minimum(12, np.maximum(min_size + 1, np.floor(np.log2(clear + 2 + np.maximum(0, index - 1))).astype(np.int64) + 1))
-    offset = np.concatenate([[0], np.cumsum(width)])
-    bits = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.uint32)
-    total = len(data) * 8
-    at, out, have = 0, [], 0
-    while at + min_size < total and have < n_pixels:
-        upto = int(np.searchsorted(offset, total - at, "right")) - 1
-        pos = at + offset[:upto]
-        byte = pos >> 3
-        window = bits[byte] | bits[byte + 1] << 8 | bits[byte + 2] << 16
-        codes = (window >> (pos & 7).astype(np.uint32)) & ((1 << width[:upto]) - 1).astype(np.uint32)
+def _codes_at(bits: np.ndarray, at: np.ndarray, width: np.ndarray) -> np.ndarray:
+    byte = at >> 3
+    window = bits[byte] | bits[byte + 1] << 8 | bits[byte + 2] << 16
+    return (window >> (at & 7)) & ((1 << width) - 1)
+
+
+def lzw_decoded(data: bytes, min_size: int, n_pixels: int) -> bytes:
+    """The samples of a GIF code stream of any kind, n_pixels of them; ValueError if it has fewer or is broken."""
+    if not 2 <= min_size <= 8:
+        raise ValueError("code size")
+    clear, total = 1 << min_size, len(data) * 8
+    bits = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.int64)
+    literals = [*[bytes([i]) for i in range(clear)], b"", b""]
+    full = np.full(TABLE, 12), np.arange(12, 12 * TABLE + 1, 12)
+    at, seen, have = 0, 0, 0
+    out, table, last = [], literals.copy(), b""
+    while have < n_pixels:
+        # the widths of the next codes are known up to a clear code
+        width, upto = _widths(min_size, TABLE) if not seen else full
+        n = int(np.searchsorted(upto, total - at, "right"))
+        if not n:
+            raise ValueError("a frame ends early")
+        codes = _codes_at(bits, at + upto[:n] - width[:n], width[:n])
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
-        n = int(stop[0]) if len(stop) else len(codes)
-        if n:
-            # no more entries once the table is full
-            part = _expanded(codes[:n].astype(np.int64), clear, n_pixels - have)
-            out.append(part)
-            have += len(part)
-        if not len(stop) or codes[n] == clear + 1:
+        ends = len(stop) > 0
+        n = int(stop[0]) if ends else n
+        runs = _runs(codes[:n].tolist(), table, last)
+        out += runs
+        have += sum(map(len, runs))
+        if ends and codes[n] == clear + 1:
             break
-        at += int(offset[n + 1])
-    return np.concatenate(out) if out else np.zeros(0, np.uint8)
+        at, seen = (at + int(upto[n]), 0) if ends else (at + int(upto[n - 1]), seen + n)
+        table, last = (literals.copy(), b"") if ends else (table, runs[-1])
+    if have < n_pixels:
+        raise ValueError("a frame ends early")
+    return b"".join(out)[:n_pixels]
+
+
+def _runs(codes: list[int], table: list[bytes], last: bytes) -> list[bytes]:
+    """The samples of each code; table grows by the last run and one sample, until it is full. last: the run before, empty after a clear code."""
+    out: list[bytes] = []
+    if codes and not last:
+        last = table[codes[0]]
+        out.append(last)
+        codes = codes[1:]
+    emit, add = out.append, table.append
+    growing = codes[: max(0, TABLE - len(table))]
+    for code in growing:
+        if code < len(table):
+            run = table[code]
+            add(last + run[:1])
+        elif code == len(table):
+            run = last + last[:1]
+            add(run)
+        else:
+            raise ValueError("code before its entry")
+        emit(run)
+        last = run
+    return [*out, *map(table.__getitem__, codes[len(growing) :])]
+
+
+def _cells(colours: np.ndarray) -> np.ndarray:
+    """The histogram cell of each sample; samples beyond the palette have its last colour."""
+    cell = (colours[:, 0] >> 6 << 4) | (colours[:, 1] >> 6 << 2) | colours[:, 2] >> 6
+    return np.pad(cell, (0, 256 - len(cell)), "edge")
 
 
 def read_gif(data: bytes) -> tuple[list[dict], str]:
-    """Timed frames with their own samples and the histogram of the canvas that a viewer shows; the comment."""
+    """Timed frames with their own samples and the histogram of what a viewer shows in their rectangle; the comment."""
     wide, high, flags, _, _ = struct.unpack("<HHBBB", data[6:13])
     at, palette = 13, None
     if flags & 0x80:
         n = 3 << ((flags & 7) + 1)
         palette = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
         at += n
-    canvas = np.zeros((high, wide, 4), np.uint8)
+    if wide * high > MOST_PIXELS:
+        raise ValueError("a canvas beyond MOST_PIXELS")
+    canvas = np.full((high, wide), BLANK, np.uint8)  # of each pixel the histogram's cell
     frames, note, clock = [], "", 0
     disposal, delay, clear_index = 0, 0, None
     while data[at] != 0x3B:
@@ -208,10 +225,9 @@ def read_gif(data: bytes) -> tuple[list[dict], str]:
             at += n
         size = data[at]
         body, at = _joined_blocks(data, at + 1)
-        samples = np.zeros(w * h, np.uint8)
-        got = lzw_decoded(body, size, w * h)
-        samples[: len(got)] = got
-        raster = samples.reshape(h, w)
+        if colours is None or w * h > MOST_PIXELS:
+            raise ValueError("a frame without palette or beyond MOST_PIXELS")
+        raster = np.frombuffer(lzw_decoded(body, size, w * h), np.uint8).reshape(h, w)
         if packed & 0x40:
             order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             lines = np.empty_like(raster)
@@ -220,18 +236,17 @@ def read_gif(data: bytes) -> tuple[list[dict], str]:
         before = canvas.copy() if disposal == 3 else None
         h2, w2 = max(0, min(h, high - top)), max(0, min(w, wide - left))
         shown = raster[:h2, :w2]
-        drawn = np.concatenate([colours[np.minimum(shown, len(colours) - 1)], np.full((h2, w2, 1), 255, np.uint8)], axis=2)
+        drawn = _cells(colours)[shown]
         area = canvas[top : top + h2, left : left + w2]
         if clear_index is None:
             area[...] = drawn
         else:
-            np.copyto(area, drawn, where=(shown != clear_index)[..., None])
-        seen = canvas[..., 3] > 0
-        cell = (canvas[..., 0] >> 6 << 4) | (canvas[..., 1] >> 6 << 2) | canvas[..., 2] >> 6
-        frames.append({"at_ms": clock, "delay_ms": delay * 10, "left": left, "top": top, "width": w, "height": h, "disposal": disposal, "samples": raster.tobytes(), "histogram": np.bincount(cell[seen].ravel(), minlength=64).tolist()})
+            np.copyto(area, drawn, where=shown != clear_index)
+        counts = np.bincount(area.ravel(), minlength=64)[:64]
+        frames.append({"at_ms": clock, "delay_ms": delay * 10, "left": left, "top": top, "width": w, "height": h, "disposal": disposal, "samples": raster.tobytes(), "histogram": counts.tolist()})
         clock += delay * 10
         if disposal == 2:
-            area[...] = 0
+            area[...] = BLANK
         elif disposal == 3:
             canvas = before
         disposal, delay, clear_index = 0, 0, None

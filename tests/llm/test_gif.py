@@ -1,5 +1,6 @@
 import struct
 import zlib
+from collections import Counter
 from hashlib import sha256
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from catalogspark.llm.gif import _blocks, load_gif, lzw_decoded, read_gif, store_gif, write_gif
+from catalogspark.llm.gif import _blocks, load_gif, lzw_decoded, lzw_encoded, read_gif, store_gif, write_gif
 
 
 def lzw_plain(samples: bytes, min_size: int = 8, clear_when_full: bool = True) -> bytes:
@@ -58,15 +59,29 @@ def lzw_plain(samples: bytes, min_size: int = 8, clear_when_full: bool = True) -
 @given(st.binary(max_size=400), st.integers(1, 40))
 def test_decodes_compressed_streams(chunk, times):
     data = chunk * times
-    assert lzw_decoded(lzw_plain(data), 8, len(data)).tobytes() == data
+    assert lzw_decoded(lzw_plain(data), 8, len(data)) == data
 
 
 @pytest.mark.parametrize("clear", [True, False])
 def test_full_table_and_deferred_clear(clear):
     rng = np.random.default_rng(1)
-    data = rng.integers(0, 5, 60_000).astype(np.uint8).tobytes()
-    assert lzw_decoded(lzw_plain(data, 8, clear), 8, len(data)).tobytes() == data
-    assert lzw_decoded(lzw_plain(data, 3, clear), 3, len(data)).tobytes() == data
+    data = rng.integers(0, 5, 400_000).astype(np.uint8).tobytes()
+    assert lzw_decoded(lzw_plain(data, 8, clear), 8, len(data)) == data
+    assert lzw_decoded(lzw_plain(data, 3, clear), 3, len(data)) == data
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(min_size=1, max_size=400), st.integers(1, 200))
+def test_encoder_streams_read_back(chunk, times):
+    data = chunk * times
+    assert lzw_decoded(lzw_encoded(data), 8, len(data)) == data
+
+
+def test_encoder_uses_the_table():
+    text = b"the same words come again and again, " * 4000
+    assert len(lzw_encoded(text)) < len(text) / 10
+    noise = np.random.default_rng(4).integers(0, 256, 90_000).astype(np.uint8).tobytes()
+    assert lzw_decoded(lzw_encoded(noise), 8, len(noise)) == noise
 
 
 @settings(max_examples=40, deadline=None)
@@ -89,7 +104,7 @@ def test_disposal_transparency_and_local_palette():
     frames, _ = read_gif(gif)
     red, green, white = 3 << 4, 3 << 2, 63
     h = [{i: n for i, n in enumerate(f["histogram"]) if n} for f in frames]
-    assert h == [{red: 4}, {red: 3, green: 1}, {red: 3, white: 1}, {red: 3}]
+    assert h == [{red: 4}, {red: 1, green: 1}, {white: 1}, {red: 1}]
     assert [f["at_ms"] for f in frames] == [0, 50, 100, 150]
 
 
@@ -102,7 +117,12 @@ def test_columns(spark):
         want = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         assert b"".join(f.samples for f in r.image.frames) == want and r.image.note == f"n_bytes={len(raw)}"
     assert len(rows) == 5 and len(rows[3].image.frames) > 1
-    assert load_gif(spark.createDataFrame([(b"GIF89a broken",), (None,)], "media binary")).select("image.frames").collect()[0][0] == []
+    whole = write_gif(b"ab" * 320)
+    bare = whole[:10] + b"\0" + whole[11:13] + whole[13 + 768 :]  # no palette
+    odd = [b"GIF89a broken", None, b"", bare, whole[:-300], whole[:6] + b"\xff\xff\xff\xff" + whole[10:], whole]
+    got = load_gif(spark.createDataFrame([(x,) for x in odd], "media binary")).select("image.frames").collect()
+    assert [len(r[0]) for r in got] == [0] * (len(odd) - 1) + [1]
+    assert load_gif(store_gif(df.limit(0))).count() == 0
 
 
 def test_query(spark):
@@ -114,4 +134,7 @@ def test_query(spark):
         raw = (d.text or "").encode()
         want = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         r = got[d.doc_id]
+        cells = Counter((b >> 6 << 4) | (b >> 3 & 3) << 2 | b & 3 for b in want)
+        assert r.feature == f"{-(-len(want) // 65536)}|" + ",".join(f"{c}:{cells[c]}" for c in sorted(cells))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), sha256(want).hexdigest(), zlib.crc32(want[-64:]))
+    assert sum(r.media_bytes for r in got.values()) < 0.8 * sum(r.payload_bytes for r in got.values())
