@@ -6,8 +6,8 @@ validates it (label structure, octet range, Luhn, digit counts, IBAN remainder,
 A region is parsed once per kind, so the work is linear in the text.
 
 Defined results: null and empty texts have no spans; offsets are code points with exclusive ends; spans come
-by kind in the order of KINDS, then by start; repeated rows give equal spans; other columns stay, and a column
-of the same name as the new one is replaced.
+by kind in the order of KINDS, then by start; spans of different kinds may overlap; texts of any length are searched whole; empty tables give
+none; repeated rows give equal spans; other columns stay, and a column of the same name as the new one is replaced.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from catalogspark.llm.packed import release
 
 BASE = ("email", "ip", "card", "phone")
-#: Kinds that only the anchors add: user info in an address, bank accounts, numbers behind a cue, street lines.
-KINDS = (*BASE, "userinfo", "iban", "account", "street")
+#: Kinds that only the anchors add: user info in an address, bank accounts, numbers behind a cue, street lines, secrets behind a cue or of a known form.
+KINDS = (*BASE, "userinfo", "iban", "account", "street", "secret")
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
@@ -32,6 +32,8 @@ SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.Struc
 IBAN_CUES = ("iban",)
 ACCOUNT_CUES = ("account", "acct", "konto", "compte", "cuenta", "passport", "ssn", "social security")
 STREET_CUES = (" Street", " Avenue", " Road", " Boulevard", " Lane", " Drive")
+SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "secret_key", "private_key", "bearer")
+KEY_PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "xoxb-", "xoxp-")
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _LABEL = re.compile(r"[A-Za-z0-9-]+")
@@ -39,8 +41,12 @@ _DOTTED = re.compile(r"[0-9.]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE_TAIL = re.compile(r"[ ().0-9-]*")
 _IBAN = re.compile(r"[\s:#.]{0,6}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_ACCOUNT = re.compile(r"(?:\s{1,2}(?:number|no\.?|nr\.?))?[\s:#.=]{1,6}([0-9](?:[ -]?[0-9]){5,17})(?![0-9A-Za-z])")
-_USERINFO = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=-]{1,128}:[A-Za-z0-9._~%!$&'()*+,;=-]{1,128})@[A-Za-z0-9]")
+_ACCOUNT = re.compile(r"(?:\s{1,2}(?i:number|no\.?|nr\.?))?[\s:#.=]{1,6}([0-9](?:[ -]?[0-9]){5,17})(?![0-9A-Za-z])")
+_USERINFO = re.compile(r"([A-Za-z0-9._~%!$&'()*+,;=-]+:[A-Za-z0-9._~%!$&'()*+,;=-]+)@[A-Za-z0-9]")
+_SECRET = re.compile(r"""["']?\s{0,3}(?:[:=]|(?<=[Bb]earer)\s)\s{0,3}["']?([A-Za-z0-9_+/.~=-]{8,})""")
+_KEY = re.compile(r"[A-Za-z0-9-]{16,}")
+#: Characters before a street cue that a street line can have at most, by its form.
+STREET_REACH = 110
 _STREET = re.compile(r"(?<![0-9A-Za-z])([0-9]{1,5}[A-Za-z]?(?: [A-Z][a-z]{1,30}){1,3})$")
 
 
@@ -69,10 +75,12 @@ def anchors():
         a.add_word("+" + d, ("plus", 2))
     a.add_word("@", ("at", 1))
     a.add_word("://", ("scheme", 3))
-    for group, cues in (("iban", IBAN_CUES), ("account", ACCOUNT_CUES)):
+    for group, cues in (("iban", IBAN_CUES), ("account", ACCOUNT_CUES), ("secret", SECRET_CUES)):
         for cue in cues:
-            for form in {cue, cue.upper(), cue.capitalize()}:
+            for form in {cue, cue.upper(), cue.capitalize(), cue.title()}:
                 a.add_word(form, (group, len(form)))
+    for prefix in KEY_PREFIXES:
+        a.add_word(prefix, ("key", len(prefix)))
     for cue in STREET_CUES:
         a.add_word(cue, ("street", len(cue)))
     a.make_automaton()
@@ -142,10 +150,21 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int]]:
                 found["userinfo"].append(m.span(1))
         elif group == "street":
             word_goes_on = after < size and text[after].isalnum()
-            m = None if word_goes_on else _STREET.search(text[max(0, at - 110) : at])
+            m = None if word_goes_on else _STREET.search(text[max(0, at - STREET_REACH) : at])
             if m:
-                found["street"].append((max(0, at - 110) + m.start(1), after))
-        elif at == 0 or not text[at - 1].isalnum():
+                found["street"].append((max(0, at - STREET_REACH) + m.start(1), after))
+        elif at and text[at - 1].isalnum():
+            continue
+        elif group == "secret":
+            if at >= done["secret"] and (m := _SECRET.match(text, after)):
+                done["secret"] = m.end()
+                if any(c.isdigit() for c in m[1]):
+                    found["secret"].append((m.start(1), m.start(1) + len(m[1].rstrip("."))))
+        elif group == "key":
+            if at >= done["secret"] and (m := _KEY.match(text, after)):
+                done["secret"] = m.end()
+                found["secret"].append((at, m.end()))
+        else:
             m = (_IBAN if group == "iban" else _ACCOUNT).match(text, after)
             if m and m.start(1) >= done[group] and (group == "account" or iban_ok(m[1])):
                 found[group].append(m.span(1))

@@ -17,7 +17,7 @@ def op6_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
     of = lambda k: F.size(F.filter("pii", lambda s: s["kind"] == k)).cast("bigint").alias(f"n_{k}")
     base = F.filter("pii", lambda s: s["kind"].isin(*BASE))
-    return docs.select("doc_id", *[of(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"))
+    return docs.select("doc_id", *[of(k) for k in BASE], F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("pii")).alias("spans"), F.size("pii").cast("bigint").alias("n_spans"))
 
 
 QUERIES = {"op6_pii_anchors": op6_pii_anchors}
