@@ -36,12 +36,12 @@ from catalogspark.sources.shared import drop_written, new_path, written
 SPACE = "▁"
 #: Characters of a segment at most, and of what a worker looks at at a time.
 MAX_SEGMENT = 1 << 16
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 #: Segments of a task of the lattice, and of a range of the dictionary.
 SEGMENTS_A_TASK = 40_000
 SEGMENTS_A_RANGE = 500_000
 #: Hashes that a worker remembers to have sent already.
-SEEN = 300_000
+SEEN = 200_000
 #: Nats that an unknown character costs beyond the worst piece.
 UNKNOWN_NATS = 10
 # Bits of a packed edge, from the left: end, length, cost, id.
@@ -154,14 +154,14 @@ class Cutter:
 
     def __call__(self, texts: list[str | None]):
         """(marked, starts, hashes, number) of runs of segments; number: how many segments each of the texts has in the run. A text of over CHUNK characters comes in several runs."""
-        marked = [SPACE + t.replace(" ", SPACE) if t else "" for t in texts]
+        sizes = [len(t) + 1 if t else 0 for t in texts]
         a = 0
-        while a < len(marked):
-            b, held = a + 1, len(marked[a])
-            while b < len(marked) and held + len(marked[b]) <= CHUNK:
-                held += len(marked[b])
+        while a < len(texts):
+            b, held = a + 1, sizes[a]
+            while b < len(texts) and held + sizes[b] <= CHUNK:
+                held += sizes[b]
                 b += 1
-            yield from self._runs("".join(marked[a:b]), [len(t) for t in marked[a:b]], a, len(marked))
+            yield from self._runs("".join([SPACE + t.replace(" ", SPACE) for t in texts[a:b] if t]), sizes[a:b], a, len(texts))
             a = b
 
     def _runs(self, text: str, sizes: list[int], first: int, n: int):
@@ -180,14 +180,21 @@ class Cutter:
             done += len(part)
 
 
+def _slices(batches, rows: int = 200):
+    """Small parts of the batches: what a worker holds of them at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def distinct_segments(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """h, seg: the distinct segments of all texts."""
     touching = docs.sparkSession.sparkContext.broadcast(pieces.touching())
 
     def run(batches):
         cutter, seen = Cutter(touching.value), set()
-        for batch in batches:
-            for marked, at, h, _ in cutter(batch.column(0).to_pylist()):
+        for part in _slices(batches):
+            for marked, at, h, _ in cutter(part.column(0).to_pylist()):
                 end = np.append(at[1:], len(marked))
                 h, where = np.unique(h, return_index=True)
                 signed = h.view(np.int64).tolist()
@@ -334,10 +341,8 @@ def _with_column(df: DataFrame, source: str, into: str, kind: T.DataType, begin)
 
     def run(batches):
         make = begin()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(names.index(source)))], names=[*names, into])
+        for part in _slices(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns, make(part.column(names.index(source)))], names=[*names, into])
 
     return df.mapInArrow(lean(run), T.StructType([*df.schema.fields, T.StructField(into, kind)]))
 
