@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import functools
-import tempfile
 import uuid
 
 import numpy as np
@@ -57,25 +56,32 @@ def store(uri: str, *arrays: np.ndarray) -> None:
 
 
 class Mapped:
-    """Stored files of a folder by name, memory-mapped when first needed; None for a file that isn't there."""
+    """Stored files of a folder by name; None for a file that isn't there.
+
+    Files of a mounted folder are memory-mapped when first needed. From other stores they are read into memory, the last few
+    of them are kept: ``HELD`` bytes at most, or one file.
+    """
+
+    HELD = 256_000_000
 
     def __init__(self, base: str):
         self.fs, self.path = pafs.FileSystem.from_uri(base)
         self.open: dict[str, np.ndarray | None] = {}
 
     def __call__(self, name: str) -> np.ndarray | None:
-        if name not in self.open:
-            path = f"{self.path}/{name}"
-            if self.fs.get_file_info(path).type != pafs.FileType.File:
-                self.open[name] = None
-            elif isinstance(self.fs, pafs.LocalFileSystem):
-                self.open[name] = np.memmap(path, np.uint8, "r")
-            else:  # a store that can't be mapped: a local copy without a name
-                with tempfile.TemporaryFile() as f, self.fs.open_input_stream(path) as source:
-                    while chunk := source.read(1 << 24):
-                        f.write(chunk)
-                    f.flush()
-                    self.open[name] = np.memmap(f, np.uint8, "r")
+        if name in self.open:
+            return self.open[name]
+        path = f"{self.path}/{name}"
+        info = self.fs.get_file_info(path)
+        if info.type != pafs.FileType.File:
+            self.open[name] = None
+        elif isinstance(self.fs, pafs.LocalFileSystem):
+            self.open[name] = np.memmap(path, np.uint8, "r")
+        else:
+            while self.open and sum(len(x) for x in self.open.values() if x is not None) + info.size > self.HELD:
+                self.open.pop(next(iter(self.open)))
+            with self.fs.open_input_stream(path) as source:
+                self.open[name] = np.frombuffer(source.read(), np.uint8)
         return self.open[name]
 
 
