@@ -101,19 +101,41 @@ def release(parsed_ok: Column, values: Column, safety: Column, licence_open: Col
     return F.struct(status.alias("example_status"), F.when(status == "AVAILABLE", values).alias("examples"))
 
 
+def _numbered_without(df: DataFrame, number: str, left_out: Column, into: str, slice_rows: int = 100_000) -> DataFrame:
+    """The rows that aren't left out, with ``into``: number less the rows left out before it. Slices of numbers are counted first, so no task holds more than one."""
+    part = df.withColumns({"_slice": F.floor(F.col(number) / slice_rows), "_out": left_out.cast("int")})
+    outs = part.groupBy("_slice").agg(F.sum("_out").alias("_n"))
+    earlier = F.coalesce(F.sum("_n").over(W.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row a slice
+    before = F.sum("_out").over(W.partitionBy("_slice").orderBy(number))
+    kept = part.withColumn("_here", before).where("_out = 0").join(outs.select("_slice", earlier.alias("_before")), "_slice")
+    return kept.withColumn(into, F.col(number) - F.col("_here") - F.col("_before")).drop("_slice", "_out", "_here", "_before")
+
+
+def column_index(ingested: dict[str, DataFrame]) -> DataFrame:
+    """list_key, column_name: the distinct names of observed columns, as they stand."""
+    return ingested["columns"].select("list_key", F.col("name").alias("column_name")).distinct()
+
+
+def asset_page(assets: DataFrame, most: int = 20) -> DataFrame:
+    """The first assets of each key by file name, with how many the key has."""
+    by = W.partitionBy("list_key")
+    return assets.withColumns({"place": F.row_number().over(by.orderBy("file_name", "asset_id")), "assets_total": F.count("*").over(by)}).where(F.col("place") <= most)
+
+
 def ingest(profile: DataFrame, licences: DataFrame) -> dict[str, DataFrame]:
     """profile(row_no, list_key, file_name, sheet, ordinal, name, samples), licences(list_key, open) -> assets, tables, columns, rejected.
 
-    Of an asset (list_key, file_name) the first run of adjacent rows counts; later runs are rejected row by row. A
+    Of an asset (list_key, file_name) the first run of adjacent rows counts; later runs are rejected row by row. Rows without key or file
+    are rejected and don't end a run. A
     sheet is valid if its ordinals are 1..n; an asset is AVAILABLE with all sheets valid, PARTIAL with some, else COLLECTION_FAILED.
     """
     p = profile.withColumn("bad", F.when(F.coalesce(ttrim("list_key"), F.lit("")) == "", "NO_KEY").when(F.coalesce(ttrim("file_name"), F.lit("")) == "", "NO_FILE"))
     rejected = p.where("bad is not null").groupBy(F.col("bad").alias("reason")).agg(F.count("*").alias("n"))
     asset = ["list_key", "file_name"]
-    good = p.where("bad is null").drop("bad")
-    # a row starts a run when the row before it in the file is not of its asset
-    near = F.lag("row_no").over(W.partitionBy(*asset).orderBy("row_no"))
-    runs = good.withColumn("run", F.sum(F.coalesce(F.col("row_no") - near > 1, F.lit(False)).cast("int")).over(W.partitionBy(*asset).orderBy("row_no")))
+    good = _numbered_without(p, "row_no", F.col("bad").isNotNull(), "good_no").drop("bad")
+    # a row starts a run when the good row before it in the file is not of its asset
+    near = F.lag("good_no").over(W.partitionBy(*asset).orderBy("row_no"))
+    runs = good.withColumn("run", F.sum(F.coalesce(F.col("good_no") - near > 1, F.lit(False)).cast("int")).over(W.partitionBy(*asset).orderBy("row_no"))).drop("good_no")
     late = runs.where("run > 0").agg(F.count("*").alias("n")).select(F.lit("NON_CONTIGUOUS").alias("reason"), "n").where("n > 0")
     rows = runs.where("run = 0").withColumn("sheet", F.coalesce("sheet", F.lit("")))
     place = F.row_number().over(W.partitionBy(*asset, "sheet").orderBy("ordinal", "row_no"))

@@ -22,6 +22,9 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int, group: list
 
     The row after the page is fetched too, so the rest of the group is never counted.
     """
+    if not group:
+        # the first rows are found in each task and merged; only they are numbered
+        df = df.orderBy(*order).limit(offset + size + 1)
     ranked = df.withColumn("row_no", F.row_number().over(W.partitionBy(*(group or [F.lit(0)])).orderBy(*order)).cast("bigint"))
     near = ranked.where(F.col("row_no") <= offset + size + 1)
     last = F.max("row_no").over(W.partitionBy(*(group or [F.lit(0)])))

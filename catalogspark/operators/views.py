@@ -10,6 +10,16 @@ from catalogspark.functions import vocabulary as V
 from catalogspark.operators.quality import distribution, freshness
 
 
+SUMMARY = [
+    *[F.col(c) for c in ("record_id", "list_key", "list_type", "title", "theme_top", "org_name", "formats", "update_cycle", "modified_date")],
+    F.transform("regions", lambda r: r["code"]).alias("regions"),
+    F.struct("profile", "filled", "total", "score").alias("completeness"),
+    F.col("list_url"),
+]
+#: Fields that a card says are stated or not.
+KEY_FIELDS = {"spatial_raw": "has_spatial", "temporal_raw": "has_temporal", "data_limits": "has_limits"}
+
+
 def with_structure_flag(listings: DataFrame, coverage: DataFrame, key: str = "list_key") -> DataFrame:
     """Add structure_available: the key is covered, wholly or in part."""
     seen = coverage.where(F.col("coverage").isin("AVAILABLE", "PARTIAL")).select(key).distinct().withColumn("structure_available", F.lit(True))
@@ -25,14 +35,14 @@ def with_top_percent(rated: DataFrame) -> DataFrame:
 
 def summary(listings: DataFrame) -> DataFrame:
     """The short form that search shows."""
-    return listings.select("record_id", "list_key", "list_type", "title", "theme_top", "org_name", "formats", "update_cycle", "modified_date", F.transform("regions", lambda r: r["code"]).alias("regions"), F.struct("profile", "filled", "total", "score").alias("completeness"), "list_url")
+    return listings.select(*SUMMARY)
 
 
 def card(listings: DataFrame, ref_date: Column) -> DataFrame:
     """Summary with the field checklist, freshness, licence, limits and contact."""
     fresh = freshness(F.col("update_cycle"), F.to_date(F.col("modified_date").try_cast("date")), ref_date)
-    more = listings.select("record_id", F.col("fields").alias("checklist"), fresh.alias("freshness"), "license_code", "fee", "data_limits", "dept_phone", F.col("spatial_raw").isNotNull().alias("has_spatial"), F.col("temporal_raw").isNotNull().alias("has_temporal"))
-    return summary(listings).join(more, "record_id")
+    more = [F.col("fields").alias("checklist"), fresh.alias("freshness"), F.col("license_code"), F.col("fee"), F.col("data_limits"), F.col("dept_phone")]
+    return listings.select(*SUMMARY, *more, *[F.col(c).isNotNull().alias(n) for c, n in KEY_FIELDS.items()])
 
 
 def normalized_view(listings: DataFrame) -> DataFrame:

@@ -5,20 +5,27 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from catalogspark.functions.text import hmac_sha256
 
 # Part of a user agent -> client family, first match counts.
-CLIENTS = {"claude": "claude", "chatgpt": "chatgpt", "openai": "chatgpt", "gemini": "gemini", "cursor": "cursor", "vscode": "vscode", "python": "python", "node": "node", "curl": "curl", "mozilla": "browser"}
+CLIENTS = {"claude-code": "claude-code", "claude": "claude", "openai": "openai", "chatgpt": "openai", "python-httpx": "sdk", "node": "sdk"}
 LOG = "ts timestamp, path string, status int, ms bigint, address string, agent string, q string, zero boolean, opt_out boolean"
+ANONYMOUS = "ts timestamp, path string, status int, ms bigint, anon string, client string, q string, zero boolean, day date"
+
+
+def read_log(spark: SparkSession, folder: str, stream: bool = False) -> DataFrame:
+    """The anonymized log that append_log writes: JSON lines in a folder a day."""
+    reader = (spark.readStream if stream else spark.read).schema(ANONYMOUS)
+    return reader.json(folder)
 
 
 def client_family(agent: Column) -> Column:
-    a = F.lower(F.coalesce(agent, F.lit("")))
-    return F.coalesce(*[F.when(F.contains(a, F.lit(k)), v) for k, v in CLIENTS.items()], F.lit("other"))
+    a = F.lower(agent)
+    return F.coalesce(F.when(F.coalesce(agent, F.lit("")) == "", "unknown"), *[F.when(F.contains(a, F.lit(k)), v) for k, v in CLIENTS.items()], F.lit("other"))
 
 
 def anonymized(events: DataFrame, key: bytes, prefix: str = "/api/") -> DataFrame:

@@ -109,6 +109,18 @@ def test_ingest_rejects_late_islands(spark):
     assert {(r.name, r.example_status) for r in out["columns"].collect()} == {("a", "AVAILABLE"), ("b", "NOT_COLLECTED")}
 
 
+def test_ingest_keeps_a_run_around_rejected_rows(spark):
+    rows = [(2, "k", "f", "s", 1, "a", None), (3, None, "f", "s", 9, "bad", None), (4, "k", " ", "s", 9, "bad", None), (5, "k", "f", "s", 2, "b", None), (6, "j", "f", "s", 1, "x", None), (7, "k", "f", "s", 3, "late", None)]
+    p = spark.createDataFrame(rows, "row_no long, list_key string, file_name string, sheet string, ordinal int, name string, samples string")
+    out = observe.ingest(p, spark.createDataFrame([], "list_key string, open boolean"))
+    assert {(r.list_key, r.status, r.n_columns) for r in out["assets"].collect()} == {("k", "AVAILABLE", 2), ("j", "AVAILABLE", 1)}
+    assert {(r.reason, r.n) for r in out["rejected"].collect()} == {("NO_KEY", 1), ("NO_FILE", 1), ("NON_CONTIGUOUS", 1)}
+    assert {(r.list_key, r.column_name) for r in observe.column_index(out).collect()} == {("k", "a"), ("k", "b"), ("j", "x")}
+    numbers = spark.range(1, 1001).select(F.col("id").alias("n"))
+    got = observe._numbered_without(numbers, "n", F.col("n") % 7 == 0, "g", 50).orderBy("n").collect()
+    assert [r.g for r in got] == list(range(1, len(got) + 1))
+
+
 def test_plan_rules(spark):
     df = spark.createDataFrame([("서울의 버스 정류장 위치를 분석하고 싶다",)], "p string")
     terms, region = plan.extract_terms(F.col("p"))
@@ -148,7 +160,8 @@ def test_usage_streams(spark, tmp_path):
     stream = spark.readStream.schema(usage.LOG).json(src)
     usage.append_log(stream, b"k", f"file://{tmp_path}/log", f"file://{tmp_path}/c1").awaitTermination(120)
     log = spark.read.json(f"file://{tmp_path}/log")
-    assert log.count() == 10 and {len(r.q) for r in log.collect()} == {200} and {r.client for r in log.collect()} == {"browser"}
+    assert usage.read_log(spark, f"file://{tmp_path}/log").where("day = date'2026-01-01' and ts is not null and length(anon) = 12").count() == 10
+    assert log.count() == 10 and {len(r.q) for r in log.collect()} == {200} and {r.client for r in log.collect()} == {"other"}
     anon = usage.anonymized(stream, b"k")
     q = usage.rate_limited(anon, limit=3, seconds=60).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/c2").trigger(availableNow=True).start()
     q.awaitTermination(120)
