@@ -2,6 +2,7 @@
 
 EMPTY = ("", "-", "null", "없음")
 
+# Code dictionaries.
 CYCLES = {"수시": "IRREGULAR", "일간": "DAILY", "주간": "WEEKLY", "월간": "MONTHLY", "분기": "QUARTERLY", "반기": "SEMIANNUAL", "연간": "ANNUAL", "-": "UNSPECIFIED", "": "UNSPECIFIED"}
 LICENSES = {
     "이용허락범위 제한 없음": "NO_RESTRICTION",
@@ -36,6 +37,7 @@ PROFILE_COLUMNS = {
 }
 
 #: code, name, plain aliases, ambiguous aliases
+# The regions.
 REGIONS = [
     ("KR-11", "서울특별시", ["서울특별시", "서울시", "서울"], []),
     ("KR-26", "부산광역시", ["부산광역시", "부산시", "부산"], []),
@@ -58,20 +60,22 @@ REGIONS = [
 EVIDENCE = {"EXPLICIT_SPATIAL": 0.95, "INFERRED_FROM_TITLE": 0.8, "INFERRED_FROM_PUBLISHER": 0.6, "INFERRED_FROM_DESCRIPTION": 0.5}
 AMBIGUOUS_PENALTY = 0.3
 
-_COMMON = ["title", "theme", "org_name", "update_cycle", "keywords", "description"]
-_DATED = ["created_date", "modified_date", "list_url", "spatial", "temporal"]
+# The fields that each list type's profile asks for.
 COMPLETENESS = {
-    "FILE": [*_COMMON, "license", *_DATED, "data_limits", "format", "row_count", "file_data_name"],
-    "API": [*_COMMON, "license", *_DATED, "data_limits", "api_type", "traffic"],
-    "STD": [*_COMMON, *_DATED, "format"],
+    "FILE": ["title", "theme", "org_name", "update_cycle", "keywords", "description", "license", "created_date", "modified_date", "list_url", "spatial", "temporal", "data_limits", "format", "row_count", "file_data_name"],
+    "API": ["title", "theme", "org_name", "update_cycle", "keywords", "description", "license", "created_date", "modified_date", "list_url", "spatial", "temporal", "data_limits", "api_type", "traffic"],
+    "STD": ["title", "theme", "org_name", "update_cycle", "keywords", "description", "created_date", "modified_date", "list_url", "spatial", "temporal", "format"],
 }
+# Numbers that stand for none.
 DUMMIES = (999999, 99999999, 9999, -1, -9)
 
+# Words of the query interpretation.
 FORMAT_ALIASES = {"CSV": "CSV", "JSON": "JSON", "XML": "XML", "XLSX": "XLSX", "엑셀": "XLSX", "EXCEL": "XLSX", "PDF": "PDF", "SHP": "SHP"}
 CYCLE_ALIASES = {"일간": "DAILY", "매일": "DAILY", "주간": "WEEKLY", "매주": "WEEKLY", "월간": "MONTHLY", "매월": "MONTHLY", "분기": "QUARTERLY", "반기": "SEMIANNUAL", "연간": "ANNUAL", "매년": "ANNUAL", "수시": "IRREGULAR"}
 TYPE_ALIASES = {"API": "API", "파일": "FILE", "FILE": "FILE", "표준": "STD", "STD": "STD"}
 REGION_TOKENS = {a: code for code, name, plain, more in REGIONS for a in (*plain, *more, name)}
 
+# Words and patterns of the plan rules.
 STOPWORDS = ["데이터", "공공데이터", "자료", "정보", "관련", "및", "대한", "위한", "위해", "분석하고", "분석하려고", "검토", "검토하고", "활용", "활용하려고", "참고", "참고할", "싶다", "싶어", "싶습니다", "한다", "하려고", "합니다", "찾아줘", "찾아", "알려줘", "필요한", "필요하다", "중인데", "있는", "하는"]
 PARTICLES = ["에서", "으로", "까지", "부터", "이나", "라도", "을", "를", "이", "가", "은", "는", "도", "의", "와", "과", "로", "에"]
 ROLE_PATTERNS = {"DEMAND": r"인구|수요|이용객|이용량|이용현황|등록\s?대수|가구|세대|방문객|승하차", "SUPPLY": "시설|위치|충전소|정류장|기관|센터|병원|의원|약국|학교|주차장|쉼터|도서관", "REFERENCE": "코드|분류체계|표준"}
@@ -86,6 +90,7 @@ JOIN_KEYS = {
     "사업자등록번호": ["사업자.{0,2}등록.{0,2}번호"],
 }
 
+# Words and patterns of the safety screen.
 NAME_WITHHELD = ["주민등록", "주민번호", "생년월일", "전화", "연락처", "휴대폰", "핸드폰", "휴대전화", "이메일", "메일주소", "email", "e-mail", "계좌", "카드번호", "차량번호", "차량 번호", "여권", "면허번호", "자격번호", "상세주소"]
 NAME_WITHHELD_SUFFIX = ["성명", "대표자명", "담당자명", "신청인명", "환자명", "학생명"]
 NAME_WITHHELD_EXACT = ["이름", "성함"]
@@ -98,9 +103,9 @@ VALUE_PATTERNS = {
 }
 FREE_TEXT_LENGTH = 80
 BOOL_WORDS = ["y", "n", "true", "false", "예", "아니오", "유", "무"]
-CHANGE_STATUSES = ("ADDED", "MODIFIED", "MISSING_FROM_SNAPSHOT", "REAPPEARED", "POSSIBLE_IDENTITY_CHANGE", "OFFICIALLY_WITHDRAWN")
 TRACKED = ["title", "org_name", "theme_raw", "update_cycle", "format_raw", "license_raw", "modified_date", "description", "list_url", "row_count"]
 
+# Patterns of family titles.
 TITLE_BRACKETS = r"[\(\[［（].*?[\)\]］）]"
 TITLE_DIGITS = "[0-9０-９]+"
 TITLE_SEPARATORS = r"[\s_\-·.,~년월일차회호기'\"]+"

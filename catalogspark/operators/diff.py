@@ -36,6 +36,23 @@ def snapshot_diff(prev: DataFrame, cur: DataFrame, key: str, tracked: list[str]
     return both.select("record_id", status.alias("status"), kept.alias("changed_fields"))
 
 
+def described(feed: DataFrame, prev: DataFrame, cur: DataFrame, base_snapshot: str) -> DataFrame:
+    """The feed with list_key, title and org_name of each record, as it stands now or, where it is gone, as it stood, and the base."""
+    names = ["list_key", "title", "org_name"]
+    side = lambda df, s: df.select("record_id", F.struct(*names).alias(s))
+    both = feed.join(side(cur, "c"), "record_id", "left").join(side(prev, "p"), "record_id", "left").withColumn("d", F.coalesce("c", "p"))
+    return both.select("record_id", "status", "changed_fields", *[F.col(f"d.{n}").alias(n) for n in names], F.lit(base_snapshot).alias("base_snapshot"))
+
+
+def feed_summary(feed: DataFrame | None, spark) -> DataFrame:
+    """One row: base snapshot, rows by status, and why there is no base where there is none."""
+    if feed is None:
+        feed = spark.createDataFrame([], "status string, base_snapshot string")
+    counts = feed.groupBy("status").agg(F.count("*").alias("n"), F.max("base_snapshot").alias("b"))
+    row = counts.agg(F.max("b").alias("base_snapshot"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("status", "n")))).alias("summary"), F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
+    return row.withColumn("base_unavailable", F.when(F.col("base_snapshot").isNull(), "FIRST_SNAPSHOT_OR_DIFF_NOT_GENERATED"))
+
+
 def carried_forward(new_feed: DataFrame, stored_feed: DataFrame) -> DataFrame:
     """On a rebuild of the same snapshot the stored feed is kept if it has any row."""
     return new_feed if stored_feed.isEmpty() else stored_feed

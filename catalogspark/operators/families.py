@@ -81,6 +81,16 @@ def detect_families(records: DataFrame, structures: DataFrame, reviews: DataFram
     return fam.drop("component"), members.join(fam.select("component", "family_id"), "component").select("family_id", "record_id", "list_key")
 
 
+def family_totals(families: DataFrame | None, files_total, spark=None) -> DataFrame:
+    """One row: available, families, member_records, files_total, by_evidence, by_review. families None: a release without the table, which isn't 0."""
+    if families is None:
+        return spark.createDataFrame([(False,)], "available boolean").select("available", *[F.lit(None).cast("bigint").alias(c) for c in ("families", "member_records", "files_total")], *[F.lit(None).cast("map<string,bigint>").alias(c) for c in ("by_evidence", "by_review")])
+    counts = families.groupBy("evidence", "review").agg(F.count("*").alias("n"), F.sum("n_members").alias("m"))  # a row for each pair of words
+    by = lambda c: counts.groupBy(F.col(c).alias("k")).agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "n")))))
+    row = counts.agg(F.lit(True).alias("available"), F.coalesce(F.sum("n"), F.lit(0)).alias("families"), F.coalesce(F.sum("m"), F.lit(0)).alias("member_records")).withColumn("files_total", files_total)
+    return row.join(by("evidence").toDF("by_evidence"), F.lit(True)).join(by("review").toDF("by_review"), F.lit(True))
+
+
 def merge_reviews(existing: DataFrame, sheet: DataFrame) -> DataFrame:
     """Sheet rows win; blank verdicts are skipped; an unknown verdict stops the merge."""
     allowed = ("CONFIRMED_FAMILY", "LEGITIMATE_SPLIT", "NOT_A_FAMILY")

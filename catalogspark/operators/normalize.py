@@ -71,7 +71,8 @@ def catalog_completeness(df: DataFrame) -> DataFrame:
     has = lambda x: F.col(x).isNotNull() & (F.col(x).cast("string") != "")
     checks = {k: has(k) for k in ("title", "org_name", "description", "created_date", "modified_date", "list_url", "data_limits", "row_count", "file_data_name", "api_type", "traffic")}
     checks |= {"theme": has("theme_raw"), "spatial": has("spatial_raw"), "temporal": has("temporal_raw"), "update_cycle": F.col("update_cycle") != "UNSPECIFIED", "license": F.col("license_code") != "UNSPECIFIED", "keywords": F.size("keywords") > 0, "format": F.size("formats") > 0}
-    return completeness(df, checks, F.col("list_type"), V.COMPLETENESS, "FILE")
+    out = completeness(df, checks, F.col("list_type"), V.COMPLETENESS, "FILE")
+    return out.withColumn("rule", F.concat(F.lit("catalog-completeness-"), F.lower("profile"), F.lit("-v1.0")))
 
 
 def catalog_issues(df: DataFrame) -> DataFrame:

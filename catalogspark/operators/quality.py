@@ -97,6 +97,31 @@ def acceptance(df: DataFrame, key: str, url: Column, source_rows: int, source_ur
     return r.selectExpr("stack(4, 'ROW_COUNT', n = %d, 'NO_DUPLICATE_ID', n = k, 'URL_COUNT', u = %d, 'RULE_PRESENT', r = 0) as (check_name, passed)" % (source_rows, source_urls))
 
 
+def discoverability(df: DataFrame) -> DataFrame:
+    """One row: indicators (struct of eight shares, to four places), readiness (their mean); no rows is an error."""
+    c, url = F.col, F.coalesce(F.col("list_url").rlike("(?i)^https?://"), F.lit(False))
+    presence = {
+        "identifierPresence": F.coalesce(c("list_key"), F.lit("")) != "",
+        "titlePresence": F.coalesce(c("title"), F.lit("")) != "",
+        "descriptionPresence": c("description").isNotNull(),
+        "publisherPresence": c("org_name").isNotNull(),
+        "licensePresence": c("license_code") != "UNSPECIFIED",
+        "keywordPresence": F.size("keywords") > 0,
+        "datePresence": c("modified_date").isNotNull() & c("created_date").isNotNull(),
+        "urlFormatValidity": url,
+    }
+    share = [F.round(F.count_if(x) / F.count("*"), 4).alias(k) for k, x in presence.items()]
+    some = F.when(F.count("*") > 0, F.struct(*share)).otherwise(F.raise_error(F.lit("an empty catalog has no discoverability")))
+    out = df.agg(some.alias("indicators"))
+    mean = sum((c(f"indicators.{k}") for k in presence), F.lit(0.0)) / len(presence)
+    return out.withColumn("readiness", F.round(mean, 4))
+
+
+def averages(df: DataFrame) -> DataFrame:
+    """profile, n, average: mean completeness score of each profile."""
+    return df.groupBy("profile").agg(F.count("*").alias("n"), F.round(F.avg("score"), 4).alias("average"))
+
+
 def systemic_rate(df: DataFrame, presence: dict[str, Column]) -> DataFrame:
     """Discoverability: present and all rows per field."""
     aggs = [F.count_if(c).alias(k) for k, c in presence.items()]

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from catalogspark.functions.text import short_id
 from catalogspark.operators import observe, plan, search
 from catalogspark.plans.queries_search import _FOUR, _bm25_sql, _four, _whole
-from catalogspark.sources.export import stamped, uri, with_nulls
+from catalogspark.sources.export import as_json, json_object, stamped, uri
 from catalogspark.sources.shared import table
 from catalogspark.streaming import usage
 
@@ -184,7 +184,7 @@ def plan_terms(spark, d):
 @query("SELECT doc_id AS record_id, 'https://catalog.example/dataset/' || doc_id AS uri, lang, n_chars, 'b' AS last_null FROM documents")
 def export_documents(spark, d):
     docs = stamped(table(spark, d, "documents"), "2024-06", "1.8.0", ["b", "a", "b"])
-    body = with_nulls(F.to_json(F.struct(uri("https://catalog.example", "dataset", F.col("doc_id")).alias("@id"), F.col("lang").alias("language"), F.col("n_chars").alias("size"))), ["conformsTo"])
+    body = json_object({"@id": as_json(uri("https://catalog.example", "dataset", F.col("doc_id"))), "language": as_json(F.col("lang")), "size": as_json(F.col("n_chars")), "conformsTo": F.lit("null")})
     read = F.from_json(body, "struct<`@id`:string,language:string,size:bigint,conformsTo:string>")
     return docs.select(F.col("doc_id").alias("record_id"), read.alias("r"), "rules").select("record_id", F.col("r.@id").alias("uri"), F.col("r.language").alias("lang"), F.col("r.size").alias("n_chars"), F.element_at("rules", -1).alias("last_null"))
 

@@ -1,4 +1,5 @@
 import csv
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 from catalogspark.functions import vocabulary as V
 from catalogspark.functions.text import coded, empty_to_null, hmac_sha256, norm_title, safe_int, split_first, title_tokens, tokens, ttrim
 from catalogspark.operators import quality
+from catalogspark.operators.diff import feed_summary
 from catalogspark.operators.regions import match_gazetteer
 
 
@@ -94,7 +96,7 @@ def write_csv(path, rows, encoding="utf-8-sig"):
 
 def test_build(spark, tmp_path):
     from catalogspark.plans.build import GateError, build
-    from catalogspark.sources.export import read_release
+    from catalogspark.sources.export import published, read_published
 
     out = f"file://{tmp_path}/release"
     t = build(spark, write_csv(tmp_path / "a.csv", snapshot_rows(12)), "2026-06", out)
@@ -109,12 +111,27 @@ def test_build(spark, tmp_path):
     assert t["families"].count() >= 1
     t2 = build(spark, write_csv(tmp_path / "b.csv", snapshot_rows(12, drop={4}, touch={5})), "2026-07", out, previous="2026-06")
     assert {(x.record_id, x.status) for x in t2["changes"].collect()} == {("10000004", "MISSING_FROM_SNAPSHOT"), ("10000005", "MODIFIED")}
-    assert read_release(spark, f"{out}/listings", "2026-06").count() == 15
+    assert read_published(spark, out, "listings", "2026-06").count() == 15
+    # a record that was missing comes back, and a rebuild keeps the feed and replaces the release
+    t3 = build(spark, write_csv(tmp_path / "d.csv", snapshot_rows(12, drop={6}, touch={5})), "2026-08", out, previous="2026-07")
+    feed = {x.record_id: x for x in t3["changes"].collect()}
+    assert {k: x.status for k, x in feed.items()} == {"10000004": "REAPPEARED", "10000006": "MISSING_FROM_SNAPSHOT"}
+    assert feed["10000006"].title.startswith("구1_버스") and feed["10000006"].base_snapshot == "2026-07"
+    folder = published(spark, out).where("snapshot = '2026-08'").head().folder
+    build(spark, write_csv(tmp_path / "d.csv", snapshot_rows(12, drop={6}, touch={5})), "2026-08", out, previous="2026-08")
+    assert published(spark, out).where("snapshot = '2026-08'").head().folder != folder
+    assert {x.record_id: x.status for x in read_published(spark, out, "changes", "2026-08").collect()} == {"10000004": "REAPPEARED", "10000006": "MISSING_FROM_SNAPSHOT"}
+    s = feed_summary(read_published(spark, out, "changes", "2026-08"), spark).head()
+    assert (s.base_snapshot, s.summary, s.base_unavailable) == ("2026-07", {"MISSING_FROM_SNAPSHOT": 1, "REAPPEARED": 1}, None)
+    assert feed_summary(None, spark).head().base_unavailable == "FIRST_SNAPSHOT_OR_DIFF_NOT_GENERATED"
+    doc = json.loads(spark.read.text(f"{folder}/bulk/datasets").orderBy(F.desc("value")).head().value)
+    assert doc["kdp:qualityTier"] is None and doc["publisher"]["foaf:name"] == "서울특별시" and doc["accrualPeriodicity"][1]["@id"].endswith("/ANNUAL")
+    assert json.loads(spark.read.text(f"{folder}/catalog").head().value)["kdp:datasetCount"] == 14
     bad = snapshot_rows(3)
     bad[0]["목록유형"] = "ODD"
     with pytest.raises(GateError):
-        build(spark, write_csv(tmp_path / "c.csv", bad), "2026-08", out)
-    assert read_release(spark, f"{out}/listings", "2026-08").count() == 0
+        build(spark, write_csv(tmp_path / "c.csv", bad), "2026-09", out)
+    assert read_published(spark, out, "listings", "2026-09") is None
 
 
 def test_encodings(spark, tmp_path):
