@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -39,19 +39,19 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], k: int = 10, decimals: int = 6) -> DataFrame:
-    """queries(query_id, text) over docs -> query_id, mode, rank, doc, score.
+def matches(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """queries(query_id, text) over docs -> query_id, mode, doc, score: every match.
 
-    A document matches by all terms; queries with no such match and several terms fall back to any term. Both are
-    ranked from one pass of scores. Only postings of query terms are formed beyond the filter on terms: the batch's terms are joined, and
-    broadcast by the planner when small.
+    A document matches by all terms; queries with no such match and several terms fall back to any term. Both are scored in one pass.
+    Only postings of query terms are formed beyond the filter on terms: the batch's terms are joined, and broadcast by the planner when
+    small. With a stored index (read_index) no text is read.
     """
     q = queries.select("query_id", F.array_distinct(terms_of(F.col("text"))).alias("t")).where(F.size("t") > 0)
     asked = q.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    stats = corpus_stats(docs, key, list(fields)).head()
+    stats = (corpus_stats(docs, key, list(fields)) if index is None else index["totals"]).head()
     average = stats["total_len"] / max(1, stats["n_docs"])
     # join before counting: only occurrences of asked terms are aggregated
-    posted = postings(docs, key, fields).join(asked.select("term").distinct(), "term", "left_semi")
+    posted = (postings(docs, key, fields) if index is None else in_shards(index["postings"], asked)).join(asked.select("term").distinct(), "term", "left_semi")
     df = document_frequency(posted)
     idf = F.log(1 + (F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
@@ -60,8 +60,48 @@ def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float]
     every = scored.withColumn("all_terms", F.col("hit") == F.col("n_terms"))
     exact = every.where("all_terms").select("query_id").distinct().withColumn("exact", F.lit(True))
     kept = every.join(exact, "query_id", "left").where(F.col("all_terms") | F.col("exact").isNull())
+    return kept.select("query_id", F.when(F.col("exact"), "AND").otherwise("OR").alias("mode"), "doc", "score")
+
+
+def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], k: int = 10, decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The first k matches of each query by score, ties by id: query_id, mode, rank, doc, score."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))
-    return kept.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.when(F.col("exact"), "AND").otherwise("OR").alias("mode"), "rank", "doc", "score")
+    return matches(queries, docs, key, fields, decimals, index).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "mode", "rank", "doc", "score")
+
+
+def newest(matched: DataFrame, docs: DataFrame, key: str, date: str, k: int = 10) -> DataFrame:
+    """The first k matches of each query by date, newest first, undated last, ties by id."""
+    dated = matched.join(docs.select(F.col(key).alias("doc"), date), "doc")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last(date), "doc"))
+    return dated.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc", date)
+
+
+# ---- the stored index
+
+
+#: Folders that postings are dealt to by their term: a batch of queries reads the folders of its terms.
+SHARDS = 64
+
+
+def _shard(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
+
+
+def write_index(docs: DataFrame, key: str, fields: dict[str, float], path: str) -> None:
+    """Postings in folders by term, sorted by term, and the totals that scores need: made once a release, read by every batch."""
+    posted = postings(docs, key, fields).withColumn("shard", _shard(F.col("term")))
+    posted.repartition("shard", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
+    corpus_stats(docs, key, list(fields)).write.mode("overwrite").parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    return {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "totals")}
+
+
+def in_shards(posted: DataFrame, asked: DataFrame) -> DataFrame:
+    """The postings in the folders of the asked terms; at most SHARDS numbers come to the driver."""
+    shards = [r["s"] for r in asked.select(_shard(F.col("term")).alias("s")).distinct().collect()]
+    return posted.where(F.col("shard").isin(shards or [-1])).drop("shard")
 
 
 def filtered(df: DataFrame, *, theme: str | None = None, org: str | None = None, fmt: str | None = None, cycle: str | None = None, licence: str | None = None, kind: str | None = None, since: str | None = None, region: str | None = None, inferred: bool = True) -> DataFrame:

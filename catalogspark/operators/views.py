@@ -10,12 +10,6 @@ from catalogspark.functions import vocabulary as V
 from catalogspark.operators.quality import distribution, freshness
 
 
-SUMMARY = [
-    *[F.col(c) for c in ("record_id", "list_key", "list_type", "title", "theme_top", "org_name", "formats", "update_cycle", "modified_date")],
-    F.transform("regions", lambda r: r["code"]).alias("regions"),
-    F.struct("profile", "filled", "total", "score").alias("completeness"),
-    F.col("list_url"),
-]
 #: Fields that a card says are stated or not.
 KEY_FIELDS = {"spatial_raw": "has_spatial", "temporal_raw": "has_temporal", "data_limits": "has_limits"}
 
@@ -33,16 +27,21 @@ def with_top_percent(rated: DataFrame) -> DataFrame:
     return rated.join(F.broadcast(d), ["profile", "filled"])
 
 
+def _short() -> list[Column]:
+    plain = [F.col(c) for c in ("record_id", "list_key", "list_type", "title", "theme_top", "org_name", "formats", "update_cycle", "modified_date")]
+    return [*plain, F.transform("regions", lambda r: r["code"]).alias("regions"), F.struct("profile", "filled", "total", "score").alias("completeness"), F.col("list_url")]
+
+
 def summary(listings: DataFrame) -> DataFrame:
     """The short form that search shows."""
-    return listings.select(*SUMMARY)
+    return listings.select(*_short())
 
 
 def card(listings: DataFrame, ref_date: Column) -> DataFrame:
     """Summary with the field checklist, freshness, licence, limits and contact."""
     fresh = freshness(F.col("update_cycle"), F.to_date(F.col("modified_date").try_cast("date")), ref_date)
     more = [F.col("fields").alias("checklist"), fresh.alias("freshness"), F.col("license_code"), F.col("fee"), F.col("data_limits"), F.col("dept_phone")]
-    return listings.select(*SUMMARY, *more, *[F.col(c).isNotNull().alias(n) for c, n in KEY_FIELDS.items()])
+    return listings.select(*_short(), *more, *[F.col(c).isNotNull().alias(n) for c, n in KEY_FIELDS.items()])
 
 
 def normalized_view(listings: DataFrame) -> DataFrame:
