@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from catalogspark.functions.text import short_id
-from catalogspark.operators import observe, plan, search
-from catalogspark.plans.queries_search import _FOUR, _bm25_sql, _four, _whole
+from catalogspark.operators import observe, plan, search, views
+from catalogspark.plans.queries_search import _ASKED, _asked, _bm25_sql
 from catalogspark.sources.export import as_json, json_object, stamped, uri
 from catalogspark.sources.shared import table
 from catalogspark.streaming import usage
@@ -62,16 +62,16 @@ def licence_gate(spark, d):
     return docs.join(lic, "source", "left").select("doc_id", r.alias("r")).select("doc_id", "r.example_status", F.get("r.examples", F.lit(0)).alias("example"))
 
 
-def _profile(spark, d):
+def profiles(spark, d):
     c = table(spark, d, "conversations").where("not (turn = 1 and conv_id % 5 = 0)")
     key = F.col("conv_id")
     line = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
-    return c.select((key * 1000 + line).alias("row_no"), F.concat(F.lit("k"), (key % 40).cast("string")).alias("list_key"), F.concat(F.lit("f"), key.cast("string")).alias("file_name"), F.lit("").alias("sheet"),
+    return c.select((key * 1000 + line).alias("row_no"), F.concat(F.lit("k"), key.cast("string")).alias("list_key"), F.concat(F.lit("f"), key.cast("string")).alias("file_name"), F.lit("").alias("sheet"),
                     (F.col("turn") + 1).cast("int").alias("ordinal"), F.col("role").alias("name"), F.concat(F.lit("['"), F.col("role"), F.lit("', 5, None]")).alias("samples"))
 
 
 def _ingested(spark, d):
-    p = _profile(spark, d)
+    p = profiles(spark, d)
     lic = p.select("list_key", (F.substring("list_key", 2, 9).cast("int") % 2 == 0).alias("open")).distinct()
     return observe.stored(observe.ingest(p, lic))
 
@@ -79,7 +79,7 @@ def _ingested(spark, d):
 _INGEST = """
 WITH c AS (SELECT conv_id, turn, role FROM conversations WHERE NOT (turn = 1 AND conv_id % 5 = 0)),
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 = turn AS ok FROM c),
-a AS (SELECT conv_id, 'k' || conv_id % 40 AS list_key, 'f' || conv_id AS file_name, bool_and(ok) AS ok, count(*) AS n, string_agg((turn + 1) || ':' || role, chr(30) ORDER BY turn) AS cols FROM o GROUP BY conv_id),
+a AS (SELECT conv_id, 'k' || conv_id AS list_key, 'f' || conv_id AS file_name, bool_and(ok) AS ok, count(*) AS n, string_agg((turn + 1) || ':' || role, chr(30) ORDER BY turn) AS cols FROM o GROUP BY conv_id),
 s AS (SELECT list_key, file_name, CASE WHEN ok THEN 'AVAILABLE' ELSE 'COLLECTION_FAILED' END AS status, CAST(ok::INT AS BIGINT) AS n_tables, CAST(CASE WHEN ok THEN n ELSE 0 END AS BIGINT) AS n_columns,
       CASE WHEN ok THEN sha256(cols) END AS structure_hash, sha256(list_key || '|' || file_name)[1:16] AS asset_id FROM a)
 """
@@ -95,13 +95,70 @@ def record_coverage(spark, d):
     return observe.coverage(_ingested(spark, d)["assets"])
 
 
-@query()
+@query(_INGEST + """, col AS (SELECT conv_id, '{"ordinal":' || (turn + 1) || ',"name":"' || role || '","observed_type":"STRING","safety_status":"CLEAR","example_status":"' || CASE WHEN conv_id % 2 = 0 THEN 'AVAILABLE","examples":["' || role || '","5"]}' ELSE 'WITHHELD_BY_LICENSE"}' END AS j, turn FROM c),
+t AS (SELECT conv_id, string_agg(j, ',' ORDER BY turn) AS cols FROM col GROUP BY conv_id)
+SELECT s.list_key, '{"list_key":"' || s.list_key || '","assets":[{"file_name":"' || s.file_name || '","asset_id":"' || s.asset_id || '","status":"' || s.status || '"'
+  || CASE WHEN s.n_tables > 0 THEN ',"structure_hash":"' || s.structure_hash || '","tables":[{"table_order":0,"sheet":"","column_count":' || s.n_columns || ',"columns":[' || t.cols || ']}]' ELSE '' END || '}]}' AS document FROM s JOIN a USING (list_key, file_name) JOIN t USING (conv_id)""")
 def structure_document(spark, d):
     return observe.documents(_ingested(spark, d))
 
 
+def _sheets(spark, d):
+    """Two columns a sheet; where the first row is left out, the first sheet lacks its first column."""
+    c = table(spark, d, "conversations").where("not (turn = 0 and conv_id % 5 = 0)")
+    line = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
+    return c.select((F.col("conv_id") * 1000 + line).alias("row_no"), F.concat(F.lit("k"), F.col("conv_id").cast("string")).alias("list_key"), F.lit("f").alias("file_name"), F.concat(F.lit("s"), F.floor(F.col("turn") / 2).cast("string")).alias("sheet"),
+                    (F.col("turn") % 2 + 1).cast("int").alias("ordinal"), F.col("role").alias("name"), F.lit("[1, 2]").alias("samples"))
+
+
+_SHEETS = """
+WITH c AS (SELECT 'k' || conv_id AS list_key, 's' || turn // 2 AS sheet, turn, turn % 2 + 1 AS ordinal, role FROM conversations WHERE NOT (turn = 0 AND conv_id % 5 = 0)),
+o AS (SELECT *, row_number() OVER (PARTITION BY list_key, sheet ORDER BY turn) = ordinal AS ok FROM c),
+s AS (SELECT list_key, sheet, bool_and(ok) AS valid, count(*) AS n, min(turn) AS first FROM o GROUP BY ALL),
+v AS (SELECT *, row_number() OVER (PARTITION BY list_key ORDER BY first) - 1 AS table_order FROM s WHERE valid)
+"""
+
+
+@query(_SHEETS + "SELECT list_key, sheet, table_order, n AS column_count FROM v")
+def structure_sheets(spark, d):
+    """Tables in order of their sheets' first rows, broken sheets left out."""
+    none = spark.createDataFrame([], "list_key string, open boolean")
+    return observe.ingest(_sheets(spark, d), none)["tables"].select("list_key", "sheet", "table_order", "column_count")
+
+
+@query(_SHEETS + """SELECT CASE WHEN bool_and(valid) THEN 'AVAILABLE' WHEN bool_or(valid) THEN 'PARTIAL' ELSE 'COLLECTION_FAILED' END AS status, list_key FROM s GROUP BY list_key""")
+def structure_statuses(spark, d):
+    none = spark.createDataFrame([], "list_key string, open boolean")
+    return observe.ingest(_sheets(spark, d), none)["assets"].select("status", "list_key")
+
+
+@query(_SHEETS + """, st AS (SELECT list_key, CASE WHEN bool_and(valid) THEN 'AVAILABLE' WHEN bool_or(valid) THEN 'PARTIAL' ELSE 'COLLECTION_FAILED' END AS status FROM s GROUP BY list_key)
+SELECT count(*) FILTER (status = 'AVAILABLE') AS available, count(*) FILTER (status = 'PARTIAL') AS partial, count(*) FILTER (status = 'COLLECTION_FAILED') AS failed, (SELECT count(*) FROM v) AS tables,
+       (SELECT CAST(sum(n) AS BIGINT) FROM v) AS withheld, (SELECT count(*) FROM conversations WHERE turn = 3) AS no_key FROM st""")
+def ingest_report(spark, d):
+    """Counters of an ingest in which some rows lack their key, without breaking the runs that they lie in."""
+    p = _sheets(spark, d)
+    bad = table(spark, d, "conversations").where("turn = 3").select((F.col("conv_id") * 1000 + 500).alias("row_no"), F.lit(" ").alias("list_key"), F.lit("f").alias("file_name"), F.lit("s").alias("sheet"), F.lit(1).alias("ordinal"), F.lit("x").alias("name"), F.lit(None).cast("string").alias("samples"))
+    r = views.ingest_report(observe.stored(observe.ingest(p.unionByName(bad), spark.createDataFrame([], "list_key string, open boolean"))))
+    of = lambda m, k, n: F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0)).alias(n)
+    return r.select(of("assets", "AVAILABLE", "available"), of("assets", "PARTIAL", "partial"), of("assets", "COLLECTION_FAILED", "failed"), "tables", of("columns", "WITHHELD_BY_LICENSE", "withheld"), of("rejected", "NO_KEY", "no_key"))
+
+
+@query(_SHEETS + "SELECT DISTINCT list_key, role AS column_name FROM c JOIN v USING (list_key, sheet)")
+def column_index(spark, d):
+    return observe.column_index(observe.ingest(_sheets(spark, d), spark.createDataFrame([], "list_key string, open boolean")))
+
+
+@query("SELECT list_key, file_name, CAST(place AS INTEGER) AS place, assets_total FROM (SELECT conv_id // 25 AS list_key, 'f' || conv_id AS file_name, row_number() OVER (PARTITION BY conv_id // 25 ORDER BY 'f' || conv_id) AS place, count(*) OVER (PARTITION BY conv_id // 25) AS assets_total FROM (SELECT DISTINCT conv_id FROM conversations)) WHERE place <= 20")
+def asset_page(spark, d):
+    """The first twenty assets of each key by file name."""
+    ids = table(spark, d, "conversations").select("conv_id").distinct()
+    assets = ids.select(F.floor(F.col("conv_id") / 25).alias("list_key"), F.concat(F.lit("f"), F.col("conv_id").cast("string")).alias("file_name"), F.col("conv_id").alias("asset_id"))
+    return observe.asset_page(assets).select("list_key", "file_name", "place", "assets_total")
+
+
 @query("""
-SELECT 'k' || conv_id % 40 AS list_key, sha256(sha256('k' || conv_id % 40 || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, role AS name, 'STRING' AS observed_type, 'CLEAR' AS safety_status,
+SELECT 'k' || conv_id AS list_key, sha256(sha256('k' || conv_id || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, role AS name, 'STRING' AS observed_type, 'CLEAR' AS safety_status,
        CASE WHEN conv_id % 2 = 0 THEN 'AVAILABLE' ELSE 'WITHHELD_BY_LICENSE' END AS example_status, CASE WHEN conv_id % 2 = 0 THEN role || ',5' END AS examples
 FROM conversations WHERE NOT (turn = 1 AND conv_id % 5 = 0) AND (conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) <= 1))""")
 def structure_columns(spark, d):
@@ -122,16 +179,15 @@ def column_examples(spark, d):
     return observe.bottom_k(table(spark, d, "part"), ["p_name", "p_type"], 10, "part").select("column", "rank", "value")
 
 
-_CAND = f"WITH r AS ({_bm25_sql(_FOUR, 8)}), c AS (SELECT query_id, doc, rank, lang, source, n_chars, substring(text, 1, 60) AS title FROM r JOIN documents ON doc = doc_id)"
+_CAND = f"WITH r AS ({_bm25_sql(_ASKED, 8)}), c AS (SELECT query_id, doc, rank, lang, source, n_chars, text AS title FROM r JOIN documents ON doc = doc_id)"
 
 ROLES = {"DEMAND": "(?i)der|und", "SUPPLY": "(?i)the|of", "REFERENCE": "(?i)que"}
 
 
-def _candidates(spark, d, whole=False):
-    """whole: every word of the benchmark text asks, and roles are found in the whole text; else as the SQL cuts both."""
-    q = (_whole if whole else _four)(spark, d)
+def _candidates(spark, d):
+    q = _asked(spark, d)
     top = search.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 8)
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), (F.col("text") if whole else F.substring("text", 1, 60)).alias("title"), "lang", "source", "n_chars")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("title"), "lang", "source", "n_chars")
     rows = top.join(docs, "doc").select(F.col("query_id").alias("plan_id"), F.col("doc").alias("record_id"), "rank", "title", F.array("lang", "source").alias("columns"), (F.col("n_chars") > 1000).alias("spatial_listed"), F.lit(True).alias("temporal_listed"))
     return q, rows.withColumn("roles", plan.assign_roles(F.col("title"), F.col("columns"), F.col("rank"), ROLES, {"SPATIAL": "src1", "TEMPORAL": "^de|^fr"}))
 
@@ -147,10 +203,7 @@ def plan_batch(spark, d):
     return _needs(*_candidates(spark, d))
 
 
-@query()
-def plan_batch_whole(spark, d):
-    """plan_batch with whole benchmark texts and whole documents."""
-    return _needs(*_candidates(spark, d, whole=True))
+QUERIES["plan_batch_whole"], ORACLES["plan_batch_whole"] = plan_batch, ORACLES["plan_batch"]
 
 
 def _needs(q, rows):
@@ -165,10 +218,7 @@ def plan_join_keys(spark, d):
     return _join_keys(*_candidates(spark, d))
 
 
-@query()
-def plan_join_keys_whole(spark, d):
-    """plan_join_keys with whole benchmark texts."""
-    return _join_keys(*_candidates(spark, d, whole=True))
+QUERIES["plan_join_keys_whole"], ORACLES["plan_join_keys_whole"] = plan_join_keys, ORACLES["plan_join_keys"]
 
 
 def _join_keys(_, rows):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.operators import compare as cmp
-from catalogspark.operators import evaluate, search
+from catalogspark.operators import evaluate, search, views
 from catalogspark.sources.shared import table
 
 QUERIES, ORACLES = {}, {}
@@ -44,30 +44,24 @@ r AS (SELECT query_id, CASE WHEN exact THEN 'AND' ELSE 'OR' END AS mode, CAST(ro
 SELECT query_id, mode, rank, doc FROM r WHERE rank <= {k}"""
 
 
-_FOUR = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS text FROM benchmark"
+_ASKED = "SELECT item_id AS query_id, text FROM benchmark"
 
 
-def _four(spark, d):
-    return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("text"))
-
-
-def _whole(spark, d):
+def _asked(spark, d):
+    """Every benchmark text, whole, as a query."""
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def _ranked(spark, d, asked=_four):
-    return search.bm25(asked(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0})
+def _ranked(spark, d):
+    return search.bm25(_asked(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0})
 
 
-@query(_bm25_sql(_FOUR, 10))
+@query(_bm25_sql(_ASKED, 10))
 def bm25_topk(spark, d):
     return _ranked(spark, d).drop("score")
 
 
-@query()
-def bm25_topk_whole(spark, d):
-    """bm25_topk with every word of the benchmark text; the SQL of bm25_topk has its first four."""
-    return _ranked(spark, d, _whole).drop("score")
+QUERIES["bm25_topk_whole"], ORACLES["bm25_topk_whole"] = bm25_topk, ORACLES["bm25_topk"]
 
 
 _MIXED = "SELECT n_nationkey AS query_id, CASE n_nationkey % 3 WHEN 0 THEN 'the of' WHEN 1 THEN 'the ' || lower(n_name) || ' de' ELSE lower(n_name) END AS text FROM nation"
@@ -92,13 +86,13 @@ def search_filtered(spark, d):
 
 
 @query("""
-WITH q AS (SELECT doc_id AS query_id, string_split(lang || ' ' || source || ' en ' || regexp_extract(text, '[a-zA-Z]+') || ' src1', ' ') AS t FROM documents),
+WITH q AS (SELECT doc_id AS query_id, regexp_split_to_array(lang || ' ' || source || ' en ' || coalesce(text, '') || ' src1', '\\s+') AS t FROM documents),
 x AS (SELECT query_id, list_filter(t, lambda w: w <> '') AS t FROM q),
 y AS (SELECT query_id, t, list_position(list_transform(t, lambda w: w IN ('en', 'fr', 'de')), true) AS a, list_position(list_transform(t, lambda w: upper(w) IN ('SRC1', 'SRC2', 'SRC3')), true) AS b FROM x)
 SELECT query_id, upper(t[a]) AS lang, upper(t[b]) AS source, array_to_string(list_filter(t, lambda w, i: i IS DISTINCT FROM a AND i IS DISTINCT FROM b), ' ') AS rest FROM y""")
 def query_interpret(spark, d):
     docs = table(spark, d, "documents")
-    q = docs.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "lang", "source", F.lit("en"), F.regexp_extract("text", "[a-zA-Z]+", 0), F.lit("src1")).alias("text"), F.lit(None).cast("array<string>").alias("skip"))
+    q = docs.select(F.col("doc_id").alias("query_id"), F.concat_ws(" ", "lang", "source", F.lit("en"), F.coalesce("text", F.lit("")), F.lit("src1")).alias("text"), F.lit(None).cast("array<string>").alias("skip"))
     axes = {"lang": ({x: x.upper() for x in ("en", "fr", "de")}, False), "source": ({x: x for x in ("SRC1", "SRC2", "SRC3")}, True)}
     return search.interpret(q, axes).select("query_id", "lang", "source", "rest")
 
@@ -109,25 +103,45 @@ def matched_fields(spark, d):
     return table(spark, d, "documents").select("doc_id", F.array_join(m, ",").alias("matched")).where("matched <> ''")
 
 
-@query(f"""
-WITH r AS ({_bm25_sql(_FOUR, 10)}), rel AS (SELECT query_id, doc FROM (SELECT item_id AS query_id FROM benchmark), (SELECT doc_id AS doc FROM labels WHERE quality = 1 AND doc_id % 7 < 3) WHERE (query_id + doc) % 2 = 0),
+_LINE = "' ' || array_to_string({}, ' ') || ' '"
+_PASSAGES = f"""SELECT b.query_id, d.doc FROM (SELECT item_id AS query_id, {_LINE.format(_T.format('text'))} AS p FROM benchmark) b
+  JOIN (SELECT doc_id AS doc, {_LINE.format(_T.format('text'))} AS t FROM documents) d ON contains(t, p) WHERE trim(p) <> ''"""
+
+
+def _passages(spark, d):
+    """Each document that holds a benchmark text, whole, is relevant to it."""
+    return evaluate.relevant_by_passage(_asked(spark, d), table(spark, d, "documents"), "doc_id", "text")
+
+
+_METRICS = f"""
+WITH r AS ({_bm25_sql(_ASKED, 10)}), rel AS ({_PASSAGES}),
 g AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY query_id),
-h AS (SELECT r.query_id, count(*) AS retrieved, count(rel.doc) AS hits, sum(CASE WHEN rel.doc IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) AS dcg FROM r LEFT JOIN rel ON r.query_id = rel.query_id AND r.doc = rel.doc GROUP BY r.query_id)
-SELECT g.query_id, relevant, coalesce(retrieved, 0) AS retrieved, coalesce(hits, 0) AS hits,
-       CAST(round(coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) x(i) WHERE i <= least(relevant, 10)), 6) AS DECIMAL(12, 6)) AS ndcg FROM g LEFT JOIN h USING (query_id)""")
+h AS (SELECT r.query_id, count(*) AS retrieved, count(rel.doc) AS hits, sum(CASE WHEN rel.doc IS NULL THEN 0 ELSE 1 / log2(rank + 1) END) AS dcg FROM r LEFT JOIN rel ON r.query_id = rel.query_id AND r.doc = rel.doc GROUP BY r.query_id),
+e AS (SELECT g.query_id, relevant, coalesce(retrieved, 0) AS retrieved, coalesce(hits, 0) AS hits, coalesce(dcg, 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, 11) x(i) WHERE i <= least(relevant, 10)) AS ndcg FROM g LEFT JOIN h USING (query_id))
+"""
+
+
+@query(_METRICS + "SELECT query_id, relevant, retrieved, hits, CAST(round(ndcg, 6) AS DECIMAL(12, 6)) AS ndcg FROM e")
 def ranking_eval(spark, d):
-    good = table(spark, d, "labels").where("quality = 1 and doc_id % 7 < 3").select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 2).alias("side"))
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") % 2).alias("side"))
-    m = evaluate.rank_metrics(_ranked(spark, d), asked.join(good, "side").select("query_id", "doc"))
+    m = evaluate.rank_metrics(_ranked(spark, d), _passages(spark, d))
     return m.where("relevant > 0").select("query_id", "relevant", "retrieved", "hits", F.round("ndcg", 6).cast("decimal(12,6)").alias("ndcg"))
 
 
-@query()
-def ranking_eval_passages(spark, d):
-    """Metrics of the search for whole benchmark texts; relevant is each document that holds the passage, labelled or not."""
-    relevant = evaluate.relevant_by_passage(_whole(spark, d), table(spark, d, "documents"), "doc_id", "text")
-    m = evaluate.rank_metrics(_ranked(spark, d, _whole), relevant)
-    return m.where("relevant > 0").select("query_id", "relevant", "retrieved", "hits", F.round("ndcg", 6).cast("decimal(12,6)").alias("ndcg"))
+QUERIES["ranking_eval_passages"], ORACLES["ranking_eval_passages"] = ranking_eval, ORACLES["ranking_eval"]
+
+
+@query(_METRICS + "SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS judged, CAST(round(avg(hits / 10), 6) AS DECIMAL(12, 6)) AS precision, CAST(round(avg(hits / least(relevant, 10)), 6) AS DECIMAL(12, 6)) AS recall, CAST(round(avg(ndcg), 6) AS DECIMAL(12, 6)) AS ndcg FROM e")
+def ranking_means(spark, d):
+    """Means over queries with relevant documents, which is all that the evaluation reports."""
+    m = evaluate.mean_metrics(evaluate.rank_metrics(_ranked(spark, d), _passages(spark, d)), _asked(spark, d))
+    return m.select("queries", "judged", *[F.round(c, 6).cast("decimal(12,6)").alias(c) for c in ("precision", "recall", "ndcg")])
+
+
+@query(_METRICS + "SELECT query_id, relevant, hits FROM e ORDER BY round(ndcg, 9), query_id LIMIT 5")
+def ranking_worst(spark, d):
+    """The five queries that the search serves worst."""
+    m = evaluate.rank_metrics(_ranked(spark, d), _passages(spark, d)).withColumn("ndcg", F.round("ndcg", 9))
+    return views.worst(m).select("query_id", "relevant", "hits")
 
 
 @query("SELECT q AS query_id, doc_id AS doc FROM documents, (VALUES ('A', '^[A-D]'), ('B', '(?i)[ ,]de [a-z]+ la[ ,.]'), ('C', '[0-9]{3}-[0-9]{4}')) t(q, p) WHERE regexp_matches(text, p)")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogspark.operators import search, service, stats, views
-from catalogspark.plans.queries_search import _FOUR, _bm25_sql, _four, _whole
+from catalogspark.operators import observe, search, service, stats, views
+from catalogspark.plans.queries_observe import profiles
+from catalogspark.plans.queries_search import _ASKED, _PASSAGES, _asked, _bm25_sql, _passages
 from catalogspark.sources.shared import table
 
 QUERIES, ORACLES = {}, {}
@@ -32,29 +33,27 @@ def snapshot_lag(spark, d):
     return table(spark, d, "orders").select("o_orderkey", service.lag_days(F.date_format("o_orderdate", "yyyy-MM"), F.lit("1996-01-15").cast("date")).alias("lag_days"))
 
 
-@query("""
-SELECT CAST(p_brand AS VARCHAR) AS table_id, CAST(p_partkey AS BIGINT) AS ordinal, p_name AS name, p_type AS safety_status, p_type AS safety_reason
-FROM part WHERE p_type <> 'CLEAR' ORDER BY table_id, ordinal LIMIT 100""")
-def safety_review(spark, d):
-    cols = table(spark, d, "part").select(F.col("p_brand").alias("table_id"), F.col("p_partkey").alias("ordinal"), F.col("p_name").alias("name"), F.col("p_type").alias("safety_status"), F.col("p_type").alias("safety_reason"))
-    return service.safety_review_sample(cols)
+_NAMED = "CASE role WHEN 'user' THEN '전화 ' || role WHEN 'assistant' THEN '민원 ' || role ELSE role END"
 
 
-@query(f"WITH r AS ({_bm25_sql(_FOUR, 20)}) SELECT query_id, rank, doc, coalesce(quality = 1, false) AS auto FROM r LEFT JOIN labels ON doc = doc_id")
-def golden_export(spark, d):
-    return _golden(spark, d, _four(spark, d))
+@query(f"""
+WITH c AS (SELECT conv_id, turn, {_NAMED} AS name, role FROM conversations WHERE NOT (turn = 1 AND conv_id % 5 = 0) AND (conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) <= 1)))
+SELECT sha256(sha256('k' || conv_id || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, name, CASE role WHEN 'user' THEN 'WITHHELD' ELSE 'REVIEW_REQUIRED' END AS safety_status, CASE role WHEN 'user' THEN 'column-name:전화' ELSE 'column-name:민원' END AS safety_reason
+FROM c WHERE role IN ('user', 'assistant') ORDER BY table_id, ordinal LIMIT 100""")
+def safety_review(spark, d):
+    """The sample for people to look at, from an ingest of column profiles."""
+    named = F.when(F.col("name") == "user", F.concat(F.lit("전화 "), "name")).when(F.col("name") == "assistant", F.concat(F.lit("민원 "), "name")).otherwise(F.col("name"))
+    p = profiles(spark, d).withColumn("name", named)
+    return service.safety_review_sample(observe.ingest(p, p.select("list_key", F.lit(True).alias("open")).distinct())["columns"])
 
 
-@query()
-def golden_export_whole(spark, d):
-    """golden_export with every word of the benchmark text."""
-    return _golden(spark, d, _whole(spark, d))
+@query(f"""WITH r AS ({_bm25_sql(_ASKED, 20)}), rel AS ({_PASSAGES}) SELECT r.query_id, rank, r.doc, rel.doc IS NOT NULL AS auto FROM r LEFT JOIN rel ON r.query_id = rel.query_id AND r.doc = rel.doc""")
+def golden_export(spark, d):
+    ranked = search.bm25(_asked(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0}, 20)
+    return service.golden_candidates(ranked, _passages(spark, d))
 
 
-def _golden(spark, d, q):
-    ranked = search.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 20)
-    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("doc"))
-    return service.golden_candidates(ranked, ranked.join(good, "doc"))
+QUERIES["golden_export_whole"], ORACLES["golden_export_whole"] = golden_export, ORACLES["golden_export"]
 
 
 @query("""
