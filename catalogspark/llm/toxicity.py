@@ -11,7 +11,7 @@ collected to the driver are the buckets of that bounded sample. Scoring is one p
 
 Defined results: null and empty texts have no terms and score as the bias does; labels that are null or lack a document are not
 learnt from; with no label of one class every score is the (smoothed) share of label 1; other columns stay;
-repeated rows score equal.
+repeated rows score equal; empty tables give none; texts of any length are read whole; a column named as the new one is replaced.
 """
 
 from __future__ import annotations
@@ -25,10 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.sources.shared import written
+from catalogspark.llm.packed import Mapped, make_folder, release, store
+from catalogspark.sources.shared import new_path, written
 
 BITS = 20
 STEM = 4
+#: Texts that a worker looks at at a time.
+SLICE = 500
 _CUT = bytes(32 if b < 128 and not chr(b).isalnum() else b for b in range(256))
 
 
@@ -57,22 +60,30 @@ class Machine:
     weights: np.ndarray
     vectors: np.ndarray
 
-    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
-        """rows: positions in features of each document's terms."""
-        out = np.full(len(rows), self.bias)
-        for i, r in enumerate(rows):
-            if len(r):
-                v = self.vectors[r].astype(float)
-                out[i] += self.weights[r].sum(dtype=float) + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
-        return out
+    def dense(self) -> tuple[np.ndarray, np.ndarray]:
+        """(weights, vectors) of every bucket; those that were not learnt weigh nothing."""
+        w, v = np.zeros(1 << BITS, np.float32), np.zeros((1 << BITS, self.vectors.shape[1]), np.float32)
+        w[self.features], v[self.features] = self.weights, self.vectors
+        return w, v
+
+
+def margins(rows: list[np.ndarray], bias: float, weights: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """rows: each document's buckets."""
+    out = np.full(len(rows), bias)
+    for i, r in enumerate(rows):
+        if len(r):
+            v = vectors[r].astype(float)
+            out[i] += weights[r].sum(dtype=float) + 0.5 * ((v.sum(0) ** 2).sum() - (v * v).sum())
+    return out
 
 
 def _fit(rows: list[np.ndarray], labels: np.ndarray, pace: np.ndarray, rank: int, epochs: int, seed: int, decay: float) -> tuple:
     """Logistic loss, AdaGrad, one document at a time in a seeded order; pace: each feature's share of the learning rate."""
     rng = np.random.default_rng(seed)
     n = len(pace)
-    w, v = np.zeros(n), rng.normal(0, 0.05, (n, rank)) * pace[:, None]
-    gw, gv = np.full(n, 1e-3), np.full((n, rank), 1e-3)
+    w, v = np.zeros(n, np.float32), rng.standard_normal((n, rank), np.float32)
+    v *= 0.05 * pace[:, None]
+    gw, gv = np.full(n, 1e-3, np.float32), np.full((n, rank), 1e-3, np.float32)
     share = (labels.sum() + 1) / (len(labels) + 2)
     bias, gb = float(np.log(share / (1 - share))), 1e-3
     for epoch in range(epochs):
@@ -122,10 +133,11 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, max_
     if len(features) > max_features:
         features = np.sort(features[np.lexsort((features, -z[features]))][:max_features])
     where = positions(features)
-    pace = np.minimum(1.0, np.maximum((z[features] / min_z) ** 4, count[features] / n))
+    pace = np.minimum(1.0, np.maximum((z[features] / min_z) ** 4, count[features] / n)).astype(np.float32)
     at = [(p := where[of_row[i]])[p >= 0] for i in order]
+    del rows, of_row, count, marked, z
     bias, w, v = _fit(at, labelled[order], pace, rank, epochs, seed, decay)
-    return Machine(features, bias, w.astype(np.float32), v.astype(np.float32))
+    return Machine(features, bias, w, v)
 
 
 def positions(features: np.ndarray) -> np.ndarray:
@@ -136,13 +148,22 @@ def positions(features: np.ndarray) -> np.ndarray:
 
 
 def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
-    """Add column ``into``: the likelihood of label 1, from the text alone."""
-    model = df.sparkSession.sparkContext.broadcast((machine, positions(machine.features)))
+    """Add column ``into``: the likelihood of label 1, from the text alone. Workers map the machine from the shared folder."""
+    base = make_folder(new_path(df.sparkSession, "toxicity-machine"))
+    w, v = machine.dense()
+    store(f"{base}/arrays", w, v)
+    bias, rank = machine.bias, v.shape[1]
 
     @F.arrow_udf(T.DoubleType())
     def _score(texts: pa.Array) -> pa.Array:
-        fm, where = model.value
-        rows = [(p := where[np.array(buckets(t.as_py()), np.int64)])[p >= 0] for t in texts]
-        return pa.array(1 / (1 + np.exp(-np.clip(fm.margins(rows), -30, 30))), pa.float64())
+        raw = Mapped(base)("arrays")
+        weights = raw[: 4 << BITS].view(np.float32)
+        vectors = raw[4 << BITS :].view(np.float32).reshape(1 << BITS, rank)
+        out = []
+        for at in range(0, len(texts), SLICE):
+            rows = [np.array(buckets(t.as_py()), np.int64) for t in texts.slice(at, SLICE)]
+            out.append(1 / (1 + np.exp(-np.clip(margins(rows, bias, weights, vectors), -30, 30))))
+        release()
+        return pa.array(np.concatenate([np.zeros(0), *out]))
 
     return df.withColumn(into, _score(F.col(text)))

@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from catalogspark.llm.toxicity import Machine, score, terms, train
+from catalogspark.llm.toxicity import Machine, _fit, margins, score, terms, train
 
 
 def test_pairs_beat_single_terms(spark):
@@ -54,7 +54,38 @@ def test_margin_against_all_pairs():
     m = Machine(np.arange(6), 0.3, rng.normal(size=6), rng.normal(size=(6, 4)))
     r = np.array([0, 2, 3, 5])
     want = 0.3 + m.weights[r].sum() + sum(m.vectors[i] @ m.vectors[j] for i in r for j in r if i < j)
-    assert abs(m.margins([r, np.array([], int)])[0] - want) < 1e-9
+    assert abs(margins([r, np.array([], int)], m.bias, m.weights, m.vectors)[0] - want) < 1e-9
+
+
+def test_fit_against_plain_loops():
+    """The same descent with scalars, a pair at a time."""
+    rng = np.random.default_rng(5)
+    rows = [np.array(sorted(rng.choice(7, rng.integers(0, 5), replace=False)), int) for _ in range(25)]
+    labels, pace, rank, epochs, decay = rng.integers(0, 2, 25).astype(float), np.array([1, 1, 0.5, 1, 0.1, 1, 1], np.float32), 2, 3, 1e-3
+    bias, w, v = _fit(rows, labels, pace, rank, epochs, 7, decay)
+    rng = np.random.default_rng(7)
+    vv = (rng.standard_normal((7, rank), np.float32) * (0.05 * pace[:, None])).astype(float)
+    ww, gw, gv = np.zeros(7), np.full(7, 1e-3), np.full((7, rank), 1e-3)
+    share = (labels.sum() + 1) / 27
+    b, gb = np.log(share / (1 - share)), 1e-3
+    for epoch in range(epochs):
+        rate = 0.3 / (1 + epoch)
+        for i in rng.permutation(25):
+            r = rows[i]
+            margin = b + sum(ww[j] for j in r) + sum(float(vv[j] @ vv[k]) for j in r for k in r if j < k)
+            g = 1 / (1 + np.exp(-margin)) - labels[i]
+            gb += g * g
+            b -= rate * g / gb**0.5
+            old = vv.copy()
+            for j in r:
+                dw = g + decay * ww[j]
+                gw[j] += dw * dw
+                ww[j] -= rate * pace[j] * dw / gw[j] ** 0.5
+                for f in range(rank):
+                    dv = g * sum(old[k, f] for k in r if k != j) + decay * old[j, f]
+                    gv[j, f] += dv * dv
+                    vv[j, f] -= rate * pace[j] * dv / gv[j, f] ** 0.5
+    assert abs(bias - b) < 1e-3 and np.abs(w - ww).max() < 1e-3 and np.abs(v - vv).max() < 1e-3
 
 
 def test_edges(spark):
