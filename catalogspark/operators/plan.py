@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from catalogspark.functions import vocabulary as V
 from catalogspark.functions.text import ttrim
+from catalogspark.operators.search import decided, scored
+from catalogspark.sources.shared import written
 
 
 def _strip_particle(t: Column) -> Column:
@@ -32,11 +35,12 @@ def resolve_region(region: Column) -> Column:
     return F.struct(code.alias("code"), F.when(t.isNotNull() & (t != "") & code.isNull(), F.concat(F.lit("unknown region: "), t)).alias("error"))
 
 
-def assign_roles(title: Column, columns: Column, rank: Column, patterns=V.ROLE_PATTERNS, column_patterns=V.COLUMN_ROLE_PATTERNS) -> Column:
-    """Roles of a candidate at 1-based rank by its title and observed columns; RELATED if none fits."""
+def assign_roles(title: Column, columns: Column, rank: Column, patterns=V.ROLE_PATTERNS, column_patterns=V.COLUMN_ROLE_PATTERNS, kind: Column | None = None) -> Column:
+    """Roles of a candidate at 1-based rank by its title and observed columns; a listing of kind STD is a reference; RELATED if none fits."""
     cols = F.coalesce(columns, F.array().cast("array<string>"))
     found = [F.when(rank <= 2, "PRIMARY")]
-    found += [F.when(F.coalesce(title, F.lit("")).rlike(p), r) for r, p in patterns.items()]
+    standard = F.lit(False) if kind is None else F.coalesce(kind == "STD", F.lit(False))
+    found += [F.when(F.coalesce(title, F.lit("")).rlike(p) | (standard & F.lit(r == "REFERENCE")), r) for r, p in patterns.items()]
     found += [F.when(F.array_join(cols, " ").rlike(p), r) for r, p in column_patterns.items()]
     roles = F.array_compact(F.array(*found))
     return F.when(F.size(roles) > 0, roles).otherwise(F.array(F.lit("RELATED")))
@@ -104,3 +108,74 @@ def explain(terms: Column, title: Column, columns: Column, rank: Column, spatial
 def limitations(kind: Column, columns: Column) -> Column:
     n = F.size(F.coalesce(columns, F.array().cast("array<string>")))
     return F.array(F.lit("NOT_ASSESSED"), F.when(n > 0, "SAMPLE_BASED_STRUCTURE").when(kind == "FILE", "STRUCTURE_NOT_COLLECTED").otherwise("NOT_APPLICABLE"))
+
+
+def fit_signals(rank: Column, kind: Column, columns: Column, modified: Column, typical: Column, top_percent: Column) -> Column:
+    """struct<relevance, structure, freshness, completeness>: what speaks for a candidate, never a verdict on its quality."""
+    n = F.size(F.coalesce(columns, F.array().cast("array<string>")))
+    return F.struct(
+        relevance(rank).alias("relevance"),
+        F.when(n > 0, "FILE_OBSERVATION").when(kind == "FILE", "STRUCTURE_NOT_COLLECTED").otherwise("NOT_APPLICABLE").alias("structure"),
+        F.when(modified.isNotNull(), "LISTED").otherwise("UNKNOWN").alias("freshness"),
+        F.when(typical, "TYPICAL").when(top_percent.isNotNull(), F.concat(F.lit("TOP_"), top_percent.cast("string"))).otherwise("UNKNOWN").alias("completeness"),
+    )
+
+
+#: What a plan is searched by: the weights of a listing's texts.
+SEARCHED = {"title": 4.0, "keyword_text": 3.0, "description": 1.0, "org_name": 2.0}
+
+
+def build_plans(purposes: DataFrame, listings: DataFrame, columns: DataFrame, most: int = 5) -> DataFrame:
+    """purposes(plan_id, purpose, region), listings (normalized and rated, with rows, higher, typical), columns(record_id, columns) -> a draft plan a row.
+
+    Each purpose is searched in its region (named by the argument or else in the sentence) and, where that finds nothing, without. A purpose of
+    fewer than 2 or more than 200 characters and an unknown region give a row with an error and nothing else.
+    """
+    terms, named = extract_terms(F.col("purpose"))
+    p = purposes.withColumns({"purpose": ttrim(F.coalesce("purpose", F.lit(""))), "asked": resolve_region(F.col("region"))}).withColumns({"terms": terms, "named": named})
+    short = F.when(~F.length("purpose").between(2, 200), "purpose must have 2 to 200 characters")
+    p = p.withColumns({"error": F.coalesce(short, "asked.error"), "code": F.coalesce("asked.code", "named")})
+    p = written(p.withColumn("query", F.when(F.size("terms") > 0, F.array_join("terms", " ")).otherwise(F.col("purpose"))), "purposes")
+    good = p.where("error is null")
+    texts = listings.withColumn("keyword_text", F.array_join("keywords", " "))
+    found = written(scored(good.select(F.col("plan_id").alias("query_id"), F.col("query").alias("text")), texts, "record_id", SEARCHED), "plan-scores").withColumnsRenamed({"query_id": "plan_id", "doc": "record_id"})
+    areas = listings.select("record_id", F.explode(F.transform("regions", lambda r: r["code"])).alias("code"))
+    near = found.join(good.where("code is not null").select("plan_id", "code"), "plan_id").join(areas, ["record_id", "code"], "left_semi").drop("code")
+    first = near.unionByName(found.join(good.where("code is null").select("plan_id"), "plan_id", "left_semi"))
+    again = good.where("code is not null").select("plan_id").join(near.select("plan_id").distinct(), "plan_id", "left_anti")
+    every = first.withColumn("turn", F.lit(1)).unionByName(found.join(again, "plan_id", "left_semi").withColumn("turn", F.lit(2)))
+    kept = decided(every.select(F.col("plan_id").alias("query_id"), "n_terms", F.struct("record_id", "turn").alias("doc"), "hit", "score"))
+    rank = F.row_number().over(W.partitionBy("plan_id").orderBy(F.desc("score"), "record_id"))
+    top = kept.select(F.col("query_id").alias("plan_id"), "doc.record_id", "doc.turn", "mode", "score").withColumn("rank", rank).where(F.col("rank") <= most)
+    fields = listings.select("record_id", "title", "org_name", "list_type", "list_url", "theme_top", "modified_date", F.col("spatial_raw").isNotNull().alias("spatial_listed"), F.col("modified_date").isNotNull().alias("temporal_listed"), "typical", F.round(100 * F.col("higher") / F.col("rows"), 1).alias("top_percent"))
+    rows = top.join(fields, "record_id").join(columns.select("record_id", "columns"), "record_id", "left").join(good.select("plan_id", "terms"), "plan_id")
+    c = F.col
+    rows = rows.withColumn("roles", assign_roles(F.concat_ws(" ", "title", "theme_top"), c("columns"), c("rank"), kind=c("list_type")))
+    rows = written(rows, "plan-candidates")
+    shown = F.struct(
+        "rank", "record_id", "title", "org_name", "list_type", "list_url", F.lit("CANDIDATE_DATASET").alias("status"), "roles",
+        fit_signals(c("rank"), c("list_type"), c("columns"), c("modified_date"), c("typical"), c("top_percent")).alias("signals"),
+        explain(c("terms"), c("title"), c("columns"), c("rank"), c("spatial_listed")).alias("reasons"),
+        limitations(c("list_type"), c("columns")).alias("limitations"),
+    )
+    candidates = rows.groupBy("plan_id").agg(F.array_sort(F.collect_list(shown)).alias("candidates"), F.max("turn").alias("turn"), F.max("mode").alias("mode"))  # at most ``most`` a plan
+    wanted = needs(rows, good.select("plan_id", "purpose")).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("role", "status", "matched"))).alias("needs"))
+    keys = join_keys(rows).groupBy("plan_id").agg(F.array_sort(F.collect_list(F.struct("key", "status", "observed_in"))).alias("join_keys"))
+    out = p.join(candidates, "plan_id", "left").join(wanted, "plan_id", "left").join(keys, "plan_id", "left")
+    missing = F.transform(F.filter("needs", lambda n: n["status"] == "UNSATISFIED"), lambda n: n["role"])
+    checks = F.array_compact(
+        F.array(
+            F.lit("CHECK_SOURCE_DATES"),
+            F.when(F.col("join_keys").isNull() & (F.size("candidates") > 1), "CHECK_COMMON_COLUMNS"),
+            F.lit("COMPARE_KEY_FORMATS"),
+            F.lit("CHECK_VALUES"),
+            F.when(F.size("missing") > 0, "SEARCH_MISSING_NEEDS_ANEW"),
+        )
+    )
+    ok = c("error").isNull()
+    return out.withColumn("missing", missing).select(
+        "plan_id", "purpose", "error", F.when(ok, "DRAFT").alias("status"), F.when(ok, c("terms")).alias("terms"), F.when(ok, c("code")).alias("region"),
+        F.when(ok & c("asked.code").isNotNull(), "PARAMETER").when(ok & c("named").isNotNull(), "PURPOSE_TEXT").alias("region_source"),
+        F.when(ok, F.when(c("turn") == 2, 2).when(c("candidates").isNull() & c("code").isNotNull(), 2).otherwise(1)).alias("searches"), "mode",
+        "candidates", "needs", "join_keys", "missing", F.when(ok, "NOT_ASSESSED").alias("quality"), F.when(ok, checks).alias("next_checks"),
+    )

@@ -39,10 +39,9 @@ def document_frequency(posted: DataFrame) -> DataFrame:
     return posted.groupBy("term").agg(F.count("*").alias("df"))
 
 
-def matches(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
-    """queries(query_id, text) over docs -> query_id, mode, doc, score: every match.
+def scored(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """queries(query_id, text) over docs -> query_id, n_terms, doc, hit, score: every document with any of the terms, and how many.
 
-    A document matches by all terms; queries with no such match and several terms fall back to any term. Both are scored in one pass.
     Only postings of query terms are formed beyond the filter on terms: the batch's terms are joined, and broadcast by the planner when
     small. With a stored index (read_index) no text is read.
     """
@@ -56,13 +55,22 @@ def matches(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, flo
     idf = F.log(1 + (F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
     hits = asked.join(posted, "term").join(df, "term").select("query_id", "n_terms", "doc", part.alias("s"))
-    scored = hits.groupBy("query_id", "n_terms", "doc").agg(F.count("*").alias("hit"), F.round(F.sum("s"), decimals).alias("score"))
-    every = scored.withColumn("all_terms", F.col("hit") == F.col("n_terms"))
+    return hits.groupBy("query_id", "n_terms", "doc").agg(F.count("*").alias("hit"), F.round(F.sum("s"), decimals).alias("score"))
+
+
+def decided(found: DataFrame) -> DataFrame:
+    """Rows of scored -> query_id, mode, doc, score. A document matches by all terms; queries with no such match and several terms fall back to any term."""
+    every = found.withColumn("all_terms", F.col("hit") == F.col("n_terms"))
     exact = every.where("all_terms").select("query_id").distinct().withColumn("exact", F.lit(True))
     kept = every.join(exact, "query_id", "left").where(F.col("all_terms") | F.col("exact").isNull())
     return kept.select("query_id", F.when(F.col("exact"), "AND").otherwise("OR").alias("mode"), "doc", "score")
 
 
+def matches(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Every match of each query, by all terms or else by any: query_id, mode, doc, score, from one pass of scores."""
+    return decided(scored(queries, docs, key, fields, decimals, index))
+
+
 def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], k: int = 10, decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
     """The first k matches of each query by score, ties by id: query_id, mode, rank, doc, score."""
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.functions import vocabulary as V
-from catalogspark.operators import diff, quality, search, views
+from catalogspark.operators import diff, plan, quality, search, views
 from catalogspark.operators import families as fam
 from catalogspark.operators.normalize import catalog_completeness, catalog_issues, duplicate_issues, identify, normalize
 from catalogspark.operators.stats import page
@@ -240,14 +240,18 @@ def catalog_filters(spark, d):
 _WEIGHTS = {"title": 4.0, "keyword_text": 3.0, "description": 1.0, "org_name": 2.0}
 _ASKED = "SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_name AS text, p_brand || p_type || p_name AS query_id FROM part WHERE p_size = 1"
 _TERMS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
-_WEIGHED = f"""
-, f AS (SELECT record_id AS doc, list_type, modified_date, {', '.join(f"{_TERMS.format(c)} AS {n}" for n, c in (("a", "title"), ("b", "array_to_string(keywords, ' ')"), ("e", "description"), ("g", "org_name")))} FROM c WHERE list_type = 'FILE'),
+def _weighed(where: str, asked: str) -> str:
+    return f"""
+, f AS (SELECT record_id AS doc, list_type, modified_date, {', '.join(f"{_TERMS.format(c)} AS {n}" for n, c in (("a", "title"), ("b", "array_to_string(keywords, ' ')"), ("e", "description"), ("g", "org_name")))} FROM c {where}),
 p AS (SELECT doc, len, term, sum(w) AS tf FROM (
   SELECT doc, len(a) + len(b) + len(e) + len(g) AS len, unnest(list_concat(a, b, e, g)) AS term,
          unnest(list_concat(list_transform(a, lambda x: 4.0::DOUBLE), list_transform(b, lambda x: 3.0::DOUBLE), list_transform(e, lambda x: 1.0::DOUBLE), list_transform(g, lambda x: 2.0::DOUBLE))) AS w FROM f) GROUP BY ALL),
-q AS ({_ASKED}), qt AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM (SELECT query_id, list_distinct({_TERMS.format('text')}) AS t FROM q)),
+q AS ({asked}), qt AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM (SELECT query_id, list_distinct({_TERMS.format('text')}) AS t FROM q)),
 st AS (SELECT count(*) AS n, sum(len(a) + len(b) + len(e) + len(g)) / count(*) AS av FROM f), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-s AS (SELECT query_id, n_terms, doc, count(*) AS hit, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY ALL),
+s AS (SELECT query_id, n_terms, doc, count(*) AS hit, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY ALL)"""
+
+
+_WEIGHED = _weighed("WHERE list_type = 'FILE'", _ASKED) + """,
 k AS (SELECT *, bool_or(hit = n_terms) OVER (PARTITION BY query_id) AS exact FROM s),
 m AS (SELECT query_id, CASE WHEN exact THEN 'AND' ELSE 'OR' END AS mode, doc, score FROM k WHERE hit = n_terms OR NOT exact)
 """
@@ -455,3 +459,38 @@ def catalog_column_search(spark, d):
     index = listings.select("list_key", F.explode(F.array("theme_top", "fee", "update_cycle")).alias("column_name")).distinct()
     asked = spark.createDataFrame([("1", "free"), ("1", "LY"), ("2", "dai")], "query_id string, keyword string")
     return search.column_search(asked, index, listings).select("query_id", "list_key", "record_id", F.array_join("columns", ",").alias("columns"))
+
+
+def _purposes(spark, d):
+    """A plan for each brand and type: a third names its region, a third has it as an argument; promotions ask for a region that isn't."""
+    b = table(spark, d, "part").select("p_brand", "p_type").distinct().withColumn("n", F.substring("p_brand", 7, 1).cast("int") % 3)
+    return b.select(
+        F.concat("p_brand", "p_type").alias("plan_id"),
+        F.concat(F.when(F.col("n") == 1, "서울 ").otherwise(""), "p_brand", F.lit(" "), "p_type").alias("purpose"),
+        F.when(F.col("p_type") == "PROMO", "nowhere").when(F.col("n") == 0, "KR-26").alias("region"),
+    )
+
+
+_PLANS = _CATALOG + _weighed("", "SELECT DISTINCT p_brand || p_type AS query_id, replace(p_brand, '#', '') || ' ' || p_type AS text FROM part WHERE p_type <> 'PROMO'") + """,
+pl AS (SELECT DISTINCT p_brand || p_type AS plan_id, CASE WHEN p_type = 'PROMO' THEN 'unknown region: nowhere' END AS error, CASE WHEN p_type <> 'PROMO' THEN CASE CAST(p_brand[7:7] AS INTEGER) % 3 WHEN 0 THEN 'KR-26' WHEN 1 THEN 'KR-11' END END AS region,
+         CASE WHEN p_type <> 'PROMO' THEN CASE CAST(p_brand[7:7] AS INTEGER) % 3 WHEN 0 THEN 'PARAMETER' WHEN 1 THEN 'PURPOSE_TEXT' END END AS region_source FROM part),
+sr AS (SELECT s.*, pl.region, c.list_type, c.spatial_raw, c.modified_date AS dated, pl.region IS NULL OR len(list_filter(c.regions, lambda r: starts_with(r, pl.region))) > 0 AS here FROM s JOIN pl ON pl.plan_id = s.query_id JOIN c ON c.record_id = s.doc),
+ok AS (SELECT *, bool_or(here) OVER (PARTITION BY query_id) AS found FROM sr), ky AS (SELECT * FROM ok WHERE here OR NOT found), kx AS (SELECT *, bool_or(hit = n_terms) OVER (PARTITION BY query_id) AS exact FROM ky),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM kx WHERE hit = n_terms OR NOT exact) WHERE rank <= 5),
+g AS (SELECT query_id, string_agg(doc, ',' ORDER BY rank) AS candidates, bool_or(NOT found) AS twice, bool_or(spatial_raw IS NOT NULL) AS sp, bool_or(dated IS NOT NULL) AS tm, bool_or(list_type = 'STD') AS ref,
+             string_agg(CASE WHEN rank <= 2 THEN CASE WHEN list_type = 'STD' THEN 'PRIMARY+REFERENCE' ELSE 'PRIMARY' END WHEN list_type = 'STD' THEN 'REFERENCE' ELSE 'RELATED' END, ',' ORDER BY rank) AS roles FROM tp GROUP BY query_id)
+"""
+
+
+@query(_PLANS + """SELECT plan_id, error, region, region_source, CASE WHEN error IS NULL THEN CASE WHEN twice THEN '2' ELSE '1' END END AS searches, candidates, roles,
+  CASE WHEN error IS NULL THEN 'PRIMARY=SATISFIED,' || CASE WHEN ref THEN 'REFERENCE=SATISFIED,' ELSE '' END || 'SPATIAL=' || CASE WHEN sp THEN 'PARTIAL' ELSE 'UNSATISFIED' END || ',TEMPORAL=' || CASE WHEN tm THEN 'PARTIAL' ELSE 'UNSATISFIED' END END AS needs FROM pl LEFT JOIN g ON query_id = plan_id""")
+def catalog_plans(spark, d):
+    """Draft plans for a batch of purposes."""
+    listings = views.with_top_percent(_listings(spark, d))
+    none = spark.createDataFrame([], "record_id string, columns array<string>")
+    out = plan.build_plans(_purposes(spark, d), listings, none)
+    joined = lambda c, f: F.when(F.col(c).isNotNull(), F.array_join(F.transform(c, f), ","))
+    return out.select(
+        "plan_id", "error", "region", "region_source", F.col("searches").cast("string").alias("searches"), joined("candidates", lambda x: x["record_id"]).alias("candidates"),
+        joined("candidates", lambda x: F.array_join(x["roles"], "+")).alias("roles"), joined("needs", lambda n: F.concat_ws("=", n["role"], n["status"])).alias("needs"),
+    )
