@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -39,6 +40,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_shuffles_go(spark: SparkSession) -> None:
+    """Have the driver look for tables that nothing refers to any more; Spark then deletes their shuffle files, which else stay until its heap fills."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a table made by written(), when nothing reads it any more."""
     spark = df.sparkSession
