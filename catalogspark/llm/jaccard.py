@@ -33,12 +33,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.packed import lean, pack, release, unpack
+from catalogspark.llm.packed import lean, pack, ranges_for, release, unpack
 from catalogspark.operators.graph import connected_components
-from catalogspark.sources.shared import written
+from catalogspark.sources.shared import drop_written, let_shuffles_go, written
 
 #: n-grams of a block; the bound of what a task holds at a time.
 BLOCK = 1_500_000
+#: Classes of one n-gram's list that are tried against each other in one go.
+LIST = 256
+#: Text whose n-grams a range of the hash space counts, in bytes.
+RANGE_BYTES = 16_000_000
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -196,7 +200,7 @@ def _sets_of_block(threshold: int):
 def shared_sets(docs: DataFrame, size: int = 5, threshold: int = 80, parts: int | None = None) -> DataFrame:
     """doc_id, key, n, grams: the class digest, the size of the set and, once a block and class that can link at all, its shared n-grams from rarest to most frequent (eight bytes each)."""
     spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or ranges_for(docs, "text", RANGE_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(_packed_blocks(size, parts)), _ROUTED)
     back = blocks.groupBy("part").applyInArrow(_counted, _ROUTED)
     return back.groupBy("block").applyInArrow(_sets_of_block(threshold), _SETS)
@@ -307,13 +311,18 @@ def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: in
     ones in all lists of a group. What is still apart after that is tried pair by pair, so no link is lost; this last
     round comes at once where the lists have hardly more pairs than members.
     """
-    rows = written(sets.select("key", "n", "grams").mapInArrow(lean(_prefixes(threshold)), "gram bigint, key binary, n bigint, pos bigint"), "prefixes")
+    rows = kept = written(sets.select("key", "n", "grams").mapInArrow(lean(_prefixes(threshold)), "gram bigint, key binary, n bigint, pos bigint"), "prefixes")
     links = parts = tried = None
     for turn in range(stars + 1):
         rows = _placed(rows, parts)
         tops = [F.min(F.struct(F.xxhash64("key", F.lit(17 * turn + i)).alias("h"), "key", "n", "pos", "c")) for i in range(pivots if turn else 1)]
+        # written, so that the join that follows has two plain sides and Spark can split a gram of many rows
         lists = rows.groupBy("gram").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("m"), F.array(*tops).alias("tops")).where("lo <> hi").select("gram", "m", "tops")
+        lists = written(lists, "lists")
         rows = written(rows.join(lists, "gram"), "open")
+        drop_written(lists)
+        drop_written(kept)
+        kept = rows
         work = rows.agg(F.count("*").alias("rows"), F.sum(F.col("m") - 1).alias("pairs")).head()
         if not work["rows"]:
             break
@@ -321,9 +330,14 @@ def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: in
         side = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c")]
         if last:
             maps = sets.select("key", "grams").mapInArrow(lean(_parity), "key binary, s bigint, " + ", ".join(f"{p} bigint" for p in _MAPS))
-            full = written(rows.select("gram", "key", "n", "pos", "c").join(maps, "key"), "mapped")
+            full = written(rows.select("gram", "m", "key", "n", "pos", "c").join(maps, "key"), "mapped")
             with_map = lambda s: [F.col(c).alias(s + c) for c in ("key", "n", "pos", "c", "s", *_MAPS)]
-            met = full.select("gram", *with_map("x")).join(full.select("gram", *with_map("y")), "gram").where("xc < yc").where(_near_enough(threshold))
+            # a list of m classes is dealt over cells of LIST x LIST pairs: each pair meets once, and no task has a whole list
+            sized = full.withColumn("parts", F.ceil(F.col("m") / LIST).cast("int")).withColumn("own", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+            every = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            left = sized.select("gram", F.col("own").alias("a"), every.alias("b"), *with_map("x"))
+            right = sized.select("gram", every.alias("a"), F.col("own").alias("b"), *with_map("y"))
+            met = left.join(right, ["gram", "a", "b"]).drop("a", "b").where("xc < yc").where(_near_enough(threshold))
         else:
             met = rows.select(*side("x"), F.explode("tops").alias("t")).select("*", *[F.col(f"t.{c}").alias(f"y{c}") for c in ("key", "n", "pos", "c")])
         met = met.where((F.col("xc") != F.col("yc")) & _passing(threshold))
@@ -332,6 +346,8 @@ def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: in
         met = met.select(either("xkey", "ykey").alias("x"), either("ykey", "xkey").alias("y"), either("xc", "yc").alias("xc"), either("yc", "xc").alias("yc")).distinct()
         # a pair in two components that was tried before does not link
         met = written(met if tried is None else met.join(tried, ["x", "y"], "left_anti"), "pairs")
+        if last:
+            drop_written(full)
         ids = met.select("x", "y")
         tried = ids if tried is None else tried.unionByName(ids)
         more = written(_links(met, sets, threshold), "links")
@@ -346,8 +362,11 @@ def class_links(sets: DataFrame, threshold: int = 80, stars: int = 4, pivots: in
 def jaccard_components(docs: DataFrame, size: int = 5, threshold: int = 80) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_shingles, component_id, one row for each row of docs."""
     every = written(shared_sets(docs, size, threshold), "sets")
+    let_shuffles_go(docs.sparkSession)
     sets = every.where("grams is not null").groupBy("key").agg(F.first("n").alias("n"), F.first("grams").alias("grams"))
-    _, parts = class_links(written(sets, "classes"), threshold)
+    sets = written(sets, "classes")
+    let_shuffles_go(docs.sparkSession)
+    _, parts = class_links(sets, threshold)
     least = every.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("d"))
     named = least.withColumn("c", F.col("key"))
     if parts is not None:

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import zstandard
+from pyspark.sql import functions as F
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -40,6 +41,12 @@ def by_range(h: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
     return [(p, cuts[p], cuts[p + 1]) for p in range(parts) if cuts[p + 1] > cuts[p]]
 
 
+def ranges_for(docs, text: str, range_bytes: int, least: int) -> int:
+    """How many ranges to deal the n-grams of all texts to, so that each has those of about range_bytes of text."""
+    size = docs.select(F.sum(F.octet_length(F.col(text).cast("string")))).head()[0] or 0
+    return max(least, -(-size // range_bytes))
+
+
 def make_folder(uri: str) -> str:
     fs, path = pafs.FileSystem.from_uri(uri)
     fs.create_dir(path)

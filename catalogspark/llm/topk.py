@@ -10,7 +10,7 @@ with exact products. Query and candidate blocks meet by an equi-join on block nu
 Defined results: vectors that are null, empty or hold null, NaN or infinite components take no part, nor do rows with
 a null id; vectors of different dimension don't meet; ties go to the smaller id; a query's own row is no
 candidate (repeated ids are all "own"); other repeated rows count as often as they occur, on both sides, so that copies of
-a candidate take a rank each; fewer than k candidates give fewer rows; empty tables give none.
+a candidate take a rank each; fewer than k candidates give fewer rows; empty tables give none; scores are exact where they fit a long.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from catalogspark.sources.shared import written
 BLOCK = 4096
 #: Required cosine from which coordinates prune better than length.
 COORD = 0.8
+#: Candidate blocks whose numbers meet the query blocks in one task.
+PAIRS_A_SALT = 256
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -74,19 +76,22 @@ def _met(k: int):
                 qtimes, ctimes = as_np(r["qcopies"]), as_np(r["copies"])
                 q, c = as_np(r["qflat"]).reshape(-1, dim), as_np(r["flat"]).reshape(-1, dim)
                 beat = as_np(r["beat"]).astype(float) if "beat" in r else np.full(len(qid), -np.inf)
+                beat = beat - 1 - 1e-12 * np.abs(np.where(np.isfinite(beat), beat, 0))  # a double holds a long only so far; a few candidates more do no harm
+                # doubles are exact below 2**53 in any order of summing; beyond, whole numbers modulo 2**64 are, as long as scores are longs
+                exact = dim * np.abs(q).max(initial=0) * np.abs(c).max(initial=0) < 2.0**53
+                qi, ci = (q, c) if exact else (q.astype(np.int64), c.astype(np.int64))
                 qn, cn = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     need = np.where(qn * r["longest"].as_py() > 0, beat / (qn * r["longest"].as_py()), np.where(beat > 0, np.inf, -np.inf))
                 out: list[tuple] = []
                 live = np.flatnonzero(need <= 1 + 1e-9)
-                # vectors and products are whole numbers below 2**53: exact in any order of summing
                 coord = live[need[live] >= COORD]
                 plain = live[need[live] < COORD]
                 if len(plain):
                     # the longest candidates first; those too short for the easiest query drop out
                     slack = np.where(beat[plain] > 0, beat[plain] / np.maximum(qn[plain], 1e-300), -np.inf).min()
                     reach = np.flatnonzero(cn >= slack * (1 - 1e-9))
-                    scores = q[plain] @ c[reach].T
+                    scores = qi[plain] @ ci[reach].T
                     for i, s in zip(plain, scores, strict=True):
                         ok = np.flatnonzero((s >= beat[i]) & (cid[reach] != qid[i]))
                         best = ok[_best(s[ok], cid[reach][ok], k)]
@@ -97,7 +102,7 @@ def _met(k: int):
                     lacking = np.where(cn > 0, beat[i] / (qn[i] * np.maximum(cn, 1e-300)), np.inf)
                     near = ((c[:, focus] / np.maximum(cn, 1e-300)[:, None] - q[i][focus] / qn[i]) ** 2).sum(1) <= 2 - 2 * lacking + 1e-9
                     ok = np.flatnonzero(near & (cid != qid[i]))
-                    s = c[ok] @ q[i]
+                    s = ci[ok] @ qi[i]
                     ok, s = ok[s >= beat[i]], s[s >= beat[i]]
                     best = _best(s, cid[ok], k)
                     out += [(int(qid[i]), int(cid[ok[b]]), int(s[b]), int(qtimes[i] * ctimes[ok[b]])) for b in best]
@@ -130,7 +135,11 @@ def top_products(queries: DataFrame, vectors: DataFrame, k: int = 5) -> DataFram
     known = each.groupBy("dim", "qcut").agg(F.array_sort(F.collect_list(F.struct("at", score.alias("s")))).alias("b"), F.min(slack).alias("slack"))
     q = written(q.join(known.select("dim", "qcut", F.col("b.s").alias("beat"), "slack"), ["dim", "qcut"]), "asked")
     # block numbers meet by dimension, unless no query of the block can reach that far; then each side's rows follow
-    pairs = every.select("dim", "number", "longest").join(q.select("dim", "qcut", "slack"), "dim").where(F.col("longest") * (1 + 1e-9) >= F.col("slack"))
+    # the numbers of candidate blocks are dealt over salts, so that one dimension isn't one task
+    salts = every.count() // PAIRS_A_SALT + 1
+    blocks = every.select("dim", "number", "longest", F.pmod(F.xxhash64("number"), F.lit(salts)).alias("salt"))
+    asking = q.select("dim", "qcut", "slack", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))).alias("salt"))
+    pairs = blocks.join(asking, ["dim", "salt"]).where(F.col("longest") * (1 + 1e-9) >= F.col("slack")).drop("salt")
     met = pairs.drop("longest", "slack").join(q, ["dim", "qcut"]).join(every.drop("dim", "bucket", "cut", "norms"), "number")
     found = met.select("dim", "qids", "qcopies", "qflat", "beat", "longest", "ids", "copies", "flat").mapInArrow(_met(k), _FOUND)
     best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("m"), "vec_id", "n"))), 1, k).alias("t"))

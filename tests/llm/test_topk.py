@@ -54,6 +54,19 @@ def test_repeated_rows_take_a_rank_each(spark, monkeypatch, block):
         assert got == want
 
 
+@pytest.mark.parametrize("block", [2, 4096])
+def test_products_beyond_doubles(spark, monkeypatch, block):
+    """Scores of up to 63 bits, some of which differ by less than a double can tell."""
+    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "PAIRS_A_SALT", 1)
+    rng = random.Random(1)
+    rows = [(i, [float(300_000_000 + rng.randrange(3)), float(-300_000_000 - rng.randrange(3)), float(rng.randrange(9)), 1.0]) for i in range(40)]
+    rows += [(i, [float(rng.randrange(-9, 9)) for _ in range(4)]) for i in range(40, 60)]
+    df = spark.createDataFrame(rows, "id long, v array<double>").repartition(3)
+    got = {(r.query_id, r.rank, r.vec_id, r.score) for r in topk.top_products(df.where("id % 4 = 0"), df, 5).collect()}
+    assert got == brute([(i, [int(x) for x in v]) for i, v in rows], [(i, [int(x) for x in v]) for i, v in rows if i % 4 == 0], 5)
+
+
 def test_edges(spark):
     rows = [(1, [1.0, None]), (2, None), (3, [float("nan")]), (4, [float("inf"), 1.0]), (None, [1.0]), (5, []), (6, [2.0]), (7, [3.0])]
     df = topk.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as id", "2 as v"), "vec_id", "embedding")
