@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from catalogspark.llm.packed import bounded_batches
+
 WIDTH = 64
 MAX_ROWS = 1024
 DELAY_CS = 10
@@ -282,6 +284,7 @@ def padded(text: Column) -> Column:
 
 def store_gif(df: DataFrame, text: str = "text", into: str = "media") -> DataFrame:
     """Add column ``into``: the text's payload as a GIF file."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(into, _stored(padded(F.col(text)), F.octet_length(F.coalesce(F.col(text), F.lit("")))))
 
 

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.llm.packed import lean, pack, ranges_for, release, unpack
+from catalogspark.llm.packed import bounded_batches, lean, pack, ranges_for, release, unpack
 from catalogspark.operators.graph import connected_components
 from catalogspark.sources.shared import drop_written, let_shuffles_go, written
 
@@ -200,6 +200,7 @@ def _sets_of_block(threshold: int):
 def shared_sets(docs: DataFrame, size: int = 5, threshold: int = 80, parts: int | None = None) -> DataFrame:
     """doc_id, key, n, grams: the class digest, the size of the set and, once a block and class that can link at all, its shared n-grams from rarest to most frequent (eight bytes each)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = parts or ranges_for(docs, "text", RANGE_BYTES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     blocks = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string")).mapInArrow(lean(_packed_blocks(size, parts)), _ROUTED)
     back = blocks.groupBy("part").applyInArrow(_counted, _ROUTED)

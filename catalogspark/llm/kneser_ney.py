@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.packed import Mapped, by_range, make_folder, pack, range_of, ranges_for, store, unpack
+from catalogspark.llm.packed import Mapped, bounded_batches, by_range, make_folder, pack, range_of, ranges_for, store, unpack
 from catalogspark.sources.shared import new_path
 
 #: Tokens of a block: the bound of what a counting task holds.
@@ -217,6 +217,7 @@ class Model:
 
 def train(docs: DataFrame, text: str = "text", parts: int | None = None) -> Model:
     spark = docs.sparkSession
+    bounded_batches(spark)
     parts = parts or ranges_for(docs, text, RANGE_BYTES, int(spark.conf.get("spark.sql.shuffle.partitions")))
     base = make_folder(new_path(spark, "ngrams"))
     blocks = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(_counted_blocks(parts), _ROUTED)

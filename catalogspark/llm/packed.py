@@ -92,6 +92,16 @@ class Mapped:
         return self.open[name]
 
 
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark) -> None:
+    """Unless the session says otherwise, Arrow batches for workers end at BATCH_BYTES: the usual count of 10,000 rows would be a gigabyte of long texts."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def release() -> None:
     """Give freed memory back to the system: a worker waits for its next task with what it needs only."""
     pa.default_memory_pool().release_unused()

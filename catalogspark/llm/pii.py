@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from catalogspark.llm.packed import release
+from catalogspark.llm.packed import bounded_batches, release
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds that only the anchors add: user info in an address, bank accounts, numbers behind a cue, street lines, secrets behind a cue or of a known form.
@@ -182,6 +182,7 @@ def _spans(texts: pa.Array) -> pa.Array:
 
 def find_pii(df: DataFrame, text: str = "text", into: str = "pii") -> DataFrame:
     """Add column ``into``: array<struct<kind, start, end>>."""
+    bounded_batches(df.sparkSession)
     return df.withColumn(into, _spans(F.col(text)))
 
 

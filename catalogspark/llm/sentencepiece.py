@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.packed import Mapped, by_range, lean, make_folder, range_of, store
+from catalogspark.llm.packed import Mapped, bounded_batches, by_range, lean, make_folder, range_of, store
 from catalogspark.sources.shared import drop_written, new_path, written
 
 SPACE = "▁"
@@ -189,6 +189,7 @@ def _slices(batches, rows: int = 200):
 
 def distinct_segments(docs: DataFrame, pieces: Pieces, text: str = "text") -> DataFrame:
     """h, seg: the distinct segments of all texts."""
+    bounded_batches(docs.sparkSession)
     touching = docs.sparkSession.sparkContext.broadcast(pieces.touching())
 
     def run(batches):
@@ -380,6 +381,7 @@ def encode(df: DataFrame, pieces: Pieces, text: str = "text", into: str = "ids")
 
 def decode(df: DataFrame, pieces: Pieces, ids: str = "ids", into: str = "decoded") -> DataFrame:
     """Add column ``into``: the text of the ids."""
+    bounded_batches(df.sparkSession)
     table = df.sparkSession.sparkContext.broadcast(pieces.bytes_of())
 
     def begin():

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from catalogspark.llm.packed import Mapped, make_folder, release, store
+from catalogspark.llm.packed import Mapped, bounded_batches, make_folder, release, store
 from catalogspark.sources.shared import new_path, written
 
 BITS = 20
@@ -111,6 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, max_
     A term learns at the full rate from ``|z| = min_z`` or where every row has it. max_features and max_share leave terms
     out, which the defaults don't.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train_rows)
     # the sample is bounded by max_train_rows, so it may be broadcast
@@ -149,6 +150,7 @@ def positions(features: np.ndarray) -> np.ndarray:
 
 def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "score") -> DataFrame:
     """Add column ``into``: the likelihood of label 1, from the text alone. Workers map the machine from the shared folder."""
+    bounded_batches(df.sparkSession)
     base = make_folder(new_path(df.sparkSession, "toxicity-machine"))
     w, v = machine.dense()
     store(f"{base}/arrays", w, v)

@@ -28,7 +28,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalogspark.llm.packed import lean, make_folder
+from catalogspark.llm.packed import bounded_batches, lean, make_folder
 
 #: Payloads of fewer bytes are always stored.
 LEAST_REVISIT = 100
@@ -91,6 +91,7 @@ def _archived(base: str, file_bytes: int):
 
 def write_warc(pages: DataFrame, path: str, file_bytes: int = FILE_BYTES) -> None:
     """pages(page_id, url, html) -> gzipped archives in path, listed in path/_archives."""
+    bounded_batches(pages.sparkSession)
     p = pages.select(F.col("page_id").cast("bigint"), F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("html"))
     p = p.withColumn("digest", F.sha2("html", 256))
     least = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
