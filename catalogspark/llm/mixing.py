@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -27,6 +28,8 @@ from catalogspark.sources.shared import written
 
 #: Documents of a hash range, about: the bound of a running sum's window.
 RANGE_DOCS = 2000
+#: Sources whose shares come to the driver at most.
+COLLECTED = 50_000
 
 
 @dataclass(frozen=True)
@@ -46,12 +49,26 @@ def _at(sources: DataFrame, exponent: float) -> tuple[float, float, float]:
     return (math.log(r["z"]) - exponent * r["s"] / r["z"]) / math.log(r["n"]), r["lo"] / r["z"], r["hi"] / r["z"]
 
 
+def _at_shares(shares: np.ndarray, exponent: float) -> tuple[float, float, float]:
+    """The same of collected shares."""
+    if len(shares) < 2:
+        return 1.0, 1.0, 1.0
+    p = shares**exponent
+    z = p.sum()
+    return float(np.log(z) - exponent * (p * np.log(shares)).sum() / z) / math.log(len(shares)), float((p / shares).min() / z), float((p / shares).max() / z)
+
+
 def find_mix(sources: DataFrame, tokens: float, target_entropy: float, max_repeat: float, least_epochs: float, rounds: int = 30) -> Mix:
-    """sources(share): shares of all tokens. The greatest exponent that meets the target within the limit, else the limit's."""
+    """sources(share): shares of all tokens. The greatest exponent that meets the target within the limit, else the limit's.
+
+    Up to COLLECTED shares are bisected on the driver; of more, each step is a job over them.
+    """
+    few = sources.select("share").limit(COLLECTED + 1).toPandas()["share"].to_numpy(float)
+    at = (lambda e: _at_shares(np.sort(few), e)) if len(few) <= COLLECTED else (lambda e: _at(sources, e))
 
     def fine(exponent: float) -> bool:
         """Flat enough, or already at the limit."""
-        h, lo, hi = _at(sources, exponent)
+        h, lo, hi = at(exponent)
         return h >= target_entropy or hi / lo * least_epochs >= max_repeat
 
     if fine(1.0):
@@ -63,7 +80,7 @@ def find_mix(sources: DataFrame, tokens: float, target_entropy: float, max_repea
             best, steep = (mid, steep) if fine(mid) else (best, mid)
             if steep - best < 1e-9:
                 break
-    h, lo, _ = _at(sources, best)
+    h, lo, _ = at(best)
     return Mix(best, tokens * least_epochs / lo, h)
 
 

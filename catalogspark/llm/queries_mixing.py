@@ -1,4 +1,4 @@
-"""Query op3: all documents as a mixed stream: where each is used, and its source's weight."""
+"""Query op3: all documents as a mixed stream: each use of a document with its epoch, block and position."""
 
 from __future__ import annotations
 

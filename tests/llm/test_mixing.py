@@ -1,8 +1,12 @@
 import math
+import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
+from catalogspark.llm import mixing
+from catalogspark.llm.queries_mixing import op3_source_mixing
 from catalogspark.llm.mixing import find_mix, mix_sources, plan_sources
 
 
@@ -44,6 +48,66 @@ def test_permutations_fill_the_budget(spark):
         assert sorted(r.position for r in got if r.block == b) == list(range(1, 1 + sum(r.block == b for r in got)))
 
 
+def test_both_ways_to_bisect(spark, monkeypatch):
+    df = spark.createDataFrame([(x / 100,) for x in (60, 25, 10, 5)], "share double")
+    one = find_mix(df, 100, 0.95, 10.0, 1.0)
+    monkeypatch.setattr(mixing, "COLLECTED", 2)
+    two = find_mix(df, 100, 0.95, 10.0, 1.0)
+    assert one.exponent == pytest.approx(two.exponent, abs=1e-6) and one.budget == pytest.approx(two.budget, rel=1e-6)
+
+
+def test_query_against_plain_python(spark):
+    """Every use of every document of sf0.01, from the units' hashes on in plain Python."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"u1": F.xxhash64("doc_id", "source", "text"), "u2": F.xxhash64("text", "source", F.lit(1), "doc_id")})
+    rows = docs.select("doc_id", "source", "text", "u1", "u2", *[F.xxhash64("u1", "u2", F.lit(e), F.lit(11)).alias(f"h{e}") for e in (1, 2)], *[F.xxhash64(F.xxhash64("u1", "u2", F.lit(e), F.lit(11)), F.lit(12)).alias(f"m{e}") for e in (1, 2)]).collect()
+    words = {r.u1: max(1, len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))) for r in rows}
+    units = {}
+    for r in rows:
+        units.setdefault((r.u1, r.u2), [r, 0])[1] += words[r.u1]
+    tokens, n_docs = Counter(), Counter()
+    for r, t in units.values():
+        tokens[r.source] += t
+        n_docs[r.source] += 1
+    total = sum(tokens.values())
+    share = {s: t / total for s, t in tokens.items()}
+
+    def at(e):
+        p = {s: x**e for s, x in share.items()}
+        z = sum(p.values())
+        h = -sum(x / z * math.log(x / z) for x in p.values()) / math.log(len(p))
+        ratio = [p[s] / share[s] / z for s in p]
+        return h, min(ratio), max(ratio)
+
+    def fine(e):
+        h, lo, hi = at(e)
+        return h >= 0.97 or hi / lo >= 1.5
+
+    best, steep = (1.0, 1.0) if fine(1.0) else (0.0, 1.0)
+    for _ in range(0 if best else 30):
+        mid = (best + steep) / 2
+        best, steep = (mid, steep) if fine(mid) else (best, mid)
+    budget = total / at(best)[1]
+    z = sum(x**best for x in share.values())
+    quota = {s: max(min(x**best / z * budget, tokens[s] * 1.5), tokens[s]) for s, x in share.items()}
+    blocks = max(1, math.ceil(sum(quota.values()) / 1_000_000))
+    want, placed = {}, defaultdict(list)
+    for s in tokens:
+        done = 0
+        for e in (1, 2):
+            order = sorted((math.floor(((r[f"h{e}"] % 2**64) >> 32) / 2**32 * math.ceil(n_docs[s] / 2000)), r[f"h{e}"], r.u1, r.u2, t, r) for r, t in units.values() if r.source == s)
+            for *_, u1, u2, t, r in order:
+                if done < quota[s] - 1e-6:
+                    placed[min(blocks - 1, math.floor(done / quota[s] * blocks))].append((r[f"m{e}"], u1, u2, e, t))
+                done += t
+    for b, uses in placed.items():
+        for at_, (_, u1, u2, e, t) in enumerate(sorted(uses)):
+            want[u1, u2, e] = (t, b, at_ + 1)
+    expected = sorted((r.doc_id, e, *want[r.u1, r.u2, e]) for r in rows for e in (1, 2) if (r.u1, r.u2, e) in want)
+    got = sorted((r.doc_id, r.epoch, r.tokens, r.block, r.position) for r in op3_source_mixing(spark, sf).collect())
+    assert got == expected
+
+
 def test_edges(spark):
     rows = [(1, "a", None), (2, "a", ""), (2, "a", ""), (None, None, "x y"), (3, "b", "long " * 5000)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
