@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from catalogspark.operators import compare, evaluate, observe, plan, search, stats
+from catalogspark.operators import compare, evaluate, observe, plan, search, stats, views
 from catalogspark.operators import families as fam
 from catalogspark.operators.diff import carried_forward, snapshot_diff
 from catalogspark.operators.graph import connected_components
@@ -87,6 +87,33 @@ def test_search(spark):
     assert {(r.query_id, r.list_key) for r in search.column_search(asked, index).collect()} == {("1", "b"), ("2", "a")}
 
 
+def test_stored_index_serves_the_same(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"red {'apple ' * (i % 4)}w{i % 7}", "apple" if i % 5 else "pear tree") for i in range(60)], "id long, text string, title string")
+    fields = {"text": 1.0, "title": 4.0}
+    q = spark.createDataFrame([("a", "apple w3"), ("b", "pear"), ("c", "zzz apple"), ("n", "nothing")], "query_id string, text string")
+    search.write_index(docs, "id", fields, f"file://{tmp_path}/index")
+    index = search.read_index(spark, f"file://{tmp_path}/index")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(search.bm25(q, docs, "id", fields)) == key(search.bm25(q, None, "id", fields, index=index))
+    asked = q.select(F.explode(search.terms_of(F.col("text"))).alias("term"))
+    read = search.in_shards(index["postings"], asked)
+    assert "PartitionFilters: [shard" in read._jdf.queryExecution().toString()
+    assert {r.term for r in read.select("term").distinct().collect()} < {r.term for r in index["postings"].select("term").distinct().collect()}
+    assert search.read_index(spark, f"file://{tmp_path}/index")["totals"].head().n_docs == 60
+
+
+def test_views_and_family_totals(spark):
+    m = spark.createDataFrame([("b", 2, 0.5), ("a", 1, 0.5), ("c", 0, 0.0), ("d", 3, 0.1)], "query_id string, relevant int, ndcg double")
+    assert [r.query_id for r in views.worst(m, 2).collect()] == ["d", "a"]
+    none = fam.family_totals(None, F.lit(1), spark).head()
+    assert (none.available, none.families) == (False, None)
+    f = spark.createDataFrame([("CATALOG_ONLY", "UNREVIEWED", 2), ("PLUS_STRUCTURE", "UNREVIEWED", 5)], "evidence string, review string, n_members long")
+    r = fam.family_totals(f, F.lit(9).cast("bigint")).head()
+    assert (r.families, r.member_records, r.files_total, r.by_evidence, r.by_review) == (2, 7, 9, {"CATALOG_ONLY": 1, "PLUS_STRUCTURE": 1}, {"UNREVIEWED": 2})
+    empty = fam.family_totals(f.limit(0), F.lit(9).cast("bigint")).head()
+    assert (empty.available, empty.families, empty.by_review) == (True, 0, {})
+
+
 def test_types_and_screening(spark):
     cases = {"INTEGER": ["1", "-20"], "NUMBER": ["1.5", "2"], "DATE_LIKE": ["2024-01-02", "2024/1/2"], "BOOL_LIKE": ["Y", "예"], "STRING": ["a", "1"], "EMPTY": [" ", ""], None: []}
     for want, v in cases.items():
@@ -134,6 +161,31 @@ def test_plan_rules(spark):
     assert got == {"PRIMARY": "SATISFIED", "SPATIAL": "PARTIAL", "TEMPORAL": "UNSATISFIED", "DEMAND": "UNSATISFIED", "SUPPLY": "UNSATISFIED"}
 
 
+def test_whole_plan(spark):
+    s = "record_id string, list_key string, title string, org_name string, list_type string, list_url string, theme_top string, modified_date string, spatial_raw string, description string, keywords array<string>, regions array<struct<code:string,evidence:string>>, typical boolean, higher long, rows long"
+    seoul = [("KR-11", "EXPLICIT_SPATIAL")]
+    rows = [
+        ("1", "k1", "버스 정류장 위치", "o", "FILE", "u", "교통", "2024-01-01", "서울", "d", ["버스"], seoul, True, 1, 10),
+        ("2", "k2", "버스 이용객 현황", "o", "API", "u", "교통", None, None, "d", [], [], False, 1, 10),
+        ("3", "k3", "버스 코드", "o", "STD", "u", "교통", None, None, "d", [], seoul, False, 0, 10),
+    ]
+    listings = spark.createDataFrame(rows, s)
+    cols = spark.createDataFrame([("1", ["위도", "경도", "기준일"]), ("3", ["위도", "경도"])], "record_id string, columns array<string>")
+    asked = [(1, "서울의 버스 수요를 분석하고 싶다", None), (2, "버스 수요", "KR-26"), (3, "x", None), (4, "버스 현황", "달나라"), (5, "고래 자료", "KR-11")]
+    got = {r.plan_id: r for r in plan.build_plans(spark.createDataFrame(asked, "plan_id int, purpose string, region string"), listings, cols).collect()}
+    one = got[1]
+    assert (one.status, one.terms, one.region, one.region_source, one.searches) == ("DRAFT", ["버스", "수요"], "KR-11", "PURPOSE_TEXT", 1)
+    assert {c.record_id for c in one.candidates} == {"1", "3"}
+    first = next(c for c in one.candidates if c.record_id == "1")
+    assert first.roles == ["PRIMARY", "SUPPLY", "SPATIAL", "TEMPORAL"] and first.signals.completeness == "TYPICAL" and first.signals.structure == "FILE_OBSERVATION"
+    assert "title matches 버스" in first.reasons and first.limitations == ["NOT_ASSESSED", "SAMPLE_BASED_STRUCTURE"]
+    assert {n.role: n.status for n in one.needs} == {"PRIMARY": "SATISFIED", "SPATIAL": "SATISFIED", "TEMPORAL": "SATISFIED", "DEMAND": "UNSATISFIED", "SUPPLY": "SATISFIED", "REFERENCE": "SATISFIED"}
+    assert [k.key for k in one.join_keys] == ["좌표(위도·경도)"] and one.missing == ["DEMAND"] and one.next_checks[-1] == "SEARCH_MISSING_NEEDS_ANEW"
+    assert (got[2].region, got[2].region_source, got[2].searches, len(got[2].candidates)) == ("KR-26", "PARAMETER", 2, 3)
+    assert got[3].error and got[3].status is None and got[4].error == "unknown region: 달나라" and got[4].candidates is None
+    assert (got[5].candidates, got[5].searches, {n.status for n in got[5].needs}) == (None, 2, {"UNSATISFIED"})
+
+
 def test_metrics_by_hand(spark):
     ranked = spark.createDataFrame([("q", 1, 5), ("q", 2, 6), ("q", 3, 7), ("e", 1, 1)], "query_id string, rank int, doc long")
     rel = spark.createDataFrame([("q", 5), ("q", 7), ("q", 9), ("none", 3)], "query_id string, doc long")
