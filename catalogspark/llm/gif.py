@@ -69,23 +69,21 @@ def _widths(min_size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 def _codes(samples: bytes) -> list[int]:
     """LZW codes of 8-bit samples: the longest known run each time, a clear code when the table is full, end of information."""
     table: dict[int, int] = {}
-    get, out, free = table.get, [], 258
+    get, out, free, full = table.get, [], 258, TABLE
     emit = out.append
     run = samples[0]
-    for b in samples[1:]:
-        key = run << 8 | b
-        longer = get(key)
-        if longer is None:
-            emit(run)
-            table[key] = free
-            free += 1
-            run = b
-            if free == TABLE:
-                emit(256)
-                table.clear()
-                free = 258
-        else:
+    for b in memoryview(samples)[1:]:
+        if (longer := get(key := run << 8 | b)) is not None:
             run = longer
+            continue
+        emit(run)
+        table[key] = free
+        free += 1
+        run = b
+        if free == full:
+            emit(256)
+            table.clear()
+            free = 258
     return [*out, run, 257]
 
 
@@ -155,12 +153,15 @@ def lzw_decoded(data: bytes, min_size: int, n_pixels: int) -> bytes:
         ends = len(stop) > 0
         n = int(stop[0]) if ends else n
         runs = _runs(codes[:n].tolist(), table, last)
-        out += runs
-        have += sum(map(len, runs))
+        out.append(b"".join(runs))
+        have += len(out[-1])
         if ends and codes[n] == clear + 1:
             break
         at, seen = (at + int(upto[n]), 0) if ends else (at + int(upto[n - 1]), seen + n)
-        table, last = (literals.copy(), b"") if ends else (table, runs[-1])
+        if ends:
+            table, last = literals.copy(), b""
+        elif runs:
+            last = runs[-1]
     if have < n_pixels:
         raise ValueError("a frame ends early")
     return b"".join(out)[:n_pixels]
@@ -176,14 +177,13 @@ def _runs(codes: list[int], table: list[bytes], last: bytes) -> list[bytes]:
     emit, add = out.append, table.append
     growing = codes[: max(0, TABLE - len(table))]
     for code in growing:
-        if code < len(table):
+        try:
             run = table[code]
-            add(last + run[:1])
-        elif code == len(table):
+        except IndexError:  # only the entry that this code makes may be missing
+            if code != len(table):
+                raise ValueError("code before its entry") from None
             run = last + last[:1]
-            add(run)
-        else:
-            raise ValueError("code before its entry")
+        add(last + run[:1])
         emit(run)
         last = run
     return [*out, *map(table.__getitem__, codes[len(growing) :])]
