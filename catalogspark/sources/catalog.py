@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,27 +15,41 @@ class SourceError(ValueError):
     """A source that must not be built from."""
 
 
-def detect_encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """path, encoding: UTF-8 where every line is valid, else CP949 where every line decodes, else null."""
-    raw = spark.read.format("binaryFile").load(paths).select("path", "content")
-    utf8 = F.expr("is_valid_utf8(cast(content as string))")
+def _plain(path) -> Column:
+    """A file's path without the ways that readers write its scheme."""
+    return F.regexp_replace(path, "^file:/+", "/")
+
 
-    @F.udf(T.BooleanType())
-    def is_cp949(content):
+@F.arrow_udf(T.BooleanType())
+def _is_cp949(lines: pa.Array) -> pa.Array:
+    def ok(line: bytes) -> bool:
         try:
-            content.decode("cp949")
+            line.decode("cp949")
         except UnicodeDecodeError:
             return False
         return True
 
-    return raw.select("path", F.when(utf8, "UTF-8").when(is_cp949("content"), "CP949").alias("encoding"))
+    return pa.array([ok(x) for x in lines.to_pylist()])
+
+
+def detect_encodings(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """path, encoding: UTF-8 where every line is valid, else CP949 where every line decodes, else null.
+
+    Files are read by lines, in splits; only lines of files that aren't UTF-8 go to Python. An empty file is UTF-8.
+    """
+    files = spark.read.format("binaryFile").load(paths).select("path")
+    lines = spark.read.text(paths).select(_plain(F.col("_metadata.file_path")).alias("p"), "value")
+    utf8 = lines.groupBy("p").agg(F.bool_and(F.expr("is_valid_utf8(value)")).alias("utf8"))
+    rest = lines.join(utf8.where("not utf8").select("p"), "p").groupBy("p").agg(F.bool_and(_is_cp949(F.col("value").cast("binary"))).alias("cp949"))
+    known = files.join(utf8, _plain("path") == F.col("p"), "left").drop("p").join(rest, _plain("path") == F.col("p"), "left")
+    return known.select("path", F.when(F.coalesce("utf8", F.lit(True)), "UTF-8").when(F.col("cp949"), "CP949").alias("encoding"))
 
 
 def manifest(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """path, bytes, sha256, lines of raw files."""
     files = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    lines = spark.read.text(paths).groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count("*").alias("lines"))
-    return files.join(lines, F.regexp_replace("path", "^file:/+", "/") == F.regexp_replace("p", "^file:/+", "/"), "left").select("path", "bytes", "sha256", F.coalesce("lines", F.lit(0)).alias("lines"))
+    lines = spark.read.text(paths).groupBy(_plain(F.col("_metadata.file_path")).alias("p")).agg(F.count("*").alias("lines"))
+    return files.join(lines, _plain("path") == F.col("p"), "left").select("path", "bytes", "sha256", F.coalesce("lines", F.lit(0)).alias("lines"))
 
 
 def changed_files(new: DataFrame, stored: DataFrame) -> DataFrame:
@@ -115,5 +130,5 @@ def read_golden(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_cases(spark: SparkSession, folder: str) -> DataFrame:
-    """case-*.json, a row a case with its file name."""
-    return spark.read.option("multiLine", True).option("pathGlobFilter", "case-*.json").json(folder).withColumn("file", F.col("_metadata.file_name"))
+    """case-*.json, a row a case with its file name, in order of names."""
+    return spark.read.option("multiLine", True).option("pathGlobFilter", "case-*.json").json(folder).withColumn("file", F.col("_metadata.file_name")).orderBy("file")

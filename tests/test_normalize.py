@@ -134,6 +134,42 @@ def test_build(spark, tmp_path):
     assert read_published(spark, out, "listings", "2026-09") is None
 
 
+def test_side_inputs(spark, tmp_path):
+    from catalogspark.sources import catalog as src
+
+    path = lambda n: f"file://{tmp_path}/{n}"
+    header = [*src.V.PROFILE_COLUMNS, "else"]
+    with open(tmp_path / "p.csv", "w", encoding="utf-8-sig", newline="") as f:
+        w = csv.DictWriter(f, header)
+        w.writeheader()
+        w.writerow(dict.fromkeys(header, "x") | {"dataID": "k", "열순번": " 3 ", "컬럼명_샘플": "['a,\n']"})
+        w.writerow(dict.fromkeys(header, "x") | {"열순번": "no"})
+    rows = src.read_profile(spark, path("p.csv")).orderBy("row_no").collect()
+    assert [(r.row_no, r.list_key, r.ordinal, r.samples) for r in rows] == [(2, "k", 3, "['a,\n']"), (3, "x", None, "x")]
+    (tmp_path / "sheet.csv").write_text("family_id,note,verdict (a/b)\nfam-1,n,CONFIRMED_FAMILY\nfam-2,n,\n")
+    assert [tuple(r) for r in src.read_review_sheet(spark, path("sheet.csv")).collect()] == [("fam-1", "CONFIRMED_FAMILY"), ("fam-2", None)]
+    (tmp_path / "w.json").write_text('{"recordIds": ["a", "b"]}')
+    assert [r.record_id for r in src.read_withdrawn(spark, path("w.json")).collect()] == ["a", "b"]
+    (tmp_path / "r.json").write_text('{"families": {"fam-1": {"reviewStatus": "NOT_A_FAMILY", "note": ""}}}')
+    assert [tuple(r) for r in src.read_reviews(spark, path("r.json")).collect()] == [("fam-1", "NOT_A_FAMILY")]
+    (tmp_path / "golden.json").write_text('{"queries": [{"id": "G1", "pattern": "a"}, {"id": "G2", "pattern": "b"}]}')
+    assert [r.id for r in src.read_golden(spark, path("golden.json")).collect()] == ["G1", "G2"]
+    for n in ("case-b.json", "case-a.json", "other.json"):
+        (tmp_path / n).write_text('{"caseId": "%s"}' % n)
+    assert [r.file for r in src.read_cases(spark, path("")).collect()] == ["case-a.json", "case-b.json"]
+    lacking = [c for c in HEADER if c != "목록명"]
+    (tmp_path / "l.csv").write_text(",".join(lacking) + "\n" + ",".join("x" for _ in lacking) + "\n")
+    with pytest.raises(src.SourceError, match="목록명"):
+        src.read_snapshot(spark, path("l.csv"))
+    blank = write_csv(tmp_path / "k.csv", [r | {"목록키": " "} for r in snapshot_rows(1)])
+    with pytest.raises(src.SourceError, match="without a key"):
+        src.read_snapshot(spark, blank)
+    stored = src.manifest(spark, path("w.json"))
+    assert src.changed_files(stored, stored).isEmpty() and not src.changed_files(stored.withColumn("sha256", F.lit("0")), stored).isEmpty()
+    with pytest.raises(Exception, match="no discoverability"):
+        quality.discoverability(spark.createDataFrame([], "list_key string, title string, description string, org_name string, license_code string, keywords array<string>, modified_date string, created_date string, list_url string")).collect()
+
+
 def test_encodings(spark, tmp_path):
     from catalogspark.sources import catalog as src
 
