@@ -138,6 +138,8 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = 40_000, max_
     at = [(p := where[of_row[i]])[p >= 0] for i in order]
     del rows, of_row, count, marked, z
     bias, w, v = _fit(at, labelled[order], pace, rank, epochs, seed, decay)
+    del at
+    release()  # the sample's pages go back, the driver has more to do
     return Machine(features, bias, w, v)
 
 
@@ -155,6 +157,8 @@ def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "scor
     w, v = machine.dense()
     store(f"{base}/arrays", w, v)
     bias, rank = machine.bias, v.shape[1]
+    del w, v
+    release()
 
     @F.arrow_udf(T.DoubleType())
     def _score(texts: pa.Array) -> pa.Array:
