@@ -86,7 +86,8 @@ def families(spark, d):
     return m.groupBy("family_id").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n_members")).select("first_id", "n_members")
 
 
-@query()
+@query(_FAMILY.rsplit("SELECT root AS first_id", 1)[0] + """, s AS (SELECT root, count(*) AS n_members, CASE WHEN count(DISTINCT h) = 1 THEN 'PLUS_STRUCTURE' ELSE 'CATALOG_ONLY' END AS evidence FROM f JOIN r USING (id) GROUP BY root HAVING count(*) > 1)
+SELECT evidence, 'NUMBERED' AS relation, 'UNREVIEWED' AS review, count(*) AS n_families, CAST(sum(n_members) AS BIGINT) AS n_members FROM s GROUP BY evidence""")
 def family_stats(spark, d):
     f, _ = _families(spark, d)
     return f.groupBy("evidence", "relation", "review").agg(F.count("*").alias("n_families"), F.sum("n_members").alias("n_members"))
