@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+# The facts that listings are compared by -> their columns.
+FACTS = {
+    "listType": "list_type", "orgName": "org_name", "theme": "theme_raw", "formats": "formats", "updateCycle": "update_cycle", "license": "license_code", "modifiedDate": "modified_date", "createdDate": "created_date",
+    "rowCount": "row_count", "spatial": "spatial_raw", "temporal": "temporal_raw", "completenessScore": "score", "keywords": "keywords", "fee": "fee", "apiType": "api_type",
+}
+
+
+def compare_listings(members: DataFrame) -> DataFrame:
+    """members(group_id and a listing's columns) -> group_id, field, n_values, shared of the fifteen facts."""
+    return compare(members.select("group_id", *[F.col(c).alias(n) for n, c in FACTS.items()]), list(FACTS))
+
+
 def compare(members: DataFrame, fields: list[str]) -> DataFrame:
     """members(group_id, fields...) -> group_id, field, n_values, shared: equality is of JSON text, so order in lists matters."""
     long = members.select("group_id", F.inline(F.array(*[F.struct(F.lit(f).alias("field"), F.coalesce(F.to_json(F.struct(F.col(f).alias("v"))), F.lit("{}")).alias("v")) for f in fields])))

@@ -174,14 +174,19 @@ def interpret(queries: DataFrame, axes: dict[str, tuple[dict, bool]] = AXES) ->
     return out.select("query_id", F.array_join("r.rest", " ").alias("rest"), *[F.col(f"r.{a}").alias(a) for a in axes])
 
 
-def column_search(asked: DataFrame, index: DataFrame, listings: DataFrame | None = None, most: int = 5) -> DataFrame:
+def column_search(asked: DataFrame, index: DataFrame, listings: DataFrame | None = None, most: int = 5, block: int = 1000) -> DataFrame:
     """asked(query_id, keyword), index(list_key, column_name): keys whose columns hold every keyword, with evidence.
 
-    Keywords are a small batch; the pairing is by substring, so it is a broadcast nested loop over distinct column names only.
+    The pairing is by substring, so the stated keywords meet the distinct column names only, a bounded block of keywords at a time.
     """
     k = asked.select("query_id", F.lower("keyword").alias("keyword")).distinct()
     names = index.select("column_name").distinct()
-    met = names.join(k, F.contains(F.lower("column_name"), F.col("keyword")))
+    blocks = max(1, -(-k.count() // block))
+    dealt = k.withColumn("b", F.pmod(F.xxhash64("query_id", "keyword"), F.lit(blocks)))
+    met = None
+    for b in range(blocks):
+        part = names.join(F.broadcast(dealt.where(F.col("b") == b).drop("b")), F.contains(F.lower("column_name"), F.col("keyword")))
+        met = part if met is None else met.unionByName(part)
     hits = index.join(met, "column_name")
     need = k.groupBy("query_id").agg(F.count("*").alias("need"))
     found = hits.groupBy("query_id", "list_key").agg(F.count_distinct("keyword").alias("n"), F.slice(F.array_sort(F.collect_set("column_name")), 1, most).alias("columns")).join(need, "query_id").where("n = need").select("query_id", "list_key", "columns")

@@ -23,8 +23,8 @@ def with_structure_flag(listings: DataFrame, coverage: DataFrame, key: str = "li
 def with_top_percent(rated: DataFrame) -> DataFrame:
     """rated(profile, filled, total, ...) with higher and rows: how many of its profile score better, of how many; typical: it has the mode."""
     d = distribution(rated).select("profile", "filled", "rows", "higher", (F.col("filled") == F.col("mode_filled")).alias("typical"))
-    # one row for each profile and score: at most the number of a profile's fields
-    return rated.join(F.broadcast(d), ["profile", "filled"])
+    # one row for each profile and score; the planner broadcasts it where it is small
+    return rated.join(d, ["profile", "filled"])
 
 
 def _short() -> list[Column]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from catalogspark.functions import vocabulary as V
 from catalogspark.operators import diff, plan, quality, search, views
 from catalogspark.operators import families as fam
+from catalogspark.operators.compare import FACTS, compare_listings
 from catalogspark.operators.normalize import catalog_completeness, catalog_issues, duplicate_issues, identify, normalize
 from catalogspark.operators.stats import page
 from catalogspark.plans.build import catalog_findings, shapes
@@ -461,6 +462,16 @@ def catalog_column_search(spark, d):
     return search.column_search(asked, index, listings).select("query_id", "list_key", "record_id", F.array_join("columns", ",").alias("columns"))
 
 
+_FACTS = " UNION ALL ".join(f"SELECT g AS group_id, '{n}' AS field, count(DISTINCT coalesce(CAST({c} AS VARCHAR), '~')) AS n_values FROM m GROUP BY g" for n, c in FACTS.items())
+
+
+@query(_CATALOG + f", m AS (SELECT CAST(floor(CAST(list_key AS BIGINT) / 4) AS BIGINT) AS g, * FROM c) SELECT *, n_values = 1 AS shared FROM ({_FACTS})")
+def catalog_compare(spark, d):
+    """Fifteen facts of groups of up to four neighbouring keys."""
+    members = _listings(spark, d).withColumn("group_id", F.floor(F.col("list_key").cast("bigint") / 4))
+    return compare_listings(members)
+
+
 def _purposes(spark, d):
     """A plan for each brand and type: a third names its region, a third has it as an argument; promotions ask for a region that isn't."""
     b = table(spark, d, "part").select("p_brand", "p_type").distinct().withColumn("n", F.substring("p_brand", 7, 1).cast("int") % 3)
