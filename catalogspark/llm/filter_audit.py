@@ -8,7 +8,7 @@ orders and steps are read from these at most 32 counts a part, so no order is ru
 
 Defined results: a null text is empty, and empty texts are equal texts; a null doc_id is smaller or larger than nothing, so it neither fails the fifth
 filter nor makes others fail; rows that share a doc_id aren't copies of one another; every row counts, repeated ones too; a null part is the empty
-string; a document is good or toxic if any label row of its id says so, and neither without one; texts are read whole; an empty table gives no parts;
+string; a document is good or toxic if any label row of its id says so, and neither without one or without an id; texts are read whole; an empty table gives no parts;
 other columns are ignored, whatever their names.
 """
 

@@ -9,8 +9,8 @@ from catalogspark.llm import filter_audit
 
 def brute(docs, labels):
     """The audit row by row and order by order."""
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1} - {None}
+    toxic = {i for i, _, t in labels if t == 1} - {None}
     rows = []
     for i, text, lang in docs:
         text = text or ""
