@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import string
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +58,24 @@ def title_tokens(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), f"(?U){V.TITLE_TOKENS}"), lambda t: t != "")
 
 
+def ascii_lower(c: Column) -> Column:
+    """A-Z in lower case, all else as it stands."""
+    return F.when(F.octet_length(c) == F.length(c), F.lower(c)).otherwise(F.translate(c, string.ascii_uppercase, string.ascii_lowercase))
+
+
+def _latin() -> tuple[str, str]:
+    """Lower-case Latin letters with marks and their bare letters, by Unicode's canonical decomposition; then the combining marks, which go."""
+    marked = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)) if chr(c) == chr(c).lower()}
+    marked = {c: bare for c, bare in marked.items() if bare != c and "a" <= bare <= "z"}
+    return "".join(marked) + "".join(map(chr, range(0x300, 0x370))), "".join(marked.values())
+
+
+def latin_folded(c: Column) -> Column:
+    """Lower case without Latin diacritics."""
+    low = F.lower(c)
+    return F.when(F.octet_length(low) == F.length(low), low).otherwise(F.translate(low, *_latin()))
+
+
 def hmac_sha256(key: bytes, c: Column) -> Column:
     """Lower-case hex of HMAC-SHA256 of a text, by the definition of HMAC."""
     import hashlib

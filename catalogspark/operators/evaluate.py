@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalogspark.operators.search import terms_of
+from catalogspark.operators.bm25 import terms_of
 
 GRAM = 8
 

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from catalogspark.functions import vocabulary as V
 from catalogspark.functions.text import ttrim
-from catalogspark.operators.search import decided, scored
+from catalogspark.operators.bm25 import decided, scored
 from catalogspark.sources.shared import written
 
 
@@ -144,7 +144,7 @@ def build_plans(purposes: DataFrame, listings: DataFrame, columns: DataFrame, mo
     first = near.unionByName(found.join(good.where("code is null").select("plan_id"), "plan_id", "left_semi"))
     again = good.where("code is not null").select("plan_id").join(near.select("plan_id").distinct(), "plan_id", "left_anti")
     every = first.withColumn("turn", F.lit(1)).unionByName(found.join(again, "plan_id", "left_semi").withColumn("turn", F.lit(2)))
-    kept = decided(every.select(F.col("plan_id").alias("query_id"), "n_terms", F.struct("record_id", "turn").alias("doc"), "hit", "score"))
+    kept = decided(every.select(F.col("plan_id").alias("query_id"), "n_units", F.struct("record_id", "turn").alias("doc"), "hit", "score"))
     rank = F.row_number().over(W.partitionBy("plan_id").orderBy(F.desc("score"), "record_id"))
     top = kept.select(F.col("query_id").alias("plan_id"), "doc.record_id", "doc.turn", "mode", "score").withColumn("rank", rank).where(F.col("rank") <= most)
     fields = listings.select("record_id", "title", "org_name", "list_type", "list_url", "theme_top", "modified_date", F.col("spatial_raw").isNotNull().alias("spatial_listed"), F.col("modified_date").isNotNull().alias("temporal_listed"), "typical", F.round(100 * F.col("higher") / F.col("rows"), 1).alias("top_percent"))

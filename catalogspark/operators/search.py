@@ -1,116 +1,11 @@
-"""Batch search: postings and BM25, filters, query interpretation and column search."""
+"""Search beside ranking (see bm25.py): filters, query interpretation and column search."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from catalogspark.functions import vocabulary as V
-from catalogspark.functions.text import ttrim
-
-K1, B = 1.2, 0.75
-TOKEN = r"[^\p{L}\p{N}]+"
-
-
-def terms_of(text: Column) -> Column:
-    """Lower-case runs of letters and digits, in order, repeats kept."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), TOKEN), lambda t: t != "")
-
-
-def postings(docs: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """doc, len, term, tf: tf weighs each field's occurrences, len counts all terms of the row."""
-
-    def weighed(f: str) -> Column:
-        return F.transform(terms_of(F.col(f)), lambda t: F.struct(t.alias("term"), F.lit(float(fields[f])).alias("w")))
-
-    every = [weighed(f) for f in fields]
-    rows = docs.select(F.col(key).alias("doc"), F.concat(*every).alias("t")).withColumn("len", F.size("t").cast("bigint"))
-    return rows.select("doc", "len", F.inline("t")).groupBy("doc", "len", "term").agg(F.sum("w").alias("tf"))
-
-
-def corpus_stats(docs: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """One row: n_docs, total_len."""
-    n = sum((F.size(terms_of(F.col(f))) for f in fields), F.lit(0))
-    return docs.agg(F.count(key).alias("n_docs"), F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("total_len"))
-
-
-def document_frequency(posted: DataFrame) -> DataFrame:
-    return posted.groupBy("term").agg(F.count("*").alias("df"))
-
-
-def scored(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
-    """queries(query_id, text) over docs -> query_id, n_terms, doc, hit, score: every document with any of the terms, and how many.
-
-    Only postings of query terms are formed beyond the filter on terms: the batch's terms are joined, and broadcast by the planner when
-    small. With a stored index (read_index) no text is read.
-    """
-    q = queries.select("query_id", F.array_distinct(terms_of(F.col("text"))).alias("t")).where(F.size("t") > 0)
-    asked = q.select("query_id", F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    stats = (corpus_stats(docs, key, list(fields)) if index is None else index["totals"]).head()
-    average = stats["total_len"] / max(1, stats["n_docs"])
-    # join before counting: only occurrences of asked terms are aggregated
-    posted = (postings(docs, key, fields) if index is None else in_shards(index["postings"], asked)).join(asked.select("term").distinct(), "term", "left_semi")
-    df = document_frequency(posted)
-    idf = F.log(1 + (F.lit(stats["n_docs"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / average))
-    hits = asked.join(posted, "term").join(df, "term").select("query_id", "n_terms", "doc", part.alias("s"))
-    return hits.groupBy("query_id", "n_terms", "doc").agg(F.count("*").alias("hit"), F.round(F.sum("s"), decimals).alias("score"))
-
-
-def decided(found: DataFrame) -> DataFrame:
-    """Rows of scored -> query_id, mode, doc, score. A document matches by all terms; queries with no such match and several terms fall back to any term."""
-    every = found.withColumn("all_terms", F.col("hit") == F.col("n_terms"))
-    exact = every.where("all_terms").select("query_id").distinct().withColumn("exact", F.lit(True))
-    kept = every.join(exact, "query_id", "left").where(F.col("all_terms") | F.col("exact").isNull())
-    return kept.select("query_id", F.when(F.col("exact"), "AND").otherwise("OR").alias("mode"), "doc", "score")
-
-
-def matches(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Every match of each query, by all terms or else by any: query_id, mode, doc, score, from one pass of scores."""
-    return decided(scored(queries, docs, key, fields, decimals, index))
-
-
-def bm25(queries: DataFrame, docs: DataFrame, key: str, fields: dict[str, float], k: int = 10, decimals: int = 6, index: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The first k matches of each query by score, ties by id: query_id, mode, rank, doc, score."""
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "doc"))
-    return matches(queries, docs, key, fields, decimals, index).withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "mode", "rank", "doc", "score")
-
-
-def newest(matched: DataFrame, docs: DataFrame, key: str, date: str, k: int = 10) -> DataFrame:
-    """The first k matches of each query by date, newest first, undated last, ties by id."""
-    dated = matched.join(docs.select(F.col(key).alias("doc"), date), "doc")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc_nulls_last(date), "doc"))
-    return dated.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "doc", date)
-
-
-# ---- the stored index
-
-
-#: Folders that postings are dealt to by their term: a batch of queries reads the folders of its terms.
-SHARDS = 64
-
-
-def _shard(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(SHARDS)).cast("int")
-
-
-def write_index(docs: DataFrame, key: str, fields: dict[str, float], path: str) -> None:
-    """Postings in folders by term, sorted by term, and the totals that scores need: made once a release, read by every batch."""
-    posted = postings(docs, key, fields).withColumn("shard", _shard(F.col("term")))
-    posted.repartition("shard", F.pmod(F.xxhash64("doc"), F.lit(8))).sortWithinPartitions("shard", "term").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/postings")
-    corpus_stats(docs, key, list(fields)).write.mode("overwrite").parquet(f"{path}/totals")
-
-
-def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in ("postings", "totals")}
-
-
-def in_shards(posted: DataFrame, asked: DataFrame) -> DataFrame:
-    """The postings in the folders of the asked terms; at most SHARDS numbers come to the driver."""
-    shards = [r["s"] for r in asked.select(_shard(F.col("term")).alias("s")).distinct().collect()]
-    return posted.where(F.col("shard").isin(shards or [-1])).drop("shard")
-
 
 def filtered(df: DataFrame, *, theme: str | None = None, org: str | None = None, fmt: str | None = None, cycle: str | None = None, licence: str | None = None, kind: str | None = None, since: str | None = None, region: str | None = None, inferred: bool = True) -> DataFrame:
     """Listing filters; substrings are literal and ASCII case-insensitive."""
@@ -154,42 +49,26 @@ AXES = {
 def interpret(queries: DataFrame, axes: dict[str, tuple[dict, bool]] = AXES) -> DataFrame:
     """queries(query_id, text, skip array<string>) -> query_id, rest, one column an axis.
 
-    Each token serves the first axis, in order, that knows it and is neither skipped nor taken; the rest stays text.
-    """
-    q = queries.select("query_id", F.coalesce("skip", F.array().cast("array<string>")).alias("skip"), F.filter(F.split(ttrim(F.coalesce("text", F.lit(""))), r"(?U)\s+"), lambda t: t != "").alias("t"))
-    start = F.struct(*[F.lit(None).cast("string").alias(a) for a in axes], F.array().cast("array<string>").alias("rest"))
-
-    def step(acc: Column, token: Column) -> Column:
-        values, free = {}, F.lit(True)
-        for a, (aliases, upper) in axes.items():
-            table = F.create_map(*[F.lit(x) for kv in aliases.items() for x in kv])
-            v = F.try_element_at(table, F.upper(token) if upper else token)
-            takes = free & v.isNotNull() & acc[a].isNull() & ~F.array_contains("skip", a)
-            values[a] = F.when(takes, v).otherwise(acc[a])
-            free = free & ~takes
-        rest = F.when(free, F.concat(acc["rest"], F.array(token))).otherwise(acc["rest"])
-        return F.struct(*[v.alias(a) for a, v in values.items()], rest.alias("rest"))
-
-    out = q.withColumn("r", F.aggregate("t", start, step))
-    return out.select("query_id", F.array_join("r.rest", " ").alias("rest"), *[F.col(f"r.{a}").alias(a) for a in axes])
-
-
-def column_search(asked: DataFrame, index: DataFrame, listings: DataFrame | None = None, most: int = 5, block: int = 1000) -> DataFrame:
-    """asked(query_id, keyword), index(list_key, column_name): keys whose columns hold every keyword, with evidence.
-
-    The pairing is by substring, so the stated keywords meet the distinct column names only, a bounded block of keywords at a time.
+    Each token serves the first axis, in order, that knows it and is neither skipped nor taken; the rest stays text. So an axis has the first
+    token that it knows and no earlier axis has: a minimum of positions, found without walking token by token.
     """
-    k = asked.select("query_id", F.lower("keyword").alias("keyword")).distinct()
-    names = index.select("column_name").distinct()
-    blocks = max(1, -(-k.count() // block))
-    dealt = k.withColumn("b", F.pmod(F.xxhash64("query_id", "keyword"), F.lit(blocks)))
-    met = None
-    for b in range(blocks):
-        part = names.join(F.broadcast(dealt.where(F.col("b") == b).drop("b")), F.contains(F.lower("column_name"), F.col("keyword")))
-        met = part if met is None else met.unionByName(part)
-    hits = index.join(met, "column_name")
-    need = k.groupBy("query_id").agg(F.count("*").alias("need"))
-    found = hits.groupBy("query_id", "list_key").agg(F.count_distinct("keyword").alias("n"), F.slice(F.array_sort(F.collect_set("column_name")), 1, most).alias("columns")).join(need, "query_id").where("n = need").select("query_id", "list_key", "columns")
-    if listings is None:
-        return found
-    return found.join(listings.where("list_type = 'FILE'").groupBy("list_key").agg(F.min("record_id").alias("record_id")), "list_key")
+    whole = F.coalesce("text", F.lit(""))
+    words = lambda c: F.array_remove(F.split(c, r"(?U)\s+"), "")
+    q = queries.select("query_id", F.coalesce("skip", F.array().cast("array<string>")).alias("skip"), words(whole).alias("t"))
+    if any(upper for _, upper in axes.values()):
+        q = q.withColumn("u", words(F.upper(F.array_join("t", " "))))
+    earlier: dict[str, set] = {}
+    for a, (aliases, upper) in axes.items():
+        tokens = F.col("u" if upper else "t")
+        for b, names in earlier.items():
+            if names & {x.upper() for x in aliases}:  # what an axis before has taken is taken
+                at = F.col(f"at_{b}").cast("int")
+                tokens = F.when(at > 0, F.concat(F.slice(tokens, 1, at - 1), F.array(F.lit("")), F.slice(tokens, at + 1, F.size("t")))).otherwise(tokens)
+        earlier[a] = {x.upper() for x in aliases}
+        first = F.get(F.array_intersect(tokens, F.array(*map(F.lit, aliases))), F.lit(0))
+        q = q.withColumn(f"by_{a}", F.when(~F.array_contains("skip", a), first))
+        q = q.withColumn(f"at_{a}", F.array_position(tokens, F.col(f"by_{a}")))
+    taken = F.array_compact(F.array(*[F.col(f"at_{a}") - 1 for a in axes]))
+    rest = F.filter("t", lambda _, i: ~F.array_contains(taken, i.cast("bigint")))
+    value = lambda a: F.try_element_at(F.create_map(*[F.lit(x) for kv in axes[a][0].items() for x in kv]), F.col(f"by_{a}"))
+    return q.withColumn("rest", rest).select("query_id", F.array_join("rest", " ").alias("rest"), *[value(a).alias(a) for a in axes])

@@ -8,14 +8,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.functions import vocabulary as V
-from catalogspark.operators import diff, plan, quality, search, views
+from catalogspark.operators import bm25, columns, diff, plan, quality, search, views
 from catalogspark.operators import families as fam
 from catalogspark.operators.compare import FACTS, compare_listings
 from catalogspark.operators.normalize import catalog_completeness, catalog_issues, duplicate_issues, identify, normalize
 from catalogspark.operators.stats import page
 from catalogspark.plans.build import catalog_findings, shapes
+from catalogspark.plans.queries_search import found_sql, scored_sql
 from catalogspark.sources import export
-from catalogspark.sources.shared import table
+from catalogspark.sources.shared import table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -240,21 +241,15 @@ def catalog_filters(spark, d):
 
 _WEIGHTS = {"title": 4.0, "keyword_text": 3.0, "description": 1.0, "org_name": 2.0}
 _ASKED = "SELECT DISTINCT p_brand || ' ' || p_type || ' ' || p_name AS text, p_brand || p_type || p_name AS query_id FROM part WHERE p_size = 1"
-_TERMS = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 def _weighed(where: str, asked: str) -> str:
-    return f"""
-, f AS (SELECT record_id AS doc, list_type, modified_date, {', '.join(f"{_TERMS.format(c)} AS {n}" for n, c in (("a", "title"), ("b", "array_to_string(keywords, ' ')"), ("e", "description"), ("g", "org_name")))} FROM c {where}),
-p AS (SELECT doc, len, term, sum(w) AS tf FROM (
-  SELECT doc, len(a) + len(b) + len(e) + len(g) AS len, unnest(list_concat(a, b, e, g)) AS term,
-         unnest(list_concat(list_transform(a, lambda x: 4.0::DOUBLE), list_transform(b, lambda x: 3.0::DOUBLE), list_transform(e, lambda x: 1.0::DOUBLE), list_transform(g, lambda x: 2.0::DOUBLE))) AS w FROM f) GROUP BY ALL),
-q AS ({asked}), qt AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM (SELECT query_id, list_distinct({_TERMS.format('text')}) AS t FROM q)),
-st AS (SELECT count(*) AS n, sum(len(a) + len(b) + len(e) + len(g)) / count(*) AS av FROM f), df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-s AS (SELECT query_id, n_terms, doc, count(*) AS hit, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score FROM qt JOIN p USING (term) JOIN df USING (term), st GROUP BY ALL)"""
+    fields = [("title", 4), ("keyword_text", 3), ("description", 1), ("org_name", 2)]
+    rows = f"SELECT record_id AS doc, title, array_to_string(keywords, ' ') AS keyword_text, description, org_name FROM c {where}"
+    return f", f AS (SELECT record_id AS doc, modified_date FROM c {where}), {scored_sql(rows, fields, asked)}"
 
 
 _WEIGHED = _weighed("WHERE list_type = 'FILE'", _ASKED) + """,
-k AS (SELECT *, bool_or(hit = n_terms) OVER (PARTITION BY query_id) AS exact FROM s),
-m AS (SELECT query_id, CASE WHEN exact THEN 'AND' ELSE 'OR' END AS mode, doc, score FROM k WHERE hit = n_terms OR NOT exact)
+k AS (SELECT *, bool_or(hit = n_units) OVER (PARTITION BY query_id) AS exact FROM s),
+m AS (SELECT query_id, CASE WHEN exact THEN 'AND' ELSE 'OR' END AS mode, doc, score FROM k WHERE hit = n_units OR NOT exact)
 """
 
 
@@ -268,14 +263,14 @@ def _search(spark, d):
 def catalog_search(spark, d):
     """Weighed fields behind a filter, best first."""
     asked, files = _search(spark, d)
-    return search.bm25(asked, files, "record_id", _WEIGHTS).drop("score")
+    return bm25.bm25(asked, files, "record_id", _WEIGHTS).drop("score")
 
 
 @query(_CATALOG + _WEIGHED + """SELECT query_id, rank, doc, modified_date FROM (SELECT query_id, doc, f.modified_date, CAST(row_number() OVER (PARTITION BY query_id ORDER BY f.modified_date DESC NULLS LAST, doc) AS INTEGER) AS rank FROM m JOIN f USING (doc)) WHERE rank <= 10""")
 def catalog_search_by_date(spark, d):
     """The same matches, newest first."""
     asked, files = _search(spark, d)
-    return search.newest(search.matches(asked, files, "record_id", _WEIGHTS), files, "record_id", "modified_date")
+    return bm25.newest(bm25.matches(asked, files, "record_id", _WEIGHTS), files, "record_id", "modified_date")
 
 
 def _json(x: str) -> str:
@@ -450,16 +445,20 @@ def catalog_change_page(spark, d):
     return shown.select("row_no", "record_id", "status", "list_key", "title", "org_name", "base_snapshot", "has_more")
 
 
-@query(_CATALOG + """, i AS (SELECT DISTINCT list_key, unnest([theme_top, fee, update_cycle]) AS column_name FROM c), k AS (SELECT * FROM (VALUES ('1', 'free'), ('1', 'LY'), ('2', 'dai')) t(query_id, keyword)),
-h AS (SELECT query_id, list_key, count(DISTINCT lower(keyword)) AS n, list_sort(list_distinct(list(column_name)))[1:5] AS cols FROM i JOIN k ON contains(lower(column_name), lower(keyword)) GROUP BY ALL),
-f AS (SELECT list_key, min(record_id) AS record_id FROM c WHERE list_type = 'FILE' GROUP BY list_key)
-SELECT query_id, list_key, record_id, array_to_string(cols, ',') AS columns FROM h JOIN f USING (list_key) WHERE n = CASE query_id WHEN '1' THEN 2 ELSE 1 END""")
+_FACT_NAMES = "SELECT list_key, unnest([theme_top, fee, update_cycle]) AS column_name FROM c"
+_FACT_WORDS = "SELECT * FROM (VALUES ('1', 0, 'free'), ('1', 1, 'LY'), ('2', 2, 'dai')) t(query_id, place, keyword)"
+
+
+@query(_CATALOG + f""", {found_sql(_FACT_NAMES, _FACT_WORDS)}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_key) AS INTEGER) AS place FROM f)
+SELECT query_id, place, list_key, record_id, matched FROM r JOIN (SELECT list_key, min(record_id) AS record_id FROM c WHERE list_type = 'FILE' GROUP BY 1) USING (list_key) WHERE place <= 100""")
 def catalog_column_search(spark, d):
     """Keyword search over column names, answered with one file listing a key."""
-    listings = _listings(spark, d)
-    index = listings.select("list_key", F.explode(F.array("theme_top", "fee", "update_cycle")).alias("column_name")).distinct()
-    asked = spark.createDataFrame([("1", "free"), ("1", "LY"), ("2", "dai")], "query_id string, keyword string")
-    return search.column_search(asked, index, listings).select("query_id", "list_key", "record_id", F.array_join("columns", ",").alias("columns"))
+    listings = written(_listings(spark, d), "listings")
+    index = listings.select("list_key", F.explode(F.array("theme_top", "fee", "update_cycle")).alias("column_name")).where("column_name is not null")
+    asked = spark.createDataFrame([("1", "free"), ("1", "LY"), ("2", "dai")], "query_id string, keyword string").coalesce(1)
+    page = columns.column_page(columns.column_search(asked, index), listings, 100)
+    said = F.array_join(F.transform("matched", lambda x: F.concat(x["keyword"], F.lit("="), F.array_join(x["columns"], ","))), ";")
+    return page.withColumn("matched", said)
 
 
 _FACTS = " UNION ALL ".join(f"SELECT g AS group_id, '{n}' AS field, count(DISTINCT coalesce(CAST({c} AS VARCHAR), '~')) AS n_values FROM m GROUP BY g" for n, c in FACTS.items())
@@ -486,8 +485,8 @@ _PLANS = _CATALOG + _weighed("", "SELECT DISTINCT p_brand || p_type AS query_id,
 pl AS (SELECT DISTINCT p_brand || p_type AS plan_id, CASE WHEN p_type = 'PROMO' THEN 'unknown region: nowhere' END AS error, CASE WHEN p_type <> 'PROMO' THEN CASE CAST(p_brand[7:7] AS INTEGER) % 3 WHEN 0 THEN 'KR-26' WHEN 1 THEN 'KR-11' END END AS region,
          CASE WHEN p_type <> 'PROMO' THEN CASE CAST(p_brand[7:7] AS INTEGER) % 3 WHEN 0 THEN 'PARAMETER' WHEN 1 THEN 'PURPOSE_TEXT' END END AS region_source FROM part),
 sr AS (SELECT s.*, pl.region, c.list_type, c.spatial_raw, c.modified_date AS dated, pl.region IS NULL OR len(list_filter(c.regions, lambda r: starts_with(r, pl.region))) > 0 AS here FROM s JOIN pl ON pl.plan_id = s.query_id JOIN c ON c.record_id = s.doc),
-ok AS (SELECT *, bool_or(here) OVER (PARTITION BY query_id) AS found FROM sr), ky AS (SELECT * FROM ok WHERE here OR NOT found), kx AS (SELECT *, bool_or(hit = n_terms) OVER (PARTITION BY query_id) AS exact FROM ky),
-tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM kx WHERE hit = n_terms OR NOT exact) WHERE rank <= 5),
+ok AS (SELECT *, bool_or(here) OVER (PARTITION BY query_id) AS found FROM sr), ky AS (SELECT * FROM ok WHERE here OR NOT found), kx AS (SELECT *, bool_or(hit = n_units) OVER (PARTITION BY query_id) AS exact FROM ky),
+tp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM kx WHERE hit = n_units OR NOT exact) WHERE rank <= 5),
 g AS (SELECT query_id, string_agg(doc, ',' ORDER BY rank) AS candidates, bool_or(NOT found) AS twice, bool_or(spatial_raw IS NOT NULL) AS sp, bool_or(dated IS NOT NULL) AS tm, bool_or(list_type = 'STD') AS ref,
              string_agg(CASE WHEN rank <= 2 THEN CASE WHEN list_type = 'STD' THEN 'PRIMARY+REFERENCE' ELSE 'PRIMARY' END WHEN list_type = 'STD' THEN 'REFERENCE' ELSE 'RELATED' END, ',' ORDER BY rank) AS roles FROM tp GROUP BY query_id)
 """

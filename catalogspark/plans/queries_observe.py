@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from catalogspark.functions.text import short_id
-from catalogspark.operators import observe, plan, search, views
+from catalogspark.operators import bm25, observe, plan, search, views
 from catalogspark.plans.queries_search import _ASKED, _asked, _bm25_sql
 from catalogspark.sources.export import as_json, json_object, stamped, uri
 from catalogspark.sources.shared import table
@@ -186,7 +186,7 @@ ROLES = {"DEMAND": "(?i)der|und", "SUPPLY": "(?i)the|of", "REFERENCE": "(?i)que"
 
 def _candidates(spark, d):
     q = _asked(spark, d)
-    top = search.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 8)
+    top = bm25.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 8)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.col("text").alias("title"), "lang", "source", "n_chars")
     rows = top.join(docs, "doc").select(F.col("query_id").alias("plan_id"), F.col("doc").alias("record_id"), "rank", "title", F.array("lang", "source").alias("columns"), (F.col("n_chars") > 1000).alias("spatial_listed"), F.lit(True).alias("temporal_listed"))
     return q, rows.withColumn("roles", plan.assign_roles(F.col("title"), F.col("columns"), F.col("rank"), ROLES, {"SPATIAL": "src1", "TEMPORAL": "^de|^fr"}))
@@ -203,8 +203,6 @@ def plan_batch(spark, d):
     return _needs(*_candidates(spark, d))
 
 
-QUERIES["plan_batch_whole"], ORACLES["plan_batch_whole"] = plan_batch, ORACLES["plan_batch"]
-
 
 def _needs(q, rows):
     need = plan.needs(rows, q.select(F.col("query_id").alias("plan_id"), F.col("text").alias("purpose")))
@@ -218,8 +216,6 @@ def plan_join_keys(spark, d):
     return _join_keys(*_candidates(spark, d))
 
 
-QUERIES["plan_join_keys_whole"], ORACLES["plan_join_keys_whole"] = plan_join_keys, ORACLES["plan_join_keys"]
-
 
 def _join_keys(_, rows):
     return plan.join_keys(rows, {"language": ["^(en|fr)$"], "both": ["^de$", "^src1"]}).select("plan_id", "key", F.array_join("observed_in", ",").alias("observed_in"), "status")

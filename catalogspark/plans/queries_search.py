@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.operators import compare as cmp
-from catalogspark.operators import evaluate, search, views
-from catalogspark.sources.shared import table
+from catalogspark.operators import bm25, columns, evaluate, search, views
+from catalogspark.sources.shared import new_path, table, written
 
 QUERIES, ORACLES = {}, {}
 
@@ -21,26 +21,38 @@ def query(sql: str | None = None):
     return add
 
 
-_T = "list_filter(regexp_split_to_array(lower(coalesce({}, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
+_T = "list_filter(regexp_split_to_array(strip_accents(lower(coalesce({}, ''))), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '')"
 _POST = f"p AS (SELECT doc_id, len(t) AS len, u AS term, count(*) AS tf FROM (SELECT doc_id, t, unnest(t) AS u FROM (SELECT doc_id, {_T.format('text')} AS t FROM documents)) GROUP BY ALL)"
 
 
 @query(f"WITH {_POST} SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS n FROM p GROUP BY term")
 def postings_stats(spark, d):
-    posted = search.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0})
+    posted = bm25.postings(table(spark, d, "documents"), "doc_id", {"text": 1.0})
     return posted.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("bigint").alias("n"))
 
 
+def scored_sql(rows: str, fields: list[tuple[str, float]], asked: str) -> str:
+    """CTEs up to s(query_id, n_units, doc, hit, score). rows: a SELECT with doc and the fields; asked: one with query_id and text.
+
+    Each token between white space is a phrase: its words at successive positions of one field.
+    """
+    words = " UNION ALL ".join(f"SELECT doc, {n} AS f, {w}::DOUBLE AS w, generate_subscripts(t, 1) AS place, unnest(t) AS term FROM (SELECT doc, {_T.format(c)} AS t FROM dr)" for n, (c, w) in enumerate(fields))
+    return f"""dr AS ({rows}), oc AS ({words}),
+ln AS (SELECT doc, (SELECT count(*) FROM oc WHERE oc.doc = dr.doc) AS len FROM dr), st AS (SELECT count(*) AS n, sum(len) / count(*) AS av FROM ln),
+qu AS (SELECT query_id, u, count(*) AS times FROM (SELECT query_id, {_T.format('tok')} AS u FROM (SELECT query_id, unnest(regexp_split_to_array(text, '\\s+')) AS tok FROM ({asked}))) WHERE len(u) > 0 GROUP BY ALL),
+qn AS (SELECT query_id, count(*) AS n_units FROM qu GROUP BY 1),
+uw AS (SELECT u, generate_subscripts(u, 1) AS i, unnest(u) AS term FROM (SELECT DISTINCT u FROM qu)),
+ph AS (SELECT doc, u, sum(w) AS tf FROM (SELECT doc, u, f, place - i AS start, any_value(w) AS w FROM oc JOIN uw USING (term) GROUP BY doc, u, f, place - i HAVING count(*) = len(u)) GROUP BY doc, u),
+pf AS (SELECT u, count(*) AS df FROM ph GROUP BY u),
+s AS (SELECT query_id, n_units, doc, count(*) AS hit, round(sum(times * ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score
+      FROM qu JOIN qn USING (query_id) JOIN ph USING (u) JOIN pf USING (u) JOIN ln USING (doc), st GROUP BY ALL)"""
+
+
 def _bm25_sql(queries: str, k: int) -> str:
     return f"""
-WITH q AS ({queries}), {_POST},
-a AS (SELECT query_id, len(t) AS n_terms, unnest(t) AS term FROM (SELECT query_id, list_distinct({_T.format('text')}) AS t FROM q)),
-c AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT sum(len({_T.format('text')})) FROM documents) / (SELECT count(*) FROM documents) AS av),
-df AS (SELECT term, count(*) AS df FROM p GROUP BY term),
-s AS (SELECT query_id, n_terms, doc_id, count(*) AS hit, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / av))), 6) AS score
-      FROM a JOIN p USING (term) JOIN df USING (term), c GROUP BY ALL),
-k AS (SELECT *, bool_or(hit = n_terms) OVER (PARTITION BY query_id) AS exact FROM s),
-r AS (SELECT query_id, CASE WHEN exact THEN 'AND' ELSE 'OR' END AS mode, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id AS doc FROM k WHERE hit = n_terms OR NOT exact)
+WITH {scored_sql("SELECT doc_id AS doc, text FROM documents", [("text", 1)], queries)},
+k AS (SELECT *, bool_or(hit = n_units) OVER (PARTITION BY query_id) AS exact FROM s),
+r AS (SELECT query_id, CASE WHEN exact THEN 'AND' ELSE 'OR' END AS mode, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS INTEGER) AS rank, doc FROM k WHERE hit = n_units OR NOT exact)
 SELECT query_id, mode, rank, doc FROM r WHERE rank <= {k}"""
 
 
@@ -53,7 +65,7 @@ def _asked(spark, d):
 
 
 def _ranked(spark, d):
-    return search.bm25(_asked(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0})
+    return bm25.bm25(_asked(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0})
 
 
 @query(_bm25_sql(_ASKED, 10))
@@ -61,8 +73,6 @@ def bm25_topk(spark, d):
     return _ranked(spark, d).drop("score")
 
 
-QUERIES["bm25_topk_whole"], ORACLES["bm25_topk_whole"] = bm25_topk, ORACLES["bm25_topk"]
-
 
 _MIXED = "SELECT n_nationkey AS query_id, CASE n_nationkey % 3 WHEN 0 THEN 'the of' WHEN 1 THEN 'the ' || lower(n_name) || ' de' ELSE lower(n_name) END AS text FROM nation"
 
@@ -72,7 +82,29 @@ def bm25_and_or_fallback(spark, d):
     n = table(spark, d, "nation")
     key = F.col("n_nationkey")
     q = n.select(key.alias("query_id"), F.when(key % 3 == 0, "the of").when(key % 3 == 1, F.concat(F.lit("the "), F.lower("n_name"), F.lit(" de"))).otherwise(F.lower("n_name")).alias("text"))
-    return search.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 5).drop("score")
+    return bm25.bm25(q, table(spark, d, "documents"), "doc_id", {"text": 1.0}, 5).drop("score")
+
+
+_PAIRED = "SELECT item_id AS query_id, regexp_replace(text, '(\\S+)\\s+(\\S+)\\s*', '\\1-\\2 ', 'g') AS text FROM benchmark"
+
+
+def _paired(spark, d):
+    """Every benchmark text with its words in pairs: each pair is a phrase."""
+    return _asked(spark, d).withColumn("text", F.regexp_replace("text", r"(\S+)\s+(\S+)\s*", "$1-$2 "))
+
+
+@query(_bm25_sql(_PAIRED, 10))
+def bm25_phrases(spark, d):
+    """Pairs of words that must stand side by side."""
+    return bm25.bm25(_paired(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0}).drop("score")
+
+
+@query(_bm25_sql(_PAIRED, 10))
+def bm25_stored_index(spark, d):
+    """The same phrases from an index in the shared folder: no text is read by the search."""
+    path = new_path(spark, "index")
+    bm25.write_index(table(spark, d, "documents"), "doc_id", {"text": 1.0}, path)
+    return bm25.bm25(_paired(spark, d), None, "doc_id", {"text": 1.0}, index=bm25.read_index(spark, path)).drop("score")
 
 
 @query("""
@@ -127,8 +159,6 @@ def ranking_eval(spark, d):
     return m.where("relevant > 0").select("query_id", "relevant", "retrieved", "hits", F.round("ndcg", 6).cast("decimal(12,6)").alias("ndcg"))
 
 
-QUERIES["ranking_eval_passages"], ORACLES["ranking_eval_passages"] = ranking_eval, ORACLES["ranking_eval"]
-
 
 @query(_METRICS + "SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS judged, CAST(round(avg(hits / 10), 6) AS DECIMAL(12, 6)) AS precision, CAST(round(avg(hits / least(relevant, 10)), 6) AS DECIMAL(12, 6)) AS recall, CAST(round(avg(ndcg), 6) AS DECIMAL(12, 6)) AS ndcg FROM e")
 def ranking_means(spark, d):
@@ -150,15 +180,73 @@ def regex_relevance(spark, d):
     return evaluate.relevant_by_pattern(q, table(spark, d, "documents"), "doc_id", "text")
 
 
-@query("""
-WITH i AS (SELECT DISTINCT p_brand AS list_key, u AS column_name FROM (SELECT p_brand, unnest(string_split(p_name, ' ')) AS u FROM part)),
-k AS (SELECT * FROM (VALUES ('q1', 'al'), ('q1', 'e'), ('q2', 'ROSE'), ('q2', '%'), ('q3', 'o'), ('q3', 'r')) t(query_id, keyword)),
-h AS (SELECT query_id, list_key, count(DISTINCT lower(keyword)) AS n, list_sort(list_distinct(list(column_name)))[1:5] AS c FROM i JOIN k ON contains(lower(column_name), lower(keyword)) GROUP BY ALL)
-SELECT h.query_id, list_key, array_to_string(c, ',') AS columns FROM h JOIN (SELECT query_id, count(*) AS need FROM k GROUP BY 1) USING (query_id) WHERE n = need""")
+_LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def found_sql(index: str, asked: str) -> str:
+    """CTEs up to f(query_id, list_key, matched): index has list_key and column_name, asked query_id, at and keyword."""
+    return f"""i AS (SELECT DISTINCT * FROM ({index})), kw AS (SELECT query_id, min(place) AS place, trim(keyword) AS keyword FROM ({asked}) WHERE trim(keyword) <> '' GROUP BY ALL),
+ks AS (SELECT query_id, count(*) AS need, max(length(keyword)) AS longest FROM kw GROUP BY 1), said AS (SELECT query_id, count(*) FILTER (trim(keyword) <> '') AS n FROM ({asked}) GROUP BY 1),
+bad AS (SELECT query_id, CASE WHEN n = 0 THEN 'no keywords' WHEN n > 5 THEN 'more than 5 keywords' WHEN longest > 50 THEN 'a keyword of over 50 characters' END AS error FROM said LEFT JOIN ks USING (query_id)),
+hk AS (SELECT query_id, list_key, place, keyword, list_sort(list(column_name))[1:5] AS c FROM i JOIN kw ON contains({_LOW.format('column_name')}, {_LOW.format('keyword')}) GROUP BY ALL),
+f AS (SELECT query_id, list_key, string_agg(keyword || '=' || array_to_string(c, ','), ';' ORDER BY place) AS matched FROM hk JOIN ks USING (query_id) JOIN bad USING (query_id) WHERE error IS NULL GROUP BY query_id, list_key, need HAVING count(*) = need)"""
+
+
+def _said(m):
+    return F.array_join(F.transform(m, lambda x: F.concat(x["keyword"], F.lit("="), F.array_join(x["columns"], ","))), ";")
+
+
+_KEYWORDS = [
+    *[("q1", k) for k in ("al", " E ", "", "e")], *[("q2", k) for k in ("ROSE", "%")], *[("q3", k) for k in ("o", "r")], *[("q4", k) for k in ("gi", "hot")], ("q5", "widget"), ("q6", "izmo"), ("q6", "IZM"), ("q7", "Wid"), ("q7", "idge"),
+    ("none", "  "), *[("many", k) for k in "abcdef"], ("long", "x" * 51),
+]
+_KEYWORDS_SQL = "SELECT * FROM (VALUES " + ", ".join(f"('{q}', {n}, '{k}')" for n, (q, k) in enumerate(_KEYWORDS)) + ") t(query_id, place, keyword)"
+_PART_WORDS = "SELECT p_brand AS list_key, unnest(string_split(p_name, ' ')) AS column_name FROM part"
+
+
+def _part_words(spark, d):
+    return table(spark, d, "part").select(F.col("p_brand").alias("list_key"), F.explode(F.split("p_name", " ")).alias("column_name")).distinct()
+
+
+def _keywords(spark):
+    return spark.createDataFrame(_KEYWORDS, "query_id string, keyword string").coalesce(1)
+
+
+@query(f"WITH {found_sql(_PART_WORDS, _KEYWORDS_SQL)} SELECT * FROM f")
 def column_search(spark, d):
-    index = table(spark, d, "part").select(F.col("p_brand").alias("list_key"), F.explode(F.split("p_name", " ")).alias("column_name")).distinct()
-    asked = spark.createDataFrame([("q1", "al"), ("q1", "e"), ("q2", "ROSE"), ("q2", "%"), ("q3", "o"), ("q3", "r")], "query_id string, keyword string")
-    return search.column_search(asked, index).select("query_id", "list_key", F.array_join("columns", ",").alias("columns"))
+    return columns.column_search(_keywords(spark), _part_words(spark, d)).withColumn("matched", _said("matched"))
+
+
+@query(f"""WITH {found_sql(_PART_WORDS, _KEYWORDS_SQL)}, n AS (SELECT query_id, count(*) AS n FROM f GROUP BY 1)
+SELECT query_id, error, CASE WHEN error IS NULL THEN coalesce(n, 0) END AS total, CASE WHEN error IS NULL THEN coalesce(n, 0) > 20 END AS has_more,
+       CASE WHEN error IS NULL THEN (SELECT count(DISTINCT p_brand) FROM part) END AS searched, CASE WHEN error IS NULL THEN (SELECT count(*) FROM part WHERE p_size > 9) END AS file_listings
+FROM bad LEFT JOIN n USING (query_id)""")
+def column_search_totals(spark, d):
+    """Errors, totals and coverage of the same searches."""
+    index = _part_words(spark, d)
+    listings = table(spark, d, "part").select(F.col("p_brand").alias("list_key"), F.col("p_partkey").alias("record_id"), F.when(F.col("p_size") > 9, "FILE").otherwise("API").alias("list_type"))
+    asked = _keywords(spark)
+    return columns.column_totals(asked, columns.column_search(asked, index), index, listings)
+
+
+_DOC_WORDS = f"SELECT doc_id AS list_key, unnest({_T.format('text')}) AS column_name FROM documents"
+_CUT = "SELECT n_nationkey AS query_id, 0 AS place, substr(n_name, 1, 3) AS keyword FROM nation UNION ALL SELECT n_nationkey, 1, substr(n_name, 3, 2) FROM nation UNION ALL SELECT n_nationkey, 2, lower(n_name) FROM nation WHERE n_nationkey % 5 = 0"
+
+
+@query(f"""WITH {found_sql(_DOC_WORDS, _CUT)}, r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY list_key) AS INTEGER) AS place FROM f)
+SELECT query_id, place, list_key, list_key AS record_id, matched FROM r WHERE place <= 20""")
+def column_search_stored(spark, d):
+    """Parts of names sought among the words of all documents, from postings in the shared folder; a page of each search."""
+    docs = table(spark, d, "documents")
+    index = written(docs.select(F.col("doc_id").alias("list_key"), F.explode(bm25.terms_of(F.col("text"))).alias("column_name")).distinct(), "columns")
+    path = new_path(spark, "grams")
+    columns.write_grams(index, path)
+    n = table(spark, d, "nation")
+    name, key = F.col("n_name"), F.col("n_nationkey").alias("query_id")
+    asked = n.select(key, F.explode(F.array_compact(F.array(F.substring(name, 1, 3), F.substring(name, 3, 2), F.when(F.col("n_nationkey") % 5 == 0, F.lower(name))))).alias("keyword"))
+    found = columns.column_search(asked, index, columns.read_grams(spark, path))
+    listings = docs.select(F.col("doc_id").alias("list_key"), F.col("doc_id").alias("record_id"), F.lit("FILE").alias("list_type"))
+    return columns.column_page(found, listings).withColumn("matched", _said("matched"))
 
 
 @query("""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalogspark.operators import observe, search, service, stats, views
+from catalogspark.operators import bm25, observe, search, service, stats, views
 from catalogspark.plans.queries_observe import profiles
 from catalogspark.plans.queries_search import _ASKED, _PASSAGES, _asked, _bm25_sql, _passages
 from catalogspark.sources.shared import table
@@ -49,12 +49,10 @@ def safety_review(spark, d):
 
 @query(f"""WITH r AS ({_bm25_sql(_ASKED, 20)}), rel AS ({_PASSAGES}) SELECT r.query_id, rank, r.doc, rel.doc IS NOT NULL AS auto FROM r LEFT JOIN rel ON r.query_id = rel.query_id AND r.doc = rel.doc""")
 def golden_export(spark, d):
-    ranked = search.bm25(_asked(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0}, 20)
+    ranked = bm25.bm25(_asked(spark, d), table(spark, d, "documents"), "doc_id", {"text": 1.0}, 20)
     return service.golden_candidates(ranked, _passages(spark, d))
 
 
-QUERIES["golden_export_whole"], ORACLES["golden_export_whole"] = golden_export, ORACLES["golden_export"]
-
 
 @query("""
 SELECT 'status' AS axis, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY o_orderstatus

@@ -46,20 +46,20 @@ def brute(k):
 
 
 def test_search_takes_every_word(spark, tables):
-    assert {tuple(r) for r in registry.QUERIES["bm25_topk_whole"](spark, tables).collect()} == brute(10)
-    got = {tuple(r) for r in registry.QUERIES["golden_export_whole"](spark, tables).collect()}
+    assert {tuple(r) for r in registry.QUERIES["bm25_topk"](spark, tables).collect()} == brute(10)
+    got = {tuple(r) for r in registry.QUERIES["golden_export"](spark, tables).collect()}
     assert got == {(q, at, doc, q == 10 and doc in (2, 5)) for q, _, at, doc in brute(20)}
 
 
 def test_plans_take_whole_texts(spark, tables):
-    got = {(r.plan_id, r.role): r.n_matched for r in registry.QUERIES["plan_batch_whole"](spark, tables).collect()}
+    got = {(r.plan_id, r.role): r.n_matched for r in registry.QUERIES["plan_batch"](spark, tables).collect()}
     assert got[12, "PRIMARY"] == 1 and got[12, "REFERENCE"] == 1  # both by words behind the cuts
-    keys = {(r.plan_id, r.key): r.observed_in for r in registry.QUERIES["plan_join_keys_whole"](spark, tables).collect()}
+    keys = {(r.plan_id, r.key): r.observed_in for r in registry.QUERIES["plan_join_keys"](spark, tables).collect()}
     assert sorted(keys[11, "language"].split(",")) == ["5", "7"]
 
 
 def test_relevance_by_whole_passages(spark, tables):
-    got = {r.query_id: (r.relevant, r.retrieved, r.hits, float(r.ndcg)) for r in registry.QUERIES["ranking_eval_passages"](spark, tables).collect()}
+    got = {r.query_id: (r.relevant, r.retrieved, r.hits, float(r.ndcg)) for r in registry.QUERIES["ranking_eval"](spark, tables).collect()}
     # documents 2 and 5 hold passage 10; 7 has all its words, but not in sequence
     rank = {doc: at for q, _, at, doc in brute(10) if q == 10}
     gain = sum(1 / math.log2(rank[x] + 1) for x in (2, 5)) / (1 + 1 / math.log2(3))
