@@ -6,7 +6,7 @@ as often. Scores are Okapi sums over weighed occurrences, rounded; ties go to th
 
 Texts are read once: the occurrences of asked terms become (document, unit, weight) in a written table, with a row a document for its length.
 All-of queries start from their rarest unit, so that common ones are only looked up for its documents. Any-of queries take the k-th best score of
-the documents of their strongest unit as a floor; a document without any unit strong enough to lift it over the floor is never formed.
+the documents of their strongest units as a floor; a document without any unit strong enough to lift it over the floor is never formed.
 """
 
 from __future__ import annotations
@@ -146,10 +146,12 @@ def matches(queries: DataFrame, docs: DataFrame | None, key: str, fields: dict[s
     # any of them, for queries of several units without such a document
     some = asked.where("n_units > 1 and df is not null").join(both.select("query_id").distinct(), "query_id", "left_anti").withColumn("ub", F.col("most") * F.col("times"))
     if k is not None:
-        best = some.groupBy("query_id").agg(F.max_by("unit", F.struct("ub", "unit")).alias("unit"))
-        first = _limited(_full(best.join(parts, "unit").select("query_id", "doc"), asked, parts, decimals), k)
+        by_strength = W.partitionBy("query_id").orderBy(F.desc("ub"), "unit")
+        before = F.coalesce(F.sum("df").over(by_strength.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        best = some.withColumn("before", before).where(F.col("before") < 2 * k)  # the strongest units, until they have k documents in all likelihood
+        first = _limited(_full(best.select("query_id", "unit").join(parts, "unit").select("query_id", "doc").distinct(), asked, parts, decimals), k)
         floor = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-        rest = F.sum("ub").over(W.partitionBy("query_id").orderBy(F.desc("ub"), "unit").rowsBetween(W.currentRow, W.unboundedFollowing))
+        rest = F.sum("ub").over(by_strength.rowsBetween(W.currentRow, W.unboundedFollowing))
         # what the units from here on could give together; the margin covers rounding
         some = some.withColumn("rest", rest).join(floor, "query_id", "left").where("floor is null or rest * 1.000001 >= floor - 0.00001")
     any_of = _full(some.select("query_id", "unit").join(parts, "unit").select("query_id", "doc").distinct(), asked, parts, decimals)

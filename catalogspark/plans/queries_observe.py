@@ -9,7 +9,7 @@ from catalogspark.functions.text import short_id
 from catalogspark.operators import bm25, observe, plan, search, views
 from catalogspark.plans.queries_search import _ASKED, _asked, _bm25_sql
 from catalogspark.sources.export import as_json, json_object, stamped, uri
-from catalogspark.sources.shared import table
+from catalogspark.sources.shared import new_path, table
 from catalogspark.streaming import usage
 
 QUERIES, ORACLES = {}, {}
@@ -270,6 +270,32 @@ def rate_limit_windows(spark, d):
     return out.select(F.date_format("start", "yyyy-MM-dd HH:00").alias("start"), "address", "n")
 
 
+@query("""
+WITH t AS (SELECT CAST(user_id AS VARCHAR) AS anon, list(epoch_us(ts) ORDER BY ts) AS ts FROM events WHERE ts IS NOT NULL GROUP BY user_id),
+a AS (SELECT anon, ts, list_reduce(list_prepend([]::BIGINT[], list_transform(ts, lambda x: [x])), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y >= x[1] - 21600000000)) < 2 THEN list_concat(acc, x) ELSE acc END) AS ok FROM t)
+SELECT anon, us, count(*) FILTER (k = 0) AS n, count(*) FILTER (k = 1) AS n_allowed FROM (SELECT anon, unnest(ts) AS us, 0 AS k FROM a UNION ALL SELECT anon, unnest(ok), 1 FROM a) GROUP BY ALL""")
+def rate_limit_stream(spark, d):
+    """All events as a stream of files in any order: at most two accepted requests of a user in six hours. A closing row of another key, later than all, has the rest judged."""
+    log = table(spark, d, "events").select(F.col("user_id").cast("string").alias("anon"), "ts")
+    ends = log.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).head()
+    if ends["a"] is None:
+        return spark.createDataFrame([], "anon string, us bigint, n bigint, n_allowed bigint")
+    span = int((ends["b"] - ends["a"]).total_seconds()) + 1
+    path = new_path(spark, "log")
+    log.repartition(4, F.xxhash64("ts")).write.parquet(path)
+    log.limit(1).select(F.lit("").alias("anon"), (F.lit(ends["b"]) + F.make_interval(secs=F.lit(span + 1))).alias("ts")).write.mode("append").parquet(path)
+    key, was = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(key, usage.STATE_STORE)
+    try:
+        limited = usage.rate_limited(spark.readStream.schema("anon string, ts timestamp").option("maxFilesPerTrigger", 2).parquet(path), 2, 6 * 3600, f"{span} seconds")
+        run = limited.writeStream.format("parquet").option("path", f"{path}-out").option("checkpointLocation", f"{path}-state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    finally:
+        spark.conf.set(key, was) if was else spark.conf.unset(key)
+    out = spark.read.schema("anon string, ts timestamp, allowed boolean").parquet(f"{path}-out")
+    return out.groupBy("anon", F.unix_micros("ts").alias("us")).agg(F.count("*").alias("n"), F.count_if("allowed").alias("n_allowed"))
+
+
 @query("SELECT event_id FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-30' - 7")
 def retention(spark, d):
     return usage.retained(_events(spark, d).withColumn("day", F.to_date("ts")), F.lit("2024-01-30").cast("date"), 7).select("event_id")

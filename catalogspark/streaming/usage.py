@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from catalogspark.functions.text import hmac_sha256
 
@@ -48,32 +49,87 @@ def window_counts(log: DataFrame, key: str, length: str = "60 seconds", slide: s
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), key, "n")
 
 
-def _limiter(limit: int, seconds: float):
-    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        accepted = list(state.get[0]) if state.exists else []
-        for pdf in batches:
-            pdf = pdf.sort_values("ts", kind="stable")
-            allowed = []
-            for t in pdf["ts"].map(lambda x: x.timestamp()):
-                accepted = [a for a in accepted if a >= t - seconds]
-                ok = len(accepted) < limit
-                if ok:
-                    accepted.append(t)
-                allowed.append(ok)
-            yield pdf.assign(anon=key[0], allowed=allowed)[["anon", "ts", "allowed"]]
-        state.update((accepted,))
-        state.setTimeoutDuration(int(seconds * 1000))
-
-    return run
-
-
-def rate_limited(log: DataFrame, limit: int = 120, seconds: float = 60.0) -> DataFrame:
-    """Stream of anon, ts, allowed: a request is refused if ``limit`` accepted ones lie in the seconds before it. The
-    state of a key is at most ``limit`` times, and goes when the key is idle."""
-    return log.select("anon", "ts").groupBy("anon").applyInPandasWithState(_limiter(limit, seconds), "anon string, ts timestamp, allowed boolean", "accepted array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+class _SlidingLimit(StatefulProcessor):
+    """Requests of a key wait until the watermark has passed them and are then judged in order of time, so that neither chunks nor triggers matter."""
+
+    def __init__(self, limit: int, span_us: int):
+        self.limit, self.span = limit, span_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "us bigint, n bigint")
+        self.accepted = handle.getListState("accepted", "us bigint")
+        self.timer = handle.getValueState("timer", "ms bigint")
+
+    def _wake(self, us: int) -> None:
+        """One timer a key, for its earliest waiting request."""
+        ms = -(-us // 1000)
+        held = self.timer.get()[0] if self.timer.exists() else None
+        if held is None or ms < held:
+            if held is not None:
+                self.handle.deleteTimer(held)
+            self.handle.registerTimer(ms)
+            self.timer.update((ms,))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            n = pdf["us"].value_counts()
+            self.waiting.appendList([(int(us), int(c)) for us, c in n.items()])
+            self._wake(int(n.index.min()))
+        yield from ()
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        due, later = Counter(), []
+        for us, n in self.waiting.get():
+            if us <= upto:
+                due[us] += n
+            else:
+                later.append((us, n))
+        accepted = deque(x[0] for x in self.accepted.get())
+        out = []
+        for us in sorted(due):
+            while accepted and accepted[0] < us - self.span:
+                accepted.popleft()
+            free = min(due[us], self.limit - len(accepted))
+            accepted.extend([us] * free)
+            out += [(us, True)] * free + [(us, False)] * (due[us] - free)
+        self.timer.clear()
+        self.waiting.clear()
+        self.accepted.clear()
+        if later:
+            self.waiting.put(later)
+            self._wake(min(later)[0])
+        last = max(due, default=None)
+        kept = [a for a in accepted if last is not None and a >= last - self.span]
+        if kept:
+            self.accepted.put([(a,) for a in kept])
+        if kept and not later:  # nothing waits: the accepted times go when they count no more
+            self._wake(kept[-1] + self.span)
+        for at in range(0, len(out), 10_000):
+            part = out[at : at + 10_000]
+            yield pd.DataFrame({"anon": [key[0]] * len(part), "us": [x[0] for x in part], "allowed": [x[1] for x in part]})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def rate_limited(log: DataFrame, limit: int = 120, seconds: float = 60.0, lateness: str = "60 seconds") -> DataFrame:
+    """Stream of anon, ts, allowed: a request is refused if ``limit`` accepted ones lie in the seconds before it.
+
+    Requests are judged in order of event time once the watermark has passed them, so the same log gives the same answers however it is dealt
+    to files, chunks and triggers, as long as no row is later than ``lateness``; rows beyond that are dropped, as by any watermark. The state of
+    a key is its waiting requests and at most ``limit`` times. Requests of one time are alike; those without a time are left out. The session
+    must use the RocksDB state store (STATE_STORE), which transformWithState needs.
+    """
+    if log.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "") != STATE_STORE:
+        raise ValueError(f"set spark.sql.streaming.stateStore.providerClass to {STATE_STORE}")
+    timed = log.select("anon", "ts").where("ts is not null").withWatermark("ts", lateness).withColumn("us", F.unix_micros("ts"))
+    out = timed.groupBy("anon").transformWithStateInPandas(_SlidingLimit(limit, int(seconds * 1_000_000)), "anon string, us bigint, allowed boolean", "Append", "EventTime")
+    return out.select("anon", F.timestamp_micros("us").alias("ts"), "allowed")
 
 
 def append_log(events: DataFrame, key: bytes, path: str, checkpoint: str, **trigger):
