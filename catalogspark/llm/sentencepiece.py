@@ -15,8 +15,9 @@ together with arrays. Decoding maps ids to piece bytes.
 
 Defined results: null and empty texts have no ids; decoding takes the dummy space off the front, ignores ids outside the model and gives back
 every text, but that a literal space mark reads as a space; other columns stay, a column named as the new one is replaced; repeated rows
-encode equal; empty tables give none; texts of any length are encoded whole, in chunks, and a stretch of over MAX_SEGMENT characters without
-a cut is cut there.
+encode equal; empty tables give none; texts of any length are encoded whole, and so is a stretch without a cut: its positions are folded in blocks, and
+the costs that a piece can reach back to go over from one block to the next. A stretch whose last position doesn't fit a packed edge (2 billion characters
+with the public model) is an error.
 """
 
 from __future__ import annotations
@@ -34,9 +35,9 @@ from catalogspark.llm.packed import Mapped, bounded_batches, by_range, lean, mak
 from catalogspark.sources.shared import drop_written, new_path, written
 
 SPACE = "▁"
-#: Characters of a segment at most, and of what a worker looks at at a time.
-MAX_SEGMENT = 1 << 16
+#: Characters that a worker looks at at a time, or one segment; positions that are folded at a time.
 CHUNK = 1 << 18
+BLOCK = 256
 #: Segments of a task of the lattice, and of a range of the dictionary.
 SEGMENTS_A_TASK = 40_000
 SEGMENTS_A_RANGE = 500_000
@@ -44,9 +45,8 @@ SEGMENTS_A_RANGE = 500_000
 SEEN = 200_000
 #: Nats that an unknown character costs beyond the worst piece.
 UNKNOWN_NATS = 10
-# Bits of a packed edge, from the left: end, length, cost, id.
-_END, _LENGTH, _COST = 46, 40, 20
-_UNKNOWN = (1 << 20) - 1
+#: Bits of a piece's length.
+_LENGTH_BITS = 6
 
 
 @dataclass(frozen=True)
@@ -71,9 +71,28 @@ class Pieces:
         byte0 = next(i for i in range(len(sp)) if sp.is_byte(i))
         nats, scale = log_costs({sp.id_to_piece(i): sp.get_score(i) for i in normal})
         costs = {p: round(scale * c) for p, c in nats.items()}
-        if max(map(len, ids)) > 63 or len(sp) >= _UNKNOWN or max(costs.values()) + UNKNOWN_NATS * scale >= 1 << 20:
+        out = Pieces(ids, costs, scale, byte0, len(sp))
+        if max(map(len, ids)) >= 1 << _LENGTH_BITS or out.end_at > 47:
             raise ValueError("pieces, ids or costs don't fit a packed edge")
-        return Pieces(ids, costs, scale, byte0, len(sp))
+        return out
+
+    # Bits of a packed edge, from the left: end, length, cost, id.
+    @property
+    def unknown(self) -> int:
+        """What stands for the id of an unknown character."""
+        return (1 << self.size.bit_length()) - 1
+
+    @property
+    def cost_at(self) -> int:
+        return self.size.bit_length()
+
+    @property
+    def length_at(self) -> int:
+        return self.cost_at + self.unknown_cost.bit_length()
+
+    @property
+    def end_at(self) -> int:
+        return self.length_at + _LENGTH_BITS
 
     @property
     def unknown_cost(self) -> int:
@@ -107,9 +126,9 @@ def log_costs(scores: dict[str, float]) -> tuple[dict[str, float], int]:
 # ---- cutting texts
 
 
-def _powers(base: int) -> np.ndarray:
-    out = np.full(CHUNK + 1, base, np.uint64)
-    out[0] = 1
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
     return np.cumprod(out, dtype=np.uint64)
 
 
@@ -127,23 +146,23 @@ class Cutter:
         self.wide = len(sides[1]) + 1
         self.holds = np.zeros((len(sides[0]) + 1) * self.wide, bool)
         self.holds[[sides[0][p[0]] * self.wide + sides[1][p[1]] for p in touching]] = True
-        self.up, self.down = _powers(self.BASE), _powers(pow(self.BASE, -1, 1 << 64))
+        self._reach(CHUNK + 1)
+
+    def _reach(self, n: int) -> None:
+        self.up, self.down = _powers(self.BASE, n), _powers(pow(self.BASE, -1, 1 << 64), n)
 
     def starts(self, c: np.ndarray, texts_at: np.ndarray) -> np.ndarray:
         """Where segments start in code points c, with a cut at the start of each text."""
         cut = np.ones(len(c), bool)
         cut[1:] = ~self.holds[self.left[c[:-1]] * self.wide + self.right[c[1:]]]
         cut[texts_at] = True
-        at = np.flatnonzero(cut)
-        size = np.diff(at, append=len(c))
-        if (size > MAX_SEGMENT).any():
-            more = [np.arange(at[i] + MAX_SEGMENT, at[i] + size[i], MAX_SEGMENT) for i in np.flatnonzero(size > MAX_SEGMENT)]
-            at = np.sort(np.concatenate([at, *more]))
-        return at
+        return np.flatnonzero(cut)
 
     def hashes(self, c: np.ndarray, at: np.ndarray) -> np.ndarray:
         v = (c.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         v ^= v >> np.uint64(32)
+        if len(c) > len(self.up):
+            self._reach(2 * len(c))
         v *= self.up[: len(c)]
         upto = np.zeros(len(c) + 1, np.uint64)
         np.cumsum(v, out=upto[1:])
@@ -166,18 +185,21 @@ class Cutter:
 
     def _runs(self, text: str, sizes: list[int], first: int, n: int):
         at_text = np.concatenate([[0], np.cumsum(sizes)])
-        done = 0
+        done, size = 0, CHUNK
         while done < len(text):
-            part = text[done : done + CHUNK]
+            part = text[done : done + size]
             c = np.frombuffer(part.encode("utf-32-le"), np.uint32)
             inside = at_text[:-1][np.array(sizes) > 0] - done
             at = self.starts(c, inside[(inside >= 0) & (inside < len(c))])
             if done + len(part) < len(text):  # the last segment may go on
+                if len(at) == 1:
+                    size *= 2  # it is the only one
+                    continue
                 part, c, at = part[: at[-1]], c[: at[-1]], at[:-1]
             number = np.zeros(n, np.int64)
             number[first : first + len(sizes)] = np.diff(np.searchsorted(at, at_text - done))
             yield part, at, self.hashes(c, at), number
-            done += len(part)
+            done, size = done + len(part), CHUNK
 
 
 def _slices(batches, rows: int = 200):
@@ -229,53 +251,81 @@ def _bits(x: Column, at: int, below: int) -> Column:
 
 def lattice(segs: DataFrame, pieces: Pieces) -> DataFrame:
     """h, seg -> h, seg, edges: packed longs in order of end and length; each position ends an edge of length 1."""
-    table = segs.sparkSession.createDataFrame([(p, (c << _COST) + pieces.ids[p]) for p, c in pieces.costs.items()], "piece string, scored bigint")
+    table = segs.sparkSession.createDataFrame([(p, (c << pieces.cost_at) + pieces.ids[p]) for p, c in pieces.costs.items()], "piece string, scored bigint")
     n, longest = F.length("seg"), max(map(len, pieces.ids))
-    spans = segs.select("h", "seg", F.explode(F.sequence(F.lit(0), n - 1)).alias("s"))
-    spans = spans.select("h", "seg", "s", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("s")))).alias("l"))
-    spans = spans.withColumn("piece", F.substring("seg", F.col("s") + 1, F.col("l")))
-    met = spans.join(F.broadcast(table), "piece", "left").where("scored is not null or l = 1")
-    place = F.shiftleft((F.col("s") + F.col("l")).cast("bigint"), _END) + F.shiftleft(F.col("l").cast("bigint"), _LENGTH)
-    edge = place + F.coalesce("scored", F.lit((pieces.unknown_cost << _COST) + _UNKNOWN))
-    # the segment itself goes with one edge only
-    edges = met.select("h", edge.alias("edge"), F.when((F.col("s") == 0) & (F.col("l") == 1), F.col("seg")).alias("head"))
+    fits = F.when(n < 1 << (63 - pieces.end_at), n).otherwise(F.raise_error(F.lit("a stretch is too long for a packed edge")).cast("int"))
+    # a window holds BLOCK starts and what their pieces reach, so that no row repeats a long segment; number -1 is the segment itself
+    windows = segs.select("h", "seg", F.explode(F.sequence(F.lit(-1), F.floor((fits - 1) / BLOCK).cast("int"))).alias("k"))
+    part = F.substring("seg", F.col("k") * BLOCK + 1, F.lit(BLOCK + longest - 1))
+    windows = windows.select("h", "k", F.when(F.col("k") < 0, F.col("seg")).alias("head"), F.when(F.col("k") >= 0, part).alias("part"))
+    size = F.length("part")
+    spans = windows.withColumn("s", F.explode(F.when(F.col("k") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.least(F.lit(BLOCK), size) - 1))))
+    spans = spans.withColumn("l", F.explode(F.when(F.col("k") < 0, F.array(F.lit(0))).otherwise(F.sequence(F.lit(1), F.least(F.lit(longest), size - F.col("s"))))))
+    spans = spans.withColumn("piece", F.substring("part", F.col("s") + 1, F.col("l")))
+    met = spans.join(F.broadcast(table), "piece", "left").where("scored is not null or l <= 1")
+    place = F.shiftleft((F.col("k") * BLOCK + F.col("s") + F.col("l")).cast("bigint"), pieces.end_at) + F.shiftleft(F.col("l").cast("bigint"), pieces.length_at)
+    edge = place + F.coalesce("scored", F.lit((pieces.unknown_cost << pieces.cost_at) + pieces.unknown))
+    edges = met.select("h", F.when(F.col("l") > 0, edge).alias("edge"), "head")
     return edges.groupBy("h").agg(F.max("head").alias("seg"), F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
-def viterbi(edges: Column, longest: int) -> Column:
-    """The edges of the cheapest path, first to last."""
-    whole = lambda *fields: F.struct(*[c.alias(n) for c, n in zip(fields, ("before", "at", "cost", "edge", "best"), strict=True)])
-    none = F.array().cast("array<bigint>")
+def _blocks(edges: Column, n: Column, end_at: int, length_at: int) -> Column:
+    """The edges of BLOCK ends after the other; the first edge of each end has length 1."""
+
+    def cut(e: Column) -> Column:
+        first = lambda x: (_bits(x, length_at, end_at) == 1) & (F.shiftright(x, end_at) % BLOCK == 1)
+        starts = F.array_compact(F.transform(e, lambda x, i: F.when(first(x), i)))
+        # by position: a slice would copy all edges for each block
+        sliced = lambda s: F.transform(s, lambda at, k: F.transform(F.sequence(at, F.coalesce(F.get(s, k + 1), F.size(e)) - 1), lambda i: F.get(e, i)))
+        return _once(starts, sliced)
+
+    return F.when(n <= BLOCK, F.array(edges)).otherwise(_once(edges, cut))
+
+
+def viterbi(edges: Column, n: Column, pieces: Pieces) -> Column:
+    """The edges of the cheapest path over n positions, first to last.
+
+    Arrays that grow by an element at a time hold a block's positions at most; a finished block is put aside whole.
+    """
+    longest, end_at, length_at = max(map(len, pieces.ids)), pieces.end_at, pieces.length_at
+    cost_of, length_of, end_of = lambda x: _bits(x, pieces.cost_at, length_at), lambda x: _bits(x, length_at, end_at), lambda x: F.shiftright(x, end_at)
+    whole = lambda *fields: F.struct(*[c.alias(f) for c, f in zip(fields, ("before", "at", "cost", "edge", "best"), strict=True)])
+    big = lambda v: F.lit(v).cast("bigint")
+    none, no_blocks = F.array().cast("array<bigint>"), F.array().cast("array<array<bigint>>")
 
     def relax(a: Column, x: Column) -> Column:
-        cost = F.get(a["before"], (_bits(x, _LENGTH, _END) - 1).cast("int")) + _bits(x, _COST, _LENGTH)
+        cost = F.get(a["before"], (length_of(x) - 1).cast("int")) + cost_of(x)
         better = F.when(cost <= a["cost"], whole(a["before"], a["at"], cost, x, a["best"])).otherwise(a)
         # the next end begins with its edge of length 1
         before = F.concat(F.array(a["cost"]), F.slice(a["before"], 1, longest - 1))
-        following = whole(before, a["at"] + 1, a["cost"] + _bits(x, _COST, _LENGTH), x, F.concat(a["best"], F.array(a["edge"])))
-        return F.when(F.shiftright(x, _END) == a["at"], better).otherwise(following)
+        following = whole(before, a["at"] + 1, a["cost"] + cost_of(x), x, F.concat(a["best"], F.array(a["edge"])))
+        return F.when(end_of(x) == a["at"], better).otherwise(following)
+
+    def forward(a: Column, block: Column) -> Column:
+        folded = F.aggregate(block, whole(a["s"]["before"], a["s"]["at"], a["s"]["cost"], a["s"]["edge"], none), relax)
+        return _once(folded, lambda s: F.struct(s.alias("s"), F.concat(a["done"], F.array(s["best"])).alias("done")))
 
-    big = lambda v: F.lit(v).cast("bigint")
     start = whole(F.array(big(0)), big(1), big(1 << 60), big(0), none)
-    best = F.aggregate(edges, start, relax, lambda a: F.concat(a["best"], F.array(a["edge"])))
+    best = F.aggregate(_blocks(edges, n, end_at, length_at), F.struct(start.alias("s"), no_blocks.alias("done")), forward, lambda a: F.concat(a["done"], F.array(F.array(a["s"]["edge"]))))
 
-    def back(best: Column) -> Column:
-        def step(a: Column, _: Column) -> Column:
-            on = lambda x: F.struct((a["at"] - _bits(x, _LENGTH, _END).cast("int")).alias("at"), F.concat(a["path"], F.array(x)).alias("path"))
-            return F.when(a["at"] > 0, _once(F.get(best, a["at"] - 1), on)).otherwise(a)
+    def step(a: Column, x: Column) -> Column:
+        taken = F.struct((a["at"] - length_of(x)).alias("at"), F.concat(a["path"], F.array(x)).alias("path"))
+        return F.when(end_of(x) == a["at"], taken).otherwise(a)
 
-        return F.reverse(F.aggregate(best, F.struct(F.size(best).alias("at"), none.alias("path")), step)["path"])
+    def backward(a: Column, block: Column) -> Column:
+        walked = F.aggregate(F.reverse(block), F.struct(a["at"].alias("at"), none.alias("path")), step)
+        return _once(walked, lambda s: F.struct(s["at"].alias("at"), F.concat(a["done"], F.array(s["path"])).alias("done")))
 
-    return _once(best, back)
+    return F.reverse(F.flatten(F.aggregate(F.reverse(best), F.struct(n.cast("bigint").alias("at"), no_blocks.alias("done")), backward)["done"]))
 
 
 def encoded_segments(segs: DataFrame, pieces: Pieces) -> DataFrame:
     """h, seg -> h, ids by the lattice."""
-    path = lattice(segs, pieces).select("h", "seg", viterbi(F.col("edges"), max(map(len, pieces.ids))).alias("path"))
-    of_edge = lambda x: _bits(x, 0, _COST).cast("int")
-    char = lambda x: F.substring("seg", F.shiftright(x, _END).cast("int"), F.lit(1))
-    with_bytes = F.flatten(F.transform("path", lambda x: F.when(of_edge(x) == _UNKNOWN, _byte_ids(char(x), pieces.byte0)).otherwise(F.array(of_edge(x)))))
-    return path.select("h", F.when(F.exists("path", lambda x: of_edge(x) == _UNKNOWN), with_bytes).otherwise(F.transform("path", of_edge)).alias("ids"))
+    path = lattice(segs, pieces).select("h", "seg", viterbi(F.col("edges"), F.length("seg"), pieces).alias("path"))
+    of_edge = lambda x: _bits(x, 0, pieces.cost_at).cast("int")
+    char = lambda x: F.substring("seg", F.shiftright(x, pieces.end_at).cast("int"), F.lit(1))
+    with_bytes = F.flatten(F.transform("path", lambda x: F.when(of_edge(x) == pieces.unknown, _byte_ids(char(x), pieces.byte0)).otherwise(F.array(of_edge(x)))))
+    return path.select("h", F.when(F.exists("path", lambda x: of_edge(x) == pieces.unknown), with_bytes).otherwise(F.transform("path", of_edge)).alias("ids"))
 
 
 # ---- the dictionary of segments

@@ -6,7 +6,7 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from catalogspark.llm.queries_sentencepiece import op9_sentencepiece
-from catalogspark.llm.sentencepiece import CHUNK, MAX_SEGMENT, SPACE, Cutter, Pieces, decode, encode, encoded_segments, load_pieces
+from catalogspark.llm.sentencepiece import BLOCK, CHUNK, SPACE, Cutter, Pieces, decode, encode, encoded_segments, load_pieces
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -87,17 +87,50 @@ def test_edges(spark, pieces):
     assert got[0] == got[1] == [] and got[2] == got[3] == [pieces.ids["▁a"], pieces.ids["▁b"]]
 
 
+def by_hand(seg, pieces):
+    """The cheapest path position by position; of equal costs the longer last piece."""
+    longest, unknown, cost, back = max(map(len, pieces.ids)), pieces.unknown_cost, [0], [0]
+    for end in range(1, len(seg) + 1):
+        best = min((cost[end - n] + pieces.costs.get(seg[end - n : end], unknown if n == 1 else 1 << 40), -n) for n in range(1, min(longest, end) + 1))
+        cost.append(best[0])
+        back.append(-best[1])
+    out, at = [], len(seg)
+    while at:
+        piece = seg[at - back[at] : at]
+        out.append([pieces.ids[piece]] if piece in pieces.ids else [pieces.byte0 + b for b in piece.encode()])
+        at -= back[at]
+    return [i for ids in reversed(out) for i in ids]
+
+
+@pytest.mark.parametrize("n", [BLOCK - 1, BLOCK, BLOCK + 1, 2 * BLOCK, 3 * BLOCK + 7])
+def test_blocks_don_t_show(spark, pieces, n):
+    rng = random.Random(n)
+    segs = ["".join(rng.choice("thein漢") for _ in range(n)), "a" * n, "-" * n]
+    got = encoded_segments(spark.createDataFrame(list(enumerate(segs)), "h bigint, seg string"), pieces).collect()
+    assert {r.h: r.ids for r in got} == {i: by_hand(x, pieces) for i, x in enumerate(segs)}
+
+
+@pytest.mark.parametrize("n", [65_535, 65_537, 200_000])
+def test_long_stretches_are_encoded_whole(spark, pieces, n):
+    """One stretch without a cut, longer than any block and, with the last, than what ends used to fit."""
+    text = ("theinandthe" * (n // 11 + 1))[: n - 1]
+    got = encode(spark.createDataFrame([(1, text)], "doc_id long, text string"), pieces).head()
+    assert got.ids == by_hand(SPACE + text, pieces)
+
+
 def test_very_long_texts_are_cut_alike(spark, pieces):
     cutter = Cutter(pieces.touching())
-    long = "word and other " * (CHUNK // 10)
-    texts = ["a b", None, long, "", "a" * (3 * MAX_SEGMENT + 5), "z"]
+    long, whole = "word and other " * (CHUNK // 10), "a" * (3 * CHUNK + 5)
+    texts = ["a b", None, long, "", whole, "z"]
     segs = {i: [] for i in range(len(texts))}
-    for marked, at, _, number in cutter(texts):
+    hashes = set()
+    for marked, at, h, number in cutter(texts):
         cut = [marked[a:b] for a, b in zip(at, [*at[1:], len(marked)], strict=True)]
         of = np.repeat(np.arange(len(texts)), number)
-        for i, s in zip(of, cut, strict=True):
+        for i, s, x in zip(of, cut, h.tolist(), strict=True):
             segs[int(i)].append(s)
+            hashes.add((s, x))
     for i, t in enumerate(texts):
         assert "".join(segs[i]) == (SPACE + t.replace(" ", SPACE) if t else "")
-        assert max(map(len, segs[i]), default=0) <= MAX_SEGMENT
-    assert len(set(segs[2])) <= len(segs[0]) + 8
+    assert segs[4] == [SPACE + whole] and len(set(segs[2])) <= len(segs[0]) + 8
+    assert len(hashes) == len({s for s, _ in hashes}) == len({x for _, x in hashes})
