@@ -19,7 +19,6 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -28,8 +27,6 @@ from catalogspark.sources.shared import written
 
 #: Documents of a hash range, about: the bound of a running sum's window.
 RANGE_DOCS = 2000
-#: Sources whose shares come to the driver at most.
-COLLECTED = 50_000
 
 
 @dataclass(frozen=True)
@@ -39,48 +36,48 @@ class Mix:
     entropy: float  # of the weights, over that of equal ones
 
 
-def _at(sources: DataFrame, exponent: float) -> tuple[float, float, float]:
-    """(entropy share, least and greatest of weight / natural share) at an exponent; a job over the sources' sums."""
-    p = F.pow("share", F.lit(exponent))
-    r = sources.agg(F.sum(p).alias("z"), F.sum(p * F.log("share")).alias("s"), F.count("*").alias("n"), F.min(p / F.col("share")).alias("lo"), F.max(p / F.col("share")).alias("hi")).head()
-    if r["n"] < 2:
-        return 1.0, 1.0, 1.0
-    # -sum(w log w) with w = p / z
-    return (math.log(r["z"]) - exponent * r["s"] / r["z"]) / math.log(r["n"]), r["lo"] / r["z"], r["hi"] / r["z"]
+def _at(sources: DataFrame, exponents: list[float]) -> list[tuple[float, float, float]]:
+    """(entropy share, least and greatest of weight / natural share) at each exponent: a job over the sources, with sums that are exact in any order."""
+    ends = sources.agg(F.count("*").alias("n"), F.min("share").alias("least"), F.max("share").alias("most")).head()
+    if ends["n"] < 2:
+        return [(1.0, 1.0, 1.0)] * len(exponents)
+    exact = lambda c: F.sum(c.cast("decimal(38,20)"))
+    each = sources.select("share", F.posexplode(F.array(*map(F.lit, exponents))).alias("i", "e")).withColumn("p", F.pow("share", F.col("e")))
+    rows = {r["i"]: r for r in each.groupBy("i").agg(exact(F.col("p")).alias("z"), exact(F.col("p") * F.log("share")).alias("s")).collect()}  # a row an exponent
+    out = []
+    for i, e in enumerate(exponents):
+        z, s = float(rows[i]["z"]), float(rows[i]["s"])
+        # -sum(w log w) with w = share ** e / z; weight / share falls with the share
+        out.append(((math.log(z) - e * s / z) / math.log(ends["n"]), ends["most"] ** (e - 1) / z, ends["least"] ** (e - 1) / z))
+    return out
 
 
-def _at_shares(shares: np.ndarray, exponent: float) -> tuple[float, float, float]:
-    """The same of collected shares."""
-    if len(shares) < 2:
-        return 1.0, 1.0, 1.0
-    p = shares**exponent
-    z = p.sum()
-    return float(np.log(z) - exponent * (p * np.log(shares)).sum() / z) / math.log(len(shares)), float((p / shares).min() / z), float((p / shares).max() / z)
-
-
-def find_mix(sources: DataFrame, tokens: float, target_entropy: float, max_repeat: float, least_epochs: float, rounds: int = 30) -> Mix:
+def find_mix(sources: DataFrame, tokens: float, target_entropy: float, max_repeat: float, least_epochs: float, rounds: int = 30, at_once: int = 5) -> Mix:
     """sources(share): shares of all tokens. The greatest exponent that meets the target within the limit, else the limit's.
 
-    Up to COLLECTED shares are bisected on the driver; of more, each step is a job over them.
+    Bisection; a job looks at all middles that the next ``at_once`` halvings may need.
     """
-    few = sources.select("share").limit(COLLECTED + 1).toPandas()["share"].to_numpy(float)
-    at = (lambda e: _at_shares(np.sort(few), e)) if len(few) <= COLLECTED else (lambda e: _at(sources, e))
 
-    def fine(exponent: float) -> bool:
+    def fine(found: tuple[float, float, float]) -> bool:
         """Flat enough, or already at the limit."""
-        h, lo, hi = at(exponent)
+        h, lo, hi = found
         return h >= target_entropy or hi / lo * least_epochs >= max_repeat
 
-    if fine(1.0):
+    (natural,) = _at(sources, [1.0])
+    if fine(natural):
         best = 1.0
     else:
         best, steep = 0.0, 1.0
-        for _ in range(rounds):
-            mid = (best + steep) / 2
-            best, steep = (mid, steep) if fine(mid) else (best, mid)
-            if steep - best < 1e-9:
-                break
-    h, lo, _ = at(best)
+        for done in range(0, rounds, at_once):
+            steps = min(at_once, rounds - done)
+            middles = [best + (steep - best) * i / (1 << steps) for i in range(1, 1 << steps)]
+            met = dict(zip(middles, map(fine, _at(sources, middles)), strict=True))
+            lo, hi = 0, 1 << steps
+            while hi - lo > 1:
+                mid = (lo + hi) // 2
+                lo, hi = (mid, hi) if met[middles[mid - 1]] else (lo, mid)
+            best, steep = best + (steep - best) * lo / (1 << steps), best + (steep - best) * hi / (1 << steps)
+    ((h, lo, _),) = _at(sources, [best])
     return Mix(best, tokens * least_epochs / lo, h)
 
 
@@ -92,7 +89,7 @@ def plan_sources(docs: DataFrame, target_entropy: float = 0.97, max_repeat: floa
         return sums.withColumns({c: F.lit(0.0) for c in ("share", "weight", "quota")}), Mix(1.0, 0.0, 1.0)
     shares = sums.withColumn("share", F.col("n_tokens") / total)
     mix = find_mix(shares, total, target_entropy, max_repeat, least_epochs)
-    z = shares.agg(F.sum(F.pow("share", F.lit(mix.exponent)))).head()[0]
+    z = float(shares.agg(F.sum(F.pow("share", F.lit(mix.exponent)).cast("decimal(38,20)"))).head()[0])
     weight = F.pow("share", F.lit(mix.exponent)) / z
     quota = F.least(weight * mix.budget, F.col("n_tokens") * max_repeat)
     # rounding of the bisection may leave the least repeated source a fraction short of its whole permutations
@@ -105,7 +102,7 @@ def _running(rows: DataFrame) -> DataFrame:
     of = ["source_key", "epoch", "range"]
     sums = rows.groupBy(*of).agg(F.sum("tokens").alias("t"))
     carried = sums.select(*of, (F.sum("t").over(W.partitionBy("source_key", "epoch").orderBy("range")) - F.col("t")).alias("carried"))
-    inside = F.sum("tokens").over(W.partitionBy(*of).orderBy("h", "u1", "u2").rowsBetween(W.unboundedPreceding, -1))
+    inside = F.sum("tokens").over(W.partitionBy(*of).orderBy("h", "_unit1", "_unit2").rowsBetween(W.unboundedPreceding, -1))
     return rows.withColumn("inside", F.coalesce(inside, F.lit(0))).join(carried, of).withColumn("before", F.col("carried") + F.col("inside"))
 
 
@@ -116,22 +113,22 @@ def mix_sources(docs: DataFrame, target_entropy: float = 0.97, max_repeat: float
     """docs(doc_id, text, source, ...) -> its columns with tokens, epoch, block and position: one row each time a document is used."""
     n_words = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     # two hashes name a unit: the rows that are equal in doc_id, source and text, used together
-    named = docs.drop(*_NEW).withColumns({"u1": F.xxhash64("doc_id", "source", "text"), "u2": F.xxhash64("text", "source", F.lit(1), "doc_id")})
-    units = named.groupBy("u1", "u2", "source").agg(F.sum(F.greatest(F.lit(1), n_words)).cast("bigint").alias("tokens"))
+    named = docs.drop(*_NEW).withColumns({"_unit1": F.xxhash64("doc_id", "source", "text"), "_unit2": F.xxhash64("text", "source", F.lit(1), "doc_id")})
+    units = named.groupBy("_unit1", "_unit2", "source").agg(F.sum(F.greatest(F.lit(1), n_words)).cast("bigint").alias("tokens"))
     units = written(units, "units")
     sources, mix = plan_sources(units, target_entropy, max_repeat, least_epochs)
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("source_key")
     plan = sources.select(key, "n_tokens", "quota", "n_docs")
     blocks = max(1, math.ceil((sources.agg(F.sum("quota")).head()[0] or 0) / block_tokens))
-    rows = units.select("u1", "u2", "tokens", key).join(plan, "source_key")
+    rows = units.select("_unit1", "_unit2", "tokens", key).join(plan, "source_key")
     runs = F.ceil(F.col("quota") / F.col("n_tokens") - 1e-9).cast("int")
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.greatest(F.lit(1), runs))))
-    rows = rows.withColumn("h", F.xxhash64("u1", "u2", "epoch", F.lit(seed)))
+    rows = rows.withColumn("h", F.xxhash64("_unit1", "_unit2", "epoch", F.lit(seed)))
     rows = rows.withColumn("range", F.floor(F.shiftrightunsigned("h", 32) / F.lit(2.0**32) * F.ceil(F.col("n_docs") / RANGE_DOCS)))
     # whole permutations, and of the last what begins within the budget
     used = _running(rows).withColumn("at", (F.col("epoch") - 1) * F.col("n_tokens") + F.col("before")).where(F.col("at") < F.col("quota") - 1e-6)
     block = F.least(F.lit(blocks - 1), F.floor(F.col("at") / F.col("quota") * blocks)).cast("bigint")
-    used = used.select("u1", "u2", "tokens", "epoch", block.alias("block"), F.xxhash64("h", F.lit(seed + 1)).alias("mixed"))
-    order = W.partitionBy("block").orderBy("mixed", "u1", "u2", "epoch")
-    used = used.select("u1", "u2", "tokens", "epoch", "block", F.row_number().over(order).cast("bigint").alias("position"))
-    return named.join(used, ["u1", "u2"]).drop("u1", "u2")
+    used = used.select("_unit1", "_unit2", "tokens", "epoch", block.alias("block"), F.xxhash64("h", F.lit(seed + 1)).alias("mixed"))
+    order = W.partitionBy("block").orderBy("mixed", "_unit1", "_unit2", "epoch")
+    used = used.select("_unit1", "_unit2", "tokens", "epoch", "block", F.row_number().over(order).cast("bigint").alias("position"))
+    return named.join(used, ["_unit1", "_unit2"]).drop("_unit1", "_unit2")

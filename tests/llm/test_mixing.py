@@ -5,7 +5,6 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from catalogspark.llm import mixing
 from catalogspark.llm.queries_mixing import op3_source_mixing
 from catalogspark.llm.mixing import find_mix, mix_sources, plan_sources
 
@@ -48,12 +47,27 @@ def test_permutations_fill_the_budget(spark):
         assert sorted(r.position for r in got if r.block == b) == list(range(1, 1 + sum(r.block == b for r in got)))
 
 
-def test_both_ways_to_bisect(spark, monkeypatch):
-    df = spark.createDataFrame([(x / 100,) for x in (60, 25, 10, 5)], "share double")
-    one = find_mix(df, 100, 0.95, 10.0, 1.0)
-    monkeypatch.setattr(mixing, "COLLECTED", 2)
-    two = find_mix(df, 100, 0.95, 10.0, 1.0)
-    assert one.exponent == pytest.approx(two.exponent, abs=1e-6) and one.budget == pytest.approx(two.budget, rel=1e-6)
+def test_bisection_in_jobs_equals_one_by_one(spark):
+    """Many sources, in any order and partitioning, whatever a job looks at."""
+    n = 20_001
+    df = spark.range(n).select((1 / (F.col("id") + 1)).alias("w"))
+    total = df.agg(F.sum(F.col("w").cast("decimal(38,20)"))).head()[0]
+    shares = df.select((F.col("w") / F.lit(float(total))).alias("share"))
+    found = [find_mix(d, 100, 0.95, 10.0, 1.0, at_once=k) for d, k in ((shares, 5), (shares.repartition(7), 5), (shares.orderBy("share"), 2))]
+    assert found[0] == found[1] == found[2]
+    h = [1 / (i + 1) / float(total) for i in range(n)]
+
+    def entropy(e):
+        z = sum(x**e for x in h)
+        return -sum(x**e / z * math.log(x**e / z) for x in h) / math.log(n)
+
+    e = found[0].exponent
+    assert entropy(e) >= 0.95 - 1e-9 > entropy(e + 1e-6) or (max(h) / min(h)) ** (1 - e) >= 10 - 1e-6
+
+
+def test_callers_columns_stay(spark):
+    docs = spark.createDataFrame([(1, "a", "x y"), (2, "b", "z")], "doc_id long, source string, text string").selectExpr("*", "doc_id as u1", "'k' as u2", "9 as h")
+    assert {(r.doc_id, r.u1, r.u2, r.h) for r in mix_sources(docs).collect()} == {(1, 1, "k", 9), (2, 2, "k", 9)}
 
 
 def test_query_against_plain_python(spark):
