@@ -8,7 +8,7 @@ Reading takes any GIF: global and local palettes, interlace, transparency, dispo
 codes. A histogram has two bits a channel and counts the rectangle of a frame as it is shown, so samples count once.
 
 Defined results: a null payload is empty; an empty payload has one frame of padding; a null or broken GIF (cut
-short, without a palette, of more than ``MOST_PIXELS``) reads as no frames; texts of any length are stored whole, in frames; repeated rows give equal bytes; other columns stay as they are, and a column of the same
+short, without a palette) reads as no frames, and one that a value can't hold (over ``MOST_PIXELS``) is an error; texts of any length are stored whole, in frames; repeated rows give equal bytes; other columns stay as they are, and a column of the same
 name as a new one is replaced.
 """
 
@@ -33,8 +33,8 @@ DELAY_CS = 10
 TABLE = 4096
 #: A pixel that nothing has been drawn on.
 BLANK = 255
-#: Of a canvas or frame that is read.
-MOST_PIXELS = 1 << 24
+#: Samples of a frame that a binary value can hold.
+MOST_PIXELS = (1 << 31) - 64
 PALETTE = bytes(x for i in range(256) for x in ((i >> 5) * 36, (i >> 2 & 7) * 36, (i & 3) * 85))
 FRAME = T.StructType(
     [T.StructField(n, T.LongType()) for n in ("at_ms", "delay_ms")]
@@ -203,9 +203,7 @@ def read_gif(data: bytes) -> tuple[list[dict], str]:
         n = 3 << ((flags & 7) + 1)
         palette = np.frombuffer(data, np.uint8, n, at).reshape(-1, 3)
         at += n
-    if wide * high > MOST_PIXELS:
-        raise ValueError("a canvas beyond MOST_PIXELS")
-    canvas = np.full((high, wide), BLANK, np.uint8)  # of each pixel the histogram's cell
+    canvas = np.full((0, 0), BLANK, np.uint8)  # of each pixel the histogram's cell, as far as frames have reached
     frames, note, clock = [], "", 0
     disposal, delay, clear_index = 0, 0, None
     while data[at] != 0x3B:
@@ -227,14 +225,19 @@ def read_gif(data: bytes) -> tuple[list[dict], str]:
             at += n
         size = data[at]
         body, at = _joined_blocks(data, at + 1)
-        if colours is None or w * h > MOST_PIXELS:
-            raise ValueError("a frame without palette or beyond MOST_PIXELS")
+        if colours is None:
+            raise ValueError("a frame without palette")
+        if w * h > MOST_PIXELS:
+            raise OverflowError(f"a frame of {w} x {h} samples doesn't fit a value")
         raster = np.frombuffer(lzw_decoded(body, size, w * h), np.uint8).reshape(h, w)
         if packed & 0x40:
             order = np.concatenate([np.arange(a, h, s) for a, s in ((0, 8), (4, 8), (2, 4), (1, 2))])
             lines = np.empty_like(raster)
             lines[order] = raster
             raster = lines
+        reach = (min(high, top + h), min(wide, left + w))
+        if reach[0] > canvas.shape[0] or reach[1] > canvas.shape[1]:
+            canvas = np.pad(canvas, [(0, max(0, r - n)) for r, n in zip(reach, canvas.shape, strict=True)], constant_values=BLANK)
         before = canvas.copy() if disposal == 3 else None
         h2, w2 = max(0, min(h, high - top)), max(0, min(w, wide - left))
         shown = raster[:h2, :w2]

@@ -119,9 +119,10 @@ def test_columns(spark):
     assert len(rows) == 5 and len(rows[3].image.frames) > 1
     whole = write_gif(b"ab" * 320)
     bare = whole[:10] + b"\0" + whole[11:13] + whole[13 + 768 :]  # no palette
-    odd = [b"GIF89a broken", None, b"", bare, whole[:-300], whole[:6] + b"\xff\xff\xff\xff" + whole[10:], whole]
+    wide = whole[:6] + b"\xff\xff\xff\xff" + whole[10:]  # a canvas of 4 billion pixels, of which the frame needs a few
+    odd = [b"GIF89a broken", None, b"", bare, whole[:-300], wide, whole]
     got = load_gif(spark.createDataFrame([(x,) for x in odd], "media binary")).select("image.frames").collect()
-    assert [len(r[0]) for r in got] == [0] * (len(odd) - 1) + [1]
+    assert [len(r[0]) for r in got] == [0] * (len(odd) - 2) + [1, 1]
     assert load_gif(store_gif(df.limit(0))).count() == 0
 
 
@@ -138,3 +139,20 @@ def test_query(spark):
         assert r.feature == f"{-(-len(want) // 65536)}|" + ",".join(f"{c}:{cells[c]}" for c in sorted(cells))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(want), sha256(want).hexdigest(), zlib.crc32(want[-64:]))
     assert sum(r.media_bytes for r in got.values()) < 0.8 * sum(r.payload_bytes for r in got.values())
+
+
+def test_large_canvas_and_frames_beyond_a_value(spark):
+    """A canvas of 4 billion pixels with a small frame is read; a frame of over 2 GB is an error, not a broken file."""
+    def image(wide, high, w, h, samples):
+        palette = bytes(range(12))
+        return b"GIF89a" + struct.pack("<HHBBB", wide, high, 0x81, 0, 0) + palette + b"," + struct.pack("<HHHHB", 3, 2, w, h, 0) + b"\x02" + _blocks(samples) + b";"
+
+    codes = 0
+    stream = [4, 1, 2, 5]  # clear, two samples, end
+    for i, c in enumerate(stream):
+        codes |= c << (3 * i)
+    body = codes.to_bytes(2, "little")
+    frames, _ = read_gif(image(65535, 65535, 2, 1, body))
+    assert [f["samples"] for f in frames] == [b"\x01\x02"]
+    with pytest.raises(OverflowError):
+        read_gif(image(65535, 65535, 65535, 65535, body))
