@@ -19,6 +19,7 @@ empty; other columns stay; repeated rows score equal.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -303,10 +304,11 @@ def score(df: DataFrame, model: Model, text: str = "text", into: str = "lm") ->
     """Add column ``into``: struct of n_tokens, n_known, base_score and score (log10 of the text's probability)."""
 
     @F.arrow_udf(SCORES)
-    def _score(texts: pa.Array) -> pa.Array:
-        arrays = Arrays(model)
-        rows = [r for at in range(0, len(texts), 2000) for r in log_probabilities(texts.slice(at, 2000).to_pylist(), arrays)]
-        cols = list(zip(*rows, strict=True)) or [[]] * 4
-        return pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=SCORES.names)
+    def _score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        arrays = Arrays(model)  # one a task
+        for texts in batches:
+            rows = [r for at in range(0, len(texts), 2000) for r in log_probabilities(texts.slice(at, 2000).to_pylist(), arrays)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 4
+            yield pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)], names=SCORES.names)
 
     return df.withColumn(into, _score(F.col(text)))

@@ -17,6 +17,7 @@ repeated rows score equal; empty tables give none; texts of any length are read
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,15 +162,16 @@ def score(df: DataFrame, machine: Machine, text: str = "text", into: str = "scor
     release()
 
     @F.arrow_udf(T.DoubleType())
-    def _score(texts: pa.Array) -> pa.Array:
-        raw = Mapped(base)("arrays")
+    def _score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        raw = Mapped(base)("arrays")  # read once a task
         weights = raw[: 4 << BITS].view(np.float32)
         vectors = raw[4 << BITS :].view(np.float32).reshape(1 << BITS, rank)
-        out = []
-        for at in range(0, len(texts), SLICE):
-            rows = [np.array(buckets(t.as_py()), np.int64) for t in texts.slice(at, SLICE)]
-            out.append(1 / (1 + np.exp(-np.clip(margins(rows, bias, weights, vectors), -30, 30))))
-        release()
-        return pa.array(np.concatenate([np.zeros(0), *out]))
+        for texts in batches:
+            out = []
+            for at in range(0, len(texts), SLICE):
+                rows = [np.array(buckets(t.as_py()), np.int64) for t in texts.slice(at, SLICE)]
+                out.append(1 / (1 + np.exp(-np.clip(margins(rows, bias, weights, vectors), -30, 30))))
+            release()
+            yield pa.array(np.concatenate([np.zeros(0), *out]))
 
     return df.withColumn(into, _score(F.col(text)))
