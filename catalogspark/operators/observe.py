@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from catalogspark.functions import vocabulary as V
-from catalogspark.functions.text import short_id, ttrim
+from catalogspark.functions.text import blank_to_null, safe_int, short_id, ttrim
 from catalogspark.sources.shared import written
 
 MAX_EXAMPLES = 10
@@ -78,16 +78,23 @@ def _literal_lists(raw: pd.Series) -> pd.DataFrame:
             v = ast.literal_eval(s)
         except (ValueError, SyntaxError, MemoryError, RecursionError):
             return (False, None)
-        return (True, [str(x) for x in v if x is not None][:MAX_EXAMPLES]) if isinstance(v, (list, tuple)) else (False, None)
+        return (True, [str(x) for x in v][:MAX_EXAMPLES]) if isinstance(v, list) else (False, None)
 
     return pd.DataFrame([parse(s) for s in raw], columns=["ok", "values"])
 
 
 def parse_samples(raw: Column) -> Column:
-    """struct<ok, values>: Python-literal list text as at most ten strings; ok is null for blank and false for broken text."""
+    """struct<ok, values>: Python-literal list text as at most ten strings, nulls as their text; ok is null for blank text and false for broken
+    text and for what isn't a list."""
     return _literal_lists(raw)
 
 
+def assessed(name: Column, parsed_ok: Column, values: Column) -> Column:
+    """struct<status, reason>: screened where the samples gave values; else NOT_ASSESSED, for nobody has looked, with the reason of broken samples."""
+    none = F.struct(F.lit("NOT_ASSESSED").alias("status"), F.when(~parsed_ok, "sample-parse-failed").alias("reason"))
+    return F.when(F.coalesce(parsed_ok, F.lit(False)) & (F.size(values) > 0), screen(name, values)).otherwise(none)
+
+
 def release(parsed_ok: Column, values: Column, safety: Column, licence_open: Column) -> Column:
     """struct<example_status, examples>: safety before licence; values stay only where AVAILABLE."""
     status = (
@@ -125,10 +132,15 @@ def asset_page(assets: DataFrame, most: int = 20) -> DataFrame:
 def ingest(profile: DataFrame, licences: DataFrame) -> dict[str, DataFrame]:
     """profile(row_no, list_key, file_name, sheet, ordinal, name, samples), licences(list_key, open) -> assets, tables, columns, rejected.
 
+    The profile may also have container, rows, distinct, distinct_approx and note: the container is part of an asset's id, a table has the rows that
+    its first column states, and columns keep their distinct count, whether it is approximate (Y), and their note.
+
     Of an asset (list_key, file_name) the first run of adjacent rows counts; later runs are rejected row by row. Rows without key or file
     are rejected and don't end a run. A
     sheet is valid if its ordinals are 1..n; an asset is AVAILABLE with all sheets valid, PARTIAL with some, else COLLECTION_FAILED.
     """
+    optional = {"container": "string", "rows": "string", "distinct": "string", "distinct_approx": "string", "note": "string"}
+    profile = profile.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in profile.columns})
     p = profile.withColumn("bad", F.when(F.coalesce(ttrim("list_key"), F.lit("")) == "", "NO_KEY").when(F.coalesce(ttrim("file_name"), F.lit("")) == "", "NO_FILE"))
     rejected = p.where("bad is not null").groupBy(F.col("bad").alias("reason")).agg(F.count("*").alias("n"))
     asset = ["list_key", "file_name"]
@@ -140,25 +152,29 @@ def ingest(profile: DataFrame, licences: DataFrame) -> dict[str, DataFrame]:
     rows = runs.where("run = 0").withColumn("sheet", F.coalesce("sheet", F.lit("")))
     place = F.row_number().over(W.partitionBy(*asset, "sheet").orderBy("ordinal", "row_no"))
     sheets = rows.withColumn("ok", F.coalesce(F.col("ordinal") == place, F.lit(False))).groupBy(*asset, "sheet").agg(
-        F.bool_and("ok").alias("valid"), F.min("row_no").alias("first"), F.count("*").alias("column_count"), F.array_sort(F.collect_list(F.struct("row_no", "ordinal", "name"))).alias("cols")
+        F.bool_and("ok").alias("valid"), F.min("row_no").alias("first"), F.count("*").alias("column_count"), F.min_by("rows", "row_no").alias("rows"), F.min_by("container", "row_no").alias("container"), F.array_sort(F.collect_list(F.struct("row_no", "ordinal", "name"))).alias("cols")
     )
-    asset_id = short_id(*[F.col(c) for c in asset])
+    # the parts of an asset's name that are published; the container is the first row's
+    contained = F.first("container").over(W.partitionBy(*asset).orderBy("first"))
+    sheets = sheets.withColumn("container", F.coalesce(ttrim(contained), F.lit("")))
+    asset_id = short_id(F.col("list_key"), F.lit("FILE"), F.col("container"), F.col("file_name"))
     order = F.dense_rank().over(W.partitionBy(*asset).orderBy("first")) - 1
     valid = sheets.where("valid").withColumns({"table_order": order.cast("bigint"), "asset_id": asset_id})
     text = lambda s: F.array_join(F.transform(s["cols"], lambda c: F.concat_ws(":", c["ordinal"], c["name"])), "\x1e")
     structure = valid.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("table_order", "sheet", "cols"))).alias("s")).select("asset_id", F.sha2(F.array_join(F.transform("s", text), "\x1d"), 256).alias("structure_hash"))
     status = F.when(F.bool_and("valid"), "AVAILABLE").when(F.bool_or("valid"), "PARTIAL").otherwise("COLLECTION_FAILED")
-    assets = sheets.groupBy(*asset).agg(status.alias("status"), F.count_if("valid").alias("n_tables"), F.sum(F.when(F.col("valid"), F.col("column_count")).otherwise(0)).alias("n_columns"))
+    assets = sheets.groupBy(*asset, "container").agg(status.alias("status"), F.count_if("valid").alias("n_tables"), F.sum(F.when(F.col("valid"), F.col("column_count")).otherwise(0)).alias("n_columns"))
     assets = assets.withColumn("asset_id", asset_id).join(structure, "asset_id", "left").join(licences.select("list_key", F.col("open").alias("licence_open")), "list_key", "left")
     assets = assets.withColumns({"licence_open": F.coalesce("licence_open", F.lit(False)), "observation_id": short_id(F.col("asset_id"), F.coalesce("structure_hash", F.lit("")))})
     table_id = short_id(F.col("asset_id"), F.col("sheet"), F.col("table_order").cast("string"))
-    tables = valid.select("asset_id", *asset, "sheet", "table_order", "column_count", table_id.alias("table_id"))
+    tables = valid.select("asset_id", *asset, "sheet", "table_order", "column_count", safe_int(F.col("rows")).alias("rows_scanned"), table_id.alias("table_id"))
     held = rows.join(tables.select("asset_id", "table_id", *asset, "sheet"), [*asset, "sheet"]).join(assets.select("asset_id", "licence_open"), "asset_id")
     held = held.withColumn("parsed", parse_samples(F.col("samples")))
     values = F.coalesce("parsed.values", F.array().cast("array<string>"))
-    held = held.withColumn("safety", screen(F.col("name"), values))
+    held = held.withColumn("safety", assessed(F.col("name"), F.col("parsed.ok"), values))
     held = held.withColumns({"type": observe_type(F.col("parsed.values")), "rel": release(F.col("parsed.ok"), values, F.col("safety.status"), F.col("licence_open"))})
-    columns = held.select("asset_id", "table_id", "list_key", "ordinal", "name", F.col("type").alias("observed_type"), F.col("safety.status").alias("safety_status"), F.col("safety.reason").alias("safety_reason"), "rel.example_status", "rel.examples")
+    columns = held.select("asset_id", "table_id", "list_key", "ordinal", "name", F.col("type").alias("observed_type"), F.col("safety.status").alias("safety_status"), F.col("safety.reason").alias("safety_reason"), "rel.example_status", "rel.examples",
+                          safe_int(F.col("distinct")).alias("n_distinct"), (F.coalesce(ttrim("distinct_approx"), F.lit("")) == "Y").alias("distinct_approx"), blank_to_null(F.col("note")).alias("note"))
     return {"assets": assets, "tables": tables, "columns": columns, "rejected": rejected.unionByName(late)}
 
 
@@ -171,8 +187,8 @@ def coverage(assets: DataFrame) -> DataFrame:
 def documents(ingested: dict[str, DataFrame], with_examples: bool = True, most: int = 3) -> DataFrame:
     """list_key, document: nested JSON of assets, tables and columns, built bottom-up."""
     shown = F.slice("examples", 1, most) if with_examples else F.lit(None).cast("array<string>")
-    cols = ingested["columns"].groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "observed_type", "safety_status", "example_status", shown.alias("examples")))).alias("columns"))
-    tabs = ingested["tables"].join(cols, "table_id", "left").groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("table_order", "sheet", "column_count", "columns"))).alias("tables"))
+    cols = ingested["columns"].groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "name", "observed_type", "n_distinct", "distinct_approx", "safety_status", "safety_reason", "example_status", shown.alias("examples"), "note"))).alias("columns"))
+    tabs = ingested["tables"].join(cols, "table_id", "left").groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("table_order", "sheet", "rows_scanned", "column_count", "columns"))).alias("tables"))
     assets = ingested["assets"].join(tabs, "asset_id", "left")
     whole = assets.groupBy("list_key").agg(F.array_sort(F.collect_list(F.struct("file_name", "asset_id", "status", "structure_hash", "tables"))).alias("assets"))
     return whole.select("list_key", F.to_json(F.struct("list_key", "assets")).alias("document"))

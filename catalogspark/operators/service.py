@@ -20,8 +20,8 @@ def lag_days(snapshot: Column, deployed: Column) -> Column:
 
 
 def safety_review_sample(columns: DataFrame, size: int = 100) -> DataFrame:
-    """The first columns by table that aren't CLEAR, for people to look at: names and reasons, never values."""
-    return columns.where("safety_status <> 'CLEAR'").select("table_id", "ordinal", "name", "safety_status", "safety_reason").orderBy("table_id", "ordinal").limit(size)
+    """The first columns by table that were screened and aren't CLEAR, for people to look at: names and reasons, never values."""
+    return columns.where("safety_status not in ('CLEAR', 'NOT_ASSESSED')").select("table_id", "ordinal", "name", "safety_status", "safety_reason").orderBy("table_id", "ordinal").limit(size)
 
 
 def golden_candidates(ranked: DataFrame, relevant: DataFrame, most: int = 20) -> DataFrame:

@@ -63,11 +63,14 @@ def licence_gate(spark, d):
 
 
 def profiles(spark, d):
+    """A column for each turn; where the second turn of a conversation is left out, its ordinals break. Samples are a list, blank, broken, a tuple or an empty list."""
     c = table(spark, d, "conversations").where("not (turn = 1 and conv_id % 5 = 0)")
     key = F.col("conv_id")
+    kind = (key + F.col("turn")) % 8
+    samples = F.when(kind == 1, " ").when(kind == 2, "[1,").when(kind == 3, "('a', 'b')").when(kind == 4, "[]").when(kind == 5, "[None]").otherwise(F.concat(F.lit("['"), F.col("role"), F.lit("', 5, None]")))
     line = F.row_number().over(W.partitionBy("conv_id").orderBy("turn"))
     return c.select((key * 1000 + line).alias("row_no"), F.concat(F.lit("k"), key.cast("string")).alias("list_key"), F.concat(F.lit("f"), key.cast("string")).alias("file_name"), F.lit("").alias("sheet"),
-                    (F.col("turn") + 1).cast("int").alias("ordinal"), F.col("role").alias("name"), F.concat(F.lit("['"), F.col("role"), F.lit("', 5, None]")).alias("samples"))
+                    (F.col("turn") + 1).cast("int").alias("ordinal"), F.col("role").alias("name"), samples.alias("samples"), F.length("text").cast("string").alias("distinct"), F.when(F.col("turn") % 2 == 0, "Y").alias("distinct_approx"), F.concat(F.lit(" "), F.when(F.col("turn") > 1, F.col("role"))).alias("note"), (key * 10).cast("string").alias("rows"), F.when(key % 3 == 0, "box").alias("container"))
 
 
 def _ingested(spark, d):
@@ -81,7 +84,7 @@ WITH c AS (SELECT conv_id, turn, role FROM conversations WHERE NOT (turn = 1 AND
 o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 = turn AS ok FROM c),
 a AS (SELECT conv_id, 'k' || conv_id AS list_key, 'f' || conv_id AS file_name, bool_and(ok) AS ok, count(*) AS n, string_agg((turn + 1) || ':' || role, chr(30) ORDER BY turn) AS cols FROM o GROUP BY conv_id),
 s AS (SELECT list_key, file_name, CASE WHEN ok THEN 'AVAILABLE' ELSE 'COLLECTION_FAILED' END AS status, CAST(ok::INT AS BIGINT) AS n_tables, CAST(CASE WHEN ok THEN n ELSE 0 END AS BIGINT) AS n_columns,
-      CASE WHEN ok THEN sha256(cols) END AS structure_hash, sha256(list_key || '|' || file_name)[1:16] AS asset_id FROM a)
+      CASE WHEN ok THEN sha256(cols) END AS structure_hash, sha256(list_key || '|FILE|' || CASE WHEN conv_id % 3 = 0 THEN 'box' ELSE '' END || '|' || file_name)[1:16] AS asset_id FROM a)
 """
 
 
@@ -95,10 +98,21 @@ def record_coverage(spark, d):
     return observe.coverage(_ingested(spark, d)["assets"])
 
 
-@query(_INGEST + """, col AS (SELECT conv_id, '{"ordinal":' || (turn + 1) || ',"name":"' || role || '","observed_type":"STRING","safety_status":"CLEAR","example_status":"' || CASE WHEN conv_id % 2 = 0 THEN 'AVAILABLE","examples":["' || role || '","5"]}' ELSE 'WITHHELD_BY_LICENSE"}' END AS j, turn FROM c),
+#: What a column's samples lead to, by the kind of their text.
+_FACTS_SQL = """
+SELECT conv_id, turn, role, open, kind, CASE WHEN kind = 1 THEN 'NOT_COLLECTED' WHEN kind IN (2, 3) THEN 'COLLECTION_FAILED' WHEN kind = 4 THEN 'NO_NON_NULL_VALUES' WHEN open THEN 'AVAILABLE' ELSE 'WITHHELD_BY_LICENSE' END AS example_status,
+       CASE WHEN kind IN (1, 2, 3, 4) THEN 'NOT_ASSESSED' ELSE 'CLEAR' END AS safety_status, CASE WHEN kind IN (2, 3) THEN 'sample-parse-failed' END AS safety_reason,
+       CASE WHEN kind IN (1, 2, 3, 4) THEN NULL ELSE 'STRING' END AS observed_type, CASE WHEN kind = 5 THEN ['None'] WHEN kind IN (0, 6, 7) THEN [role, '5', 'None'] END AS vals,
+       length(text) AS n_distinct, turn % 2 = 0 AS distinct_approx, CASE WHEN turn > 1 THEN role END AS note
+FROM (SELECT *, conv_id % 2 = 0 AS open, (conv_id + turn) % 8 AS kind FROM conversations WHERE NOT (turn = 1 AND conv_id % 5 = 0))"""
+
+
+@query(_INGEST + f""", fx AS ({_FACTS_SQL}), col AS (SELECT conv_id, turn, '{{"ordinal":' || (turn + 1) || ',"name":"' || role || '"' || coalesce(',"observed_type":"' || observed_type || '"', '') || coalesce(',"n_distinct":' || n_distinct, '')
+  || ',"distinct_approx":' || distinct_approx || ',"safety_status":"' || safety_status || '"' || coalesce(',"safety_reason":"' || safety_reason || '"', '') || ',"example_status":"' || example_status || '"'
+  || CASE WHEN example_status = 'AVAILABLE' THEN ',"examples":["' || array_to_string(vals, '","') || '"]' ELSE '' END || coalesce(',"note":"' || note || '"', '') || '}}' AS j FROM fx),
 t AS (SELECT conv_id, string_agg(j, ',' ORDER BY turn) AS cols FROM col GROUP BY conv_id)
-SELECT s.list_key, '{"list_key":"' || s.list_key || '","assets":[{"file_name":"' || s.file_name || '","asset_id":"' || s.asset_id || '","status":"' || s.status || '"'
-  || CASE WHEN s.n_tables > 0 THEN ',"structure_hash":"' || s.structure_hash || '","tables":[{"table_order":0,"sheet":"","column_count":' || s.n_columns || ',"columns":[' || t.cols || ']}]' ELSE '' END || '}]}' AS document FROM s JOIN a USING (list_key, file_name) JOIN t USING (conv_id)""")
+SELECT s.list_key, '{{"list_key":"' || s.list_key || '","assets":[{{"file_name":"' || s.file_name || '","asset_id":"' || s.asset_id || '","status":"' || s.status || '"'
+  || CASE WHEN s.n_tables > 0 THEN ',"structure_hash":"' || s.structure_hash || '","tables":[{{"table_order":0,"sheet":"","rows_scanned":' || (t.conv_id * 10) || ',"column_count":' || s.n_columns || ',"columns":[' || t.cols || ']}}]' ELSE '' END || '}}]}}' AS document FROM s JOIN a USING (list_key, file_name) JOIN t USING (conv_id)""")
 def structure_document(spark, d):
     return observe.documents(_ingested(spark, d))
 
@@ -157,12 +171,12 @@ def asset_page(spark, d):
     return observe.asset_page(assets).select("list_key", "file_name", "place", "assets_total")
 
 
-@query("""
-SELECT 'k' || conv_id AS list_key, sha256(sha256('k' || conv_id || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, role AS name, 'STRING' AS observed_type, 'CLEAR' AS safety_status,
-       CASE WHEN conv_id % 2 = 0 THEN 'AVAILABLE' ELSE 'WITHHELD_BY_LICENSE' END AS example_status, CASE WHEN conv_id % 2 = 0 THEN role || ',5' END AS examples
-FROM conversations WHERE NOT (turn = 1 AND conv_id % 5 = 0) AND (conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) <= 1))""")
+@query(f"""
+SELECT 'k' || conv_id AS list_key, sha256(sha256('k' || conv_id || '|FILE|' || CASE WHEN conv_id % 3 = 0 THEN 'box' ELSE '' END || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, role AS name, observed_type, safety_status,
+       safety_reason, example_status, CASE WHEN example_status = 'AVAILABLE' THEN array_to_string(vals, ',') END AS examples, n_distinct, distinct_approx, note
+FROM ({_FACTS_SQL}) WHERE conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) <= 1)""")
 def structure_columns(spark, d):
-    return _ingested(spark, d)["columns"].select("list_key", "table_id", "ordinal", "name", "observed_type", "safety_status", "example_status", F.array_join("examples", ",").alias("examples"))
+    return _ingested(spark, d)["columns"].select("list_key", "table_id", "ordinal", "name", "observed_type", "safety_status", "safety_reason", "example_status", F.array_join("examples", ",").alias("examples"), "n_distinct", "distinct_approx", "note")
 
 
 @query("""

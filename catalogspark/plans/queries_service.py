@@ -37,8 +37,8 @@ _NAMED = "CASE role WHEN 'user' THEN '전화 ' || role WHEN 'assistant' THEN '
 
 
 @query(f"""
-WITH c AS (SELECT conv_id, turn, {_NAMED} AS name, role FROM conversations WHERE NOT (turn = 1 AND conv_id % 5 = 0) AND (conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) <= 1)))
-SELECT sha256(sha256('k' || conv_id || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, name, CASE role WHEN 'user' THEN 'WITHHELD' ELSE 'REVIEW_REQUIRED' END AS safety_status, CASE role WHEN 'user' THEN 'column-name:전화' ELSE 'column-name:민원' END AS safety_reason
+WITH c AS (SELECT conv_id, turn, {_NAMED} AS name, role FROM conversations WHERE (conv_id + turn) % 8 NOT IN (1, 2, 3, 4) AND NOT (turn = 1 AND conv_id % 5 = 0) AND (conv_id % 5 <> 0 OR conv_id IN (SELECT conv_id FROM conversations GROUP BY 1 HAVING max(turn) <= 1)))
+SELECT sha256(sha256('k' || conv_id || '|FILE|' || CASE WHEN conv_id % 3 = 0 THEN 'box' ELSE '' END || '|f' || conv_id)[1:16] || '||0')[1:16] AS table_id, CAST(turn + 1 AS INTEGER) AS ordinal, name, CASE role WHEN 'user' THEN 'WITHHELD' ELSE 'REVIEW_REQUIRED' END AS safety_status, CASE role WHEN 'user' THEN 'column-name:전화' ELSE 'column-name:민원' END AS safety_reason
 FROM c WHERE role IN ('user', 'assistant') ORDER BY table_id, ordinal LIMIT 100""")
 def safety_review(spark, d):
     """The sample for people to look at, from an ingest of column profiles."""

@@ -120,8 +120,11 @@ def test_types_and_screening(spark):
     assert screen("전화번호", [])["reason"] == "column-name:전화" and screen("대표자명", [])["status"] == "WITHHELD" and screen("시설명", ["강당"])["status"] == "CLEAR"
     assert screen("x", ["900101-1234567"])["reason"] == "value-pattern:rrn" and screen("x", ["901301-1234567"])["status"] == "CLEAR"
     assert screen("x", ["a@b.co"])["reason"] == "value-pattern:email" and screen("x", ["y" * 81])["reason"] == "free-text-heuristic"
-    p = spark.createDataFrame([("['a', None, 3]",), ("[1,",), ("  ",), (None,), ("{}",)], "s string").select(observe.parse_samples(F.col("s")).alias("p")).collect()
-    assert [(r.p.ok, r.p["values"]) for r in p] == [(True, ["a", "3"]), (False, None), (None, None), (None, None), (False, None)]
+    p = spark.createDataFrame([("['a', None, 3]",), ("[1,",), ("  ",), (None,), ("{}",), ("(1, 2)",), ("[None]",), ("[]",)], "s string").select(observe.parse_samples(F.col("s")).alias("p")).collect()
+    assert [(r.p.ok, r.p["values"]) for r in p] == [(True, ["a", "None", "3"]), (False, None), (None, None), (None, None), (False, None), (False, None), (True, ["None"]), (True, [])]
+    p_status = spark.createDataFrame([("전화번호", None, None), ("전화번호", False, None), ("전화번호", True, []), ("전화번호", True, ["1"]), ("시설명", True, ["강당"])], "n string, ok boolean, v array<string>")
+    got = [tuple(r.s) for r in p_status.select(observe.assessed(F.col("n"), F.col("ok"), F.coalesce("v", F.array().cast("array<string>"))).alias("s")).collect()]
+    assert got == [("NOT_ASSESSED", None), ("NOT_ASSESSED", "sample-parse-failed"), ("NOT_ASSESSED", None), ("WITHHELD", "column-name:전화"), ("CLEAR", None)]
 
 
 def test_ingest_rejects_late_islands(spark):
