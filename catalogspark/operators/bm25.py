@@ -61,7 +61,7 @@ def asked_units(queries: DataFrame) -> DataFrame:
 
 def _words(asked: DataFrame) -> DataFrame:
     """unit, n, i, term of each different unit, and of the one that stands for every document."""
-    every = asked.sparkSession.createDataFrame([(_ANY, 1, 0, _ANY)], "unit string, n int, i int, term string")
+    every = asked.sparkSession.range(1).select(F.lit(_ANY).alias("unit"), F.lit(1).alias("n"), F.lit(0).alias("i"), F.lit(_ANY).alias("term"))
     each = asked.select("unit", "terms").dropDuplicates(["unit"])
     return each.select("unit", F.size("terms").alias("n"), F.posexplode("terms").alias("i", "term")).unionByName(every)
 

@@ -68,7 +68,10 @@ def interpret(queries: DataFrame, axes: dict[str, tuple[dict, bool]] = AXES) ->
         first = F.get(F.array_intersect(tokens, F.array(*map(F.lit, aliases))), F.lit(0))
         q = q.withColumn(f"by_{a}", F.when(~F.array_contains("skip", a), first))
         q = q.withColumn(f"at_{a}", F.array_position(tokens, F.col(f"by_{a}")))
-    taken = F.array_compact(F.array(*[F.col(f"at_{a}") - 1 for a in axes]))
-    rest = F.filter("t", lambda _, i: ~F.array_contains(taken, i.cast("bigint")))
+    # a token that an axis has taken goes blank, and blanks go: whole arrays are copied once an axis, no token is looked at alone
+    q = q.withColumn("rest", F.col("t"))
+    for a in axes:
+        at = F.col(f"at_{a}").cast("int")
+        q = q.withColumn("rest", F.when(at > 0, F.concat(F.slice("rest", 1, at - 1), F.array(F.lit("")), F.slice("rest", at + 1, F.size("t")))).otherwise(F.col("rest")))
     value = lambda a: F.try_element_at(F.create_map(*[F.lit(x) for kv in axes[a][0].items() for x in kv]), F.col(f"by_{a}"))
-    return q.withColumn("rest", rest).select("query_id", F.array_join("rest", " ").alias("rest"), *[value(a).alias(a) for a in axes])
+    return q.select("query_id", F.array_join(F.array_remove("rest", ""), " ").alias("rest"), *[value(a).alias(a) for a in axes])
