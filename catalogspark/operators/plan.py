@@ -24,7 +24,7 @@ def extract_terms(purpose: Column, most: int = 6) -> tuple[Column, Column]:
     codes = F.create_map(*[F.lit(x) for kv in V.REGION_TOKENS.items() for x in kv])
     region = F.get(F.array_compact(F.transform(clean, lambda t: F.try_element_at(codes, t))), F.lit(0))
     terms = F.filter(clean, lambda t: ~F.array_contains(F.map_keys(codes), t) & ~t.isin(*V.STOPWORDS))
-    return F.slice(F.array_distinct(terms), 1, most), region
+    return F.slice(terms, 1, most), region
 
 
 def resolve_region(region: Column) -> Column:

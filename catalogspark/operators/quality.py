@@ -69,19 +69,20 @@ def dummy_counts(df: DataFrame, columns: list[str], dummies=V.DUMMIES) -> DataFr
 
 
 def quality_indices(df: DataFrame, key: str, numeric: list[str], encoding_ok: bool = True, parse_failures: int = 0) -> DataFrame:
-    """One row: D5-03, D6-01, D7-01, D7-02, their mean and the level; no rows is SCHEMA_ONLY."""
+    """One row: D5-03, D6-01, D7-01, D7-02, each to four places, the mean of these, and the level; no rows is SCHEMA_ONLY."""
     dummies = sum(F.count_if(F.col(c).isin(*V.DUMMIES)) for c in numeric)
     values = sum(F.count(c) for c in numeric)
     r = df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("keys"), values.alias("vals"), dummies.alias("dums"))
+    four = lambda c: F.round(c, 4)
     r = r.withColumns(
         {
-            "d5_03": F.when(F.col("vals") > 0, 1 - F.col("dums") / F.col("vals")).otherwise(F.lit(1.0)),
-            "d6_01": F.try_divide("keys", "rows"),
+            "d5_03": F.when(F.col("vals") > 0, four(1 - F.col("dums") / F.col("vals"))).otherwise(F.lit(1.0)),
+            "d6_01": four(F.try_divide("keys", "rows")),
             "d7_01": F.lit(1.0 if encoding_ok else 0.0),
-            "d7_02": F.coalesce(F.try_divide("rows", F.col("rows") + parse_failures), F.lit(0.0)),
+            "d7_02": four(1 - F.try_divide(F.lit(parse_failures), "rows")) if parse_failures else F.lit(1.0),
         }
     )
-    r = r.withColumn("index", (F.col("d5_03") + F.col("d6_01") + F.col("d7_01") + F.col("d7_02")) / 4)
+    r = r.withColumn("index", four((F.col("d5_03") + F.col("d6_01") + F.col("d7_01") + F.col("d7_02")) / 4))
     return r.withColumn("level", F.when(F.col("rows") == 0, "SCHEMA_ONLY").when(F.col("index") >= 0.7, "DM-0").otherwise("BELOW"))
 
 

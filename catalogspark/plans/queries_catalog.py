@@ -347,18 +347,19 @@ def catalog_discoverability(spark, d):
 
 _INDEX = """, x AS (SELECT count(*) AS n, count(DISTINCT list_key) AS keys, count(row_count) + count(download_count) + count(view_count) AS v,
   count(*) FILTER (row_count IN (999999, 99999999, 9999, -1, -9)) + count(*) FILTER (download_count IN (999999, 99999999, 9999, -1, -9)) + count(*) FILTER (view_count IN (999999, 99999999, 9999, -1, -9)) AS dums FROM c),
-y AS (SELECT n, 1 - dums / v AS d5, keys / n AS d6 FROM x), w AS (SELECT *, (d5 + d6 + 2) / 4 AS idx FROM y)
+y AS (SELECT n, round(1 - dums / v, 4) AS d5, round(keys / n, 4) AS d6, round(1 - {failures} / n, 4) AS d7 FROM x), w AS (SELECT *, round((d5 + d6 + 1 + d7) / 4, 4) AS idx FROM y)
 """
 
 
-@query(_CATALOG + _INDEX + "SELECT n AS rows, CAST(round(d5, 6) AS DECIMAL(8, 6)) AS d5_03, CAST(round(d6, 6) AS DECIMAL(8, 6)) AS d6_01, CAST(round(idx, 6) AS DECIMAL(8, 6)) AS quality_index, CASE WHEN idx >= 0.7 THEN 'DM-0' ELSE 'BELOW' END AS level FROM w")
+@query(_CATALOG + _INDEX.format(failures=7) + "SELECT n AS rows, CAST(round(d5, 6) AS DECIMAL(8, 6)) AS d5_03, CAST(round(d6, 6) AS DECIMAL(8, 6)) AS d6_01, CAST(d7 AS DECIMAL(8, 6)) AS d7_02, CAST(round(idx, 6) AS DECIMAL(8, 6)) AS quality_index, CASE WHEN idx >= 0.7 THEN 'DM-0' ELSE 'BELOW' END AS level FROM w")
 def catalog_quality_index(spark, d):
-    r = quality.quality_indices(_listings(spark, d), "list_key", ["row_count", "download_count", "view_count"])
+    """The indices of a month in which seven records couldn't be parsed."""
+    r = quality.quality_indices(_listings(spark, d), "list_key", ["row_count", "download_count", "view_count"], parse_failures=7)
     six = lambda c, n: F.round(c, 6).cast("decimal(8,6)").alias(n)
-    return r.select("rows", six("d5_03", "d5_03"), six("d6_01", "d6_01"), six("index", "quality_index"), "level")
+    return r.select("rows", six("d5_03", "d5_03"), six("d6_01", "d6_01"), six("d7_02", "d7_02"), six("index", "quality_index"), "level")
 
 
-@query(_CATALOG + _INDEX + f""", s AS (SELECT {_SHARES} FROM c)
+@query(_CATALOG + _INDEX.format(failures=0) + f""", s AS (SELECT {_SHARES} FROM c)
 SELECT '{{"@context":"{BASE}/context/catalog/1.0","@id":"{BASE}/catalog/{MONTH}","@type":"dcat:Catalog","dct:language":"ko","issued":"2026-06-01","kdp:processedAt":"2026-06-01T00:00:00Z","kdp:datasetCount":' || n || ',"kdp:evidenceLevel":"CATALOG_METADATA_ONLY","kdp:airdAssessment":{{"@id":"{BASE}/catalog/{MONTH}/assessment"}}'
   || CASE WHEN idx >= 0.7 THEN ',"aird:diagnosticMaturity":"DM-0","aird:dataType":"STRUCT","kdp:airdState":"Discoverable"' ELSE '' END || '}}' AS document FROM w, s""")
 def catalog_whole_document(spark, d):

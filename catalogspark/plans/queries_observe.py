@@ -235,7 +235,7 @@ def _join_keys(_, rows):
     return plan.join_keys(rows, {"language": ["^(en|fr)$"], "both": ["^de$", "^src1"]}).select("plan_id", "key", F.array_join("observed_in", ",").alias("observed_in"), "status")
 
 
-@query("SELECT item_id AS plan_id, array_to_string(list_distinct_first[1:6], ' ') AS terms FROM (SELECT item_id, list_filter(w, lambda x, i: length(x) >= 2 AND list_position(w, x) = i) AS list_distinct_first FROM (SELECT item_id, list_transform(regexp_split_to_array(trim(text), '[\\s,·]+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}_\\p{M}]', '', 'g')) AS w FROM benchmark))")
+@query("SELECT item_id AS plan_id, array_to_string(searched[1:6], ' ') AS terms FROM (SELECT item_id, list_filter(w, lambda x: length(x) >= 2) AS searched FROM (SELECT item_id, list_transform(regexp_split_to_array(trim(text), '[\\s,·]+'), lambda x: regexp_replace(x, '[^\\p{L}\\p{N}_\\p{M}]', '', 'g')) AS w FROM benchmark))")
 def plan_terms(spark, d):
     terms, _ = plan.extract_terms(F.col("text"))
     return table(spark, d, "benchmark").select(F.col("item_id").alias("plan_id"), F.array_join(terms, " ").alias("terms"))
