@@ -63,7 +63,7 @@ def build(spark: SparkSession, csv: str, snapshot: str, out: str, previous: str
 
     With the stored manifest of an earlier run, a raw file of another hash stops the build.
     """
-    raw_files = src.manifest(spark, csv)
+    raw_files = written(src.manifest(spark, csv), "raw_files")
     if stored_manifest is not None and not src.changed_files(raw_files, stored_manifest).isEmpty():
         raise src.SourceError("the raw file differs from the stored manifest")
     encoding = src.detect_encodings(spark, csv).head()["encoding"]
