@@ -8,9 +8,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalogspark.functions import vocabulary as V
-from catalogspark.operators import bm25, columns, diff, plan, quality, search, views
+from catalogspark.operators import bm25, columns, diff, evaluate, plan, quality, search, views
 from catalogspark.operators import families as fam
-from catalogspark.operators.compare import FACTS, compare_listings
+from catalogspark.operators.compare import FACTS, compare_listings, compare_requests
 from catalogspark.operators.normalize import catalog_completeness, catalog_issues, duplicate_issues, identify, normalize
 from catalogspark.operators.stats import page
 from catalogspark.plans.build import catalog_findings, shapes
@@ -505,3 +505,75 @@ def catalog_plans(spark, d):
         "plan_id", "error", "region", "region_source", F.col("searches").cast("string").alias("searches"), joined("candidates", lambda x: x["record_id"]).alias("candidates"),
         joined("candidates", lambda x: F.array_join(x["roles"], "+")).alias("roles"), joined("needs", lambda n: F.concat_ws("=", n["role"], n["status"])).alias("needs"),
     )
+
+
+_FACT_JSON = ", ".join(f"coalesce(CAST(to_json({c}) AS VARCHAR), 'null')" for c in FACTS.values())
+
+
+@query(_CATALOG + f""", k AS (SELECT *, CAST(list_key AS BIGINT) AS key, CAST(floor(CAST(list_key AS BIGINT) / 4) AS BIGINT) AS g FROM c),
+a AS (SELECT g, record_id FROM k WHERE g % 7 <> 3 OR key % 4 = 0 UNION ALL SELECT g, record_id FROM k WHERE g % 9 = 4 UNION ALL SELECT g, 'nobody' FROM k WHERE key % 40 = 0),
+n AS (SELECT g, CASE WHEN count(*) < 2 THEN 'TOO_FEW' WHEN count(*) > 5 THEN 'TOO_MANY' WHEN bool_or(record_id = 'nobody') THEN 'NOT_FOUND' END AS error FROM a GROUP BY g),
+mem AS (SELECT DISTINCT a.g, k.* EXCLUDE (g) FROM a JOIN n ON a.g = n.g AND error IS NULL JOIN k USING (record_id)),
+fa AS (SELECT g, record_id, generate_subscripts([{_FACT_JSON}], 1) AS i, unnest({list(FACTS)}) AS field, unnest([{_FACT_JSON}]) AS v FROM mem),
+pf AS (SELECT g, i, field, count(DISTINCT v) > 1 AS differs, string_agg(record_id || '=' || v, '&' ORDER BY record_id) AS vs, min(v) AS v FROM fa GROUP BY ALL),
+pg AS (SELECT g, string_agg(field || ':' || vs, ';' ORDER BY i) FILTER (differs) AS differing, string_agg(field || '=' || v, ';' ORDER BY i) FILTER (NOT differs) AS same FROM pf GROUP BY g),
+co AS (SELECT DISTINCT list_key, unnest([theme_top, fee, update_cycle]) AS name FROM c WHERE CAST(list_key AS BIGINT) % 13 <> 0),
+ow AS (SELECT g, record_id, name FROM mem JOIN co USING (list_key) WHERE name IS NOT NULL),
+sz AS (SELECT g, count(*) AS m, (SELECT count(DISTINCT record_id) FROM ow WHERE ow.g = mem.g) AS o FROM mem GROUP BY g),
+cm AS (SELECT g, name FROM ow JOIN sz USING (g) GROUP BY g, name, m HAVING count(*) = m),
+st AS (SELECT g, coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM cm WHERE cm.g = sz.g), '') AS common, coalesce((SELECT string_agg(record_id || ':' || name, ',' ORDER BY record_id, name) FROM ow WHERE ow.g = sz.g AND (ow.g, name) NOT IN (SELECT (g, name) FROM cm)), '') AS only_in,
+       (SELECT string_agg(record_id || '=' || t, ',' ORDER BY record_id) FROM (SELECT g, record_id, count(*) AS t FROM ow GROUP BY ALL) w WHERE w.g = sz.g) AS counts FROM sz WHERE m = o)
+SELECT n.g AS group_id, error, CASE WHEN error IS NULL THEN coalesce(differing, '') END AS differing, CASE WHEN error IS NULL THEN coalesce(same, '') END AS same, common, only_in, counts, CASE WHEN o > 0 AND o < m THEN 'STRUCTURE_OF_SOME_ONLY' END AS warning
+FROM n LEFT JOIN pg USING (g) LEFT JOIN sz USING (g) LEFT JOIN st USING (g)""")
+def catalog_comparisons(spark, d):
+    """Comparisons asked for by groups of neighbouring keys: some ask for one record, some for too many, some for one that isn't there; every thirteenth key's columns weren't observed."""
+    listings = written(_listings(spark, d), "listings")
+    key = F.col("list_key").cast("bigint")
+    k = listings.withColumns({"key": key, "group_id": F.floor(key / 4)})
+    asked = k.where("group_id % 7 <> 3 or key % 4 = 0").select("group_id", "record_id")
+    asked = asked.unionByName(k.where("group_id % 9 = 4").select("group_id", "record_id")).unionByName(k.where("key % 40 = 0").select("group_id", F.lit("nobody").alias("record_id")))
+    columns = k.where("key % 13 <> 0").select("list_key", F.explode(F.array("theme_top", "fee", "update_cycle")).alias("column_name")).where("column_name is not null").distinct()
+    out = compare_requests(asked, listings, columns)
+    pairs = lambda m, mark: F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit(mark), e["value"].cast("string")))
+    own = F.flatten(F.transform(F.map_entries("structure.only_in"), lambda e: F.transform(e["value"], lambda c: F.concat(e["key"], F.lit(":"), c))))
+    return out.select(
+        "group_id", "error", F.array_join(F.transform("differences", lambda f: F.concat(f["field"], F.lit(":"), F.array_join(pairs(f["values"], "="), "&"))), ";").alias("differing"),
+        F.array_join(F.transform("shared_fields", lambda f: F.concat(f["field"], F.lit("="), f["value"])), ";").alias("same"), F.array_join("structure.common", ",").alias("common"),
+        F.array_join(own, ",").alias("only_in"), F.array_join(pairs("structure.counts", "="), ",").alias("counts"), "warning",
+    )
+
+
+_GOLDEN_ASKED = "SELECT DISTINCT p_brand || p_type AS query_id, replace(p_brand, '#', '') || ' ' || p_type AS text, '(?i)' || p_brand || '_(' || lower(p_type[1:4]) || '|none)' AS pattern, CASE CAST(p_brand[7:7] AS INTEGER) % 3 WHEN 0 THEN 'KR-26' WHEN 1 THEN 'KR-11' END AS region FROM part"
+_GOLDEN = _CATALOG + _weighed("", f"SELECT query_id, text FROM ({_GOLDEN_ASKED})") + f""",
+ga AS ({_GOLDEN_ASKED}), gl AS (SELECT query_id, record_id AS doc FROM ga JOIN c ON regexp_matches(title, pattern) AND (region IS NULL OR len(list_filter(regions, lambda r: starts_with(r, region || '|'))) > 0)),
+gs AS (SELECT s.*, ga.region FROM s JOIN ga USING (query_id) JOIN c ON c.record_id = s.doc WHERE region IS NULL OR len(list_filter(regions, lambda r: starts_with(r, region || '|'))) > 0),
+gk AS (SELECT *, bool_or(hit = n_units) OVER (PARTITION BY query_id) AS exact FROM gs),
+gr AS (SELECT * FROM (SELECT query_id, doc, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc) AS rank FROM gk WHERE hit = n_units OR NOT exact) WHERE rank <= 10),
+gm AS (SELECT query_id, (SELECT count(*) FROM gl WHERE gl.query_id = ga.query_id) AS relevant, (SELECT count(*) FROM gr WHERE gr.query_id = ga.query_id) AS retrieved, (SELECT count(*) FROM gr JOIN gl USING (query_id, doc) WHERE query_id = ga.query_id) AS hits FROM ga)
+"""
+
+
+def _golden(spark, d):
+    """A golden query for each brand and type, two thirds of them in a region."""
+    b = table(spark, d, "part").select("p_brand", "p_type").distinct()
+    n = F.substring("p_brand", 7, 1).cast("int") % 3
+    asked = b.select(
+        F.concat("p_brand", "p_type").alias("query_id"), F.concat(F.replace("p_brand", F.lit("#"), F.lit("")), F.lit(" "), "p_type").alias("text"),
+        F.concat(F.lit("(?i)"), "p_brand", F.lit("_("), F.lower(F.substring("p_type", 1, 4)), F.lit("|none)")).alias("pattern"), F.when(n == 0, "KR-26").when(n == 1, "KR-11").alias("region"),
+    )
+    listings = written(_listings(spark, d).withColumns({"keyword_text": F.array_join("keywords", " "), "codes": F.transform("regions", lambda r: r["code"])}), "listings")
+    relevant = evaluate.relevant_by_pattern(asked, listings, "record_id", "title", "codes")
+    return asked, evaluate.rank_metrics(evaluate.ranked_in_region(asked, listings, _WEIGHTS), relevant)
+
+
+@query(_GOLDEN + "SELECT query_id, relevant, retrieved, hits FROM gm WHERE relevant > 0 OR retrieved > 0")
+def catalog_golden(spark, d):
+    """Regular expressions over titles and regions against a search in the region."""
+    return _golden(spark, d)[1].select("query_id", "relevant", "retrieved", "hits")
+
+
+@query(_GOLDEN + """SELECT count(*) AS queries, count(*) FILTER (relevant > 0) AS judged, CAST(round(avg((hits > 0)::INT) FILTER (relevant > 0), 6) AS DECIMAL(12, 6)) AS success_rate, CAST(round(avg((retrieved = 0)::INT), 6) AS DECIMAL(12, 6)) AS zero_rate,
+  CAST(round(avg(hits / 10) FILTER (relevant > 0), 6) AS DECIMAL(12, 6)) AS precision FROM gm""")
+def catalog_golden_means(spark, d):
+    asked, metrics = _golden(spark, d)
+    return evaluate.mean_metrics(metrics, asked).select("queries", "judged", *[F.round(c, 6).cast("decimal(12,6)").alias(c) for c in ("success_rate", "zero_rate", "precision")])

@@ -160,11 +160,11 @@ def ranking_eval(spark, d):
 
 
 
-@query(_METRICS + "SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS judged, CAST(round(avg(hits / 10), 6) AS DECIMAL(12, 6)) AS precision, CAST(round(avg(hits / least(relevant, 10)), 6) AS DECIMAL(12, 6)) AS recall, CAST(round(avg(ndcg), 6) AS DECIMAL(12, 6)) AS ndcg FROM e")
+@query(_METRICS + "SELECT (SELECT count(*) FROM benchmark) AS queries, count(*) AS judged, CAST(round(avg(hits / 10), 6) AS DECIMAL(12, 6)) AS precision, CAST(round(avg(hits / least(relevant, 10)), 6) AS DECIMAL(12, 6)) AS recall, CAST(round(avg(ndcg), 6) AS DECIMAL(12, 6)) AS ndcg, CAST(round(avg((hits > 0)::INT), 6) AS DECIMAL(12, 6)) AS success_rate FROM e")
 def ranking_means(spark, d):
-    """Means over queries with relevant documents, which is all that the evaluation reports."""
+    """Means over queries with relevant documents, and the share of them with a hit."""
     m = evaluate.mean_metrics(evaluate.rank_metrics(_ranked(spark, d), _passages(spark, d)), _asked(spark, d))
-    return m.select("queries", "judged", *[F.round(c, 6).cast("decimal(12,6)").alias(c) for c in ("precision", "recall", "ndcg")])
+    return m.select("queries", "judged", *[F.round(c, 6).cast("decimal(12,6)").alias(c) for c in ("precision", "recall", "ndcg", "success_rate")])
 
 
 @query(_METRICS + "SELECT query_id, relevant, hits FROM e ORDER BY round(ndcg, 9), query_id LIMIT 5")
@@ -264,7 +264,7 @@ s AS (SELECT CAST(floor(p_partkey / 3) AS BIGINT) AS g, count(*) AS size FROM pa
 e AS (SELECT g, c, count(*) AS n, min(r) AS r FROM m GROUP BY g, c)
 SELECT s.g AS group_id, coalesce(seen = size, false) AS all_observed,
        CASE WHEN seen = size THEN coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM e WHERE e.g = s.g AND n = size), '') END AS common,
-       CASE WHEN seen = size THEN (SELECT count(*) FROM e WHERE e.g = s.g AND n = 1) END AS n_only FROM s LEFT JOIN o USING (g)""")
+       CASE WHEN seen = size THEN coalesce((SELECT CAST(sum(n) AS BIGINT) FROM e WHERE e.g = s.g AND n < size), 0) END AS n_only FROM s LEFT JOIN o USING (g)""")
 def compare_structures(spark, d):
     p = table(spark, d, "part")
     members = p.select(F.floor(F.col("p_partkey") / 3).alias("group_id"), F.col("p_partkey").alias("record_id"))
@@ -290,3 +290,35 @@ def golden_drift(spark, d):
     cand = lab.select((F.col("doc_id") % 10).alias("query_id"), F.col("doc_id").alias("doc"), (F.col("quality") == 1).alias("auto"), F.when(F.col("toxic") == 1, "N").when(F.col("doc_id") % 4 == 0, "R").alias("verdict"))
     more = lab.where("quality = 0").select((F.col("doc_id") % 10).alias("query_id"), (F.col("doc_id") + 100000000).alias("doc"))
     return evaluate.drifted(evaluate.resolve_verdicts(cand, more), table(spark, d, "documents").where("doc_id % 3 <> 0"), "doc_id").select("query_id", "doc")
+
+
+_REVIEW = """
+WITH c AS (SELECT doc_id // 20 AS q, doc_id AS doc, quality = 1 AS auto, CASE WHEN toxic = 1 THEN 'N' WHEN doc_id % 4 = 0 THEN 'R' WHEN doc_id % 4 = 1 THEN '' END AS v FROM labels),
+j AS (SELECT *, CASE WHEN coalesce(v, '') <> '' THEN v = 'R' ELSE coalesce(auto, false) END AS rel FROM c),
+m AS (SELECT doc_id // 20 AS q, doc_id + 100000000 AS doc FROM labels WHERE quality = 0 AND doc_id % 3 = 0 UNION SELECT doc_id // 20, doc_id FROM labels WHERE doc_id % 5 = 0),
+n AS (SELECT q, doc FROM m WHERE (q, doc) NOT IN (SELECT (q, doc) FROM j WHERE rel)),
+r AS (SELECT q, doc, 0 AS turn FROM j WHERE rel UNION ALL SELECT q, doc, 1 FROM n),
+g AS (SELECT q AS query_id, (SELECT string_agg(doc, ',' ORDER BY turn, doc) FROM r WHERE r.q = a.q) AS relevant, (SELECT string_agg(doc, ',' ORDER BY doc) FROM j WHERE j.q = a.q AND NOT rel) AS excluded,
+             (SELECT count(v) FROM j WHERE j.q = a.q) + (SELECT count(*) FROM n WHERE n.q = a.q) AS reviewed, (SELECT string_agg(doc, ',' ORDER BY turn, doc) FROM r WHERE r.q = a.q AND doc NOT IN (SELECT doc_id FROM documents)) AS missing FROM (SELECT DISTINCT q FROM c) a)
+"""
+
+
+def _promoted(spark, d):
+    """Every twenty labelled documents are a query's candidates; some verdicts are blank, some additions are candidates already or no longer there."""
+    lab, k = table(spark, d, "labels"), F.col("doc_id")
+    q = F.floor(k / 20).alias("query_id")
+    cand = lab.select(q, k.alias("rank"), k.alias("doc"), (F.col("quality") == 1).alias("auto"), F.when(F.col("toxic") == 1, "N").when(k % 4 == 0, "R").when(k % 4 == 1, "").alias("verdict"))
+    gone = lab.where("quality = 0 and doc_id % 3 = 0").select(q, (k + 100000000).alias("place"), (k + 100000000).alias("doc"))
+    more = gone.unionByName(lab.where("doc_id % 5 = 0").select(q, k.alias("place"), k.alias("doc")))
+    return evaluate.promoted(cand, more, table(spark, d, "documents"), "doc_id")
+
+
+@query(_REVIEW + "SELECT query_id, coalesce(relevant, '') AS relevant, coalesce(excluded, '') AS excluded, reviewed, coalesce(missing, '') AS missing FROM g")
+def golden_promotion(spark, d):
+    return _promoted(spark, d).select("query_id", *[F.array_join(c, ",").alias(c) for c in ("relevant", "excluded", "missing")], "reviewed")
+
+
+@query(_REVIEW + """SELECT 'v1' AS version, '2026-06' AS snapshot, count(*) AS queries, (SELECT count(*) FROM r) AS relevant, CAST(sum(reviewed) AS BIGINT) AS reviewed_verdicts, sum(reviewed) > 0 AS human_reviewed,
+  (SELECT count(*) FROM r WHERE doc NOT IN (SELECT doc_id FROM documents)) AS missing FROM g""")
+def golden_promotion_summary(spark, d):
+    return evaluate.promotion_summary(_promoted(spark, d), "2026-06")
