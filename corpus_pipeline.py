@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.llm.jaccard import jaccard_components
 from catalogspark.llm.mixing import mix_sources
-from catalogspark.llm.pii import find_pii, redact
+from catalogspark.llm.pii import redact_found
 from catalogspark.llm.queries_toxicity import trained
 from catalogspark.llm.sentencepiece import encode, load_pieces
 from catalogspark.llm.toxicity import score
@@ -56,7 +56,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Every row stays, with a null n_chars where the text is null; repeated rows stay alike; an empty table gives none; texts are searched
     whole; extra columns go, one named pii among them.
     """
-    return redact(find_pii(docs)).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
+    return redact_found(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*COLUMNS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,3 +77,15 @@ def test_query(spark):
         r = got[d.doc_id]
         assert r.base_sha256 == sha256(",".join(f"{k}:{a}:{b}" for k, a, b in want).encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(w[0] == k for w in want) for k in BRUTE]
+
+
+def test_pipeline_stage_searches_and_redacts_in_one_worker(spark):
+    import corpus_pipeline
+
+    rows = [(1, "mail x@y.example now, token=abcdef1234567890 and +1 555 010 1234"), (2, None), (3, ""), (4, "clean text"), (4, "clean text"), (5, "é a@b.cd:1.2.3.4@e.fg " * 3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source", "1L as n_chars", "1 as pii")
+    got = corpus_pipeline.redact_personal_data(spark, df, "")
+    assert got._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # a second one is a second worker for each task
+    want = redact(find_pii(df)).selectExpr("doc_id", "text", "lang", "source", "cast(length(text) as bigint) as n_chars")
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str)
+    assert corpus_pipeline.redact_personal_data(spark, df.limit(0), "").count() == 0
