@@ -68,22 +68,26 @@ def _widths(min_size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _codes(samples: bytes) -> list[int]:
     """LZW codes of 8-bit samples: the longest known run each time, a clear code when the table is full, end of information."""
-    table: dict[int, int] = {}
-    get, out, free, full = table.get, [], 258, TABLE
-    emit = out.append
+    longer: list[dict[int, int]] = [{} for _ in range(258)]  # of each run, by the next sample, the run with it
+    out, free = [], 258
+    emit, add = out.append, longer.append
     run = samples[0]
-    for b in memoryview(samples)[1:]:
-        if (longer := get(key := run << 8 | b)) is not None:
-            run = longer
+    known = longer[run]
+    for b in samples[1:]:
+        if b in known:
+            run = known[b]
+            known = longer[run]
             continue
         emit(run)
-        table[key] = free
+        known[b] = free
         free += 1
+        add({})
         run = b
-        if free == full:
+        if free == TABLE:
             emit(256)
-            table.clear()
-            free = 258
+            longer = [{} for _ in range(258)]
+            add, free = longer.append, 258
+        known = longer[b]
     return [*out, run, 257]
 
 
@@ -138,13 +142,13 @@ def lzw_decoded(data: bytes, min_size: int, n_pixels: int) -> bytes:
         raise ValueError("code size")
     clear, total = 1 << min_size, len(data) * 8
     bits = np.frombuffer(data + b"\0" * 4, np.uint8).astype(np.int64)
-    literals = [*[bytes([i]) for i in range(clear)], b"", b""]
     full = np.full(TABLE, 12), np.arange(12, 12 * TABLE + 1, 12)
-    at, seen, have = 0, 0, 0
-    out, table, last = [], literals.copy(), b""
+    begin = np.array([min_size + 1])
+    at = int(begin[0]) if _codes_at(bits, begin - begin, begin)[0] == clear else 0  # a stream usually begins with a clear code
+    have, table, out = 0, None, []
     while have < n_pixels:
         # the widths of the next codes are known up to a clear code
-        width, upto = _widths(min_size, TABLE) if not seen else full
+        width, upto = _widths(min_size, TABLE) if table is None else full
         n = int(np.searchsorted(upto, total - at, "right"))
         if not n:
             raise ValueError("a frame ends early")
@@ -152,41 +156,45 @@ def lzw_decoded(data: bytes, min_size: int, n_pixels: int) -> bytes:
         stop = np.flatnonzero((codes == clear) | (codes == clear + 1))
         ends = len(stop) > 0
         n = int(stop[0]) if ends else n
-        runs = _runs(codes[:n].tolist(), table, last)
-        out.append(b"".join(runs))
-        have += len(out[-1])
+        if n:
+            table = _table(codes[:n], clear) if table is None else table
+            out.append(_samples(codes[:n], *table))
+            have += len(out[-1])
         if ends and codes[n] == clear + 1:
             break
-        at, seen = (at + int(upto[n]), 0) if ends else (at + int(upto[n - 1]), seen + n)
-        if ends:
-            table, last = literals.copy(), b""
-        elif runs:
-            last = runs[-1]
+        at += int(upto[n] if ends else upto[n - 1])
+        table = None if ends else table  # TABLE codes without a clear code have filled it
     if have < n_pixels:
         raise ValueError("a frame ends early")
     return b"".join(out)[:n_pixels]
 
 
-def _runs(codes: list[int], table: list[bytes], last: bytes) -> list[bytes]:
-    """The samples of each code; table grows by the last run and one sample, until it is full. last: the run before, empty after a clear code."""
-    out: list[bytes] = []
-    if codes and not last:
-        last = table[codes[0]]
-        out.append(last)
-        codes = codes[1:]
-    emit, add = out.append, table.append
-    growing = codes[: max(0, TABLE - len(table))]
-    for code in growing:
-        try:
-            run = table[code]
-        except IndexError:  # only the entry that this code makes may be missing
-            if code != len(table):
-                raise ValueError("code before its entry") from None
-            run = last + last[:1]
-        add(last + run[:1])
-        emit(run)
-        last = run
-    return [*out, *map(table.__getitem__, codes[len(growing) :])]
+def _table(codes: np.ndarray, clear: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(entry without the last sample, last sample, length) of each entry that codes make after a clear code: a code's run with the next run's first sample."""
+    low = clear + 2
+    if (codes >= low + np.arange(len(codes))).any():  # only the entry that this code makes may be missing
+        raise ValueError("code before its entry")
+    n = min(len(codes) - 1, TABLE - low)
+    shorter = np.concatenate([np.full(low, -1), codes[:n]])
+    first, length = np.concatenate([np.arange(low), codes[:n]]), (np.arange(low + n) >= low).astype(np.int64)
+    while (first >= low).any():  # twice as far up each time, to the entry of one sample
+        length, first = length + length[first], first[first]
+    last = np.concatenate([np.arange(low), first[codes[1 : n + 1]]]).astype(np.uint8)
+    return shorter, last, length + 1
+
+
+def _samples(codes: np.ndarray, shorter: np.ndarray, last: np.ndarray, length: np.ndarray) -> bytes:
+    """The runs of codes, written from their last samples to their first: those of the longest runs go on."""
+    size = length[codes]
+    at = np.cumsum(size) - 1
+    out = np.empty(at[-1] + 1, np.uint8)
+    order = np.argsort((-size).astype(np.int16), kind="stable")
+    codes, at = codes[order], at[order]
+    for n in (len(codes) - np.cumsum(np.bincount(size))[:-1]).tolist():  # runs longer than 0, 1, 2 ... samples
+        codes, at = codes[:n], at[:n]
+        out[at] = last[codes]
+        codes, at = shorter[codes], at - 1
+    return out.tobytes()
 
 
 def _cells(colours: np.ndarray) -> np.ndarray:

@@ -1,4 +1,5 @@
 import struct
+import sys
 import zlib
 from collections import Counter
 from hashlib import sha256
@@ -156,3 +157,36 @@ def test_large_canvas_and_frames_beyond_a_value(spark):
     assert [f["samples"] for f in frames] == [b"\x01\x02"]
     with pytest.raises(OverflowError):
         read_gif(image(65535, 65535, 65535, 65535, body))
+
+
+def test_decoding_takes_no_step_for_each_code():
+    """Python lines that run while a frame is decoded: fewer than its codes, so the work is done in arrays."""
+    rng = np.random.default_rng(3)
+    data = rng.integers(0, 40, 60_000).astype(np.uint8).tobytes()
+    stream, lines = lzw_encoded(data), 0
+
+    def seen(frame, event, arg):
+        nonlocal lines
+        lines += event == "line" and frame.f_code.co_filename.endswith("gif.py")
+        return seen
+
+    before = sys.gettrace()
+    sys.settrace(seen)
+    try:
+        got = lzw_decoded(stream, 8, len(data))
+    finally:
+        sys.settrace(before)
+    assert got == data and lines < 3000 < len(stream) * 8 // 12
+
+
+def test_streams_without_clear_codes_and_broken_ones():
+    def packed(codes, width):
+        return sum(c << i * width for i, c in enumerate(codes)).to_bytes(-(-len(codes) * width // 8), "little")
+
+    assert lzw_decoded(packed([1, 4 + 2, 2, 5], 3), 2, 4) == b"\1\1\1\2"  # begins without a clear code, with an entry that its own code makes
+    assert lzw_decoded(packed([4, 4, 1, 2, 5], 3), 2, 2) == b"\1\2"
+    for broken in ([4, 6, 1, 5], [4, 1, 7, 5], [4, 5], [4, 1, 5], [4]):
+        with pytest.raises(ValueError):
+            lzw_decoded(packed(broken, 3), 2, 2)
+    with pytest.raises(ValueError):
+        lzw_decoded(b"", 2, 2)
