@@ -270,7 +270,7 @@ def catalog_search(spark, d):
 def catalog_search_by_date(spark, d):
     """The same matches, newest first."""
     asked, files = _search(spark, d)
-    return bm25.newest(bm25.matches(asked, files, "record_id", _WEIGHTS), files, "record_id", "modified_date")
+    return bm25.newest(asked, files, "record_id", _WEIGHTS, "modified_date")
 
 
 def _json(x: str) -> str:
