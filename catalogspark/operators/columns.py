@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 
 from catalogspark.functions.text import ascii_lower, ttrim
 from catalogspark.operators.bm25 import in_shards, shard_of
+from catalogspark.sources.shared import written
 
 #: Characters of a posted substring, at most; postings of a keyword that are read and intersected.
 GRAM = 3
 READ = 2
+#: Names that are sought, sent to all tasks; more are met by a shuffle.
+MOST_SENT = 500_000
 #: What a search may ask for.
 MOST_KEYWORDS, MOST_CHARS, MOST_PAGE = 5, 50, 100
 
@@ -27,18 +30,18 @@ def _grams(text: Column, n: int) -> Column:
     return F.array_distinct(F.transform(F.when(F.length(text) >= n, at).otherwise(F.array().cast("array<int>")), lambda i: F.substring(text, i, F.lit(n))))
 
 
-def name_grams(index: DataFrame) -> DataFrame:
-    """index(list_key, column_name) -> gram, column_name: the postings of the different names."""
-    folded = index.select("column_name").distinct().where("column_name is not null").withColumn("f", ascii_lower(F.col("column_name")))
+def name_grams(index: DataFrame, slices: int | None = None) -> DataFrame:
+    """index(list_key, column_name) -> gram, column_name: the postings of the different names, which are dealt to slices first."""
+    names = index.select("column_name").distinct().where("column_name is not null")
+    folded = (names if slices is None else names.repartition(slices, "column_name")).withColumn("f", ascii_lower(F.col("column_name")))
     return folded.select("column_name", F.explode(F.concat(*[_grams(F.col("f"), n) for n in range(1, GRAM + 1)])).alias("gram"))
 
 
 def write_grams(index: DataFrame, path: str) -> None:
-    """The postings in folders by substring, with how many names each has: made once a release."""
-    posted = name_grams(index)
-    n = posted.groupBy("gram").agg(F.count("*").alias("names"))
-    stored = posted.join(n, "gram").withColumn("shard", shard_of(F.col("gram")))
-    stored.repartition("shard", F.pmod(F.xxhash64("column_name"), F.lit(8))).sortWithinPartitions("shard", "gram").write.mode("overwrite").partitionBy("shard").parquet(path)
+    """The postings in folders by substring: made once a release. Names are shuffled, not their many postings."""
+    slices = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stored = name_grams(index, slices).withColumn("shard", shard_of(F.col("gram")))
+    stored.sortWithinPartitions("shard", "gram", "column_name").write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(path)
 
 
 def read_grams(spark: SparkSession, path: str) -> DataFrame:
@@ -61,10 +64,8 @@ def names_with(keywords: DataFrame, grams: DataFrame) -> DataFrame:
     asked = k.select("keyword", "f", F.explode(parts).alias("gram"))
     if "shard" in grams.columns:
         grams = in_shards(grams, asked.select(F.col("gram").alias("term")))
-    else:
-        grams = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
-        grams = grams.join(grams.groupBy("gram").agg(F.count("*").alias("names")), "gram")
-    sizes = grams.groupBy("gram").agg(F.first("names").alias("names"))
+    grams = grams.join(asked.select("gram").distinct(), "gram", "left_semi")
+    sizes = grams.groupBy("gram").agg(F.count("*").alias("names"))
     rare = F.row_number().over(W.partitionBy("keyword").orderBy("names", "gram"))
     known = asked.join(sizes, "gram", "left").withColumns({"rare": rare, "lost": F.max(F.col("names").isNull()).over(W.partitionBy("keyword"))})
     read = known.where((F.col("rare") <= READ) & ~F.col("lost")).select("keyword", "f", "gram")
@@ -90,12 +91,41 @@ def column_search(asked: DataFrame, index: DataFrame, grams: DataFrame | None =
     return found.where(F.size("m") == F.col("need")).select("query_id", "list_key", F.transform("m", lambda x: F.struct(x["keyword"], x["columns"])).alias("matched"))
 
 
+def write_names(index: DataFrame, path: str) -> None:
+    """index(list_key, names array<string>): the different names of each key as a row, made once a release; a key may have several rows."""
+    index.write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def read_names(spark: SparkSession, path: str) -> DataFrame:
+    """list_key, column_name."""
+    return spark.read.parquet(path).select("list_key", F.explode("names").alias("column_name"))
+
+
+def column_pages(asked: DataFrame, index: DataFrame, grams: DataFrame, listings: DataFrame, size: int = 20, evidence: int = 5) -> DataFrame:
+    """column_page() of column_search(): which keys match is found from keywords alone, and evidence is gathered for the keys of the pages only."""
+    good = checked(asked).where("error is null")
+    each = written(good.select("query_id", F.size("keywords").alias("need"), F.posexplode("keywords").alias("at", "keyword")), "keywords")
+    met = written(names_with(each, grams).groupBy("column_name").agg(F.collect_list("keyword").alias("k")), "names")
+    # the index stays where it is as long as the names that are sought fit a broadcast
+    names = F.broadcast(met) if met.count() <= MOST_SENT else met
+    # a key's keywords are made one in each task before the shuffle
+    has = index.join(names, "column_name").select("list_key", F.explode("k").alias("keyword")).distinct()
+    found = has.join(each, "keyword").groupBy("query_id", "need", "list_key").agg(F.count("*").alias("n")).where("n = need")
+    page = written(column_page(found.select("query_id", "list_key"), listings, size), "page")
+    hits = index.join(F.broadcast(page.select("list_key").distinct()), "list_key", "left_semi").join(names, "column_name").select("list_key", "column_name", F.explode("k").alias("keyword")).distinct()
+    place = F.row_number().over(W.partitionBy("list_key", "keyword").orderBy("column_name"))
+    few = hits.withColumn("p", place).where(F.col("p") <= evidence).groupBy("list_key", "keyword").agg(F.array_sort(F.collect_list("column_name")).alias("columns"))
+    matched = page.select("query_id", "list_key").join(each, "query_id").join(few, ["list_key", "keyword"])
+    matched = matched.groupBy("query_id", "list_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "keyword", "columns"))), lambda x: F.struct(x["keyword"], x["columns"])).alias("matched"))
+    return page.join(matched, ["query_id", "list_key"]).select("query_id", "place", "list_key", "record_id", "matched")
+
+
 def column_page(found: DataFrame, listings: DataFrame, size: int = 20) -> DataFrame:
     """The first keys of each query, answered with a file listing of the key; keys without one leave a gap, as the page is cut before."""
     size = max(1, min(size, MOST_PAGE))
     place = F.row_number().over(W.partitionBy("query_id").orderBy("list_key"))
     files = listings.where("list_type = 'FILE'").groupBy("list_key").agg(F.min("record_id").alias("record_id"))
-    return found.withColumn("place", place).where(F.col("place") <= size).join(files, "list_key").select("query_id", "place", "list_key", "record_id", "matched")
+    return found.withColumn("place", place).where(F.col("place") <= size).join(files, "list_key").select("query_id", "place", "list_key", "record_id", *[c for c in found.columns if c == "matched"])
 
 
 def column_totals(asked: DataFrame, found: DataFrame, observed: DataFrame, listings: DataFrame, size: int = 20) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalogspark.operators import compare as cmp
 from catalogspark.operators import bm25, columns, evaluate, search, views
-from catalogspark.sources.shared import new_path, table, written
+from catalogspark.sources.shared import new_path, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -238,15 +238,15 @@ SELECT query_id, place, list_key, list_key AS record_id, matched FROM r WHERE pl
 def column_search_stored(spark, d):
     """Parts of names sought among the words of all documents, from postings in the shared folder; a page of each search."""
     docs = table(spark, d, "documents")
-    index = written(docs.select(F.col("doc_id").alias("list_key"), F.explode(bm25.terms_of(F.col("text"))).alias("column_name")).distinct(), "columns")
-    path = new_path(spark, "grams")
-    columns.write_grams(index, path)
+    path = new_path(spark, "names")
+    columns.write_names(docs.select(F.col("doc_id").alias("list_key"), F.array_distinct(bm25.terms_of(F.col("text"))).alias("names")), f"{path}/names")
+    index = columns.read_names(spark, f"{path}/names")
+    columns.write_grams(index, f"{path}/grams")
     n = table(spark, d, "nation")
     name, key = F.col("n_name"), F.col("n_nationkey").alias("query_id")
     asked = n.select(key, F.explode(F.array_compact(F.array(F.substring(name, 1, 3), F.substring(name, 3, 2), F.when(F.col("n_nationkey") % 5 == 0, F.lower(name))))).alias("keyword"))
-    found = columns.column_search(asked, index, columns.read_grams(spark, path))
     listings = docs.select(F.col("doc_id").alias("list_key"), F.col("doc_id").alias("record_id"), F.lit("FILE").alias("list_type"))
-    return columns.column_page(found, listings).withColumn("matched", _said("matched"))
+    return columns.column_pages(asked, index, columns.read_grams(spark, f"{path}/grams"), listings).withColumn("matched", _said("matched"))
 
 
 @query("""
